@@ -9,27 +9,14 @@ from airsift import labels as L
 
 
 def mean_2dp(total: Column, n: Column) -> Column:
-    """`total / n` of BIGINTs as a DOUBLE with two decimals, correctly rounded.
+    """`total / n` rounded to two decimals; null if there is nothing to average.
 
-    The binary quotient is rounded, half to even, as IEEE tools do. `round` and
-    `bround` both go through decimal text and miss some three-decimal ties, so the
-    digits come from integer arithmetic; only in a tie is the quotient's rounding
-    error looked at, through an exact product (the quotient split in two halves).
+    The exact binary quotient is rounded, half to even, as IEEE tools do.
+    `format_number` does so; `round` and `bround` go through the shortest decimal text
+    and miss some three-decimal ties.
     """
-    n = F.when(n > 0, n)
-    size = F.abs(total)
-    hundredths = F.call_function("div", size * 100, n)
-    twice_rest = 2 * ((size * 100) % n)
-    quotient = size.cast("double") / n
-    high = quotient * 134217729.0 - (quotient * 134217729.0 - quotient)
-    error = (high * 25.0 - (2 * hundredths + 1) / F.lit(8.0)) + (quotient - high) * 25.0
-    up = (
-        F.when(twice_rest != n, twice_rest > n)
-        .when(error != 0, error > 0)
-        .otherwise(hundredths % 2 == 1)
-    )
-    rounded = (hundredths + up.cast("bigint")) / F.lit(100.0)
-    return F.when(total < 0, -rounded).otherwise(rounded)
+    mean = total.cast("double") / F.when(n > 0, n)
+    return F.translate(F.format_number(mean, 2), ",", "").cast("double")
 
 
 def activity_level(packets: Column) -> Column:

@@ -127,6 +127,16 @@ FINDING_UNKNOWN_VENDOR = (
     "%d istemcinin üreticisi mevcut offline OUI veritabanından belirlenemedi.",
 )
 
+# --- fixed values: notes under a network's client list ---------------------
+NO_CLIENTS_NOTE = "Bu ağ için istemci gözlemlenmedi."
+MORE_CLIENTS_NOTE = (
+    "Not: Bu ağda toplam %d istemci gözlemlendi; raporda paket aktivitesine göre "
+    "ilk 25 istemci gösteriliyor."
+)
+
+# --- fixed values: JSON envelope --------------------------------------------
+ENVELOPE_MODULE = "Wi-Fi Forensics"
+
 # --- fixed values: CSV headers ----------------------------------------------
 NETWORKS_CSV_COLUMNS = ["SSID", "BSSID", "Kanal", "Ortalama_Sinyal_dBm", "Istemci_Sayisi"]
 CLIENTS_CSV_COLUMNS = ["BSSID", "SSID", "Istemci_MAC", "Paket_Sayisi"]
