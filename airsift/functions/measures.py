@@ -53,11 +53,18 @@ def handshake_verdict(strong: Column, partial: Column) -> Column:
     )
 
 
-def ssid_text(ssids: Column, surface: str = "table", fallback: Column | None = None) -> Column:
-    """SSIDs joined for display; `surface` picks the text for a network without any."""
+def joined_ssids(ssids: Column, count: Column, separator: str = ", ") -> Column:
+    """SSIDs as one text; their number where they are too many for a list."""
+    return F.coalesce(F.array_join(ssids, separator), F.format_string("%d SSID", count))
+
+
+def ssid_text(
+    ssids: Column, count: Column, surface: str = "table", fallback: Column | None = None
+) -> Column:
+    """SSIDs for display; `surface` picks the text for a network without any."""
     if fallback is None:
         fallback = F.lit(L.SSID_FALLBACK[surface])
-    return F.when(F.size(ssids) > 0, F.array_join(ssids, ", ")).otherwise(fallback)
+    return F.when(count > 0, joined_ssids(ssids, count)).otherwise(fallback)
 
 
 def channel_text(channel: Column, surface: str = "table") -> Column:

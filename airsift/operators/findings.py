@@ -38,7 +38,7 @@ def vendor_class_counts(client_counts: DataFrame, oui: DataFrame | None = None)
 def network_class_counts(network_measures: DataFrame) -> DataFrame:
     """Networks without any SSID and networks with a weak average signal, per capture."""
     return network_measures.groupBy("capture_id").agg(
-        F.count_if(F.col("ssid_facts") == 0).alias("hidden"),
+        F.count_if(F.col("ssid_count") == 0).alias("hidden"),
         F.count_if(F.col("average_signal_dbm") <= L.WEAK_SIGNAL_DBM).alias("weak"),
     )
 

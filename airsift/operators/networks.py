@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
@@ -11,14 +11,22 @@ from airsift.operators.clients import endpoints
 from airsift.operators.ranking import top_k
 
 NETWORK_KEYS = ["capture_id", "bssid"]
+# Longest SSID list put into one row.
+MAX_LISTED_SSIDS = 1000
+
 _FACT_KEYS = [*NETWORK_KEYS, "kind", "value"]
 
 
+def _decoded_ssid() -> Column:
+    return F.when(F.col("ssid") != "", text.decode_ssid(F.col("ssid"))).otherwise("")
+
+
 def radio_facts(radio: DataFrame) -> DataFrame:
-    """Channel, SSID and signal of every radio row on a valid network, one row each."""
+    """Channel, decoded SSID and signal of every radio row on a valid network, one row
+    each."""
     kinds = [
         ("channel", F.col("channel")),
-        ("ssid", F.col("ssid")),
+        ("ssid", _decoded_ssid()),
         ("signal", F.when(F.col("sig_n") > 0, F.lit("dbm")).otherwise("")),
     ]
     facts = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds])
@@ -66,54 +74,57 @@ def network_facts(radio: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _of_kind(kind: str, value: str = "value"):
+def _of_kind(kind: str, value: str = "value") -> Column:
     return F.when(F.col("kind") == kind, F.col(value))
 
 
-def _average_signal():
+def _average_signal() -> Column:
     return measures.mean_2dp(
         F.sum(_of_kind("signal", "sig_sum")), F.sum(_of_kind("signal", "sig_n"))
     )
 
 
-def _primary_channel():
+def _primary_channel() -> Column:
     """Most frames; ties go to the channel seen first."""
     most = F.when(F.col("kind") == "channel", F.struct("n", -F.col("first_seq")))
     return F.max_by("value", most)
 
 
-def networks(facts: DataFrame) -> DataFrame:
-    """Networks with their sorted SSIDs.
-
-    SSIDs are decoded after the facts were deduplicated across the cluster; the list
-    of a network holds distinct names only. `network_ssids` is the flat form.
-    """
-    ssid = text.decode_ssid(_of_kind("ssid"))
+def network_measures(facts: DataFrame) -> DataFrame:
+    """Networks with their single values, aggregates of fixed size whatever the network."""
     return facts.groupBy(*NETWORK_KEYS).agg(
-        F.array_sort(F.collect_set(ssid)).alias("ssids"),
         _primary_channel().alias("channel"),
         _average_signal().alias("average_signal_dbm"),
         F.count(_of_kind("client")).alias("client_count"),
+        F.count(_of_kind("ssid")).alias("ssid_count"),
     )
 
 
-def network_measures(facts: DataFrame) -> DataFrame:
-    """Networks without the SSID list: fixed-size aggregates only."""
-    return facts.groupBy(*NETWORK_KEYS).agg(
-        F.count(_of_kind("ssid")).alias("ssid_facts"),
-        _average_signal().alias("average_signal_dbm"),
-        F.count(_of_kind("client")).alias("client_count"),
+def networks(measures: DataFrame, ssids: DataFrame) -> DataFrame:
+    """Networks with the sorted list of their SSIDs.
+
+    A list is built from at most MAX_LISTED_SSIDS names. The list of a network with
+    more names is null; `network_ssids` holds them all, one per row.
+    """
+    names = top_k(ssids, NETWORK_KEYS, [F.asc("ssid")], MAX_LISTED_SSIDS)
+    lists = names.groupBy(*NETWORK_KEYS).agg(F.sort_array(F.collect_list("ssid")).alias("listed"))
+    ssid_list = F.when(F.col("ssid_count") == 0, F.array().cast("array<string>")).when(
+        F.col("ssid_count") <= MAX_LISTED_SSIDS, F.col("listed")
+    )
+    return (
+        measures.join(lists, NETWORK_KEYS, "left")
+        .withColumn("ssids", ssid_list)
+        .drop("listed")
     )
 
 
 def network_ssids(radio: DataFrame) -> DataFrame:
-    """Distinct decoded SSIDs per network, flat."""
-    raw = (
+    """Distinct decoded SSIDs per network, one per row."""
+    return (
         radio.where(text.is_valid_mac(F.col("bssid")) & (F.col("ssid") != ""))
-        .select(*NETWORK_KEYS, "ssid")
+        .select(*NETWORK_KEYS, _decoded_ssid().alias("ssid"))
         .distinct()
     )
-    return raw.select(*NETWORK_KEYS, text.decode_ssid(F.col("ssid")).alias("ssid")).distinct()
 
 
 def channel_counts(radio: DataFrame) -> DataFrame:
@@ -145,6 +156,16 @@ def signal_average(radio: DataFrame) -> DataFrame:
     )
 
 
+def client_counts(facts: DataFrame) -> DataFrame:
+    """Packets per (capture, bssid, mac): the client facts."""
+    return facts.where(F.col("kind") == "client").select(
+        *NETWORK_KEYS,
+        F.col("value").alias("mac"),
+        F.col("n").alias("packet_count"),
+        F.col("first_seq").alias("first_order"),
+    )
+
+
 def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
     """The n strongest networks of every capture, ties by bssid."""
     top = top_k(
@@ -153,25 +174,37 @@ def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
         [F.desc("average_signal_dbm"), F.asc("bssid")],
         n,
     )
+    label = measures.ssid_text(F.col("ssids"), F.col("ssid_count"), fallback=F.col("bssid"))
     return top.select(
         "capture_id",
         "rank",
         "bssid",
-        measures.ssid_text(F.col("ssids"), fallback=F.col("bssid")).alias("label"),
+        label.alias("label"),
         "average_signal_dbm",
         measures.dbm_text(F.col("average_signal_dbm")).alias("value_text"),
         measures.signal_scale(F.col("average_signal_dbm")).alias("progress"),
     )
 
 
-def search_networks(networks: DataFrame, query: str) -> DataFrame:
-    """Networks whose displayed SSIDs or BSSID contain the text, in any case."""
+def search_networks(networks: DataFrame, ssids: DataFrame, query: str) -> DataFrame:
+    """Networks whose displayed SSIDs or BSSID contain the text, in any case.
+
+    A match can only span two SSIDs if the text has a comma. Any other text is looked
+    up name by name, which finds networks of any number of SSIDs.
+    """
     wanted = query.strip().lower()
     if not wanted:
         return networks
-    shown = measures.ssid_text(F.col("ssids"))
-    return networks.where(
-        F.lower(shown).contains(wanted) | F.lower("bssid").contains(wanted)
+    shown = measures.ssid_text(F.col("ssids"), F.col("ssid_count"))
+    found = F.lower(shown).contains(wanted) | F.lower("bssid").contains(wanted)
+    if "," in wanted:
+        return networks.where(found)
+    names = ssids.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
+    named = names.withColumn("_named", F.lit(True))
+    return (
+        networks.join(named, NETWORK_KEYS, "left")
+        .where(F.col("_named") | ((F.col("ssid_count") == 0) & found) | F.lower("bssid").contains(wanted))
+        .drop("_named")
     )
 
 

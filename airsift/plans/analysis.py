@@ -33,25 +33,31 @@ class Analysis:
         links: DataFrame | None = None,
         radio: DataFrame | None = None,
         eapol: DataFrame | None = None,
+        facts: DataFrame | None = None,
     ):
         self.frames = frames
         self.oui = oui
         self.busy_from = busy_from
         self.links = R.frame_links(frames) if links is None else links
         self.radio = R.frame_radio(frames) if radio is None else radio
+        self._facts = facts
         self.eapol_packets = H.eapol_packets(frames) if eapol is None else eapol
 
     def materialize(self, folder: str | None = None) -> Analysis:
-        """Write the two rollups and the EAPOL packets, three scans of the frames that
-        each read only their columns. Nothing after this reads the frames again."""
+        """Write the two rollups, the EAPOL packets and the network facts: three scans
+        of the frames that each read only their columns. Nothing after this reads the
+        frames again."""
         folder = folder or new_work_folder(self.frames.sparkSession)
+        links = written(R.rollup_links(self.frames), f"{folder}/links")
+        radio = written(R.rollup_radio(self.frames), f"{folder}/radio")
         return Analysis(
             self.frames,
             self.oui,
             self.busy_from,
-            links=written(R.rollup_links(self.frames), f"{folder}/links"),
-            radio=written(R.rollup_radio(self.frames), f"{folder}/radio"),
+            links=links,
+            radio=radio,
             eapol=written(self.eapol_packets, f"{folder}/eapol"),
+            facts=written(N.network_facts(radio, links), f"{folder}/facts"),
         )
 
     @cached_property
@@ -72,6 +78,8 @@ class Analysis:
 
     @cached_property
     def client_counts(self) -> DataFrame:
+        if self._facts is not None:
+            return N.client_counts(self._facts)
         return C.client_counts(self.links)
 
     @cached_property
@@ -80,12 +88,10 @@ class Analysis:
 
     @cached_property
     def network_facts(self) -> DataFrame:
+        if self._facts is not None:
+            return self._facts
         return N.network_facts(self.radio, self.links)
 
-    @cached_property
-    def networks(self) -> DataFrame:
-        return N.networks(self.network_facts)
-
     @cached_property
     def network_measures(self) -> DataFrame:
         return N.network_measures(self.network_facts)
@@ -94,6 +100,10 @@ class Analysis:
     def network_ssids(self) -> DataFrame:
         return N.network_ssids(self.radio)
 
+    @cached_property
+    def networks(self) -> DataFrame:
+        return N.networks(self.network_measures, self.network_ssids)
+
     @cached_property
     def handshake_candidates(self) -> DataFrame:
         return H.handshake_candidates(self.eapol_packets)

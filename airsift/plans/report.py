@@ -45,16 +45,21 @@ def _per_capture(df: DataFrame, name: str, order: list[Column], fields: list[str
     return df.groupBy(_KEY).agg(_ordered_list(order, fields).alias(name))
 
 
-def nested_networks(networks: DataFrame, clients: DataFrame) -> DataFrame:
-    """Networks with their clients as an ordered list."""
+def nested_networks(measures: DataFrame, ssids: DataFrame, clients: DataFrame) -> DataFrame:
+    """Networks with their SSIDs and clients as ordered lists."""
     order = [-F.col("packet_count"), F.col("first_order"), F.col("mac")]
-    lists = clients.groupBy(_KEY, "bssid").agg(_ordered_list(order, CLIENT_DETAIL).alias("clients"))
-    joined = networks.join(lists, [_KEY, "bssid"], "left")
-    empty = F.array().cast(lists.schema["clients"].dataType)
-    return joined.select(
-        _KEY,
-        *[F.coalesce("clients", empty).alias(c) if c == "clients" else F.col(c) for c in _NETWORK],
-    )
+    keys = [_KEY, "bssid"]
+    lists = {
+        "ssids": ssids.groupBy(*keys).agg(F.sort_array(F.collect_list("ssid")).alias("ssids")),
+        "clients": clients.groupBy(*keys).agg(
+            _ordered_list(order, CLIENT_DETAIL).alias("clients")
+        ),
+    }
+    nested = measures
+    for name, table in lists.items():
+        empty = F.array().cast(table.schema[name].dataType)
+        nested = nested.join(table, keys, "left").withColumn(name, F.coalesce(name, empty))
+    return nested.select(_KEY, *_NETWORK)
 
 
 def report_documents(
@@ -74,7 +79,9 @@ def report_documents(
     subtype_entries = _ordered_list(
         [-F.col("packet_count"), F.col("first_seq")], ["subtype", "packet_count"]
     )
-    networks = nested_networks(small(analysis.networks), small(analysis.clients))
+    networks = nested_networks(
+        small(analysis.network_measures), small(analysis.network_ssids), small(analysis.clients)
+    )
     rank = [F.col("rank")]
     pieces = [
         _per_capture(networks, "networks", [F.col("bssid")], _NETWORK),
@@ -115,10 +122,11 @@ def report_sections(
     """The same report as flat tables, for the captures with more than `max_rows` list
     rows. Rows carry the columns their lists are ordered by."""
     large = report_rows(analysis).where(F.col("report_rows") > max_rows).select(_KEY)
-    return {
-        name: table.join(large, _KEY, "left_semi")
-        for name, table in analysis.tables().items()
+    tables = analysis.tables() | {
+        "networks": analysis.network_measures,
+        "network_ssids": analysis.network_ssids,
     }
+    return {name: table.join(large, _KEY, "left_semi") for name, table in tables.items()}
 
 
 def envelope(

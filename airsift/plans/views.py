@@ -31,7 +31,7 @@ def network_table(networks: DataFrame, surface: str = "table") -> DataFrame:
     return networks.select(
         "capture_id",
         "bssid",
-        measures.ssid_text(F.col("ssids"), surface).alias("ssid_text"),
+        measures.ssid_text(F.col("ssids"), F.col("ssid_count"), surface).alias("ssid_text"),
         measures.channel_text(F.col("channel"), surface).alias("channel_text"),
         measures.signal_text(F.col("average_signal_dbm"), surface).alias("signal_text"),
         "client_count",
@@ -99,7 +99,7 @@ def network_details(
     return verdicts.join(totals, "capture_id").select(
         "capture_id",
         "bssid",
-        measures.ssid_text(F.col("ssids")).alias("ssid_text"),
+        measures.ssid_text(F.col("ssids"), F.col("ssid_count")).alias("ssid_text"),
         measures.channel_text(F.col("channel")).alias("channel_text"),
         measures.signal_text(F.col("average_signal_dbm")).alias("signal_text"),
         "client_count",

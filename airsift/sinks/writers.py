@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
+from airsift.functions import measures
 from airsift.plans import report as R
 from airsift.plans.analysis import Analysis
 from airsift.sinks.html import write_html_report
 from airsift.sinks.paths import next_free_path
 
 def _joined_ssids() -> Column:
-    return F.array_join("ssids", " | ")
+    return measures.joined_ssids(F.col("ssids"), F.col("ssid_count"), " | ")
 
 
 def networks_csv(networks: DataFrame) -> DataFrame:

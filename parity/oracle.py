@@ -383,6 +383,9 @@ SELECT capture_id, bssid, channel, ssid, sub, count(*) AS n, min(seq) AS first_s
   count(*) FILTER (eapol <> '') AS eapol_n
 FROM norm GROUP BY ALL""",
         "networks_from_rollups": f"SELECT {network_columns} FROM table_view",
+        "clients_from_rollups": "SELECT * FROM clients",
+        "findings_from_rollups": (default_findings, "SELECT * FROM findings"),
+        "summary_from_rollups": "SELECT * FROM summary",
         "packet_totals": "SELECT * FROM totals",
         "source_counts": "SELECT * FROM sources",
         "destination_counts": "SELECT * FROM destinations",
@@ -402,11 +405,14 @@ LEFT JOIN subtype_names ON code = c GROUP BY capture_id, c""",
         "network_channel_mode": "SELECT * FROM modes",
         "network_signal": "SELECT * FROM signals",
         "network_measures": """
-SELECT capture_id, bssid, average_signal_dbm, client_count,
-  (len(ssids) > 0)::INT AS has_ssid FROM networks""",
+SELECT capture_id, bssid, channel, average_signal_dbm, client_count,
+  len(ssids) AS ssid_count FROM networks""",
         "network_search": f"""
 SELECT {network_columns} FROM table_view
 WHERE contains(lower(ssid_text), 'ap-1') OR contains(lower(bssid), 'ap-1')""",
+        "network_search_hidden": f"SELECT {network_columns} FROM table_view WHERE len(ssids) = 0",
+        "network_search_comma": f"""
+SELECT {network_columns} FROM table_view WHERE contains(lower(ssid_text), 'net0, net1')""",
         "network_search_blank": f"SELECT {network_columns} FROM table_view",
         "client_endpoints": """
 SELECT capture_id, bssid, mac, 2 * seq + side AS first_order,
@@ -510,13 +516,12 @@ SELECT capture_id, array_to_string(ssids, ' | ') AS "SSID", bssid AS "BSSID",
 SELECT capture_id, bssid AS "BSSID", array_to_string(ssids, ' | ') AS "SSID",
   mac AS "Istemci_MAC", packet_count AS "Paket_Sayisi", first_order
 FROM clients JOIN networks USING (capture_id, bssid)""",
-        # Raw SSIDs, before decoding, count for the size of a report.
         "report_rows": """
 SELECT capture_id, count(*) AS report_rows FROM (
   SELECT capture_id FROM eapol UNION ALL SELECT capture_id FROM candidates
   UNION ALL SELECT capture_id FROM subtypes UNION ALL SELECT capture_id FROM clients
-  UNION ALL SELECT capture_id FROM channels UNION ALL SELECT capture_id FROM (
-    SELECT DISTINCT capture_id, bssid, ssid FROM named WHERE ssid <> '')) GROUP BY ALL""",
+  UNION ALL SELECT capture_id FROM channels UNION ALL SELECT capture_id FROM ssids)
+GROUP BY ALL""",
         "json_report": (default_findings, _report_json()),
         "report_envelope": """
 SELECT capture_id, 'airsift' AS product, 'Wi-Fi Forensics' AS module,

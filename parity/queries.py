@@ -41,9 +41,15 @@ def analysis(spark: SparkSession, sf_dir: str, **options) -> Analysis:
 
 
 def over(fn: Callable[[Analysis], DataFrame], **options):
+    """A query straight over the frames."""
     return lambda spark, sf_dir: fn(analysis(spark, sf_dir, **options))
 
 
+def stored(fn: Callable[[Analysis], DataFrame], **options):
+    """A query of many parts, over rollups written once."""
+    return lambda spark, sf_dir: fn(analysis(spark, sf_dir, **options).materialize())
+
+
 def frame_checks(a: Analysis) -> DataFrame:
     checks = {}
     for c in ("src", "dst", "bssid"):
@@ -75,7 +81,11 @@ def client_endpoints(a: Analysis) -> DataFrame:
 
 
 def flat_networks(networks: DataFrame) -> DataFrame:
-    return networks.withColumn("ssids", F.array_join("ssids", ", "))
+    return networks.withColumn("ssids", F.array_join("ssids", ", ")).drop("ssid_count")
+
+
+def search(a: Analysis, query: str) -> DataFrame:
+    return flat_networks(N.search_networks(a.networks, a.network_ssids, query))
 
 
 def link_rollup(a: Analysis) -> DataFrame:
@@ -86,11 +96,6 @@ def radio_rollup(a: Analysis) -> DataFrame:
     return R.rollup_radio(a.frames)
 
 
-def multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship over written rollups instead of the frames."""
-    return flat_networks(analysis(spark, sf_dir).materialize().networks)
-
-
 def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames exported as tab-separated text and read back."""
     folder = new_work_folder(spark)
@@ -143,7 +148,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # rollups
         "link_rollup": over(link_rollup),
         "radio_rollup": over(radio_rollup),
-        "networks_from_rollups": multi_step,
+        "networks_from_rollups": stored(lambda a: flat_networks(a.networks)),
+        "clients_from_rollups": stored(lambda a: a.clients),
+        "findings_from_rollups": stored(lambda a: a.findings),
+        "summary_from_rollups": stored(lambda a: a.summary),
         # totals and distributions
         "packet_totals": over(lambda a: a.packet_totals),
         "source_counts": over(lambda a: T.talkers(a.links, "src")),
@@ -159,13 +167,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "network_channel_counts": over(lambda a: N.channel_counts(a.radio)),
         "network_channel_mode": over(lambda a: N.channel_mode(a.radio)),
         "network_signal": over(lambda a: N.signal_average(a.radio)),
-        "network_measures": over(
-            lambda a: a.network_measures.withColumn(
-                "has_ssid", (F.col("ssid_facts") > 0).cast("int")
-            ).drop("ssid_facts")
-        ),
-        "network_search": over(lambda a: flat_networks(N.search_networks(a.networks, " aP-1 "))),
-        "network_search_blank": over(lambda a: flat_networks(N.search_networks(a.networks, "  "))),
+        "network_measures": over(lambda a: a.network_measures),
+        "network_search": over(lambda a: search(a, " aP-1 ")),
+        "network_search_hidden": over(lambda a: search(a, "gizli")),
+        "network_search_comma": over(lambda a: search(a, "net0, Net1")),
+        "network_search_blank": over(lambda a: search(a, "  ")),
         # clients
         "client_endpoints": over(client_endpoints),
         "clients": over(lambda a: a.clients),
@@ -223,6 +229,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "networks_csv": over(lambda a: W.networks_csv(a.networks)),
         "clients_csv": over(lambda a: W.clients_csv(a.clients, a.networks)),
         "report_rows": over(J.report_rows),
-        "json_report": over(json_report),
-        "report_envelope": over(report_envelope),
+        "json_report": stored(json_report),
+        "report_envelope": stored(report_envelope),
     }
