@@ -1,111 +1,108 @@
-"""Numeric and display projections over aggregated rows."""
+"""Numeric and display expressions over aggregated rows, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from airsift import labels as L
+from airsift.functions.text import literal
 
 
-def mean_2dp(total: Column, n: Column) -> Column:
+def mean_2dp(total: str, n: str) -> str:
     """`total / n` rounded to two decimals; null if there is nothing to average.
 
     The exact binary quotient is rounded, half to even, as IEEE tools do.
     `format_number` does so; `round` and `bround` go through the shortest decimal text
     and miss some three-decimal ties.
     """
-    mean = total.cast("double") / F.when(n > 0, n)
-    return F.translate(F.format_number(mean, 2), ",", "").cast("double")
+    mean = f"CAST({total} AS DOUBLE) / nullif({n}, 0)"
+    return f"CAST(translate(format_number({mean}, 2), ',', '') AS DOUBLE)"
 
 
-def activity_level(packets: Column) -> Column:
+def activity_level(packets: str) -> str:
     return (
-        F.when(packets >= L.ACTIVITY_HIGH_FROM, F.lit(L.ACTIVITY_HIGH))
-        .when(packets >= L.ACTIVITY_MEDIUM_FROM, F.lit(L.ACTIVITY_MEDIUM))
-        .otherwise(F.lit(L.ACTIVITY_LOW))
+        f"CASE WHEN {packets} >= {L.ACTIVITY_HIGH_FROM} THEN {literal(L.ACTIVITY_HIGH)} "
+        f"WHEN {packets} >= {L.ACTIVITY_MEDIUM_FROM} THEN {literal(L.ACTIVITY_MEDIUM)} "
+        f"ELSE {literal(L.ACTIVITY_LOW)} END"
     )
 
 
-def seen_time(ts: Column) -> Column:
+def seen_time(ts: str) -> str:
     """Epoch seconds as HH:MM:SS in the session time zone, a dash if there are none."""
-    micros = F.rint(ts * 1e6).try_cast("bigint")
-    return F.coalesce(F.date_format(F.timestamp_micros(micros), "HH:mm:ss"), F.lit(L.NO_VALUE))
+    instant = f"timestamp_micros(try_cast(rint({ts} * 1e6D) AS BIGINT))"
+    return f"coalesce(date_format({instant}, 'HH:mm:ss'), {literal(L.NO_VALUE)})"
 
 
-def handshake_status(packets: Column) -> Column:
-    return F.when(packets >= L.HANDSHAKE_STRONG_FROM, F.lit(L.HANDSHAKE_STRONG)).otherwise(
-        F.lit(L.HANDSHAKE_PARTIAL)
+def handshake_status(packets: str) -> str:
+    return (
+        f"CASE WHEN {packets} >= {L.HANDSHAKE_STRONG_FROM} "
+        f"THEN {literal(L.HANDSHAKE_STRONG)} ELSE {literal(L.HANDSHAKE_PARTIAL)} END"
     )
 
 
-def handshake_status_text(status: Column) -> Column:
-    return F.when(
-        status == L.HANDSHAKE_STRONG, F.lit(L.HANDSHAKE_STATUS_TEXT[L.HANDSHAKE_STRONG])
-    ).otherwise(F.lit(L.HANDSHAKE_STATUS_TEXT[L.HANDSHAKE_PARTIAL]))
+def handshake_status_text(status: str) -> str:
+    strong, partial = (
+        literal(L.HANDSHAKE_STATUS_TEXT[s]) for s in (L.HANDSHAKE_STRONG, L.HANDSHAKE_PARTIAL)
+    )
+    return f"CASE WHEN {status} = {literal(L.HANDSHAKE_STRONG)} THEN {strong} ELSE {partial} END"
 
 
-def handshake_verdict(strong: Column, partial: Column) -> Column:
+def handshake_verdict(strong: str, partial: str) -> str:
     return (
-        F.when(strong > 0, F.format_string(L.VERDICT_STRONG, strong))
-        .when(partial > 0, F.format_string(L.VERDICT_PARTIAL, partial))
-        .otherwise(F.lit(L.VERDICT_NONE))
+        f"CASE WHEN {strong} > 0 THEN format_string({literal(L.VERDICT_STRONG)}, {strong}) "
+        f"WHEN {partial} > 0 THEN format_string({literal(L.VERDICT_PARTIAL)}, {partial}) "
+        f"ELSE {literal(L.VERDICT_NONE)} END"
     )
 
 
-def joined_ssids(ssids: Column, count: Column, separator: str = ", ") -> Column:
+def joined_ssids(ssids: str, count: str, separator: str = ", ") -> str:
     """SSIDs as one text; their number where they are too many for a list."""
-    return F.coalesce(F.array_join(ssids, separator), F.format_string("%d SSID", count))
+    return f"coalesce(array_join({ssids}, '{separator}'), format_string('%d SSID', {count}))"
 
 
 def ssid_text(
-    ssids: Column, count: Column, surface: str = "table", fallback: Column | None = None
-) -> Column:
-    """SSIDs for display; `surface` picks the text for a network without any."""
-    if fallback is None:
-        fallback = F.lit(L.SSID_FALLBACK[surface])
-    return F.when(count > 0, joined_ssids(ssids, count)).otherwise(fallback)
+    ssids: str, count: str, surface: str = "table", fallback: str | None = None
+) -> str:
+    """SSIDs for display; `surface` picks the text for a network without any, unless
+    `fallback` names a column for it."""
+    other = fallback or literal(L.SSID_FALLBACK[surface])
+    return f"CASE WHEN {count} > 0 THEN {joined_ssids(ssids, count)} ELSE {other} END"
 
 
-def channel_text(channel: Column, surface: str = "table") -> Column:
-    return F.coalesce(channel, F.lit(L.VALUE_FALLBACK[surface]))
+def channel_text(channel: str, surface: str = "table") -> str:
+    return f"coalesce({channel}, {literal(L.VALUE_FALLBACK[surface])})"
 
 
-def signal_text(signal: Column, surface: str = "table") -> Column:
-    text = F.concat(signal.cast("string"), F.lit(" dBm"))
-    return F.coalesce(text, F.lit(L.VALUE_FALLBACK[surface]))
+def signal_text(signal: str, surface: str = "table") -> str:
+    shown = f"concat(CAST({signal} AS STRING), ' dBm')"
+    return f"coalesce({shown}, {literal(L.VALUE_FALLBACK[surface])})"
 
 
-def grouped_number(n: Column) -> Column:
+def grouped_number(n: str) -> str:
     """Whole number with thousands separators."""
-    return F.format_number(n, 0)
-
-
-def dbm_text(signal: Column) -> Column:
-    return F.concat(F.translate(F.format_number(signal, 1), ",", ""), F.lit(" dBm"))
+    return f"format_number({n}, 0)"
 
 
-def _percent(x: Column) -> Column:
-    return F.least(F.greatest(x.cast("int"), F.lit(0)), F.lit(100))
+def dbm_text(signal: str) -> str:
+    return f"concat(translate(format_number({signal}, 1), ',', ''), ' dBm')"
 
 
-def share_of_max(n: Column, largest: Column) -> Column:
+def share_of_max(n: str, largest: str) -> str:
     """Whole percent of the largest value, 0 to 100."""
-    return F.when(largest > 0, _percent(n / largest * 100)).otherwise(F.lit(0))
+    percent = f"least(greatest(CAST({n} / {largest} * 100 AS INT), 0), 100)"
+    return f"CASE WHEN {largest} > 0 THEN {percent} ELSE 0 END"
 
 
-def signal_scale(signal: Column) -> Column:
+def signal_scale(signal: str) -> str:
     """-100 dBm to -30 dBm as 0 to 100."""
-    return F.least(F.greatest((signal + 100) / 70 * 100, F.lit(0.0)), F.lit(100.0)).cast("int")
+    return f"CAST(least(greatest(({signal} + 100) / 70 * 100, 0D), 100D) AS INT)"
 
 
-def severity_label(label: Column) -> Column:
-    return F.coalesce(label, F.lit(L.SEVERITY_DEFAULT_LABEL))
+def severity_label(label: str) -> str:
+    return f"coalesce({label}, {literal(L.SEVERITY_DEFAULT_LABEL)})"
 
 
-def category_label(category: Column) -> Column:
-    return F.upper(F.coalesce(category, F.lit(L.CATEGORY_DEFAULT)))
+def category_label(category: str) -> str:
+    return f"upper(coalesce({category}, {literal(L.CATEGORY_DEFAULT)}))"
 
 
-def remaining(n: Column, shown: int) -> Column:
-    return F.greatest(n - F.lit(shown), F.lit(0))
+def remaining(n: str, shown: int) -> str:
+    return f"greatest({n} - {shown}, 0L)"

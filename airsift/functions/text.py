@@ -1,111 +1,119 @@
-"""Text projections: first value, MAC addresses, SSIDs, numbers.
+"""Text expressions: first value, MAC addresses, SSIDs, numbers.
 
-All are built-in expressions, so they stay inside whole-stage code generation.
+Each function takes SQL text, mostly a column name, and returns SQL text for
+`selectExpr` or `expr`. All are built-in functions, so they stay inside whole-stage
+code generation; as text a whole projection is one call to the session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from airsift import labels as L
 
-# Unicode white space as stripped by the exporters' consumers. `\s` misses the
-# file/group/record/unit separators, hence the explicit list. Fixed values.
+# Unicode white space as stripped by the exporters' consumers. Fixed values.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+_WHITESPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 
 MAC_PATTERN = r"^[0-9a-f]{2}(?::[0-9a-f]{2}){5}$"
-NUMBER_PATTERN = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# Decimal text. The lengths keep every match within the range of a DOUBLE.
+NUMBER_PATTERN = (
+    r"^[+-]?(?:[0-9]{1,200}(?:\.[0-9]*)?|\.[0-9]+)(?:[eE](?:\+?[0-9]{1,2}|-[0-9]{1,9}))?$"
+)
+INTEGER_PATTERN = r"^-?[0-9]{1,9}$"
 HEX_PAIRS_PATTERN = r"^(?:[ \t\n\x0b\f\r]*[0-9a-fA-F]{2})+[ \t\n\x0b\f\r]*$"
 # One or more printable characters: no control, format, surrogate, private-use or
 # unassigned ones, and no separator other than the plain space.
 PRINTABLE_PATTERN = r"^(?:[^\p{C}\p{Z}]| )+$"
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(c: str, pattern: str) -> str:
+    return f"({c} RLIKE r'{pattern}')"
+
+
+def strip(c: str) -> str:
+    return f"btrim({c}, '{_WHITESPACE_SQL}')"
 
 
-def first_value(c: Column) -> Column:
+def first_value(c: str) -> str:
     """Text before the first comma, stripped; '' for null or empty."""
-    return strip(F.substring_index(F.coalesce(c, F.lit("")), ",", 1))
+    return strip(f"substring_index(coalesce({c}, ''), ',', 1)")
 
 
-def normalize_mac(c: Column) -> Column:
-    return F.lower(strip(c))
+def normalize_mac(c: str) -> str:
+    """First value in lower case."""
+    return f"lower({first_value(c)})"
 
 
-def is_valid_mac(c: Column) -> Column:
+def is_valid_mac(c: str) -> str:
     """Six colon-separated hex pairs; takes text already normalised to lower case."""
-    return c.rlike(MAC_PATTERN)
+    return matches(c, MAC_PATTERN)
 
 
-def is_ignored_mac(c: Column) -> Column:
+def is_ignored_mac(c: str) -> str:
     """Empty, broadcast, and IPv4/IPv6 multicast addresses."""
-    ignored = (c == "") | (c == L.BROADCAST_MAC)
-    for prefix in L.MULTICAST_PREFIXES:
-        ignored = ignored | c.startswith(prefix)
-    return ignored
+    tests = [f"{c} = ''", f"{c} = {literal(L.BROADCAST_MAC)}"]
+    tests += [f"startswith({c}, {literal(prefix)})" for prefix in L.MULTICAST_PREFIXES]
+    return f"({' OR '.join(tests)})"
 
 
-def parse_double(c: Column) -> Column:
+def parse_double(c: str) -> str:
     """Decimal text to DOUBLE. Null for everything else, `1d`, NaN and infinity included."""
-    number = F.when(c.rlike(NUMBER_PATTERN), c).try_cast("double")
-    return F.when(F.abs(number) < float("inf"), number)
+    return f"try_cast(CASE WHEN {matches(c, NUMBER_PATTERN)} THEN {c} END AS DOUBLE)"
 
 
-def parse_signal(c: Column) -> Column:
+def parse_signal(c: str) -> str:
     """dBm as INT, truncated toward zero; null if not a number."""
-    return parse_double(first_value(c)).try_cast("int")
+    whole = f"try_cast(CASE WHEN {matches(c, INTEGER_PATTERN)} THEN {c} END AS INT)"
+    return f"coalesce({whole}, try_cast({parse_double(first_value(c))} AS INT))"
 
 
-def decode_ssid(c: Column) -> Column:
+def decode_ssid(c: str) -> str:
     """Undo hexadecimal SSIDs: an even number of characters made of hex pairs that
     are printable UTF-8 is decoded, all other text stays as it is."""
     text = strip(c)
-    is_hex = (F.length(text) % 2 == 0) & text.rlike(HEX_PAIRS_PATTERN)
-    packed = F.regexp_replace(F.when(is_hex, text), r"[ \t\n\x0b\f\r]", "")
-    decoded = F.try_validate_utf8(F.unhex(packed).cast("string"))
+    is_hex = f"length({text}) % 2 = 0 AND {matches(text, HEX_PAIRS_PATTERN)}"
+    packed = rf"regexp_replace(CASE WHEN {is_hex} THEN {text} END, r'[ \t\n\x0b\f\r]', '')"
+    decoded = f"try_validate_utf8(CAST(unhex({packed}) AS STRING))"
     return (
-        F.when(text == "", F.lit(L.HIDDEN_SSID))
-        .when(decoded.rlike(PRINTABLE_PATTERN), decoded)
-        .otherwise(text)
+        f"CASE WHEN {text} = '' THEN {literal(L.HIDDEN_SSID)} "
+        f"WHEN {matches(decoded, PRINTABLE_PATTERN)} THEN {decoded} ELSE {text} END"
     )
 
 
-def normalize_oui(c: Column) -> Column:
+def normalize_oui(c: str) -> str:
     """First three octets as `XX:XX:XX`; '' if there are fewer than three parts."""
-    parts = F.split(F.translate(F.upper(strip(c)), "-", ":"), ":")
-    oui = F.array_join(F.slice(parts, 1, 3), ":")
-    return F.when(F.size(parts) >= 3, oui).otherwise(F.lit(""))
+    parts = f"split(translate(upper({strip(c)}), '-', ':'), ':')"
+    return f"CASE WHEN size({parts}) >= 3 THEN array_join(slice({parts}, 1, 3), ':') ELSE '' END"
 
 
-def is_locally_administered(c: Column) -> Column:
+def is_locally_administered(c: str) -> str:
     """Bit 0x02 of the first octet; false if the octet is no hex number."""
-    octet = F.substring_index(F.translate(c, "-", ":"), ":", 1)
-    hex_octet = F.when(octet.rlike("^[0-9a-fA-F]{1,15}$"), octet)
-    value = F.conv(hex_octet, 16, 10).cast("bigint")
-    return F.coalesce(value.bitwiseAND(F.lit(2)) != 0, F.lit(False))
+    octet = f"substring_index(translate({c}, '-', ':'), ':', 1)"
+    hex_octet = f"CASE WHEN {matches(octet, '^[0-9a-fA-F]{1,15}$')} THEN {octet} END"
+    return f"coalesce(CAST(conv({hex_octet}, 16, 10) AS BIGINT) & 2 <> 0, false)"
 
 
-def vendor_label(mac: Column, vendor: Column) -> Column:
+def vendor_label(mac: str, vendor: str) -> str:
     """Vendor text from the looked-up name; the local bit is checked first."""
+    unknown = literal(L.VENDOR_UNKNOWN)
     return (
-        F.when(mac == "", F.lit(L.VENDOR_UNKNOWN))
-        .when(is_locally_administered(mac), F.lit(L.VENDOR_RANDOMIZED))
-        .otherwise(F.coalesce(vendor, F.lit(L.VENDOR_UNKNOWN)))
+        f"CASE WHEN {mac} = '' THEN {unknown} WHEN {is_locally_administered(mac)} "
+        f"THEN {literal(L.VENDOR_RANDOMIZED)} ELSE coalesce({vendor}, {unknown}) END"
     )
 
 
-def subtype_label(code: Column, name: Column) -> Column:
-    return F.coalesce(name, F.concat(F.lit(L.SUBTYPE_PREFIX), code))
+def subtype_label(code: str, name: str) -> str:
+    return f"coalesce({name}, concat({literal(L.SUBTYPE_PREFIX)}, {code}))"
 
 
-def decimal_subtype(code: Column) -> Column:
+def decimal_subtype(code: str) -> str:
     """Opt-in: `0x000c` to `12`, so that hexadecimal exports meet the subtype names."""
-    digits = F.regexp_extract(code, "^0[xX]([0-9a-fA-F]{1,8})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10)).otherwise(code)
+    is_hex = matches(code, "^0[xX][0-9a-fA-F]{1,8}$")
+    return f"CASE WHEN {is_hex} THEN conv(substring({code}, 3), 16, 10) ELSE {code} END"

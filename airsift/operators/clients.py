@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airsift import labels as L
 from airsift.functions import measures, text
 from airsift.operators.ranking import WINDOW_LIMIT, exact_rank, top_k
-from airsift.operators.rollups import time_bounds
+from airsift.operators.rollups import TIME_BOUNDS, aggregates
 from airsift.sources.dimensions import with_oui_vendor
 
 CLIENT_KEYS = ["capture_id", "bssid", "mac"]
@@ -25,23 +25,19 @@ def endpoints(links: DataFrame) -> DataFrame:
     A link whose ends are equal gives two rows, each both sender and receiver.
     `first_order` orders endpoints by packet, the source before the destination.
     """
-    sides = F.array(
-        F.struct(F.col("src").alias("mac"), F.lit(0).alias("side")),
-        F.struct(F.col("dst").alias("mac"), F.lit(1).alias("side")),
-    )
-    mac = F.col("end.mac")
+    sides = "inline(array(struct(src AS mac, 0 AS side), struct(dst AS mac, 1 AS side)))"
     return (
-        links.where(text.is_valid_mac(F.col("bssid")))
-        .withColumn("end", F.explode(sides))
-        .where(text.is_valid_mac(mac) & (mac != F.col("bssid")) & ~text.is_ignored_mac(mac))
-        .select(
+        links.where("bssid <> ''")
+        .selectExpr("*", sides)
+        .where(f"mac <> bssid AND NOT {text.is_ignored_mac('mac')}")
+        .selectExpr(
             "capture_id",
             "bssid",
-            mac.alias("mac"),
+            "mac",
             "n",
-            F.when(mac == F.col("src"), F.col("n")).otherwise(0).alias("sent"),
-            F.when(mac == F.col("dst"), F.col("n")).otherwise(0).alias("received"),
-            (F.col("first_seq") * 2 + F.col("end.side")).alias("first_order"),
+            "CASE WHEN mac = src THEN n ELSE 0L END AS sent",
+            "CASE WHEN mac = dst THEN n ELSE 0L END AS received",
+            "first_seq * 2 + side AS first_order",
             "first_ts_seq",
             "first_ts",
             "last_ts_seq",
@@ -52,11 +48,8 @@ def endpoints(links: DataFrame) -> DataFrame:
 
 def client_counts(links: DataFrame) -> DataFrame:
     """Packets per (capture, bssid, mac), without times."""
-    return (
-        endpoints(links)
-        .groupBy(*CLIENT_KEYS)
-        .agg(F.sum("n").alias("packet_count"), F.min("first_order").alias("first_order"))
-    )
+    counts = aggregates("sum(n) AS packet_count", "min(first_order) AS first_order")
+    return endpoints(links).groupBy(*CLIENT_KEYS).agg(*counts)
 
 
 def clients(links: DataFrame, oui: DataFrame | None = None) -> DataFrame:
@@ -64,26 +57,23 @@ def clients(links: DataFrame, oui: DataFrame | None = None) -> DataFrame:
 
     The vendor is looked up after the aggregation, once per client.
     """
-    counted = (
-        endpoints(links)
-        .groupBy(*CLIENT_KEYS)
-        .agg(
-            F.sum("n").alias("packet_count"),
-            F.sum("sent").alias("sent_packets"),
-            F.sum("received").alias("received_packets"),
-            F.min("first_order").alias("first_order"),
-            *time_bounds(),
-        )
+    sums = aggregates(
+        "sum(n) AS packet_count",
+        "sum(sent) AS sent_packets",
+        "sum(received) AS received_packets",
+        "min(first_order) AS first_order",
+        *TIME_BOUNDS,
     )
-    return with_oui_vendor(counted, "mac", oui).select(
+    counted = endpoints(links).groupBy(*CLIENT_KEYS).agg(*sums)
+    return with_oui_vendor(counted, "mac", oui).selectExpr(
         *CLIENT_KEYS,
-        text.vendor_label(F.col("mac"), F.col("oui_vendor")).alias("vendor"),
+        f"{text.vendor_label('mac', 'oui_vendor')} AS vendor",
         "packet_count",
         "sent_packets",
         "received_packets",
-        measures.seen_time(F.col("first_ts")).alias("first_seen"),
-        measures.seen_time(F.col("last_ts")).alias("last_seen"),
-        measures.activity_level(F.col("packet_count")).alias("activity_level"),
+        f"{measures.seen_time('first_ts')} AS first_seen",
+        f"{measures.seen_time('last_ts')} AS last_seen",
+        f"{measures.activity_level('packet_count')} AS activity_level",
         "first_order",
     )
 
@@ -103,10 +93,11 @@ def top_clients(clients: DataFrame, n: int) -> DataFrame:
 def client_totals(counts: DataFrame) -> DataFrame:
     """Packets per (capture, mac) over all networks, and where the client comes first:
     the lowest bssid and, there, its place among the clients."""
-    return counts.groupBy("capture_id", "mac").agg(
-        F.sum("packet_count").alias("packet_count"),
-        F.min(F.struct("bssid", -F.col("packet_count"), "first_order")).alias("place"),
+    totals = aggregates(
+        "sum(packet_count) AS packet_count",
+        "min(struct(bssid, -packet_count AS fewer, first_order)) AS place",
     )
+    return counts.groupBy("capture_id", "mac").agg(*totals)
 
 
 def distinct_client_count(counts: DataFrame) -> DataFrame:
@@ -116,30 +107,34 @@ def distinct_client_count(counts: DataFrame) -> DataFrame:
 
 
 def active_client_chart(counts: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
-    top = top_k(
-        client_totals(counts), ["capture_id"], [F.desc("packet_count"), F.asc("place")], n
-    )
+    order = [F.desc("packet_count"), F.asc("place")]
+    top = top_k(client_totals(counts), ["capture_id"], order, n)
     largest = F.max("packet_count").over(Window.partitionBy("capture_id"))
-    return top.select(
+    return top.withColumn("largest", largest).selectExpr(
         "capture_id",
         "rank",
         "mac",
         "packet_count",
-        measures.grouped_number(F.col("packet_count")).alias("value_text"),
-        measures.share_of_max(F.col("packet_count"), largest).alias("progress"),
+        f"{measures.grouped_number('packet_count')} AS value_text",
+        f"{measures.share_of_max('packet_count', 'largest')} AS progress",
     )
 
 
 def busiest_clients(counts: DataFrame, threshold: int = L.BUSY_CLIENT_FROM) -> DataFrame:
     """Per capture: how many client rows reach the threshold, and the first of the
     busiest ones (by bssid, then by place in the network)."""
-    order = F.struct(-F.col("packet_count"), F.col("bssid"), F.col("first_order"))
-    return (
-        counts.where(F.col("packet_count") >= threshold)
-        .groupBy("capture_id")
-        .agg(
-            F.count("*").alias("busy_clients"),
-            F.min_by("mac", order).alias("busiest_mac"),
-            F.max("packet_count").alias("busiest_packets"),
-        )
+    facts = aggregates(
+        "count(*) AS busy_clients",
+        "min_by(mac, struct(-packet_count AS fewer, bssid, first_order)) AS busiest_mac",
+        "max(packet_count) AS busiest_packets",
     )
+    busy = counts.where(F.col("packet_count") >= threshold)
+    return busy.groupBy("capture_id").agg(*facts)
+
+
+def search_clients(clients: DataFrame, query: str) -> DataFrame:
+    """Clients whose MAC or vendor contains the text, in any case."""
+    wanted = query.strip().lower()
+    if not wanted:
+        return clients
+    return clients.where(F.lower("mac").contains(wanted) | F.lower("vendor").contains(wanted))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
 from airsift.functions import measures, text
+from airsift.functions.text import literal
 from airsift.operators.clients import busiest_clients
 from airsift.operators.handshakes import status_counts
+from airsift.operators.rollups import aggregates
 from airsift.sources.dimensions import severity_labels, with_oui_vendor
 
 _FACTS = [
@@ -27,35 +29,50 @@ _FACTS = [
 def vendor_class_counts(client_counts: DataFrame, oui: DataFrame | None = None) -> DataFrame:
     """Distinct randomised and distinct unknown-vendor MACs per capture."""
     macs = client_counts.select("capture_id", "mac").distinct()
-    vendor = text.vendor_label(F.col("mac"), F.col("oui_vendor"))
-    labelled = with_oui_vendor(macs, "mac", oui).withColumn("vendor", vendor)
-    return labelled.groupBy("capture_id").agg(
-        F.count_if(F.col("vendor") == L.VENDOR_RANDOMIZED).alias("randomized"),
-        F.count_if(F.col("vendor") == L.VENDOR_UNKNOWN).alias("unknown_vendor"),
+    label = f"{text.vendor_label('mac', 'oui_vendor')} AS vendor"
+    labelled = with_oui_vendor(macs, "mac", oui).selectExpr("capture_id", label)
+    classes = aggregates(
+        f"count_if(vendor = {literal(L.VENDOR_RANDOMIZED)}) AS randomized",
+        f"count_if(vendor = {literal(L.VENDOR_UNKNOWN)}) AS unknown_vendor",
     )
+    return labelled.groupBy("capture_id").agg(*classes)
 
 
 def network_class_counts(network_measures: DataFrame) -> DataFrame:
     """Networks without any SSID and networks with a weak average signal, per capture."""
-    return network_measures.groupBy("capture_id").agg(
-        F.count_if(F.col("ssid_count") == 0).alias("hidden"),
-        F.count_if(F.col("average_signal_dbm") <= L.WEAK_SIGNAL_DBM).alias("weak"),
+    classes = aggregates(
+        "count_if(ssid_count = 0) AS hidden",
+        f"count_if(average_signal_dbm <= {L.WEAK_SIGNAL_DBM}) AS weak",
     )
+    return network_measures.groupBy("capture_id").agg(*classes)
 
 
-def _finding(rule: int, when: Column, finding: tuple, n: Column, *more: Column) -> Column:
+def _finding(rule: int, when: str, finding: tuple, n: str, *more: str) -> str:
+    """SQL of one rule: a finding where it fires, else null."""
     severity, category, title, description = finding
     args = [n, *more][: description.count("%")]
-    text_column = F.format_string(description, *args) if args else F.lit(description)
-    row = F.struct(
-        F.lit(rule).alias("rule_no"),
-        F.lit(severity).alias("severity"),
-        F.lit(category).alias("category"),
-        F.lit(title).alias("title"),
-        text_column.alias("description"),
-        n.alias("n"),
+    shown = literal(description)
+    if args:
+        shown = f"format_string({shown}, {', '.join(args)})"
+    return (
+        f"CASE WHEN {when} THEN struct({rule} AS rule_no, {literal(severity)} AS severity, "
+        f"{literal(category)} AS category, {literal(title)} AS title, "
+        f"{shown} AS description, {n} AS n) END"
     )
-    return F.when(when, row)
+
+
+_RULES = [
+    _finding(1, "strong > 0", L.FINDING_STRONG, "strong"),
+    _finding(1, "strong = 0 AND partial > 0", L.FINDING_PARTIAL, "partial"),
+    _finding(1, "strong = 0 AND partial = 0", L.FINDING_NO_HANDSHAKE, "0L"),
+    _finding(2, "randomized > 0", L.FINDING_RANDOMIZED, "randomized"),
+    _finding(3, "hidden > 0", L.FINDING_NO_SSID, "hidden"),
+    _finding(4, "weak > 0", L.FINDING_WEAK, "weak"),
+    _finding(
+        5, "busy_clients > 0", L.FINDING_BUSY, "busy_clients", "busiest_mac", "busiest_packets"
+    ),
+    _finding(6, "unknown_vendor > 0", L.FINDING_UNKNOWN_VENDOR, "unknown_vendor"),
+]
 
 
 def findings(
@@ -82,38 +99,18 @@ def findings(
     for part in parts[1:]:
         facts = facts.unionByName(part, allowMissingColumns=True)
     # At most one part has a value for a fact, so max picks it.
-    facts = facts.groupBy("capture_id").agg(*[F.max(c).alias(c) for c in _FACTS])
-    facts = facts.fillna(0)
-
-    strong, partial = F.col("strong"), F.col("partial")
-    randomized, hidden, weak = F.col("randomized"), F.col("hidden"), F.col("weak")
-    busy, unknown = F.col("busy_clients"), F.col("unknown_vendor")
-    none = F.lit(0).cast("bigint")
-    fired = F.array(
-        _finding(1, strong > 0, L.FINDING_STRONG, strong),
-        _finding(1, (strong == 0) & (partial > 0), L.FINDING_PARTIAL, partial),
-        _finding(1, (strong == 0) & (partial == 0), L.FINDING_NO_HANDSHAKE, none),
-        _finding(2, randomized > 0, L.FINDING_RANDOMIZED, randomized),
-        _finding(3, hidden > 0, L.FINDING_NO_SSID, hidden),
-        _finding(4, weak > 0, L.FINDING_WEAK, weak),
-        _finding(
-            5, busy > 0, L.FINDING_BUSY, busy, F.col("busiest_mac"), F.col("busiest_packets")
-        ),
-        _finding(6, unknown > 0, L.FINDING_UNKNOWN_VENDOR, unknown),
-    )
-    return facts.select("capture_id", F.explode(F.array_compact(fired)).alias("f")).select(
-        "capture_id", "f.*"
-    )
+    facts = facts.groupBy("capture_id").agg(*aggregates(*[f"max({c}) AS {c}" for c in _FACTS]))
+    fired = f"inline(array_compact(array({', '.join(_RULES)})))"
+    return facts.fillna(0).selectExpr("capture_id", fired)
 
 
 def with_labels(findings: DataFrame) -> DataFrame:
     """Findings with their displayed severity and category."""
     labels = F.broadcast(severity_labels(findings.sparkSession)).drop("position")
-    return findings.join(labels, "severity", "left").withColumns(
-        {
-            "severity_label": measures.severity_label(F.col("severity_label")),
-            "category_label": measures.category_label(F.col("category")),
-        }
+    return findings.join(labels, "severity", "left").selectExpr(
+        *findings.columns,
+        f"{measures.severity_label('severity_label')} AS severity_label",
+        f"{measures.category_label('category')} AS category_label",
     )
 
 
@@ -124,33 +121,25 @@ def severity_counts(captures: DataFrame, findings: DataFrame) -> DataFrame:
     )
     codes = [code for code, _ in L.SEVERITY_LABELS]
     counts = parts.groupBy("capture_id").agg(
-        *[F.count_if(F.col("severity") == code).alias(code) for code in codes],
-        F.count("severity").alias("total"),
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(code).alias("severity"),
-                F.lit(label).alias("severity_label"),
-                F.col(code).alias("finding_count"),
-            )
-            for i, (code, label) in enumerate(L.SEVERITY_LABELS, 1)
-        ]
+        *aggregates(*[f"count_if(severity = '{code}') AS {code}" for code in codes]),
+        F.expr("count(severity) AS total"),
     )
-    return counts.select("capture_id", "total", F.explode(rows).alias("s")).select(
-        "capture_id", "s.*", "total"
+    rows = ", ".join(
+        f"struct({i} AS position, '{code}' AS severity, '{label}' AS severity_label, "
+        f"{code} AS finding_count)"
+        for i, (code, label) in enumerate(L.SEVERITY_LABELS, 1)
     )
+    return counts.selectExpr("capture_id", "total", f"inline(array({rows}))")
 
 
 def shown_findings(captures: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings for display; a capture without any shows the placeholder text."""
-    shown = with_labels(findings)
-    return captures.select("capture_id").join(shown, "capture_id", "left").select(
+    shown = captures.select("capture_id").join(with_labels(findings), "capture_id", "left")
+    return shown.selectExpr(
         "capture_id",
         "rule_no",
-        F.coalesce("severity_label", F.lit(L.SEVERITY_DEFAULT_LABEL)).alias("severity_label"),
-        measures.category_label(F.col("category")).alias("category_label"),
-        F.coalesce("title", F.lit(L.NO_FINDINGS_TEXT)).alias("title"),
-        F.coalesce("description", F.lit("")).alias("description"),
+        f"coalesce(severity_label, {literal(L.SEVERITY_DEFAULT_LABEL)}) AS severity_label",
+        f"{measures.category_label('category')} AS category_label",
+        f"coalesce(title, {literal(L.NO_FINDINGS_TEXT)}) AS title",
+        "coalesce(description, '') AS description",
     )

@@ -11,32 +11,32 @@ from pyspark.sql import functions as F
 
 from airsift import labels as L
 from airsift.functions import measures
+from airsift.functions.text import literal
 from airsift.operators.normalize import eapol_frames
 from airsift.operators.ranking import top_k
+from airsift.operators.rollups import aggregates
 
 
 def eapol_packets(frames: DataFrame) -> DataFrame:
     """One row per EAPOL packet; `seq` is the packet order in a capture."""
-    return eapol_frames(frames).select(
+    return eapol_frames(frames).selectExpr(
         "capture_id",
         "seq",
         "frame_number",
-        F.col("ts_raw").alias("timestamp"),
-        F.col("src").alias("source"),
-        F.col("dst").alias("destination"),
+        "ts_raw AS timestamp",
+        "src AS source",
+        "dst AS destination",
         "bssid",
-        F.col("eapol").alias("eapol_type"),
+        "eapol AS eapol_type",
     )
 
 
 def first_eapol_packets(eapol: DataFrame, n: int = L.CLI_EAPOL) -> DataFrame:
     """The first n EAPOL packets of every capture, and how many there are beyond them."""
-    totals = eapol.groupBy("capture_id").agg(F.count("*").alias("_total"))
-    return (
-        top_k(eapol, ["capture_id"], [F.asc("seq")], n)
-        .join(totals, "capture_id")
-        .withColumn("remaining", measures.remaining(F.col("_total"), n))
-        .drop("_total")
+    totals = eapol.groupBy("capture_id").agg(F.expr("count(*) AS _total"))
+    first = top_k(eapol, ["capture_id"], [F.asc("seq")], n)
+    return first.join(totals, "capture_id").selectExpr(
+        *first.columns, f"{measures.remaining('_total', n)} AS remaining"
     )
 
 
@@ -46,26 +46,19 @@ def handshake_candidates(eapol: DataFrame) -> DataFrame:
     The client is the source, or the destination where the source is empty or the
     access point itself; packets with neither are left out.
     """
-    client = F.when(
-        (F.col("source") != "") & (F.col("source") != F.col("bssid")), F.col("source")
-    ).when(
-        (F.col("destination") != "") & (F.col("destination") != F.col("bssid")),
-        F.col("destination"),
+    client = (
+        "CASE WHEN source <> '' AND source <> bssid THEN source "
+        "WHEN destination <> '' AND destination <> bssid THEN destination END AS client"
     )
-    packets = F.col("eapol_packet_count")
-    return (
-        eapol.where(F.col("bssid") != "")
-        .withColumn("client", client)
-        .where(F.col("client").isNotNull())
-        .groupBy("capture_id", "bssid", "client")
-        .agg(
-            F.count("*").alias("eapol_packet_count"),
-            F.min_by("timestamp", "seq").alias("first_seen"),
-            F.max_by("timestamp", "seq").alias("last_seen"),
-            F.min("seq").alias("first_seq"),
-        )
-        .withColumn("status", measures.handshake_status(packets))
+    groups = aggregates(
+        "count(*) AS eapol_packet_count",
+        "min_by(timestamp, seq) AS first_seen",
+        "max_by(timestamp, seq) AS last_seen",
+        "min(seq) AS first_seq",
+        f"{measures.handshake_status('count(*)')} AS status",
     )
+    paired = eapol.where("bssid <> ''").selectExpr("*", client).where("client IS NOT NULL")
+    return paired.groupBy("capture_id", "bssid", "client").agg(*groups)
 
 
 def with_status(candidates: DataFrame, status: str) -> DataFrame:
@@ -73,24 +66,20 @@ def with_status(candidates: DataFrame, status: str) -> DataFrame:
 
 
 def status_counts(candidates: DataFrame, *keys: str) -> DataFrame:
-    status = F.col("status")
-    return candidates.groupBy(*keys).agg(
-        F.count_if(status == L.HANDSHAKE_STRONG).alias("strong"),
-        F.count_if(status == L.HANDSHAKE_PARTIAL).alias("partial"),
+    counts = aggregates(
+        f"count_if(status = {literal(L.HANDSHAKE_STRONG)}) AS strong",
+        f"count_if(status = {literal(L.HANDSHAKE_PARTIAL)}) AS partial",
     )
+    return candidates.groupBy(*keys).agg(*counts)
 
 
 def network_verdicts(networks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Handshake verdict of every network; strong candidates win over partial ones."""
     counts = status_counts(candidates, "capture_id", "bssid")
-    strong = F.coalesce(F.col("strong"), F.lit(0).cast("bigint"))
-    partial = F.coalesce(F.col("partial"), F.lit(0).cast("bigint"))
-    return networks.join(counts, ["capture_id", "bssid"], "left").withColumns(
-        {
-            "strong": strong,
-            "partial": partial,
-            "verdict": measures.handshake_verdict(strong, partial),
-        }
+    return (
+        networks.join(counts, ["capture_id", "bssid"], "left")
+        .fillna(0, ["strong", "partial"])
+        .selectExpr("*", f"{measures.handshake_verdict('strong', 'partial')} AS verdict")
     )
 
 
@@ -102,12 +91,12 @@ def network_handshakes(
         candidates = candidates.where(F.col("capture_id") == capture_id)
     if bssid is not None:
         candidates = candidates.where(F.lower("bssid") == bssid.lower())
-    return candidates.select(
+    return candidates.selectExpr(
         "capture_id",
         "bssid",
         "client",
         "eapol_packet_count",
-        measures.handshake_status_text(F.col("status")).alias("status_text"),
+        f"{measures.handshake_status_text('status')} AS status_text",
         "first_seen",
         "last_seen",
     )

@@ -2,187 +2,143 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
 from airsift.functions import measures, text
 from airsift.operators.clients import endpoints
 from airsift.operators.ranking import top_k
+from airsift.operators.rollups import aggregates
 
 NETWORK_KEYS = ["capture_id", "bssid"]
 # Longest SSID list put into one row.
 MAX_LISTED_SSIDS = 1000
 
 _FACT_KEYS = [*NETWORK_KEYS, "kind", "value"]
-
-
-def _decoded_ssid() -> Column:
-    return F.when(F.col("ssid") != "", text.decode_ssid(F.col("ssid"))).otherwise("")
+_DECODED_SSID = f"CASE WHEN ssid = '' THEN '' ELSE {text.decode_ssid('ssid')} END"
 
 
 def radio_facts(radio: DataFrame) -> DataFrame:
     """Channel, decoded SSID and signal of every radio row on a valid network, one row
     each."""
-    kinds = [
-        ("channel", F.col("channel")),
-        ("ssid", _decoded_ssid()),
-        ("signal", F.when(F.col("sig_n") > 0, F.lit("dbm")).otherwise("")),
-    ]
-    facts = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds])
-    return (
-        radio.where(text.is_valid_mac(F.col("bssid")))
-        .withColumn("fact", F.explode(facts))
-        .where(F.col("fact.value") != "")
-        .select(
-            *NETWORK_KEYS,
-            F.col("fact.kind").alias("kind"),
-            F.col("fact.value").alias("value"),
-            "n",
-            "first_seq",
-            "sig_sum",
-            "sig_n",
-        )
-    )
+    facts = f"""inline(array(
+        struct('channel' AS kind, channel AS value),
+        struct('ssid' AS kind, {_DECODED_SSID} AS value),
+        struct('signal' AS kind, CASE WHEN sig_n > 0 THEN 'dbm' ELSE '' END AS value)))"""
+    kept = [*NETWORK_KEYS, "n", "first_seq", "sig_sum", "sig_n"]
+    return radio.where("bssid <> ''").selectExpr(*kept, facts).where("value <> ''")
 
 
 def client_facts(links: DataFrame) -> DataFrame:
-    return endpoints(links).select(
+    return endpoints(links).selectExpr(
         *NETWORK_KEYS,
-        F.lit("client").alias("kind"),
-        F.col("mac").alias("value"),
+        "'client' AS kind",
+        "mac AS value",
         "n",
-        F.col("first_order").alias("first_seq"),
-        F.lit(0).cast("bigint").alias("sig_sum"),
-        F.lit(0).cast("bigint").alias("sig_n"),
+        "first_order AS first_seq",
+        "0L AS sig_sum",
+        "0L AS sig_n",
     )
 
 
 def network_facts(radio: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct facts per network. The union of the four kinds is the network set, so
     grouping it replaces a chain of full outer joins."""
-    return (
-        radio_facts(radio)
-        .unionByName(client_facts(links))
-        .groupBy(*_FACT_KEYS)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min("first_seq").alias("first_seq"),
-            F.sum("sig_sum").alias("sig_sum"),
-            F.sum("sig_n").alias("sig_n"),
-        )
+    sums = aggregates(
+        "sum(n) AS n",
+        "min(first_seq) AS first_seq",
+        "sum(sig_sum) AS sig_sum",
+        "sum(sig_n) AS sig_n",
     )
+    facts = radio_facts(radio).unionByName(client_facts(links))
+    return facts.groupBy(*_FACT_KEYS).agg(*sums)
 
 
-def _of_kind(kind: str, value: str = "value") -> Column:
-    return F.when(F.col("kind") == kind, F.col(value))
-
+def network_measures(facts: DataFrame) -> DataFrame:
+    """Networks with their single values, aggregates of fixed size whatever the network.
 
-def _average_signal() -> Column:
-    return measures.mean_2dp(
-        F.sum(_of_kind("signal", "sig_sum")), F.sum(_of_kind("signal", "sig_n"))
+    The primary channel is the one of most frames, ties to the one seen first.
+    """
+    most = "CASE WHEN kind = 'channel' THEN struct(n, -first_seq AS earlier) END"
+    signal = measures.mean_2dp(
+        "sum(CASE WHEN kind = 'signal' THEN sig_sum END)",
+        "sum(CASE WHEN kind = 'signal' THEN sig_n END)",
     )
-
-
-def _primary_channel() -> Column:
-    """Most frames; ties go to the channel seen first."""
-    most = F.when(F.col("kind") == "channel", F.struct("n", -F.col("first_seq")))
-    return F.max_by("value", most)
-
-
-def network_measures(facts: DataFrame) -> DataFrame:
-    """Networks with their single values, aggregates of fixed size whatever the network."""
-    return facts.groupBy(*NETWORK_KEYS).agg(
-        _primary_channel().alias("channel"),
-        _average_signal().alias("average_signal_dbm"),
-        F.count(_of_kind("client")).alias("client_count"),
-        F.count(_of_kind("ssid")).alias("ssid_count"),
+    values = aggregates(
+        f"max_by(value, {most}) AS channel",
+        f"{signal} AS average_signal_dbm",
+        "count_if(kind = 'client') AS client_count",
+        "count_if(kind = 'ssid') AS ssid_count",
     )
+    return facts.groupBy(*NETWORK_KEYS).agg(*values)
 
 
-def networks(measures: DataFrame, ssids: DataFrame) -> DataFrame:
+def networks(measured: DataFrame, ssids: DataFrame) -> DataFrame:
     """Networks with the sorted list of their SSIDs.
 
     A list is built from at most MAX_LISTED_SSIDS names. The list of a network with
     more names is null; `network_ssids` holds them all, one per row.
     """
     names = top_k(ssids, NETWORK_KEYS, [F.asc("ssid")], MAX_LISTED_SSIDS)
-    lists = names.groupBy(*NETWORK_KEYS).agg(F.sort_array(F.collect_list("ssid")).alias("listed"))
-    ssid_list = F.when(F.col("ssid_count") == 0, F.array().cast("array<string>")).when(
-        F.col("ssid_count") <= MAX_LISTED_SSIDS, F.col("listed")
-    )
-    return (
-        measures.join(lists, NETWORK_KEYS, "left")
-        .withColumn("ssids", ssid_list)
-        .drop("listed")
+    lists = names.groupBy(*NETWORK_KEYS).agg(F.expr("sort_array(collect_list(ssid)) AS listed"))
+    ssid_list = (
+        "CASE WHEN ssid_count = 0 THEN CAST(array() AS ARRAY<STRING>) "
+        f"WHEN ssid_count <= {MAX_LISTED_SSIDS} THEN listed END AS ssids"
     )
+    return measured.join(lists, NETWORK_KEYS, "left").selectExpr(*measured.columns, ssid_list)
 
 
 def network_ssids(radio: DataFrame) -> DataFrame:
     """Distinct decoded SSIDs per network, one per row."""
-    return (
-        radio.where(text.is_valid_mac(F.col("bssid")) & (F.col("ssid") != ""))
-        .select(*NETWORK_KEYS, _decoded_ssid().alias("ssid"))
-        .distinct()
-    )
+    named = radio.where("bssid <> '' AND ssid <> ''")
+    return named.selectExpr(*NETWORK_KEYS, f"{_DECODED_SSID} AS ssid").distinct()
 
 
 def channel_counts(radio: DataFrame) -> DataFrame:
-    return (
-        radio.where(text.is_valid_mac(F.col("bssid")) & (F.col("channel") != ""))
-        .groupBy(*NETWORK_KEYS, "channel")
-        .agg(F.sum("n").alias("packet_count"), F.min("first_seq").alias("first_seq"))
-    )
+    counts = aggregates("sum(n) AS packet_count", "min(first_seq) AS first_seq")
+    used = radio.where("bssid <> '' AND channel <> ''")
+    return used.groupBy(*NETWORK_KEYS, "channel").agg(*counts)
 
 
 def channel_mode(radio: DataFrame) -> DataFrame:
     """Primary channel per network with its packet count."""
-    counts = channel_counts(radio)
-    return counts.groupBy(*NETWORK_KEYS).agg(
-        F.max_by("channel", F.struct("packet_count", -F.col("first_seq"))).alias("channel"),
-        F.max("packet_count").alias("packet_count"),
+    mode = aggregates(
+        "max_by(channel, struct(packet_count, -first_seq AS earlier)) AS channel",
+        "max(packet_count) AS packet_count",
     )
+    return channel_counts(radio).groupBy(*NETWORK_KEYS).agg(*mode)
 
 
 def signal_average(radio: DataFrame) -> DataFrame:
     """Average signal per network that shows one, with its sample count."""
-    return (
-        radio.where(text.is_valid_mac(F.col("bssid")) & (F.col("sig_n") > 0))
-        .groupBy(*NETWORK_KEYS)
-        .agg(
-            measures.mean_2dp(F.sum("sig_sum"), F.sum("sig_n")).alias("average_signal_dbm"),
-            F.sum("sig_n").alias("samples"),
-        )
+    average = aggregates(
+        f"{measures.mean_2dp('sum(sig_sum)', 'sum(sig_n)')} AS average_signal_dbm",
+        "sum(sig_n) AS samples",
     )
+    measured = radio.where("bssid <> '' AND sig_n > 0")
+    return measured.groupBy(*NETWORK_KEYS).agg(*average)
 
 
 def client_counts(facts: DataFrame) -> DataFrame:
     """Packets per (capture, bssid, mac): the client facts."""
-    return facts.where(F.col("kind") == "client").select(
-        *NETWORK_KEYS,
-        F.col("value").alias("mac"),
-        F.col("n").alias("packet_count"),
-        F.col("first_seq").alias("first_order"),
+    return facts.where("kind = 'client'").selectExpr(
+        *NETWORK_KEYS, "value AS mac", "n AS packet_count", "first_seq AS first_order"
     )
 
 
 def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
     """The n strongest networks of every capture, ties by bssid."""
-    top = top_k(
-        networks.where(F.col("average_signal_dbm").isNotNull()),
-        ["capture_id"],
-        [F.desc("average_signal_dbm"), F.asc("bssid")],
-        n,
-    )
-    label = measures.ssid_text(F.col("ssids"), F.col("ssid_count"), fallback=F.col("bssid"))
-    return top.select(
+    order = [F.desc("average_signal_dbm"), F.asc("bssid")]
+    top = top_k(networks.where("average_signal_dbm IS NOT NULL"), ["capture_id"], order, n)
+    return top.selectExpr(
         "capture_id",
         "rank",
         "bssid",
-        label.alias("label"),
+        f"{measures.ssid_text('ssids', 'ssid_count', fallback='bssid')} AS label",
         "average_signal_dbm",
-        measures.dbm_text(F.col("average_signal_dbm")).alias("value_text"),
-        measures.signal_scale(F.col("average_signal_dbm")).alias("progress"),
+        f"{measures.dbm_text('average_signal_dbm')} AS value_text",
+        f"{measures.signal_scale('average_signal_dbm')} AS progress",
     )
 
 
@@ -195,22 +151,15 @@ def search_networks(networks: DataFrame, ssids: DataFrame, query: str) -> DataFr
     wanted = query.strip().lower()
     if not wanted:
         return networks
-    shown = measures.ssid_text(F.col("ssids"), F.col("ssid_count"))
-    found = F.lower(shown).contains(wanted) | F.lower("bssid").contains(wanted)
+    shown = F.lower(F.expr(measures.ssid_text("ssids", "ssid_count"))).contains(wanted)
+    by_bssid = F.lower("bssid").contains(wanted)
     if "," in wanted:
-        return networks.where(found)
+        return networks.where(shown | by_bssid)
     names = ssids.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
     named = names.withColumn("_named", F.lit(True))
+    hidden = (F.col("ssid_count") == 0) & shown
     return (
         networks.join(named, NETWORK_KEYS, "left")
-        .where(F.col("_named") | ((F.col("ssid_count") == 0) & found) | F.lower("bssid").contains(wanted))
+        .where(F.col("_named") | hidden | by_bssid)
         .drop("_named")
     )
-
-
-def search_clients(clients: DataFrame, query: str) -> DataFrame:
-    """Clients whose MAC or vendor contains the text, in any case."""
-    wanted = query.strip().lower()
-    if not wanted:
-        return clients
-    return clients.where(F.lower("mac").contains(wanted) | F.lower("vendor").contains(wanted))

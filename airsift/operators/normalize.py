@@ -2,42 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from airsift.functions import text
 from airsift.schema import SEQ_MISSING
 
 
-def sequence_number(frame_number: Column) -> Column:
+def sequence_number(frame_number: str) -> str:
     """Packet order inside a capture; frames without a usable number come last."""
-    digits = F.when(frame_number.rlike("^[0-9]{1,18}$"), frame_number)
-    return F.coalesce(digits.try_cast("bigint"), F.lit(SEQ_MISSING))
+    digits = f"CASE WHEN {text.matches(frame_number, '^[0-9]{1,18}$')} THEN {frame_number} END"
+    return f"coalesce(try_cast({digits} AS BIGINT), {SEQ_MISSING}L)"
+
+
+def _projection() -> list[str]:
+    frame_number = text.first_value("frame_number")
+    ts_raw = text.first_value("timestamp")
+    columns = {
+        "capture_id": "capture_id",
+        "seq": sequence_number(frame_number),
+        "frame_number": frame_number,
+        "ts_raw": ts_raw,
+        "ts": text.parse_double(ts_raw),
+        "sub": text.first_value("frame_subtype"),
+    }
+    for name, field in (("src", "source"), ("dst", "destination"), ("bssid", "bssid")):
+        address = text.normalize_mac(field)
+        columns[name] = address
+        columns[f"{name}_ok"] = text.is_valid_mac(address)
+    columns |= {
+        "ssid": text.first_value("ssid"),
+        "channel": text.first_value("channel"),
+        "sig": text.parse_signal("signal"),
+        "eapol": text.first_value("eapol_type"),
+    }
+    return [f"{sql} AS {name}" for name, sql in columns.items()]
 
 
 def normalize(frames: DataFrame) -> DataFrame:
-    """Trim, lower and parse every field once. A narrow projection: nothing shuffles.
+    """Trim, lower, check and parse every field once. A narrow projection: nothing
+    shuffles, and over stored frames no pattern is matched again.
 
     Codes stay text, SSIDs stay encoded: both are translated after aggregation, when
     there are few of them.
     """
-    frame_number = text.first_value(F.col("frame_number"))
-    ts_raw = text.first_value(F.col("timestamp"))
-    return frames.select(
-        "capture_id",
-        sequence_number(frame_number).alias("seq"),
-        frame_number.alias("frame_number"),
-        ts_raw.alias("ts_raw"),
-        text.parse_double(ts_raw).alias("ts"),
-        text.first_value(F.col("frame_subtype")).alias("sub"),
-        text.normalize_mac(text.first_value(F.col("source"))).alias("src"),
-        text.normalize_mac(text.first_value(F.col("destination"))).alias("dst"),
-        text.normalize_mac(text.first_value(F.col("bssid"))).alias("bssid"),
-        text.first_value(F.col("ssid")).alias("ssid"),
-        text.first_value(F.col("channel")).alias("channel"),
-        text.parse_signal(F.col("signal")).alias("sig"),
-        text.first_value(F.col("eapol_type")).alias("eapol"),
-    )
+    return frames.selectExpr(*_projection())
 
 
 def eapol_frames(frames: DataFrame) -> DataFrame:
@@ -47,5 +55,5 @@ def eapol_frames(frames: DataFrame) -> DataFrame:
     exact one.
     """
     if "eapol_type" in frames.columns:
-        frames = normalize(frames.where(F.col("eapol_type") != ""))
-    return frames.where(F.col("eapol") != "")
+        frames = normalize(frames.where("eapol_type <> ''"))
+    return frames.where("eapol <> ''")

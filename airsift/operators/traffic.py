@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from airsift import labels as L
 from airsift.functions import measures, text
 from airsift.operators.ranking import top_k
+from airsift.operators.rollups import aggregates
 from airsift.sources.dimensions import subtype_names
 
 
 def packet_totals(radio: DataFrame) -> DataFrame:
     """Packets and EAPOL packets per capture."""
-    return radio.groupBy("capture_id").agg(
-        F.sum("n").alias("total_packets"), F.sum("eapol_n").alias("eapol_packet_count")
-    )
+    sums = aggregates("sum(n) AS total_packets", "sum(eapol_n) AS eapol_packet_count")
+    return radio.groupBy("capture_id").agg(*sums)
 
 
 def frame_subtypes(radio: DataFrame, decimal_codes: bool = False) -> DataFrame:
@@ -24,16 +24,16 @@ def frame_subtypes(radio: DataFrame, decimal_codes: bool = False) -> DataFrame:
     Codes are matched as text. `decimal_codes` first turns hexadecimal codes into
     decimal ones, for exports that write them so.
     """
-    code = text.decimal_subtype(F.col("sub")) if decimal_codes else F.col("sub")
+    code = text.decimal_subtype("sub") if decimal_codes else "sub"
     counts = (
-        radio.where(F.col("sub") != "")
-        .groupBy("capture_id", code.alias("code"))
-        .agg(F.sum("n").alias("packet_count"), F.min("first_seq").alias("first_seq"))
+        radio.where("sub <> ''")
+        .groupBy("capture_id", F.expr(f"{code} AS code"))
+        .agg(*aggregates("sum(n) AS packet_count", "min(first_seq) AS first_seq"))
     )
     names = F.broadcast(subtype_names(radio.sparkSession))
-    return counts.join(names, "code", "left").select(
+    return counts.join(names, "code", "left").selectExpr(
         "capture_id",
-        text.subtype_label(F.col("code"), F.col("name")).alias("subtype"),
+        f"{text.subtype_label('code', 'name')} AS subtype",
         "packet_count",
         "first_seq",
     )
@@ -42,23 +42,21 @@ def frame_subtypes(radio: DataFrame, decimal_codes: bool = False) -> DataFrame:
 def subtype_chart(subtypes: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
     top = top_k(subtypes, ["capture_id"], [F.desc("packet_count"), F.asc("first_seq")], n)
     largest = F.max("packet_count").over(Window.partitionBy("capture_id"))
-    return top.select(
+    return top.withColumn("largest", largest).selectExpr(
         "capture_id",
         "rank",
         "subtype",
         "packet_count",
-        measures.grouped_number(F.col("packet_count")).alias("value_text"),
-        measures.share_of_max(F.col("packet_count"), largest).alias("progress"),
+        f"{measures.grouped_number('packet_count')} AS value_text",
+        f"{measures.share_of_max('packet_count', 'largest')} AS progress",
     )
 
 
 def talkers(links: DataFrame, side: str) -> DataFrame:
     """Packets per valid MAC on one side (`src` or `dst`), broadcast and BSSIDs included."""
-    return (
-        links.where(text.is_valid_mac(F.col(side)))
-        .groupBy("capture_id", F.col(side).alias("mac"))
-        .agg(F.sum("n").alias("packet_count"), F.min("first_seq").alias("first_seq"))
-    )
+    counts = aggregates("sum(n) AS packet_count", "min(first_seq) AS first_seq")
+    valid = links.where(f"{side} <> ''")
+    return valid.groupBy("capture_id", F.col(side).alias("mac")).agg(*counts)
 
 
 def top_talkers(links: DataFrame, side: str, n: int = L.TOP_TALKERS) -> DataFrame:

@@ -38,10 +38,9 @@ class Analysis:
         self.frames = frames
         self.oui = oui
         self.busy_from = busy_from
-        self.links = R.frame_links(frames) if links is None else links
-        self.radio = R.frame_radio(frames) if radio is None else radio
-        self._facts = facts
-        self.eapol_packets = H.eapol_packets(frames) if eapol is None else eapol
+        given = {"links": links, "radio": radio, "eapol_packets": eapol, "network_facts": facts}
+        # A table that is given takes the place of the lazy property of its name.
+        self.__dict__.update({k: v for k, v in given.items() if v is not None})
 
     def materialize(self, folder: str | None = None) -> Analysis:
         """Write the two rollups, the EAPOL packets and the network facts: three scans
@@ -60,6 +59,18 @@ class Analysis:
             facts=written(N.network_facts(radio, links), f"{folder}/facts"),
         )
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return R.frame_links(self.frames)
+
+    @cached_property
+    def radio(self) -> DataFrame:
+        return R.frame_radio(self.frames)
+
+    @cached_property
+    def eapol_packets(self) -> DataFrame:
+        return H.eapol_packets(self.frames)
+
     @cached_property
     def packet_totals(self) -> DataFrame:
         return T.packet_totals(self.radio)
@@ -78,8 +89,8 @@ class Analysis:
 
     @cached_property
     def client_counts(self) -> DataFrame:
-        if self._facts is not None:
-            return N.client_counts(self._facts)
+        if "network_facts" in self.__dict__:
+            return N.client_counts(self.network_facts)
         return C.client_counts(self.links)
 
     @cached_property
@@ -88,8 +99,6 @@ class Analysis:
 
     @cached_property
     def network_facts(self) -> DataFrame:
-        if self._facts is not None:
-            return self._facts
         return N.network_facts(self.radio, self.links)
 
     @cached_property
@@ -130,7 +139,7 @@ class Analysis:
             self.packet_totals.unionByName(networks, allowMissingColumns=True)
             .unionByName(C.distinct_client_count(self.client_counts), allowMissingColumns=True)
             .groupBy("capture_id")
-            .agg(*[F.coalesce(F.max(c), F.lit(0).cast("bigint")).alias(c) for c in counts])
+            .agg(*R.aggregates(*[f"coalesce(max({c}), 0L) AS {c}" for c in counts]))
         )
 
     def tables(self) -> dict[str, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airsift import labels as L
 from airsift.functions import measures
+from airsift.functions.text import literal
 from airsift.operators import clients as C
 from airsift.operators import findings as D
 from airsift.operators import handshakes as H
@@ -28,14 +29,15 @@ CLIENT_DETAIL = [
 def network_table(networks: DataFrame, surface: str = "table") -> DataFrame:
     """Networks with display texts. `surface` is `table`, `report` or `cli`, which
     differ in the text for a missing SSID, channel or signal. Order by bssid."""
-    return networks.select(
-        "capture_id",
-        "bssid",
-        measures.ssid_text(F.col("ssids"), F.col("ssid_count"), surface).alias("ssid_text"),
-        measures.channel_text(F.col("channel"), surface).alias("channel_text"),
-        measures.signal_text(F.col("average_signal_dbm"), surface).alias("signal_text"),
-        "client_count",
-    )
+    return networks.selectExpr("capture_id", "bssid", *_display(surface), "client_count")
+
+
+def _display(surface: str) -> list[str]:
+    return [
+        f"{measures.ssid_text('ssids', 'ssid_count', surface)} AS ssid_text",
+        f"{measures.channel_text('channel', surface)} AS channel_text",
+        f"{measures.signal_text('average_signal_dbm', surface)} AS signal_text",
+    ]
 
 
 def networks_with_clients(
@@ -48,19 +50,18 @@ def networks_with_clients(
     return (
         network_table(networks, surface)
         .join(listed, ["capture_id", "bssid"], "left")
-        .withColumn("remaining", measures.remaining(F.col("client_count"), n))
+        .selectExpr("*", f"{measures.remaining('client_count', n)} AS remaining")
     )
 
 
 def report_networks(networks: DataFrame, clients: DataFrame) -> DataFrame:
     """Network section of a report: the first 25 clients and the note under them."""
     n = L.REPORT_CLIENTS
-    note = F.when(F.col("client_count") == 0, F.lit(L.NO_CLIENTS_NOTE)).when(
-        F.col("client_count") > n, F.format_string(L.MORE_CLIENTS_NOTE, "client_count")
-    )
-    return networks_with_clients(networks, clients, n, "report").withColumn(
-        "note", F.coalesce(note, F.lit(""))
+    note = (
+        f"CASE WHEN client_count = 0 THEN {literal(L.NO_CLIENTS_NOTE)} WHEN client_count > {n} "
+        f"THEN format_string({literal(L.MORE_CLIENTS_NOTE)}, client_count) ELSE '' END AS note"
     )
+    return networks_with_clients(networks, clients, n, "report").selectExpr("*", note)
 
 
 def report_findings(analysis: Analysis) -> DataFrame:
@@ -79,8 +80,8 @@ def summary_cards(summary: DataFrame, captures: DataFrame | None = None) -> Data
     if captures is not None:
         names = captures.select("capture_id", "capture_name", "capture_file")
         summary = summary.join(names.dropDuplicates(["capture_id"]), "capture_id", "left")
-    return summary.withColumn(
-        "total_packets_text", measures.grouped_number(F.col("total_packets"))
+    return summary.selectExpr(
+        "*", f"{measures.grouped_number('total_packets')} AS total_packets_text"
     )
 
 
@@ -96,12 +97,10 @@ def network_details(
     if bssid is not None:
         networks = networks.where(F.col("bssid") == bssid)
     verdicts = H.network_verdicts(networks, candidates)
-    return verdicts.join(totals, "capture_id").select(
+    return verdicts.join(totals, "capture_id").selectExpr(
         "capture_id",
         "bssid",
-        measures.ssid_text(F.col("ssids"), F.col("ssid_count")).alias("ssid_text"),
-        measures.channel_text(F.col("channel")).alias("channel_text"),
-        measures.signal_text(F.col("average_signal_dbm")).alias("signal_text"),
+        *_display("table"),
         "client_count",
         "eapol_packet_count",
         "verdict",

@@ -28,7 +28,8 @@ FRAMES_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ["capture_id", *FRAME_COLUMNS]]
 )
 
-# Frames after `normalize`. `seq` is the packet order inside a capture.
+# Frames after `normalize`. `seq` is the packet order inside a capture; an `_ok` column
+# tells whether the address before it is a valid MAC.
 NORMALIZED_SCHEMA = T.StructType(
     [
         T.StructField("capture_id", T.StringType()),
@@ -38,8 +39,11 @@ NORMALIZED_SCHEMA = T.StructType(
         T.StructField("ts", T.DoubleType()),
         T.StructField("sub", T.StringType()),
         T.StructField("src", T.StringType()),
+        T.StructField("src_ok", T.BooleanType()),
         T.StructField("dst", T.StringType()),
+        T.StructField("dst_ok", T.BooleanType()),
         T.StructField("bssid", T.StringType()),
+        T.StructField("bssid_ok", T.BooleanType()),
         T.StructField("ssid", T.StringType()),
         T.StructField("channel", T.StringType()),
         T.StructField("sig", T.IntegerType()),

@@ -7,106 +7,89 @@ file; the files of a larger one, in name order, are the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from airsift.functions.text import literal
 from airsift.plans import views as V
 from airsift.plans.analysis import Analysis
 
-_HEAD = '<!DOCTYPE html><html lang="tr"><head><meta charset="utf-8"><title>%s</title></head><body>'
+_HEAD = '<!DOCTYPE html><html lang="tr"><head><meta charset="utf-8"></head><body>'
 _ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
 
 
-def escape(c: Column) -> Column:
-    c = F.coalesce(c.cast("string"), F.lit(""))
-    for plain, escaped in _ESCAPES:
-        c = F.replace(c, F.lit(plain), F.lit(escaped))
-    return c
+def escape(c: str) -> str:
+    escaped = f"coalesce(CAST({c} AS STRING), '')"
+    for plain, entity in _ESCAPES:
+        escaped = f"replace({escaped}, {literal(plain)}, {literal(entity)})"
+    return escaped
 
 
-def _cells(*columns: str) -> Column:
-    cells = [F.concat(F.lit("<td>"), escape(F.col(c)), F.lit("</td>")) for c in columns]
-    return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+def _tag(tag: str, *content: str) -> str:
+    return f"concat('<{tag}>', {', '.join(content)}, '</{tag}>')"
 
 
-def _heading(level: int, c: Column) -> Column:
-    return F.concat(F.lit(f"<h{level}>"), c, F.lit(f"</h{level}>"))
+def _cells(*columns: str) -> str:
+    return _tag("tr", *[_tag("td", escape(c)) for c in columns])
 
 
 def html_lines(analysis: Analysis, captures: DataFrame | None = None) -> DataFrame:
     """Lines of all documents: (capture_id, section, part, place, line)."""
     summary = V.summary_cards(analysis.summary, captures)
-    title = F.col("capture_name" if captures is not None else "capture_id")
+    title = escape("capture_name" if captures is not None else "capture_id")
+    totals = _tag("table", _cells("total_packets_text", "network_count", "eapol_packet_count"))
 
-    def lines(df: DataFrame, section: int, line: Column, part=None, place=None) -> DataFrame:
-        return df.select(
+    def lines(df: DataFrame, section: int, line: str, part="''", place="0L") -> DataFrame:
+        return df.selectExpr(
             "capture_id",
-            F.lit(section).alias("section"),
-            (F.lit("") if part is None else part).alias("part"),
-            (F.lit(0) if place is None else place).cast("bigint").alias("place"),
-            line.alias("line"),
+            f"{section} AS section",
+            f"{part} AS part",
+            f"CAST({place} AS BIGINT) AS place",
+            f"{line} AS line",
         )
 
     networks = V.network_table(analysis.networks, "report")
     listed = V.report_networks(analysis.networks, analysis.clients)
-    network_head = F.concat(
-        F.lit("<table>"), _cells("bssid", "channel_text", "signal_text", "client_count")
-    )
-    subtypes = analysis.frame_subtypes
+    finding = _tag("b", escape("concat_ws(' ', severity_label, category_label, title)"))
+    network = _cells("bssid", "channel_text", "signal_text", "client_count")
     parts = [
-        lines(summary, 0, F.format_string(_HEAD, escape(title))),
-        lines(
-            summary,
-            1,
-            F.concat(
-                _heading(1, escape(title)),
-                F.lit("<table>"),
-                _cells("total_packets_text", "network_count", "eapol_packet_count"),
-                F.lit("</table>"),
-            ),
-        ),
+        lines(summary, 0, literal(_HEAD)),
+        lines(summary, 1, f"concat({_tag('h1', title)}, {totals})"),
         lines(
             V.report_findings(analysis),
             2,
-            F.concat(
-                F.lit("<p><b>"),
-                escape(F.concat_ws(" ", "severity_label", "category_label", "title")),
-                F.lit("</b> "),
-                escape(F.col("description")),
-                F.lit("</p>"),
-            ),
-            place=F.coalesce("rule_no", F.lit(0)),
+            _tag("p", finding, "' '", escape("description")),
+            place="coalesce(rule_no, 0)",
         ),
         lines(
             networks,
             3,
-            F.concat(_heading(2, escape(F.col("ssid_text"))), network_head),
-            part=F.col("bssid"),
-            place=F.lit(-1),
+            f"concat({_tag('h2', escape('ssid_text'))}, '<table>', {network})",
+            part="bssid",
+            place="-1L",
         ),
         lines(
-            listed.where(F.col("mac").isNotNull()),
+            listed.where("mac IS NOT NULL"),
             3,
             _cells(*V.CLIENT_DETAIL),
-            part=F.col("bssid"),
-            place=F.col("rank"),
+            part="bssid",
+            place="rank",
         ),
         lines(
-            listed.where(F.coalesce("rank", F.lit(1)) == 1),
+            listed.where("coalesce(rank, 1) = 1"),
             3,
-            F.concat(F.lit("</table><p>"), escape(F.col("note")), F.lit("</p>")),
-            part=F.col("bssid"),
-            place=F.lit(2**31),
+            f"concat('</table>', {_tag('p', escape('note'))})",
+            part="bssid",
+            place=f"{2**31}L",
         ),
-        lines(summary, 4, F.lit("<table>")),
+        lines(summary, 4, "'<table>'"),
         lines(
-            subtypes,
+            analysis.frame_subtypes,
             5,
             _cells("subtype", "packet_count"),
-            part=F.format_string("%020d", F.lit(2**62) - F.col("packet_count")),
-            place=F.col("first_seq"),
+            part=f"format_string('%020d', {2**62}L - packet_count)",
+            place="first_seq",
         ),
-        lines(summary, 6, F.lit("</table></body></html>")),
+        lines(summary, 6, "'</table></body></html>'"),
     ]
     document = parts[0]
     for part in parts[1:]:

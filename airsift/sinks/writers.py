@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
@@ -12,31 +12,26 @@ from airsift.plans.analysis import Analysis
 from airsift.sinks.html import write_html_report
 from airsift.sinks.paths import next_free_path
 
-def _joined_ssids() -> Column:
-    return measures.joined_ssids(F.col("ssids"), F.col("ssid_count"), " | ")
+_SSIDS = measures.joined_ssids("ssids", "ssid_count", " | ")
+
+
+def _named(columns: list[str], names: list[str]) -> list[str]:
+    return [f"{column} AS {name}" for column, name in zip(columns, names, strict=True)]
 
 
 def networks_csv(networks: DataFrame) -> DataFrame:
     """Networks with the columns of the CSV file. Order by BSSID."""
-    columns = [
-        _joined_ssids(),
-        F.col("bssid"),
-        F.col("channel"),
-        F.col("average_signal_dbm"),
-        F.col("client_count"),
-    ]
-    named = [c.alias(name) for c, name in zip(columns, L.NETWORKS_CSV_COLUMNS, strict=True)]
-    return networks.select("capture_id", *named)
+    columns = [_SSIDS, "bssid", "channel", "average_signal_dbm", "client_count"]
+    return networks.selectExpr("capture_id", *_named(columns, L.NETWORKS_CSV_COLUMNS))
 
 
 def clients_csv(clients: DataFrame, networks: DataFrame) -> DataFrame:
     """Clients under their network, with the columns of the CSV file and, last, the
     column that orders clients of equal packet count."""
-    ssids = networks.select("capture_id", "bssid", _joined_ssids().alias("ssid"))
-    columns = [F.col("bssid"), F.col("ssid"), F.col("mac"), F.col("packet_count")]
-    named = [c.alias(name) for c, name in zip(columns, L.CLIENTS_CSV_COLUMNS, strict=True)]
+    ssids = networks.selectExpr("capture_id", "bssid", f"{_SSIDS} AS ssid")
+    named = _named(["bssid", "ssid", "mac", "packet_count"], L.CLIENTS_CSV_COLUMNS)
     joined = clients.join(ssids, ["capture_id", "bssid"])
-    return joined.select("capture_id", *named, "first_order")
+    return joined.selectExpr("capture_id", *named, "first_order")
 
 
 def _write_csv(df: DataFrame, path: str) -> None:

@@ -41,9 +41,7 @@ def with_oui_vendor(df: DataFrame, mac: str, oui: DataFrame | None = None) -> Da
     if oui is None:
         vendors = F.broadcast(oui_vendors(df.sparkSession))
     else:
-        vendors = oui.select(F.upper("oui").alias("oui"), "vendor").dropDuplicates(["oui"])
-    vendors = vendors.select(
-        F.col("oui").alias("_oui"), F.col("vendor").alias("oui_vendor")
-    )
-    keyed = df.withColumn("_oui", normalize_oui(F.col(mac)))
+        vendors = oui.selectExpr("upper(oui) AS oui", "vendor").dropDuplicates(["oui"])
+    vendors = vendors.selectExpr("oui AS _oui", "vendor AS oui_vendor")
+    keyed = df.selectExpr("*", f"{normalize_oui(mac)} AS _oui")
     return keyed.join(vendors, "_oui", "left").drop("_oui")

@@ -49,7 +49,10 @@ FROM (SELECT *, CAST(FLOOR(event_id / 7) AS BIGINT) % 3 AS m,
 """
 
 
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
+
+
 def frames_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     query = FRAMES_FROM_EVENTS.replace("{us}", _MICROS)
     return spark.sql(query, events=events)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsift.functions import measures, text
+from airsift.functions import text
 from airsift.operators import clients as C
 from airsift.operators import findings as D
 from airsift.operators import handshakes as H
@@ -51,26 +51,25 @@ def stored(fn: Callable[[Analysis], DataFrame], **options):
 
 
 def frame_checks(a: Analysis) -> DataFrame:
-    checks = {}
+    checks = ["capture_id", "seq"]
     for c in ("src", "dst", "bssid"):
-        checks[f"{c}_valid"] = text.is_valid_mac(F.col(c)).cast("int")
-        checks[f"{c}_ignored"] = text.is_ignored_mac(F.col(c)).cast("int")
-    return a.frames.select("capture_id", "seq", *[v.alias(k) for k, v in checks.items()])
+        checks.append(f"CAST({text.is_valid_mac(c)} AS INT) AS {c}_valid")
+        checks.append(f"CAST({text.is_ignored_mac(c)} AS INT) AS {c}_ignored")
+    return a.frames.selectExpr(*checks)
 
 
 def ssid_decode(a: Analysis) -> DataFrame:
     raw = a.frames.groupBy("ssid").agg(F.count("*").alias("packet_count"))
-    return raw.withColumn("decoded", text.decode_ssid(F.col("ssid")))
+    return raw.selectExpr("*", f"{text.decode_ssid('ssid')} AS decoded")
 
 
 def vendor_lookup(a: Analysis) -> DataFrame:
-    macs = a.frames.select(F.explode(F.array("src", "dst")).alias("mac")).distinct()
-    mac = F.col("mac")
-    return with_oui_vendor(macs, "mac").select(
+    macs = a.frames.selectExpr("explode(array(src, dst)) AS mac").distinct()
+    return with_oui_vendor(macs, "mac").selectExpr(
         "mac",
-        text.normalize_oui(mac).alias("oui"),
-        text.is_locally_administered(mac).cast("int").alias("local"),
-        text.vendor_label(mac, F.col("oui_vendor")).alias("vendor"),
+        f"{text.normalize_oui('mac')} AS oui",
+        f"CAST({text.is_locally_administered('mac')} AS INT) AS local",
+        f"{text.vendor_label('mac', 'oui_vendor')} AS vendor",
     )
 
 
@@ -185,9 +184,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distinct_clients": over(lambda a: C.distinct_client_count(a.client_counts)),
         "busiest_clients": over(lambda a: C.busiest_clients(a.client_counts, BUSY_FROM)),
         "vendor_class_counts": over(lambda a: D.vendor_class_counts(a.client_counts)),
-        "client_search": over(lambda a: N.search_clients(a.clients, "APPLE").select(*CLIENT)),
+        "client_search": over(lambda a: C.search_clients(a.clients, "APPLE").select(*CLIENT)),
         "client_search_mac": over(
-            lambda a: N.search_clients(a.clients, "02:11:22").select(*CLIENT)
+            lambda a: C.search_clients(a.clients, "02:11:22").select(*CLIENT)
         ),
         "client_details": over(
             lambda a: V.client_details(a.clients, "ff:ff:ff:ff:ff:ff", capture_id="cap1")
