@@ -69,7 +69,7 @@ def _values(rows: list[tuple]) -> str:
 _FRAMES = FRAMES_FROM_EVENTS.replace("{us}", "epoch_us(ts)").replace("{events}", "events")
 
 COMMON = f"""
-WITH frames AS ({_FRAMES}),
+WITH frames AS (:frames),
 oui AS (SELECT * FROM (VALUES {_values(L.OUI_VENDORS)}) t(oui, vendor)),
 subtype_names AS (SELECT * FROM (VALUES {_values(L.SUBTYPE_NAMES)}) t(code, name)),
 norm AS (
@@ -343,7 +343,8 @@ FROM summary JOIN network_lists USING (capture_id) JOIN finding_lists USING (cap
   LEFT JOIN candidate_lists USING (capture_id)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(frames: str = _FRAMES) -> dict[str, str]:
+    """SQL per query; `frames` is the SELECT that gives the raw frames."""
     network_columns = (
         "capture_id, bssid, joined AS ssids, channel, dbm AS average_signal_dbm, client_count"
     )
@@ -532,5 +533,5 @@ SELECT capture_id, 'airsift' AS product, 'Wi-Fi Forensics' AS module,
     sql = {}
     for name, body in bodies.items():
         extra, select = body if isinstance(body, tuple) else ("", body)
-        sql[name] = COMMON + (f", {extra}" if extra else "") + select
+        sql[name] = COMMON.replace(":frames", frames) + (f", {extra}" if extra else "") + select
     return sql
