@@ -98,6 +98,8 @@ def _scan(
         return (
             reader.option("header", header)
             .option("columnNameOfCorruptRecord", extra_field or _CORRUPT)
+            # Rows are only checked for their length if all of their fields are parsed.
+            .option("columnPruning", extra_field is None)
             .schema(schema)
             .csv(paths)
         )
@@ -158,7 +160,7 @@ def scan_summary(
     """Per capture: files, rows, rows with too few or too many fields, and a status.
 
     `failed` means no row could be read; `check` means some rows were short or long,
-    as in an export that was cut off.
+    as in an export that was cut off. Files of no bytes at all are not listed.
     """
     raw = _scan(spark, path, fields, glob, True, extra_field=_CORRUPT)
     rows = raw.groupBy(capture_id().alias("capture_id")).agg(
