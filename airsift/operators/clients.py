@@ -120,18 +120,6 @@ def active_client_chart(counts: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
     )
 
 
-def busiest_clients(counts: DataFrame, threshold: int = L.BUSY_CLIENT_FROM) -> DataFrame:
-    """Per capture: how many client rows reach the threshold, and the first of the
-    busiest ones (by bssid, then by place in the network)."""
-    facts = aggregates(
-        "count(*) AS busy_clients",
-        "min_by(mac, struct(-packet_count AS fewer, bssid, first_order)) AS busiest_mac",
-        "max(packet_count) AS busiest_packets",
-    )
-    busy = counts.where(F.col("packet_count") >= threshold)
-    return busy.groupBy("capture_id").agg(*facts)
-
-
 def search_clients(clients: DataFrame, query: str) -> DataFrame:
     """Clients whose MAC or vendor contains the text, in any case."""
     wanted = query.strip().lower()

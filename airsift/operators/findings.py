@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from airsift import labels as L
 from airsift.functions import measures, text
 from airsift.functions.text import literal
-from airsift.operators.clients import busiest_clients
 from airsift.operators.handshakes import status_counts
 from airsift.operators.rollups import aggregates
 from airsift.sources.dimensions import severity_labels, with_oui_vendor
@@ -26,16 +25,31 @@ _FACTS = [
 ]
 
 
-def vendor_class_counts(client_counts: DataFrame, oui: DataFrame | None = None) -> DataFrame:
-    """Distinct randomised and distinct unknown-vendor MACs per capture."""
-    macs = client_counts.select("capture_id", "mac").distinct()
+def client_class_counts(
+    client_counts: DataFrame, oui: DataFrame | None = None, busy_from: int = L.BUSY_CLIENT_FROM
+) -> DataFrame:
+    """Per capture: distinct randomised and unknown-vendor MACs, client rows of at least
+    `busy_from` packets, and the first of the busiest of these (by bssid, then by place
+    in the network).
+
+    Clients are first reduced to one row per MAC, across the cluster, so counting
+    distinct ones needs no set of MACs in any task.
+    """
+    place = "struct(-packet_count AS fewer, bssid, first_order)"
+    per_mac = aggregates(
+        f"count_if(packet_count >= {busy_from}) AS busy",
+        f"min(CASE WHEN packet_count >= {busy_from} THEN {place} END) AS place",
+    )
     label = f"{text.vendor_label('mac', 'oui_vendor')} AS vendor"
-    labelled = with_oui_vendor(macs, "mac", oui).selectExpr("capture_id", label)
+    macs = with_oui_vendor(client_counts.groupBy("capture_id", "mac").agg(*per_mac), "mac", oui)
     classes = aggregates(
         f"count_if(vendor = {literal(L.VENDOR_RANDOMIZED)}) AS randomized",
         f"count_if(vendor = {literal(L.VENDOR_UNKNOWN)}) AS unknown_vendor",
+        "sum(busy) AS busy_clients",
+        "min_by(mac, place) AS busiest_mac",
+        "-min(place).fewer AS busiest_packets",
     )
-    return labelled.groupBy("capture_id").agg(*classes)
+    return macs.selectExpr("*", label).groupBy("capture_id").agg(*classes)
 
 
 def network_class_counts(network_measures: DataFrame) -> DataFrame:
@@ -92,8 +106,7 @@ def findings(
         captures.select("capture_id"),
         status_counts(candidates, "capture_id"),
         network_class_counts(network_measures),
-        vendor_class_counts(client_counts, oui),
-        busiest_clients(client_counts, busy_from),
+        client_class_counts(client_counts, oui, busy_from),
     ]
     facts = parts[0]
     for part in parts[1:]:

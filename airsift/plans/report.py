@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
+from airsift.operators.rollups import aggregates
 from airsift.plans.analysis import Analysis
 from airsift.plans.views import CLIENT_DETAIL
 
@@ -101,14 +102,18 @@ def report_documents(
             _CANDIDATE,
         ),
     ]
-    names = ["total_packets", "network_count", "eapol_packet_count"]
-    report = small(analysis.summary).select(_KEY, *names)
+    totals = ["total_packets", "network_count", "eapol_packet_count"]
+    report = small(analysis.summary).select(_KEY, *totals)
+    lists = []
     for piece in pieces:
         name = piece.columns[1]
-        kind = piece.schema[name].dataType
-        empty = (F.create_map() if name == "frame_subtypes" else F.array()).cast(kind)
-        report = report.join(piece, _KEY, "left").withColumn(name, F.coalesce(name, empty))
-        names.append(name)
+        kind = piece.schema[name].dataType.simpleString()
+        empty = "map()" if name == "frame_subtypes" else "array()"
+        # One row per capture has the list, so any value that is not null is it.
+        lists.append(f"coalesce(any_value({name}, true), CAST({empty} AS {kind})) AS {name}")
+        report = report.unionByName(piece, allowMissingColumns=True)
+    report = report.groupBy(_KEY).agg(*aggregates(*[f"max({c}) AS {c}" for c in totals], *lists))
+    names = [c for c in report.columns if c != _KEY]
     if captures is not None:
         origin = ["capture_file", "capture_name"]
         report = report.join(captures.select(_KEY, *origin).dropDuplicates([_KEY]), _KEY, "left")

@@ -425,17 +425,16 @@ SELECT capture_id, bssid, mac, 2 * seq + side AS first_order,
 SELECT * EXCLUDE (rank), rank::INT AS rank FROM ranked WHERE rank <= 25""",
         "client_activity_total": "SELECT capture_id, mac, packet_count FROM macs",
         "distinct_clients": "SELECT capture_id, count(*) AS client_count FROM macs GROUP BY ALL",
-        "busiest_clients": f"SELECT * FROM {_busy(BUSY_FROM)}",
-        "vendor_class_counts": "SELECT * FROM vendor_classes",
+        "client_class_counts": f"""
+SELECT v.*, coalesce(busy_clients, 0) AS busy_clients, busiest_mac, busiest_packets
+FROM vendor_classes v LEFT JOIN {_busy(BUSY_FROM)} b USING (capture_id)""",
         "client_search": f"""
 SELECT {_CLIENT_COLUMNS} FROM clients
 WHERE contains(lower(mac), 'apple') OR contains(lower(vendor), 'apple')""",
         "client_search_mac": f"""
 SELECT {_CLIENT_COLUMNS} FROM clients
 WHERE contains(lower(mac), '02:11:22') OR contains(lower(vendor), '02:11:22')""",
-        "client_details": f"""
-SELECT {_CLIENT_COLUMNS} FROM clients
-WHERE capture_id = 'cap1' AND bssid = 'ff:ff:ff:ff:ff:ff'""",
+        "client_details": f"SELECT {_CLIENT_COLUMNS} FROM clients",
         "eapol_packets": "SELECT * FROM eapol",
         "first_eapol_packets": """
 SELECT * EXCLUDE (rank, total), rank::INT AS rank, greatest(total - 50, 0) AS remaining
@@ -449,7 +448,7 @@ WHERE rank <= 50""",
 SELECT capture_id, bssid, client, eapol_packet_count,
   CASE status WHEN 'strong_candidate' THEN 'Güçlü Aday' ELSE 'Kısmi' END AS status_text,
   first_seen, last_seen
-FROM candidates WHERE bssid = '3c:a7:ae:00:00:0a'""",
+FROM candidates""",
         "network_handshake_verdict": "SELECT * FROM verdict_texts",
         "findings": (default_findings, "SELECT * FROM findings"),
         "findings_busy": (_findings(BUSY_FROM), "SELECT * FROM findings"),

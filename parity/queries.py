@@ -182,15 +182,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clients_top25": over(lambda a: C.top_clients(a.clients, 25)),
         "client_activity_total": over(lambda a: C.client_totals(a.client_counts).drop("place")),
         "distinct_clients": over(lambda a: C.distinct_client_count(a.client_counts)),
-        "busiest_clients": over(lambda a: C.busiest_clients(a.client_counts, BUSY_FROM)),
-        "vendor_class_counts": over(lambda a: D.vendor_class_counts(a.client_counts)),
+        "client_class_counts": over(
+            lambda a: D.client_class_counts(a.client_counts, busy_from=BUSY_FROM)
+        ),
         "client_search": over(lambda a: C.search_clients(a.clients, "APPLE").select(*CLIENT)),
         "client_search_mac": over(
             lambda a: C.search_clients(a.clients, "02:11:22").select(*CLIENT)
         ),
-        "client_details": over(
-            lambda a: V.client_details(a.clients, "ff:ff:ff:ff:ff:ff", capture_id="cap1")
-        ),
+        "client_details": over(lambda a: V.client_details(a.clients)),
         # EAPOL and handshakes
         "eapol_packets": over(lambda a: a.eapol_packets),
         "first_eapol_packets": over(lambda a: H.first_eapol_packets(a.eapol_packets)),
@@ -199,9 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda a: H.with_status(a.handshake_candidates, "strong_candidate")
         ),
         "partial_handshakes": over(lambda a: H.with_status(a.handshake_candidates, "partial")),
-        "handshake_details": over(
-            lambda a: H.network_handshakes(a.handshake_candidates, "3C:A7:AE:00:00:0A")
-        ),
+        "handshake_details": over(lambda a: H.network_handshakes(a.handshake_candidates)),
         "network_handshake_verdict": over(
             lambda a: H.network_verdicts(a.networks, a.handshake_candidates).select(
                 "capture_id", "bssid", "strong", "partial", "verdict"

@@ -109,3 +109,28 @@ def test_union_of_captures_is_union_of_results(make_frames, edge):
         assert sorted(map(str, part.collect())) == sorted(
             map(str, table.drop("capture_id").collect())
         ), name
+
+
+def test_selections(edge):
+    from airsift.operators import handshakes as H
+    from airsift.plans import views as V
+
+    (row,) = V.network_details(edge, bssid=A, capture_id="edge").collect()
+    assert tuple(row)[2:] == ("AB", "6", "-80.0 dBm", 1, 5, "● Güçlü Aday (1)")
+    assert V.network_details(edge, capture_id="none").count() == 0
+    (row,) = V.client_details(edge.clients, bssid=FF, mac=C2).collect()
+    assert row.packet_count == 1
+    rows = H.network_handshakes(edge.handshake_candidates, A.upper(), "edge").collect()
+    assert sorted(r.status_text for r in rows) == ["Güçlü Aday", "Kısmi"]
+    assert H.network_handshakes(edge.handshake_candidates, FF).count() == 0
+
+
+def test_text_summary(edge):
+    from airsift.plans import views as V
+
+    tables = V.text_summary(edge, show_clients=0)
+    shown = sorted((r.bssid, r.ssid_text, r.channel_text, r.mac, r.remaining) for r in tables["networks"].collect())
+    missing = "<SSID belirlenemedi veya gizli>"
+    assert shown == [(A, "AB", "6", None, 1), (FF, missing, "bilinmiyor", None, 1)]
+    assert tables["eapol_packets"].count() == 5
+    assert tables["top_sources"].count() == 4
