@@ -14,7 +14,7 @@ from airsift.operators import handshakes as H
 from airsift.operators import networks as N
 from airsift.operators import rollups as R
 from airsift.operators import traffic as T
-from airsift.plans.workspace import new_work_folder, written
+from airsift.plans.workspace import all_written, new_work_folder, written
 
 
 class Analysis:
@@ -47,16 +47,21 @@ class Analysis:
         of the frames that each read only their columns. Nothing after this reads the
         frames again."""
         folder = folder or new_work_folder(self.frames.sparkSession)
-        links = written(R.rollup_links(self.frames), f"{folder}/links")
-        radio = written(R.rollup_radio(self.frames), f"{folder}/radio")
+        tables = all_written(
+            {
+                "links": R.rollup_links(self.frames),
+                "radio": R.rollup_radio(self.frames),
+                "eapol": self.eapol_packets,
+            },
+            folder,
+        )
+        facts = N.network_facts(tables["radio"], tables["links"])
         return Analysis(
             self.frames,
             self.oui,
             self.busy_from,
-            links=links,
-            radio=radio,
-            eapol=written(self.eapol_packets, f"{folder}/eapol"),
-            facts=written(N.network_facts(radio, links), f"{folder}/facts"),
+            **tables,
+            facts=written(facts, f"{folder}/facts"),
         )
 
     @cached_property

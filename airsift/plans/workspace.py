@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     a re-read, not a re-run, and later scans read only the columns they need."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def all_written(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Write independent tables at the same time, so that one's last tasks do not leave
+    the cluster idle."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        scans = pool.map(lambda item: written(item[1], f"{folder}/{item[0]}"), tables.items())
+        return dict(zip(tables, scans, strict=True))
