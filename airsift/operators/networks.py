@@ -145,21 +145,18 @@ def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
 def search_networks(networks: DataFrame, ssids: DataFrame, query: str) -> DataFrame:
     """Networks whose displayed SSIDs or BSSID contain the text, in any case.
 
-    A match can only span two SSIDs if the text has a comma. Any other text is looked
-    up name by name, which finds networks of any number of SSIDs.
+    The joined text is searched where there is a list, as a match may span two names;
+    names are also looked up one by one, which finds networks of any number of them.
     """
     wanted = query.strip().lower()
     if not wanted:
         return networks
-    shown = F.lower(F.expr(measures.ssid_text("ssids", "ssid_count"))).contains(wanted)
-    by_bssid = F.lower("bssid").contains(wanted)
-    if "," in wanted:
-        return networks.where(shown | by_bssid)
+    text_found = F.lower(F.expr(measures.ssid_text("ssids", "ssid_count"))).contains(wanted)
+    listed = F.col("ssid_count") <= MAX_LISTED_SSIDS
     names = ssids.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
     named = names.withColumn("_named", F.lit(True))
-    hidden = (F.col("ssid_count") == 0) & shown
     return (
         networks.join(named, NETWORK_KEYS, "left")
-        .where(F.col("_named") | hidden | by_bssid)
+        .where(F.col("_named") | (listed & text_found) | F.lower("bssid").contains(wanted))
         .drop("_named")
     )

@@ -38,6 +38,7 @@ class Analysis:
         self.frames = frames
         self.oui = oui
         self.busy_from = busy_from
+        self.materialized = facts is not None
         given = {"links": links, "radio": radio, "eapol_packets": eapol, "network_facts": facts}
         # A table that is given takes the place of the lazy property of its name.
         self.__dict__.update({k: v for k, v in given.items() if v is not None})
@@ -45,7 +46,9 @@ class Analysis:
     def materialize(self, folder: str | None = None) -> Analysis:
         """Write the two rollups, the EAPOL packets and the network facts: three scans
         of the frames that each read only their columns. Nothing after this reads the
-        frames again."""
+        frames again. An `Analysis` that is materialised already is returned as it is."""
+        if self.materialized:
+            return self
         folder = folder or new_work_folder(self.frames.sparkSession)
         tables = all_written(
             {
@@ -94,7 +97,7 @@ class Analysis:
 
     @cached_property
     def client_counts(self) -> DataFrame:
-        if "network_facts" in self.__dict__:
+        if self.materialized:
             return N.client_counts(self.network_facts)
         return C.client_counts(self.links)
 

@@ -100,5 +100,6 @@ def html_lines(analysis: Analysis, captures: DataFrame | None = None) -> DataFra
 def write_html_report(
     analysis: Analysis, path: str, captures: DataFrame | None = None
 ) -> None:
-    ordered = html_lines(analysis, captures).orderBy("capture_id", "section", "part", "place")
+    """One folder of lines per capture, built over the rollups."""
+    ordered = html_lines(analysis.materialize(), captures).orderBy("capture_id", "section", "part", "place")
     ordered.select("capture_id", "line").write.partitionBy("capture_id").text(path)

@@ -66,7 +66,11 @@ def write_json_report(
     wrapped: bool = False,
 ) -> None:
     """`documents/`: one JSON report per capture. `sections/`: JSON lines per table for
-    the captures too large for one document. Nothing is left out."""
+    the captures too large for one document. Nothing is left out.
+
+    The report joins all tables, so it is built over the rollups.
+    """
+    analysis = analysis.materialize()
     documents = R.report_documents(analysis, captures, max_rows)
     documents = R.envelope(documents) if wrapped else documents.select("capture_id", "report.*")
     _write_json(documents, f"{path}/documents")
@@ -76,6 +80,7 @@ def write_json_report(
 
 def write_tables(analysis: Analysis, path: str) -> None:
     """Every result table as Parquet."""
+    analysis = analysis.materialize()
     for name, table in analysis.tables().items():
         table.write.parquet(f"{path}/{name}")
 

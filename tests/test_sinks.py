@@ -142,6 +142,8 @@ def test_more_ssids_than_a_row_may_hold(make_frames, monkeypatch, tmp_path):
     assert (found[FF].ssids, found[FF].ssid_count) == (["n5", "n6", "n7"], 3)
     assert analysis.network_ssids.count() == 7
     assert {r.bssid for r in N.search_networks(analysis.networks, analysis.network_ssids, "N4").collect()} == {A}
+    ours = lambda q: {r.bssid for r in N.search_networks(analysis.networks, analysis.network_ssids, q).collect()}
+    assert (ours("n6, N7"), ours("ssid"), ours("n1")) == ({FF}, set(), {A})
     assert {r.SSID for r in W.networks_csv(analysis.networks).collect()} == {"4 SSID", "n5 | n6 | n7"}
     # The nested report is bounded by its own row check and keeps every name.
     (row,) = R.report_documents(analysis).collect()
@@ -154,3 +156,9 @@ def test_rollups_survive_damaged_addresses(make_frames, bad):
     analysis = Analysis(normalize(make_frames(rows))).materialize()
     assert analysis.networks.count() == 0
     assert [r.mac for r in analysis.top_sources.collect()] == [A]
+
+
+def test_write_tables(spark, edge, tmp_path):
+    W.write_tables(edge, str(tmp_path))
+    for name, table in edge.tables().items():
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == table.count(), name
