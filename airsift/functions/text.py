@@ -17,16 +17,18 @@ WHITESPACE = (
 )
 _WHITESPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 
-MAC_PATTERN = r"^[0-9a-f]{2}(?::[0-9a-f]{2}){5}$"
+# `\z` is the very end; `$` would also match before a last line break.
+MAC_PATTERN = r"^[0-9a-f]{2}(?::[0-9a-f]{2}){5}\z"
 # Decimal text. The lengths keep every match within the range of a DOUBLE.
-NUMBER_PATTERN = (
-    r"^[+-]?(?:[0-9]{1,200}(?:\.[0-9]*)?|\.[0-9]+)(?:[eE](?:\+?[0-9]{1,2}|-[0-9]{1,9}))?$"
-)
-INTEGER_PATTERN = r"^-?[0-9]{1,9}$"
-HEX_PAIRS_PATTERN = r"^(?:[ \t\n\x0b\f\r]*[0-9a-fA-F]{2})+[ \t\n\x0b\f\r]*$"
+_NUMBER = r"[+-]?(?:[0-9]{1,200}(?:\.[0-9]*)?|\.[0-9]+)(?:[eE](?:\+?[0-9]{1,2}|-[0-9]{1,9}))?"
+_BLANK = "[" + "".join(rf"\u{ord(c):04x}" for c in WHITESPACE) + "]*"
+NUMBER_PATTERN = rf"^{_NUMBER}\z"
+# A number as first value: blanks, number, blanks, then a comma or the end.
+FIRST_NUMBER_PATTERN = rf"^{_BLANK}({_NUMBER}){_BLANK}(?:,|\z)"
+HEX_PAIRS_PATTERN = r"^(?:[ \t\n\x0b\f\r]*[0-9a-fA-F]{2})+[ \t\n\x0b\f\r]*\z"
 # One or more printable characters: no control, format, surrogate, private-use or
 # unassigned ones, and no separator other than the plain space.
-PRINTABLE_PATTERN = r"^(?:[^\p{C}\p{Z}]| )+$"
+PRINTABLE_PATTERN = r"^((?:[^\p{C}\p{Z}]| )+)\z"
 
 
 def literal(text: str) -> str:
@@ -69,22 +71,19 @@ def parse_double(c: str) -> str:
 
 
 def parse_signal(c: str) -> str:
-    """dBm as INT, truncated toward zero; null if not a number."""
-    whole = f"try_cast(CASE WHEN {matches(c, INTEGER_PATTERN)} THEN {c} END AS INT)"
-    return f"coalesce({whole}, try_cast({parse_double(first_value(c))} AS INT))"
+    """First value as dBm, an INT truncated toward zero; null if it is no number."""
+    number = f"regexp_extract({c}, r'{FIRST_NUMBER_PATTERN}', 1)"
+    return f"try_cast(try_cast({number} AS DOUBLE) AS INT)"
 
 
 def decode_ssid(c: str) -> str:
-    """Undo hexadecimal SSIDs: an even number of characters made of hex pairs that
-    are printable UTF-8 is decoded, all other text stays as it is."""
-    text = strip(c)
-    is_hex = f"length({text}) % 2 = 0 AND {matches(text, HEX_PAIRS_PATTERN)}"
-    packed = rf"regexp_replace(CASE WHEN {is_hex} THEN {text} END, r'[ \t\n\x0b\f\r]', '')"
+    """Undo hexadecimal SSIDs, given stripped: an even number of characters made of hex
+    pairs that are printable UTF-8 is decoded, all other text stays as it is."""
+    is_hex = f"length({c}) % 2 = 0 AND {matches(c, HEX_PAIRS_PATTERN)}"
+    packed = rf"regexp_replace(CASE WHEN {is_hex} THEN {c} END, r'[ \t\n\x0b\f\r]', '')"
     decoded = f"try_validate_utf8(CAST(unhex({packed}) AS STRING))"
-    return (
-        f"CASE WHEN {text} = '' THEN {literal(L.HIDDEN_SSID)} "
-        f"WHEN {matches(decoded, PRINTABLE_PATTERN)} THEN {decoded} ELSE {text} END"
-    )
+    printable = f"nullif(regexp_extract({decoded}, r'{PRINTABLE_PATTERN}', 1), '')"
+    return f"CASE WHEN {c} = '' THEN {literal(L.HIDDEN_SSID)} ELSE coalesce({printable}, {c}) END"
 
 
 def normalize_oui(c: str) -> str:
@@ -96,7 +95,7 @@ def normalize_oui(c: str) -> str:
 def is_locally_administered(c: str) -> str:
     """Bit 0x02 of the first octet; false if the octet is no hex number."""
     octet = f"substring_index(translate({c}, '-', ':'), ':', 1)"
-    hex_octet = f"CASE WHEN {matches(octet, '^[0-9a-fA-F]{1,15}$')} THEN {octet} END"
+    hex_octet = f"CASE WHEN {matches(octet, r'^[0-9a-fA-F]{1,15}\z')} THEN {octet} END"
     return f"coalesce(CAST(conv({hex_octet}, 16, 10) AS BIGINT) & 2 <> 0, false)"
 
 
@@ -115,5 +114,5 @@ def subtype_label(code: str, name: str) -> str:
 
 def decimal_subtype(code: str) -> str:
     """Opt-in: `0x000c` to `12`, so that hexadecimal exports meet the subtype names."""
-    is_hex = matches(code, "^0[xX][0-9a-fA-F]{1,8}$")
+    is_hex = matches(code, r"^0[xX][0-9a-fA-F]{1,8}\z")
     return f"CASE WHEN {is_hex} THEN conv(substring({code}, 3), 16, 10) ELSE {code} END"

@@ -10,7 +10,7 @@ from airsift.schema import SEQ_MISSING
 
 def sequence_number(frame_number: str) -> str:
     """Packet order inside a capture; frames without a usable number come last."""
-    digits = f"CASE WHEN {text.matches(frame_number, '^[0-9]{1,18}$')} THEN {frame_number} END"
+    digits = f"CASE WHEN {text.matches(frame_number, r'^[0-9]{1,18}\z')} THEN {frame_number} END"
     return f"coalesce(try_cast({digits} AS BIGINT), {SEQ_MISSING}L)"
 
 

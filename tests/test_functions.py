@@ -38,6 +38,7 @@ def test_mac_addresses(spark):
         "3c:a7:ae:00:00": False,
         "3c:a7:ae:00:00:0a:": False,
         "x3c:a7:ae:00:00:0a": False,
+        "3c:a7:ae:00:00:0a\n": False,
         "": False,
     }
     check(spark, text.is_valid_mac("c"), valid)
@@ -109,6 +110,8 @@ def test_decode_ssid(spark):
         "E2808B": "E2808B",
         "61 626 3": "61 626 3",
         "": HIDDEN_SSID,
+        "6162630a": "6162630a",
+        "0a616263": "0a616263",
     }
     check(spark, text.decode_ssid("c"), golden)
     rng = random.Random(1)
@@ -117,7 +120,7 @@ def test_decode_ssid(spark):
         for _ in range(300)
     ]
     values += [chr(rng.randint(0x20, 0x24F)).encode().hex() for _ in range(300)]
-    values += [w.encode().hex() for w in ("Ağ 1", "日本", "a\tb", "🙂", "x y")]
+    values += [w.encode().hex() for w in ("Ağ 1", "日本", "a\tb", "🙂", "x y", "a\n", "\n", "\u2028")]
     assert evaluate(spark, text.decode_ssid("c"), values) == [plain_decode(v) for v in values]
 
 
@@ -138,6 +141,9 @@ def test_signals_and_numbers(spark):
         "99999999999": None,
         "-": None,
         "": None,
+        "\u3000-7\x1c,8": -7,
+        "-7 8": None,
+        ",-7": None,
     }
     check(spark, text.parse_signal("c"), cases)
     check(spark, text.parse_double("c"), {"1700000000.25": 1700000000.25, "x": None, "1f": None})
