@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airsift.schema import FIELD_CANDIDATES, FRAME_COLUMNS, NORMALIZED_SCHEMA, SEQ_MISSING
+from airsift.schema import FIELD_CANDIDATES, NORMALIZED_SCHEMA
 
 EXPORT_GLOB = "*.{tsv,txt,tsv.gz,txt.gz}"
 _CORRUPT = "_corrupt_record"
@@ -193,19 +193,3 @@ def read_frame_store(spark: SparkSession, path: str) -> DataFrame:
     """Normalised frames written by `write_frame_store` or the streaming ingest."""
     stored = spark.read.schema(NORMALIZED_SCHEMA).parquet(path)
     return stored.select(*NORMALIZED_SCHEMA.names)
-
-
-__all__ = [
-    "FRAME_COLUMNS",
-    "SEQ_MISSING",
-    "CaptureReadError",
-    "capture_id",
-    "field_status",
-    "list_captures",
-    "read_frame_store",
-    "read_frames",
-    "require_rows",
-    "resolve_fields",
-    "scan_summary",
-    "select_frames",
-]

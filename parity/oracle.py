@@ -373,14 +373,16 @@ FROM (SELECT src AS mac FROM norm UNION SELECT dst FROM norm)
 LEFT JOIN (SELECT oui AS o, vendor FROM oui) ON o = {_oui('mac')}""",
         "link_rollup": """
 SELECT capture_id, CASE WHEN bssid_ok THEN bssid ELSE '' END AS bssid,
-  CASE WHEN src_ok THEN src ELSE '' END AS src, CASE WHEN dst_ok THEN dst ELSE '' END AS dst, count(*) AS n, min(seq) AS first_seq,
+  CASE WHEN src_ok THEN src ELSE '' END AS src, CASE WHEN dst_ok THEN dst ELSE '' END AS dst,
+  count(*) AS n, min(seq) AS first_seq,
   min(seq) FILTER (ts IS NOT NULL) AS first_ts_seq,
   arg_min(ts, seq) FILTER (ts IS NOT NULL) AS first_ts,
   max(seq) FILTER (ts IS NOT NULL) AS last_ts_seq,
   arg_max(ts, seq) FILTER (ts IS NOT NULL) AS last_ts
 FROM norm GROUP BY ALL""",
         "radio_rollup": """
-SELECT capture_id, CASE WHEN bssid_ok THEN bssid ELSE '' END AS bssid, channel, ssid, sub, count(*) AS n, min(seq) AS first_seq,
+SELECT capture_id, CASE WHEN bssid_ok THEN bssid ELSE '' END AS bssid, channel, ssid, sub,
+  count(*) AS n, min(seq) AS first_seq,
   coalesce(sum(sig), 0)::BIGINT AS sig_sum, count(sig) AS sig_n,
   count(*) FILTER (eapol <> '') AS eapol_n
 FROM norm GROUP BY ALL""",
