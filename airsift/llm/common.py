@@ -40,6 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, work_folder(df.sparkSession, name))
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value once; tasks call the result to get it, unpickled once per task."""
+    from pyspark import cloudpickle
+
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    found: list[object] = []
+
+    def get() -> object:
+        if not found:
+            found.append(cloudpickle.loads(data.value))
+        return found[0]
+
+    return get
+
+
 def crc32_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of an id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

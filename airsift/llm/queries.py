@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airsift.llm.common import work_folder
+from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
 from airsift.llm.mixing import mix_sources
 from airsift.llm.packing import pack
 from airsift.llm.quality import quality_rules
 from airsift.llm.shards import read_documents, write_shards
+from airsift.llm.toxicity import fit, score_toxicity
 from airsift.llm.urls import Vocabulary, filter_urls
 
 URL_RULES = (
@@ -50,6 +51,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    held_out = docs.withColumn("held_out", crc32_of_id() % 4 == 2)
+    return score_toxicity(held_out, model, keep=["doc_id", "held_out"])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, keep=["doc_id"])
@@ -62,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_shards": op6_token_shards,
         "op7_main_text": op7_main_text,
         "op8_source_mix": op8_source_mix,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 

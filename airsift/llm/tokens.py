@@ -1,9 +1,9 @@
 """Token ids by the tokenizers library, as packed bytes.
 
 A byte-level vocabulary splits text before every single blank that stands between two
-characters that are not white space, whatever else is around. So a text is encoded piece by piece and the ids of a piece are looked up if it was
-seen before; the result is that of encoding the whole text. Other vocabularies encode whole
-texts at once.
+characters that are not white space, whatever else is around. So a text is encoded piece by
+piece and the ids of a piece are looked up if it was seen before; the result is that of
+encoding the whole text. Other vocabularies encode whole texts at once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 
 END_ID = 0
 _CACHED_CHARS = 40
-_CACHE_ENTRIES = 1_200_000
+_CACHE_ENTRIES = 1_000_000
 _JOINED = 200
 _WHITE = re.compile(r"\s").search
 
@@ -117,7 +117,8 @@ class Encoder:
             learned = self._learn(list(new))
             known = learned.get
             for at, parts, found in waiting:
-                out[at] = b"".join([ids or known(p, b"") for p, ids in zip(parts, found, strict=True)]) + end
+                pairs = zip(parts, found, strict=True)
+                out[at] = b"".join([ids or known(p, b"") for p, ids in pairs]) + end
             cache.update(x for x in learned.items() if len(x[0]) <= _CACHED_CHARS)
         return out
 
