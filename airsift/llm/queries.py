@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
+from airsift.llm.jaccard import similarity_join
 from airsift.llm.mixing import mix_sources
 from airsift.llm.packing import pack
 from airsift.llm.quality import quality_rules
@@ -36,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), folder)
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_packing": op3_packing,
+        "op5_ngram_join": op5_ngram_join,
         "op6_token_shards": op6_token_shards,
         "op7_main_text": op7_main_text,
         "op8_source_mix": op8_source_mix,
