@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
 from airsift.llm.jaccard import similarity_join
 from airsift.llm.mixing import mix_sources
+from airsift.llm.neighbours import nearest_neighbours
 from airsift.llm.packing import pack
 from airsift.llm.quality import quality_rules
 from airsift.llm.shards import read_documents, write_shards
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, URL_RULES, keep=["page_id"])
@@ -70,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": op1_neighbours,
         "op2_url_filter": op2_url_filter,
         "op3_packing": op3_packing,
         "op5_ngram_join": op5_ngram_join,
