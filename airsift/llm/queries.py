@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
 from airsift.llm.jaccard import similarity_join
+from airsift.llm.katz import score_texts
 from airsift.llm.mixing import mix_sources
 from airsift.llm.neighbours import nearest_neighbours
 from airsift.llm.packing import pack
@@ -44,6 +45,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), crc32_of_id() % 10 == 0)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_neighbours": op1_neighbours,
         "op2_url_filter": op2_url_filter,
         "op3_packing": op3_packing,
+        "op4_katz": op4_katz,
         "op5_ngram_join": op5_ngram_join,
         "op6_token_shards": op6_token_shards,
         "op7_main_text": op7_main_text,
