@@ -314,7 +314,19 @@ def similarity_join(
     trees = classes.where("paths IS NOT NULL").select(
         "key", F.posexplode("paths").alias("tree", "path")
     )
-    shared = trees.groupBy("tree", "path").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = (
+        trees.groupBy("tree", "path")
+        .agg(
+            F.count("*").alias("texts"),
+            F.bit_xor(F.xxhash64("key")).alias("set_1"),
+            F.bit_xor(F.xxhash64("key", F.lit(1))).alias("set_2"),
+        )
+        .where("texts > 1")
+        # The same texts meeting again in a later trie have nothing new to verify.
+        .groupBy("texts", "set_1", "set_2")
+        .agg(F.min(F.struct("tree", "path")).alias("first"))
+        .select("first.tree", "first.path", "texts")
+    )
     blocks = F.ceil(F.col("texts") / forest.block).cast("int")
     side = F.pmod(F.xxhash64("key", "tree"), F.col("blocks")).cast("int")
     members = (
