@@ -196,6 +196,26 @@ def _nearest(grouped, k: int) -> DataFrame:
     return grouped.applyInArrow(run, "query bigint, classes array<bigint>, scores array<double>")
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The best k classes of every query over all tasks, and those that tie with the last."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        classes = np.concatenate([np.array(x, np.int64) for x in table.column("classes").to_pylist()])
+        scores = np.concatenate([np.array(x, float) for x in table.column("scores").to_pylist()])
+        order = np.lexsort((-scores, classes))
+        first = np.r_[True, classes[order][1:] != classes[order][:-1]]
+        classes, scores = classes[order][first], scores[order][first]
+        if len(scores) > k:
+            best = scores >= np.partition(scores, -k)[-k]
+            classes, scores = classes[best], scores[best]
+        query = np.full(len(classes), key[0].as_py())
+        return pa.Table.from_arrays(
+            [pa.array(query), pa.array(classes), pa.array(scores)], names=["query", "class", "score"]
+        )
+
+    return found.groupBy("query").applyInArrow(run, "query bigint, class bigint, score double")
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, not empty, finite throughout, not zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -265,13 +285,7 @@ def nearest_neighbours(
     probes = probes.select(task, *side).join(asking.select("class", "vector"), "class")
     found = _nearest(placed.groupBy("task").cogroup(probes.groupBy("task")), k + 1)
 
-    pairs = found.select(
-        "query", F.explode(F.arrays_zip("classes", "scores")).alias("x")
-    ).select("query", F.col("x.classes").alias("class"), F.col("x.scores").alias("score"))
-    pairs = pairs.groupBy("query", "class").agg(F.max("score").alias("score"))
-    # Ranks with ties: classes that tie with the last one stay until ids decide.
-    pairs = pairs.withColumn("_r", F.rank().over(W.partitionBy("query").orderBy(F.desc("score"))))
-    pairs = pairs.where(F.col("_r") <= keep)
+    pairs = _merged(found, keep)
     listed = pairs.join(few, "class").select("query", "score", F.explode("ids").alias("vec_id"))
     listed = listed.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
