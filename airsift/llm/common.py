@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest as hash64  # noqa: F401  operators import it from here
 
 # A word is a run of bytes outside this class; `bytes.split()` splits on just these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -113,12 +114,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def hash64(data: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(data)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -178,3 +173,51 @@ def sorted_groups(
                 start = i
     if waiting:
         yield current, pa.Table.from_batches(waiting)
+
+
+_RADIX = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+def _powers(radix: int, n: int) -> np.ndarray:
+    """1, radix, radix**2, ... modulo 2**64."""
+    out = np.full(n, np.uint64(radix))
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def hashed_words(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z in lower case, and words per text.
+
+    Works on the bytes of the whole column: running sums of byte values times powers of a
+    radix give the polynomial hash of every word as a difference. Null texts have no words.
+    """
+    values = column(batch, name).cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(values.buffers()[1], np.int64)
+    offsets = offsets[values.offset : values.offset + len(values) + 1]
+    n = int(offsets[-1] - offsets[0])
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(values), np.int64)
+    raw = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    apart = np.zeros(256, bool)
+    apart[[9, 10, 11, 12, 13, 32]] = True
+    gap = apart[raw]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    first[n] = True
+    start = np.flatnonzero(~gap & (np.r_[True, gap[:-1]] | first[:n]))
+    last = np.flatnonzero(~gap & (np.r_[gap[1:], True] | first[1:]))
+    hashed = np.zeros(len(start), np.uint64)
+    rng = np.random.default_rng(3)
+    with np.errstate(over="ignore"):
+        for radix in _RADIX:
+            symbols = rng.integers(1, 1 << 63, 256, np.uint64)
+            symbols[65:91] = symbols[97:123]
+            sums = symbols[raw]
+            sums *= _powers(radix, n)
+            np.cumsum(sums, out=sums)
+            begun = np.where(start > 0, sums[start - 1], np.uint64(0))
+            inverse = _powers(pow(radix, -1, 1 << 64), n)[start]
+            hashed = mix64(hashed * np.uint64(0x9E3779B97F4A7C15) + (sums[last] - begun) * inverse)
+    return hashed, np.diff(np.searchsorted(start, offsets))

@@ -11,7 +11,7 @@ Texts are cut into blocks. Every block sends its bigrams, each with the document
 to the partition of its word, where counts and scores meet; so no text is shuffled, and
 counts and scores need one exchange. Words and bigrams that are frequent beyond a
 partition's share are dealt over all of them, with counts taken beforehand. Words are named
-by 64-bit hashes: two of n words share a name with probability n**2 / 2**65.
+by 64-bit hashes, so of n words two share a name with a probability of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 from airsift.llm.common import (
     arrow_type,
     column,
-    hash64,
+    hashed_words,
     mix64,
     pack,
     shipped,
     stored,
-    texts,
     unpack,
     work_folder,
 )
@@ -51,7 +50,7 @@ class Katz:
 
     low: int = 5
     high_discount: float = 0.5
-    block: int = 2_500_000
+    block: int = 1_500_000
     partition: int = 4_000_000
 
     def discounts(self, spectrum: list[int]) -> np.ndarray:
@@ -147,16 +146,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         return Block(number, ids, np.array(held, bool), flat, np.array(counts, np.int64))
 
     for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            cut = [t.encode().lower().split() for t in texts(part)]
-            flat = [w for c in cut for w in c]
-            known = {w: hash64(w) for w in dict.fromkeys(flat)}
-            words.append(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)))
-            counts += map(len, cut)
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            flat, each = hashed_words(part)
+            words.append(flat)
+            counts += each.tolist()
             ids += column(part, "doc_id").to_pylist()
             held += column(part, "held_out").to_pylist()
-            total += len(flat) + len(cut)
+            total += len(flat) + len(each)
             if total >= size:
                 yield made()
                 number += 1
@@ -196,13 +193,13 @@ def _hot_pairs(docs: DataFrame, model: Katz, totals: Callable[[], Totals], least
         history = np.sort(np.r_[known.hot, START])
         for block in _blocks(batches, model.block):
             word, before, doc = block.tokens(known)
-            use = (_find(known.hot, word) >= 0) & (_find(history, before) >= 0)
-            use &= ~block.held[doc]
-            pairs, n = np.unique(np.c_[word[use], before[use]], axis=0, return_counts=True)
+            a, b = _find(known.hot, word), _find(history, before)
+            use = (a >= 0) & (b >= 0) & ~block.held[doc]
+            pairs, n = np.unique(a[use] * len(history) + b[use], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(pairs[:, 0].view(np.int64).copy()),
-                    pa.array(pairs[:, 1].view(np.int64).copy()),
+                    pa.array(known.hot[pairs // len(history)].view(np.int64)),
+                    pa.array(history[pairs % len(history)].view(np.int64)),
                     pa.array(n.astype(np.int64)),
                 ],
                 names=["word", "before", "n"],
