@@ -85,8 +85,12 @@ def perturbations(place: np.ndarray, probes: int) -> list[list[tuple[int, int]]]
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
+    """Vectors as rows; shorter ones are filled with zeros, which add nothing to a product."""
     lists = values.to_pylist()
-    return np.array(lists, np.float64).reshape(len(lists), -1)
+    out = np.zeros((len(lists), max(map(len, lists), default=0)))
+    for row, v in zip(out, lists, strict=True):
+        row[: len(v)] = v
+    return out
 
 
 def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -166,6 +170,9 @@ def _nearest(grouped, k: int) -> DataFrame:
         wanted = queries.column("bucket").to_numpy()[order]
         low, high = np.searchsorted(buckets, wanted, "left"), np.searchsorted(buckets, wanted, "right")
         sources = _matrix(queries.column("vector").combine_chunks().take(pa.array(order[begin])))
+        width = max(vectors.shape[1], sources.shape[1])
+        vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
+        sources = np.pad(sources, ((0, 0), (0, width - sources.shape[1])))
         out_names, out_classes, out_scores = [], [], []
         for i, name in enumerate(names.tolist()):
             seen = np.zeros(len(ids), bool)
