@@ -53,18 +53,9 @@ def handshake_verdict(strong: str, partial: str) -> str:
     )
 
 
-def joined_ssids(ssids: str, count: str, separator: str = ", ") -> str:
-    """SSIDs as one text; their number where they are too many for a list."""
-    return f"coalesce(array_join({ssids}, '{separator}'), format_string('%d SSID', {count}))"
-
-
-def ssid_text(
-    ssids: str, count: str, surface: str = "table", fallback: str | None = None
-) -> str:
-    """SSIDs for display; `surface` picks the text for a network without any, unless
-    `fallback` names a column for it."""
-    other = fallback or literal(L.SSID_FALLBACK[surface])
-    return f"CASE WHEN {count} > 0 THEN {joined_ssids(ssids, count)} ELSE {other} END"
+def ssid_text(ssid: str, surface: str = "table") -> str:
+    """A name for display; `surface` picks the text for a network without any."""
+    return f"coalesce({ssid}, {literal(L.SSID_FALLBACK[surface])})"
 
 
 def channel_text(channel: str, surface: str = "table") -> str:

@@ -19,8 +19,8 @@ _WHITESPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 
 # `\z` is the very end; `$` would also match before a last line break.
 MAC_PATTERN = r"^[0-9a-f]{2}(?::[0-9a-f]{2}){5}\z"
-# Decimal text. The lengths keep every match within the range of a DOUBLE.
-_NUMBER = r"[+-]?(?:[0-9]{1,200}(?:\.[0-9]*)?|\.[0-9]+)(?:[eE](?:\+?[0-9]{1,2}|-[0-9]{1,9}))?"
+# Decimal text of any length; what leaves the range of a DOUBLE is told by the result.
+_NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _BLANK = "[" + "".join(rf"\u{ord(c):04x}" for c in WHITESPACE) + "]*"
 NUMBER_PATTERN = rf"^{_NUMBER}\z"
 # A number as first value: blanks, number, blanks, then a comma or the end.
@@ -67,7 +67,11 @@ def is_ignored_mac(c: str) -> str:
 
 def parse_double(c: str) -> str:
     """Decimal text to DOUBLE. Null for everything else, `1d`, NaN and infinity included."""
-    return f"try_cast(CASE WHEN {matches(c, NUMBER_PATTERN)} THEN {c} END AS DOUBLE)"
+    return _finite(f"try_cast(CASE WHEN {matches(c, NUMBER_PATTERN)} THEN {c} END AS DOUBLE)")
+
+
+def _finite(number: str) -> str:
+    return f"nullif(nullif({number}, DOUBLE('Infinity')), DOUBLE('-Infinity'))"
 
 
 def parse_signal(c: str) -> str:

@@ -117,7 +117,7 @@ FINDING_BUSY = (
     "info",
     "activity",
     "Yüksek istemci aktivitesi",
-    "%d istemci 10.000 veya daha fazla paket ile yüksek trafik aktivitesi gösterdi. "
+    "%d istemci {busy_from} veya daha fazla paket ile yüksek trafik aktivitesi gösterdi. "
     "En yoğun istemci: %s (%d paket).",
 )
 FINDING_UNKNOWN_VENDOR = (
@@ -139,7 +139,7 @@ ENVELOPE_MODULE = "Wi-Fi Forensics"
 
 # --- fixed values: CSV headers ----------------------------------------------
 NETWORKS_CSV_COLUMNS = ["SSID", "BSSID", "Kanal", "Ortalama_Sinyal_dBm", "Istemci_Sayisi"]
-CLIENTS_CSV_COLUMNS = ["BSSID", "SSID", "Istemci_MAC", "Paket_Sayisi"]
+CLIENTS_CSV_COLUMNS = ["BSSID", "Istemci_MAC", "Paket_Sayisi"]
 
 # --- fixed values: list lengths ----------------------------------------------
 TOP_TALKERS = 20

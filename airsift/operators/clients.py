@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from airsift import labels as L
 from airsift.functions import measures, text
-from airsift.operators.ranking import WINDOW_LIMIT, exact_rank, top_k
+from airsift.operators.ranking import exact_rank, top_k
 from airsift.operators.rollups import TIME_BOUNDS, aggregates
 from airsift.sources.dimensions import with_oui_vendor
 
@@ -85,8 +85,6 @@ def ranked_clients(clients: DataFrame) -> DataFrame:
 
 def top_clients(clients: DataFrame, n: int) -> DataFrame:
     """The first n clients of every network, with their rank."""
-    if n > WINDOW_LIMIT:
-        return ranked_clients(clients).where(F.col("rank") <= n)
     return top_k(clients, ["capture_id", "bssid"], client_order(), n)
 
 

@@ -75,16 +75,21 @@ def _finding(rule: int, when: str, finding: tuple, n: str, *more: str) -> str:
     )
 
 
-_RULES = [
+def _rules(busy_from: int) -> list[str]:
+    severity, category, title, description = L.FINDING_BUSY
+    shown = description.replace("{busy_from}", f"{busy_from:,}".replace(",", "."))
+    return [*_FIXED_RULES, _finding(*_BUSY_RULE, (severity, category, title, shown), *_BUSIEST)]
+
+
+_BUSY_RULE = (5, "busy_clients > 0")
+_BUSIEST = ("busy_clients", "busiest_mac", "busiest_packets")
+_FIXED_RULES = [
     _finding(1, "strong > 0", L.FINDING_STRONG, "strong"),
     _finding(1, "strong = 0 AND partial > 0", L.FINDING_PARTIAL, "partial"),
     _finding(1, "strong = 0 AND partial = 0", L.FINDING_NO_HANDSHAKE, "0L"),
     _finding(2, "randomized > 0", L.FINDING_RANDOMIZED, "randomized"),
     _finding(3, "hidden > 0", L.FINDING_NO_SSID, "hidden"),
     _finding(4, "weak > 0", L.FINDING_WEAK, "weak"),
-    _finding(
-        5, "busy_clients > 0", L.FINDING_BUSY, "busy_clients", "busiest_mac", "busiest_packets"
-    ),
     _finding(6, "unknown_vendor > 0", L.FINDING_UNKNOWN_VENDOR, "unknown_vendor"),
 ]
 
@@ -113,7 +118,7 @@ def findings(
         facts = facts.unionByName(part, allowMissingColumns=True)
     # At most one part has a value for a fact, so max picks it.
     facts = facts.groupBy("capture_id").agg(*aggregates(*[f"max({c}) AS {c}" for c in _FACTS]))
-    fired = f"inline(array_compact(array({', '.join(_RULES)})))"
+    fired = f"inline(array_compact(array({', '.join(_rules(busy_from))})))"
     return facts.fillna(0).selectExpr("capture_id", fired)
 
 

@@ -12,9 +12,6 @@ from airsift.operators.ranking import top_k
 from airsift.operators.rollups import aggregates
 
 NETWORK_KEYS = ["capture_id", "bssid"]
-# Longest SSID list put into one row.
-MAX_LISTED_SSIDS = 1000
-
 _FACT_KEYS = [*NETWORK_KEYS, "kind", "value"]
 _DECODED_SSID = f"CASE WHEN ssid = '' THEN '' ELSE {text.decode_ssid('ssid')} END"
 
@@ -51,7 +48,9 @@ def network_facts(radio: DataFrame, links: DataFrame) -> DataFrame:
         "sum(sig_sum) AS sig_sum",
         "sum(sig_n) AS sig_n",
     )
-    facts = radio_facts(radio).unionByName(client_facts(links))
+    # Texts are decoded and facts unfolded once per distinct radio row, not per frame.
+    grouped = radio.groupBy(*NETWORK_KEYS, "channel", "ssid").agg(*sums)
+    facts = radio_facts(grouped).unionByName(client_facts(links))
     return facts.groupBy(*_FACT_KEYS).agg(*sums)
 
 
@@ -74,25 +73,16 @@ def network_measures(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*NETWORK_KEYS).agg(*values)
 
 
-def networks(measured: DataFrame, ssids: DataFrame) -> DataFrame:
-    """Networks with the sorted list of their SSIDs.
-
-    A list is built from at most MAX_LISTED_SSIDS names. The list of a network with
-    more names is null; `network_ssids` holds them all, one per row.
-    """
-    names = top_k(ssids, NETWORK_KEYS, [F.asc("ssid")], MAX_LISTED_SSIDS)
-    lists = names.groupBy(*NETWORK_KEYS).agg(F.expr("sort_array(collect_list(ssid)) AS listed"))
-    ssid_list = (
-        "CASE WHEN ssid_count = 0 THEN CAST(array() AS ARRAY<STRING>) "
-        f"WHEN ssid_count <= {MAX_LISTED_SSIDS} THEN listed END AS ssids"
-    )
-    return measured.join(lists, NETWORK_KEYS, "left").selectExpr(*measured.columns, ssid_list)
+def with_names(networks: DataFrame, ssids: DataFrame) -> DataFrame:
+    """Networks with `ssid`, one row per network and name; null for one without any."""
+    return networks.join(ssids, NETWORK_KEYS, "left")
 
 
 def network_ssids(radio: DataFrame) -> DataFrame:
     """Distinct decoded SSIDs per network, one per row."""
     named = radio.where("bssid <> '' AND ssid <> ''")
-    return named.selectExpr(*NETWORK_KEYS, f"{_DECODED_SSID} AS ssid").distinct()
+    raw = named.select(*NETWORK_KEYS, "ssid").distinct()
+    return raw.selectExpr(*NETWORK_KEYS, f"{_DECODED_SSID} AS ssid").distinct()
 
 
 def channel_counts(radio: DataFrame) -> DataFrame:
@@ -127,15 +117,16 @@ def client_counts(facts: DataFrame) -> DataFrame:
     )
 
 
-def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
-    """The n strongest networks of every capture, ties by bssid."""
+def signal_chart(networks: DataFrame, ssids: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
+    """The n strongest networks of every capture, ties by bssid, one row per name. Names
+    are looked up for the networks on the chart only."""
     order = [F.desc("average_signal_dbm"), F.asc("bssid")]
     top = top_k(networks.where("average_signal_dbm IS NOT NULL"), ["capture_id"], order, n)
-    return top.selectExpr(
+    return with_names(top, ssids).selectExpr(
         "capture_id",
         "rank",
         "bssid",
-        f"{measures.ssid_text('ssids', 'ssid_count', fallback='bssid')} AS label",
+        "coalesce(ssid, bssid) AS label",
         "average_signal_dbm",
         f"{measures.dbm_text('average_signal_dbm')} AS value_text",
         f"{measures.signal_scale('average_signal_dbm')} AS progress",
@@ -143,20 +134,14 @@ def signal_chart(networks: DataFrame, n: int = L.CHART_ROWS) -> DataFrame:
 
 
 def search_networks(networks: DataFrame, ssids: DataFrame, query: str) -> DataFrame:
-    """Networks whose displayed SSIDs or BSSID contain the text, in any case.
-
-    The joined text is searched where there is a list, as a match may span two names;
-    names are also looked up one by one, which finds networks of any number of them.
-    """
+    """Networks of which the BSSID, one name or the text for a missing name contains the
+    query, in any case."""
     wanted = query.strip().lower()
     if not wanted:
         return networks
-    text_found = F.lower(F.expr(measures.ssid_text("ssids", "ssid_count"))).contains(wanted)
-    listed = F.col("ssid_count") <= MAX_LISTED_SSIDS
     names = ssids.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
     named = names.withColumn("_named", F.lit(True))
-    return (
-        networks.join(named, NETWORK_KEYS, "left")
-        .where(F.col("_named") | (listed & text_found) | F.lower("bssid").contains(wanted))
-        .drop("_named")
-    )
+    found = F.col("_named") | F.lower("bssid").contains(wanted)
+    if wanted in L.SSID_FALLBACK["table"].lower():
+        found = found | (F.col("ssid_count") == 0)
+    return networks.join(named, NETWORK_KEYS, "left").where(found).drop("_named")

@@ -10,8 +10,8 @@ from airsift.schema import SEQ_MISSING
 
 def sequence_number(frame_number: str) -> str:
     """Packet order inside a capture; frames without a usable number come last."""
-    digits = f"CASE WHEN {text.matches(frame_number, r'^[0-9]{1,18}\z')} THEN {frame_number} END"
-    return f"coalesce(try_cast({digits} AS BIGINT), {SEQ_MISSING}L)"
+    digits = f"CASE WHEN {text.matches(frame_number, r'^[0-9]+\z')} THEN {frame_number} END"
+    return f"coalesce(nullif(least(try_cast({digits} AS BIGINT), {SEQ_MISSING}L), {SEQ_MISSING}L), {SEQ_MISSING}L)"
 
 
 def _projection() -> list[str]:
@@ -45,7 +45,11 @@ def normalize(frames: DataFrame) -> DataFrame:
     Codes stay text, SSIDs stay encoded: both are translated after aggregation, when
     there are few of them.
     """
-    return frames.selectExpr(*_projection())
+    columns = _projection()
+    if "scan_order" in frames.columns:
+        # Without packet numbers the order of the scan counts.
+        columns = [c if not c.endswith(" AS seq") else "scan_order AS seq" for c in columns]
+    return frames.selectExpr(*columns)
 
 
 def eapol_frames(frames: DataFrame) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this length Spark does not limit window groups before the shuffle by default
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-WINDOW_LIMIT = 1000
+from airsift.schema import SEQ_MISSING
+
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 # Width of a slice of sequence numbers in `exact_rank`: 2^20 frames, so that a
 # slice never holds more than 2^21 endpoints.
 SLICE_BITS = 21
+# Orders from here on are those of frames without a usable number; they do not tell rows
+# apart, so those rows are sliced by their address.
+_UNNUMBERED = 2 * SEQ_MISSING
+_ADDRESS_BITS = 20
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -20,6 +24,10 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     Spark limits each group to k rows in every task before the shuffle, so a hot
     group sends k rows per task, whatever its size.
     """
+    # Spark limits groups up to a threshold only; longer lists raise it.
+    conf = df.sparkSession.conf
+    if k > int(conf.get(_GROUP_LIMIT, "1000")):
+        conf.set(_GROUP_LIMIT, str(k))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
 
@@ -33,10 +41,18 @@ def exact_rank(
     sum of three bounded counts: rows of the group with a larger count (one row per
     distinct count, and k distinct counts need k*k/2 frames), rows of the same count
     in earlier slices of `order` (one row per slice), and the place in the slice (at
-    most 2^SLICE_BITS rows, as `order` is unique in a group; `tie` only settles rows
-    without a frame number).
+    most 2^SLICE_BITS rows, as `order` is unique in a group). Rows without a frame number
+    share one order and are settled by `tie`, an address: their slices are ranges of
+    2^_ADDRESS_BITS addresses.
     """
-    slice_no = F.shiftright(F.col(order), SLICE_BITS)
+    address = F.conv(F.translate(F.col(tie), ":-", ""), 16, 10).cast("bigint")
+    ranged = F.shiftright(F.coalesce(address, F.lit(-1).cast("bigint")), _ADDRESS_BITS)
+    part = F.when(F.col(order) >= _UNNUMBERED, ranged).otherwise(F.lit(0).cast("bigint"))
+    slice_no = F.struct(
+        F.shiftright(F.col(order), SLICE_BITS).alias("a"),
+        F.when(F.col(order) >= _UNNUMBERED, F.col(order)).alias("b"),
+        part.alias("c"),
+    )
     sliced = df.withColumn("_slice", slice_no)
     cells = sliced.groupBy(*group, count, "_slice").agg(F.count("*").alias("_n"))
 

@@ -119,7 +119,8 @@ class Analysis:
 
     @cached_property
     def networks(self) -> DataFrame:
-        return N.networks(self.network_measures, self.network_ssids)
+        """Networks with their single values; `network_ssids` has the names."""
+        return self.network_measures
 
     @cached_property
     def handshake_candidates(self) -> DataFrame:
@@ -154,6 +155,7 @@ class Analysis:
         return {
             "capture_summary": self.summary,
             "networks": self.networks,
+            "network_ssids": self.network_ssids,
             "clients": self.clients,
             "frame_subtypes": self.frame_subtypes,
             "top_sources": self.top_sources,

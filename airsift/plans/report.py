@@ -1,4 +1,4 @@
-"""The nested report of a capture, and the flat form for captures of any size."""
+"""The report of a capture: one flat table per section, the same at every size."""
 
 from __future__ import annotations
 
@@ -6,144 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
-from airsift.operators.rollups import aggregates
 from airsift.plans.analysis import Analysis
-from airsift.plans.views import CLIENT_DETAIL
 
-# A capture whose lists hold more rows than this in total is reported flat.
-MAX_DOCUMENT_ROWS = 100_000
 
-_KEY = "capture_id"
-_EAPOL = ["frame_number", "timestamp", "source", "destination", "bssid", "eapol_type"]
-_CANDIDATE = ["bssid", "client", "eapol_packet_count", "first_seen", "last_seen", "status"]
-_FINDING = ["severity", "category", "title", "description"]
-_TALKER = ["mac", "packet_count"]
-_NETWORK = ["bssid", "ssids", "channel", "average_signal_dbm", "clients"]
+def report_sections(analysis: Analysis) -> dict[str, DataFrame]:
+    """One row per element of every list of the report, with the columns it is ordered by."""
+    return analysis.tables()
 
 
-def report_rows(analysis: Analysis) -> DataFrame:
-    """How many list rows the report of each capture has: the size check."""
-    parts = [
-        analysis.network_facts.where(F.col("kind") != "signal"),
-        analysis.eapol_packets,
-        analysis.handshake_candidates,
-        analysis.frame_subtypes,
-    ]
-    counts = analysis.packet_totals.select(_KEY, F.lit(0).cast("bigint").alias("rows"))
-    for part in parts:
-        counts = counts.unionByName(part.groupBy(_KEY).agg(F.count("*").alias("rows")))
-    return counts.groupBy(_KEY).agg(F.sum("rows").alias("report_rows"))
-
-
-def _ordered_list(order: list[Column], fields: list[str]) -> Column:
-    """Rows of a group as a list of structs. Only for groups behind the size check."""
-    keys = [key.alias(f"k{i}") for i, key in enumerate(order)]
-    collected = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*fields).alias("v"))))
-    return F.transform(collected, lambda x: x["v"])
-
-
-def _per_capture(df: DataFrame, name: str, order: list[Column], fields: list[str]) -> DataFrame:
-    return df.groupBy(_KEY).agg(_ordered_list(order, fields).alias(name))
-
-
-def nested_networks(measures: DataFrame, ssids: DataFrame, clients: DataFrame) -> DataFrame:
-    """Networks with their SSIDs and clients as ordered lists."""
-    order = [-F.col("packet_count"), F.col("first_order"), F.col("mac")]
-    keys = [_KEY, "bssid"]
-    lists = {
-        "ssids": ssids.groupBy(*keys).agg(F.sort_array(F.collect_list("ssid")).alias("ssids")),
-        "clients": clients.groupBy(*keys).agg(
-            _ordered_list(order, CLIENT_DETAIL).alias("clients")
-        ),
-    }
-    nested = measures
-    for name, table in lists.items():
-        empty = F.array().cast(table.schema[name].dataType)
-        nested = nested.join(table, keys, "left").withColumn(name, F.coalesce(name, empty))
-    return nested.select(_KEY, *_NETWORK)
-
-
-def report_documents(
+def envelope(
     analysis: Analysis,
     captures: DataFrame | None = None,
-    max_rows: int = MAX_DOCUMENT_ROWS,
-) -> DataFrame:
-    """One nested report per capture of at most `max_rows` list rows.
-
-    Larger captures are left to `report_sections`; together they hold everything.
-    """
-    fitting = report_rows(analysis).where(F.col("report_rows") <= max_rows).select(_KEY)
-
-    def small(df: DataFrame) -> DataFrame:
-        return df.join(fitting, _KEY, "left_semi")
-
-    subtype_entries = _ordered_list(
-        [-F.col("packet_count"), F.col("first_seq")], ["subtype", "packet_count"]
-    )
-    networks = nested_networks(
-        small(analysis.network_measures), small(analysis.network_ssids), small(analysis.clients)
-    )
-    rank = [F.col("rank")]
-    pieces = [
-        _per_capture(networks, "networks", [F.col("bssid")], _NETWORK),
-        _per_capture(
-            small(analysis.findings), "security_findings", [F.col("rule_no")], _FINDING
-        ),
-        small(analysis.frame_subtypes)
-        .groupBy(_KEY)
-        .agg(F.map_from_entries(subtype_entries).alias("frame_subtypes")),
-        _per_capture(small(analysis.top_sources), "top_sources", rank, _TALKER),
-        _per_capture(small(analysis.top_destinations), "top_destinations", rank, _TALKER),
-        _per_capture(small(analysis.eapol_packets), "eapol_packets", [F.col("seq")], _EAPOL),
-        _per_capture(
-            small(analysis.handshake_candidates),
-            "handshake_candidates",
-            [F.col("first_seq"), F.col("bssid"), F.col("client")],
-            _CANDIDATE,
-        ),
-    ]
-    totals = ["total_packets", "network_count", "eapol_packet_count"]
-    report = small(analysis.summary).select(_KEY, *totals)
-    lists = []
-    for piece in pieces:
-        name = piece.columns[1]
-        kind = piece.schema[name].dataType.simpleString()
-        empty = "map()" if name == "frame_subtypes" else "array()"
-        # One row per capture has the list, so any value that is not null is it.
-        lists.append(f"coalesce(any_value({name}, true), CAST({empty} AS {kind})) AS {name}")
-        report = report.unionByName(piece, allowMissingColumns=True)
-    report = report.groupBy(_KEY).agg(*aggregates(*[f"max({c}) AS {c}" for c in totals], *lists))
-    names = [c for c in report.columns if c != _KEY]
-    if captures is not None:
-        origin = ["capture_file", "capture_name"]
-        report = report.join(captures.select(_KEY, *origin).dropDuplicates([_KEY]), _KEY, "left")
-        names += origin
-    return report.select(_KEY, F.struct(*names).alias("report"))
-
-
-def report_sections(
-    analysis: Analysis, max_rows: int = MAX_DOCUMENT_ROWS
-) -> dict[str, DataFrame]:
-    """The same report as flat tables, for the captures with more than `max_rows` list
-    rows. Rows carry the columns their lists are ordered by."""
-    large = report_rows(analysis).where(F.col("report_rows") > max_rows).select(_KEY)
-    tables = analysis.tables() | {
-        "networks": analysis.network_measures,
-        "network_ssids": analysis.network_ssids,
-    }
-    return {name: table.join(large, _KEY, "left_semi") for name, table in tables.items()}
-
-
-def envelope(
-    documents: DataFrame, product: str = "airsift", generated_at: Column | None = None
+    product: str = "airsift",
+    generated_at: Column | None = None,
 ) -> DataFrame:
-    """Reports wrapped with product, module and time of creation."""
+    """One row per capture: product, module, time of creation and the totals; `captures`
+    (see `list_captures`) adds file names."""
     if generated_at is None:
         generated_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    return documents.select(
-        _KEY,
+    summary = analysis.summary
+    if captures is not None:
+        names = captures.select("capture_id", "capture_file", "capture_name")
+        summary = summary.join(names.dropDuplicates(["capture_id"]), "capture_id", "left")
+    return summary.select(
+        "capture_id",
         F.lit(product).alias("product"),
         F.lit(L.ENVELOPE_MODULE).alias("module"),
         generated_at.alias("generated_at"),
-        "report",
+        *[F.col(c) for c in summary.columns if c != "capture_id"],
     )

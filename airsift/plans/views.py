@@ -11,6 +11,7 @@ from airsift.functions.text import literal
 from airsift.operators import clients as C
 from airsift.operators import findings as D
 from airsift.operators import handshakes as H
+from airsift.operators import networks as N
 from airsift.operators import traffic as T
 from airsift.plans.analysis import Analysis
 
@@ -26,15 +27,22 @@ CLIENT_DETAIL = [
 ]
 
 
-def network_table(networks: DataFrame, surface: str = "table") -> DataFrame:
-    """Networks with display texts. `surface` is `table`, `report` or `cli`, which
-    differ in the text for a missing SSID, channel or signal. Order by bssid."""
-    return networks.selectExpr("capture_id", "bssid", *_display(surface), "client_count")
+def network_table(
+    networks: DataFrame, ssids: DataFrame, surface: str = "table"
+) -> DataFrame:
+    """Networks with display texts, one row per name. `surface` is `table`, `report` or
+    `cli`, which differ in the text for a missing SSID, channel or signal."""
+    return N.with_names(networks, ssids).selectExpr(
+        "capture_id",
+        "bssid",
+        f"{measures.ssid_text('ssid', surface)} AS ssid_text",
+        *_display(surface),
+        "client_count",
+    )
 
 
 def _display(surface: str) -> list[str]:
     return [
-        f"{measures.ssid_text('ssids', 'ssid_count', surface)} AS ssid_text",
         f"{measures.channel_text('channel', surface)} AS channel_text",
         f"{measures.signal_text('average_signal_dbm', surface)} AS signal_text",
     ]
@@ -44,13 +52,15 @@ def networks_with_clients(
     networks: DataFrame, clients: DataFrame, n: int, surface: str
 ) -> DataFrame:
     """Every network with its first n clients, one row per client; a network without
-    clients keeps one row. `remaining` counts the clients not listed."""
+    clients keeps one row. `remaining` counts the clients not listed. Names of networks
+    are in `network_table`."""
     n = max(n, 0)
     listed = C.top_clients(clients, n).select("capture_id", "bssid", "rank", *CLIENT_DETAIL)
-    return (
-        network_table(networks, surface)
-        .join(listed, ["capture_id", "bssid"], "left")
-        .selectExpr("*", f"{measures.remaining('client_count', n)} AS remaining")
+    shown = networks.selectExpr(
+        "capture_id", "bssid", "ssid_count", *_display(surface), "client_count"
+    )
+    return shown.join(listed, ["capture_id", "bssid"], "left").selectExpr(
+        "*", f"{measures.remaining('client_count', n)} AS remaining"
     )
 
 
@@ -88,18 +98,20 @@ def summary_cards(summary: DataFrame, captures: DataFrame | None = None) -> Data
 def network_details(
     analysis: Analysis, bssid: str | None = None, capture_id: str | None = None
 ) -> DataFrame:
-    """Detail rows of all networks, or of the selected one. The EAPOL number is that of
+    """Detail rows of all networks, or of the selected one, one per name. The EAPOL number is that of
     the whole capture."""
     networks, candidates = analysis.networks, analysis.handshake_candidates
+    ssids = analysis.network_ssids
     totals = analysis.packet_totals.select("capture_id", "eapol_packet_count")
     if capture_id is not None:
         networks = networks.where(F.col("capture_id") == capture_id)
     if bssid is not None:
         networks = networks.where(F.col("bssid") == bssid)
     verdicts = H.network_verdicts(networks, candidates)
-    return verdicts.join(totals, "capture_id").selectExpr(
+    return N.with_names(verdicts, ssids).join(totals, "capture_id").selectExpr(
         "capture_id",
         "bssid",
+        f"{measures.ssid_text('ssid')} AS ssid_text",
         *_display("table"),
         "client_count",
         "eapol_packet_count",
@@ -129,6 +141,7 @@ def text_summary(analysis: Analysis, show_clients: int = L.CLI_CLIENTS) -> dict[
     return {
         "totals": analysis.summary,
         "networks": clients,
+        "network_names": network_table(analysis.networks, analysis.network_ssids, "cli"),
         "subtypes": report_subtypes(analysis.frame_subtypes),
         "top_sources": T.top_talkers(analysis.links, "src", L.CLI_TOP_SOURCES),
         "eapol_packets": H.first_eapol_packets(analysis.eapol_packets),

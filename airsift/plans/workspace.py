@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,16 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; every executor must reach it.
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
+    """The folder the cluster names for checkpoints; every executor must reach it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="airsift-")
+    return folder
 
 
 def new_work_folder(spark: SparkSession) -> str:

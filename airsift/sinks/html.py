@@ -47,7 +47,8 @@ def html_lines(analysis: Analysis, captures: DataFrame | None = None) -> DataFra
             f"{line} AS line",
         )
 
-    networks = V.network_table(analysis.networks, "report")
+    names = V.network_table(analysis.networks, analysis.network_ssids, "report")
+    networks = analysis.networks.selectExpr("*", *V._display("report"))
     listed = V.report_networks(analysis.networks, analysis.clients)
     finding = _tag("b", escape("concat_ws(' ', severity_label, category_label, title)"))
     network = _cells("bssid", "channel_text", "signal_text", "client_count")
@@ -60,13 +61,8 @@ def html_lines(analysis: Analysis, captures: DataFrame | None = None) -> DataFra
             _tag("p", finding, "' '", escape("description")),
             place="coalesce(rule_no, 0)",
         ),
-        lines(
-            networks,
-            3,
-            f"concat({_tag('h2', escape('ssid_text'))}, '<table>', {network})",
-            part="bssid",
-            place="-1L",
-        ),
+        lines(names, 3, _tag("h2", escape("ssid_text")), part="bssid", place="-2L"),
+        lines(networks, 3, f"concat('<table>', {network})", part="bssid", place="-1L"),
         lines(
             listed.where("mac IS NOT NULL"),
             3,
@@ -101,5 +97,7 @@ def write_html_report(
     analysis: Analysis, path: str, captures: DataFrame | None = None
 ) -> None:
     """One folder of lines per capture, built over the rollups."""
-    ordered = html_lines(analysis.materialize(), captures).orderBy("capture_id", "section", "part", "place")
+    ordered = html_lines(analysis.materialize(), captures).orderBy(
+        "capture_id", "section", "part", "place", "line"
+    )
     ordered.select("capture_id", "line").write.partitionBy("capture_id").text(path)

@@ -2,80 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airsift import labels as L
-from airsift.functions import measures
+from airsift.operators import networks as N
 from airsift.plans import report as R
 from airsift.plans.analysis import Analysis
 from airsift.sinks.html import write_html_report
 from airsift.sinks.paths import next_free_path
 
-_SSIDS = measures.joined_ssids("ssids", "ssid_count", " | ")
-
-
 def _named(columns: list[str], names: list[str]) -> list[str]:
     return [f"{column} AS {name}" for column, name in zip(columns, names, strict=True)]
 
 
-def networks_csv(networks: DataFrame) -> DataFrame:
-    """Networks with the columns of the CSV file. Order by BSSID."""
-    columns = [_SSIDS, "bssid", "channel", "average_signal_dbm", "client_count"]
-    return networks.selectExpr("capture_id", *_named(columns, L.NETWORKS_CSV_COLUMNS))
+def networks_csv(networks: DataFrame, ssids: DataFrame) -> DataFrame:
+    """Networks with the columns of the CSV file, one row per name. Order by BSSID, SSID."""
+    named = N.with_names(networks, ssids)
+    columns = ["coalesce(ssid, '')", "bssid", "channel", "average_signal_dbm", "client_count"]
+    return named.selectExpr("capture_id", *_named(columns, L.NETWORKS_CSV_COLUMNS))
 
 
-def clients_csv(clients: DataFrame, networks: DataFrame) -> DataFrame:
-    """Clients under their network, with the columns of the CSV file and, last, the
-    column that orders clients of equal packet count."""
-    ssids = networks.selectExpr("capture_id", "bssid", f"{_SSIDS} AS ssid")
-    named = _named(["bssid", "ssid", "mac", "packet_count"], L.CLIENTS_CSV_COLUMNS)
-    joined = clients.join(ssids, ["capture_id", "bssid"])
-    return joined.selectExpr("capture_id", *named, "first_order")
+def clients_csv(clients: DataFrame) -> DataFrame:
+    """Clients with the columns of the CSV file and, last, the column that orders clients
+    of equal packet count. The networks' file has the names of their networks."""
+    named = _named(["bssid", "mac", "packet_count"], L.CLIENTS_CSV_COLUMNS)
+    return clients.selectExpr("capture_id", *named, "first_order")
 
 
-def _write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files that hold their texts as they are, blanks at the ends included."""
     (
         df.write.partitionBy("capture_id")
         .option("header", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
-def write_networks_csv(networks: DataFrame, path: str) -> None:
-    _write_csv(networks_csv(networks).orderBy("capture_id", "BSSID"), path)
+def write_networks_csv(networks: DataFrame, ssids: DataFrame, path: str) -> None:
+    write_csv(networks_csv(networks, ssids).orderBy("capture_id", "BSSID", "SSID"), path)
 
 
-def write_clients_csv(clients: DataFrame, networks: DataFrame, path: str) -> None:
-    rows = clients_csv(clients, networks)
+def write_clients_csv(clients: DataFrame, path: str) -> None:
     order = ["capture_id", "BSSID", F.desc("Paket_Sayisi"), "first_order", "Istemci_MAC"]
-    _write_csv(rows.orderBy(*order).drop("first_order"), path)
+    write_csv(clients_csv(clients).orderBy(*order).drop("first_order"), path)
 
 
-def _write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str) -> None:
     df.write.partitionBy("capture_id").option("ignoreNullFields", False).json(path)
 
 
 def write_json_report(
-    analysis: Analysis,
-    path: str,
-    captures: DataFrame | None = None,
-    max_rows: int = R.MAX_DOCUMENT_ROWS,
-    wrapped: bool = False,
+    analysis: Analysis, path: str, captures: DataFrame | None = None
 ) -> None:
-    """`documents/`: one JSON report per capture. `sections/`: JSON lines per table for
-    the captures too large for one document. Nothing is left out.
-
-    The report joins all tables, so it is built over the rollups.
-    """
+    """JSON lines: `envelope/` with one line per capture, and per section of the report a
+    folder with one line per element. Built over the rollups, as it needs all tables."""
     analysis = analysis.materialize()
-    documents = R.report_documents(analysis, captures, max_rows)
-    documents = R.envelope(documents) if wrapped else documents.select("capture_id", "report.*")
-    _write_json(documents, f"{path}/documents")
-    for name, table in R.report_sections(analysis, max_rows).items():
-        _write_json(table, f"{path}/sections/{name}")
+    write_json(R.envelope(analysis, captures), f"{path}/envelope")
+    for name, table in R.report_sections(analysis).items():
+        write_json(table, f"{path}/{name}")
 
 
 def write_tables(analysis: Analysis, path: str) -> None:
@@ -86,11 +77,13 @@ def write_tables(analysis: Analysis, path: str) -> None:
 
 
 def write_frame_store(normalized: DataFrame, path: str) -> None:
-    """Normalised frames as Parquet, one folder per capture, ready to be pruned by it.
+    """Normalised frames as Parquet, one folder per call and capture, ready to be pruned
+    by capture.
 
     No shuffle: a task reads few captures, so it writes to few folders.
     """
-    normalized.write.partitionBy("capture_id").parquet(path)
+    folder = f"{path.rstrip('/')}/part={uuid.uuid4().hex}"
+    normalized.write.partitionBy("capture_id").parquet(folder)
 
 
 def write_all(
@@ -104,7 +97,7 @@ def write_all(
     folder = next_free_path(spark, f"{path}/{name}")
     analysis = analysis.materialize(f"{folder}/_rollups")
     write_json_report(analysis, f"{folder}/json", captures)
-    write_networks_csv(analysis.networks, f"{folder}/networks_csv")
-    write_clients_csv(analysis.clients, analysis.networks, f"{folder}/clients_csv")
+    write_networks_csv(analysis.networks, analysis.network_ssids, f"{folder}/networks_csv")
+    write_clients_csv(analysis.clients, f"{folder}/clients_csv")
     write_html_report(analysis, f"{folder}/html", captures)
     return folder

@@ -57,9 +57,8 @@ def select_frames(raw: DataFrame, *extra: Column) -> DataFrame:
 
 
 def capture_id() -> Column:
-    """File name without its suffix (and without a compression suffix)."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(?:gz|bz2|zst|lz4|deflate)$", "")
-    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1")
+    """The path of the file: names repeat in the folders of an archive."""
+    return F.col("_metadata.file_path")
 
 
 def _export_reader(spark: SparkSession, glob: str, tolerate_truncated: bool):
@@ -114,23 +113,25 @@ def read_frames(
     path: str | Sequence[str],
     fields: Sequence[str] | None = None,
     glob: str = EXPORT_GLOB,
-    tolerate_truncated: bool = True,
+    tolerate_truncated: bool = False,
 ) -> DataFrame:
     """Tab-separated, double-quoted frame exports as the text table `FRAMES_SCHEMA`.
 
     `fields` names the columns of exports without a header line. Exports of one call
     must share their columns; read groups with other columns in calls of their own
-    and `unionByName` them. Short rows are filled with '', long rows are cut. With
-    `tolerate_truncated` the readable part of a damaged file is kept; `scan_summary`
-    tells which captures that concerns.
+    and `unionByName` them. Short rows are filled with '', long rows are cut. A damaged
+    file fails the job. With `tolerate_truncated` its readable part is kept, and
+    `scan_summary` tells which captures that concerns. Fails if there is no row at all.
+
+    An export without packet numbers has '' for them, and the order of the scan in an
+    extra column `scan_order`: rows of one file get increasing ids, as its splits are
+    read by increasing partitions.
     """
     raw = _scan(spark, path, fields, glob, tolerate_truncated)
     frames = select_frames(raw, capture_id().alias("capture_id"))
     if "frame.number" not in raw.columns:
-        # No packet number in the export: keep the order of the scan. Rows of one
-        # file get increasing ids, as its splits are read by increasing partitions.
-        frames = frames.withColumn("frame_number", F.monotonically_increasing_id().cast("string"))
-    return frames
+        frames = frames.withColumn("scan_order", F.monotonically_increasing_id())
+    return require_rows(frames)
 
 
 def list_captures(
@@ -146,11 +147,55 @@ def list_captures(
     return files.select(
         capture_id().alias("capture_id"),
         F.col("_metadata.file_name").alias("capture_name"),
-        F.col("path").alias("capture_file"),
+        capture_id().alias("capture_file"),
         F.col("length").alias("bytes"),
     )
 
 
+def _broken_files(
+    spark: SparkSession, path: str | Sequence[str], glob: str, chunk: int = 1 << 20
+) -> DataFrame:
+    """Compressed exports that do not decompress to their end: (capture_id, broken).
+
+    A file is unpacked by one task in pieces, as gzip cannot be split, and nothing of it
+    is kept.
+    """
+    import zlib
+
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load([path] if isinstance(path, str) else list(path))
+        .where(F.col("_metadata.file_name").endswith(".gz"))
+        .select(capture_id().alias("capture_id"), "content")
+    )
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = memoryview(batch.column("content")[i].as_buffer())
+                whole, at = bool(len(data)), 0
+                try:
+                    while whole and at < len(data):
+                        unpacker = zlib.decompressobj(31)
+                        while at < len(data) and not unpacker.eof:
+                            piece = data[at : at + chunk]
+                            unpacker.decompress(piece)
+                            at += len(piece) - len(unpacker.unused_data)
+                        whole = unpacker.eof
+                except zlib.error:
+                    whole = False
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("capture_id").slice(i, 1), pa.array([not whole])],
+                    names=["capture_id", "broken"],
+                )
+
+    return files.mapInArrow(run, "capture_id string, broken boolean")
+
+
 def scan_summary(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -159,8 +204,10 @@ def scan_summary(
 ) -> DataFrame:
     """Per capture: files, rows, rows with too few or too many fields, and a status.
 
-    `failed` means no row could be read; `check` means some rows were short or long,
-    as in an export that was cut off. Files of no bytes at all are not listed.
+    `failed` means no row could be read; `truncated` that the file broke off: its last
+    row is short, or a strict read of it fails; `check` that some rows were short or long.
+    Files are read one by one for that, by as many tasks as there are files. Files of no
+    bytes at all are not listed.
     """
     raw = _scan(spark, path, fields, glob, True, extra_field=_CORRUPT)
     rows = raw.groupBy(capture_id().alias("capture_id")).agg(
@@ -170,12 +217,15 @@ def scan_summary(
         ),
     )
     files = list_captures(spark, path, glob).groupBy("capture_id").agg(F.count("*").alias("files"))
+    broken = _broken_files(spark, path, glob)
+    files = files.join(broken, "capture_id", "left")
     return files.join(rows, "capture_id", "left").select(
         "capture_id",
         "files",
         F.coalesce("rows", F.lit(0)).alias("rows"),
         F.coalesce("odd_rows", F.lit(0)).alias("odd_rows"),
         F.when(F.col("rows").isNull(), "failed")
+        .when(F.col("broken"), "truncated")
         .when(F.col("odd_rows") > 0, "check")
         .otherwise("ok")
         .alias("status"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,8 +25,9 @@ def ingest_exports(
 ) -> StreamingQuery:
     """Append exports that are new since the last run to the store, then stop.
 
-    Every file is taken once, also across restarts. The rows are only projected, so
-    there is no state to keep. `fields` names the export's columns in order.
+    Every file is taken once, also across restarts: the checkpoint folder, by default one
+    under spark.checkpoint.dir, remembers them. Every batch is a folder of the store, as
+    those of `write_frame_store` are, so both can fill one store. `fields` names the export's columns in order.
     """
     if "frame.number" not in fields:
         raise CaptureReadError("a stream has no scan order: the export needs frame.number")
@@ -43,11 +45,21 @@ def ingest_exports(
         .csv(source)
     )
     frames = normalize(select_frames(raw, capture_id().alias("capture_id")))
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is tried again overwrites what its first try left.
+        batch.write.mode("overwrite").partitionBy("capture_id").parquet(
+            batch_folder(store, checkpoint, number)
+        )
+
     return (
-        frames.writeStream.format("parquet")
-        .partitionBy("capture_id")
-        .option("path", store)
+        frames.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def batch_folder(store: str, checkpoint: str, number: int) -> str:
+    """The folder of one batch, named by its stream and number."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    return f"{store.rstrip('/')}/part=ingest-{stream}-{number}"

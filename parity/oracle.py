@@ -227,7 +227,9 @@ def _findings(threshold: int) -> str:
     def rule(number: int, finding: tuple, condition: str, n: str, *more: str) -> str:
         severity, category, title, description = finding
         args = [n, *more][: description.count("%")]
-        template = description.replace("%d", "{}").replace("%s", "{}")
+        from_text = f"{threshold:,}".replace(",", ".")
+        template = description.replace("{busy_from}", from_text)
+        template = template.replace("%d", "{}").replace("%s", "{}")
         shown = f"format('{template}', {', '.join(args)})" if args else f"'{description}'"
         return (
             f"SELECT capture_id, {number} AS rule_no, '{severity}' AS severity, "
@@ -282,71 +284,27 @@ FROM table_view v LEFT JOIN (SELECT * FROM ranked WHERE rank <= {k}) r
   USING (capture_id, bssid)"""
 
 
-def _texts(ssid: str, value: str) -> str:
+def _texts(value: str) -> str:
     return (
-        f"CASE WHEN len(ssids) > 0 THEN joined ELSE '{ssid}' END AS ssid_text, "
+        "len(ssids) AS ssid_count, "
         f"coalesce(channel, '{value}') AS channel_text, "
         f"coalesce(dbm::VARCHAR || ' dBm', '{value}') AS signal_text"
     )
 
 
-_CLIENT_STRUCT = (
-    "{'mac': mac, 'vendor': vendor, 'packet_count': packet_count, "
-    "'sent_packets': sent_packets, 'received_packets': received_packets, "
-    "'first_seen': first_seen, 'last_seen': last_seen, 'activity_level': activity_level}"
-)
-
-
-def _report_json() -> str:
-    talker = "{'mac': mac, 'packet_count': packet_count}"
-    return f"""
-, client_lists AS (
-  SELECT capture_id, bssid, list({_CLIENT_STRUCT} ORDER BY rank) AS clients
-  FROM ranked GROUP BY capture_id, bssid),
-network_lists AS (
-  SELECT n.capture_id, list({{'bssid': n.bssid, 'ssids': ssids, 'channel': channel,
-    'average_signal_dbm': average_signal_dbm, 'clients': coalesce(clients, [])}}
-    ORDER BY n.bssid) AS networks
-  FROM networks n LEFT JOIN client_lists c USING (capture_id, bssid) GROUP BY n.capture_id),
-finding_lists AS (
-  SELECT capture_id, list({{'severity': severity, 'category': category, 'title': title,
-    'description': description}} ORDER BY rule_no) AS security_findings
-  FROM findings GROUP BY capture_id),
-subtype_maps AS (
-  SELECT capture_id, map(list(subtype ORDER BY packet_count DESC, first_seq),
-    list(packet_count ORDER BY packet_count DESC, first_seq)) AS frame_subtypes
-  FROM subtypes GROUP BY capture_id),
-source_lists AS (
-  SELECT capture_id, list({talker} ORDER BY rank) AS top_sources
-  FROM ({_top('sources', 20)}) GROUP BY capture_id),
-destination_lists AS (
-  SELECT capture_id, list({talker} ORDER BY rank) AS top_destinations
-  FROM ({_top('destinations', 20)}) GROUP BY capture_id),
-eapol_lists AS (
-  SELECT capture_id, list({{'frame_number': frame_number, 'timestamp': timestamp,
-    'source': source, 'destination': destination, 'bssid': bssid, 'eapol_type': eapol_type}}
-    ORDER BY seq) AS eapol_packets FROM eapol GROUP BY capture_id),
-candidate_lists AS (
-  SELECT capture_id, list({{'bssid': bssid, 'client': client,
-    'eapol_packet_count': eapol_packet_count, 'first_seen': first_seen,
-    'last_seen': last_seen, 'status': status}} ORDER BY first_seq) AS handshake_candidates
-  FROM candidates GROUP BY capture_id)
-SELECT capture_id, to_json({{'total_packets': total_packets, 'network_count': network_count,
-  'eapol_packet_count': eapol_packet_count, 'networks': networks,
-  'security_findings': security_findings, 'frame_subtypes': frame_subtypes,
-  'top_sources': top_sources, 'top_destinations': top_destinations,
-  'eapol_packets': coalesce(eapol_packets, []),
-  'handshake_candidates': coalesce(handshake_candidates, [])}})::VARCHAR AS report_json
-FROM summary JOIN network_lists USING (capture_id) JOIN finding_lists USING (capture_id)
-  JOIN subtype_maps USING (capture_id) JOIN source_lists USING (capture_id)
-  JOIN destination_lists USING (capture_id) LEFT JOIN eapol_lists USING (capture_id)
-  LEFT JOIN candidate_lists USING (capture_id)"""
+def _named(ssid: str) -> str:
+    """One row per network and name, with a text for one without any."""
+    return (
+        "(SELECT t.* EXCLUDE (ssid_text), coalesce(s.ssid, '" + ssid + "') AS ssid_text "
+        "FROM table_view t LEFT JOIN ssids s USING (capture_id, bssid))"
+    )
 
 
 def oracle_sql(frames: str = _FRAMES) -> dict[str, str]:
     """SQL per query; `frames` is the SELECT that gives the raw frames."""
     network_columns = (
-        "capture_id, bssid, joined AS ssids, channel, dbm AS average_signal_dbm, client_count"
+        "capture_id, bssid, channel, dbm AS average_signal_dbm, client_count, "
+        "len(ssids) AS ssid_count"
     )
     default_findings = _findings(L.BUSY_CLIENT_FROM)
     no_clients = f"WHEN client_count = 0 THEN '{L.NO_CLIENTS_NOTE}'"
@@ -413,10 +371,9 @@ SELECT capture_id, bssid, channel, average_signal_dbm, client_count,
   len(ssids) AS ssid_count FROM networks""",
         "network_search": f"""
 SELECT {network_columns} FROM table_view
-WHERE contains(lower(ssid_text), 'ap-1') OR contains(lower(bssid), 'ap-1')""",
+WHERE len(list_filter(ssids, lambda x: contains(lower(x), 'ap-1'))) > 0
+  OR contains(lower(bssid), 'ap-1')""",
         "network_search_hidden": f"SELECT {network_columns} FROM table_view WHERE len(ssids) = 0",
-        "network_search_comma": f"""
-SELECT {network_columns} FROM table_view WHERE contains(lower(ssid_text), 'net0, net1')""",
         "network_search_blank": f"SELECT {network_columns} FROM table_view",
         "client_endpoints": """
 SELECT capture_id, bssid, mac, 2 * seq + side AS first_order,
@@ -475,7 +432,7 @@ FROM findings JOIN (VALUES {_SEVERITIES}) s(position, severity, severity_label)
 SELECT *, format('{:,}', total_packets) AS total_packets_text FROM summary""",
         "signal_chart": """
 SELECT capture_id, rank::INT AS rank, bssid,
-  CASE WHEN len(ssids) > 0 THEN joined ELSE bssid END AS label, dbm AS average_signal_dbm,
+  unnest(CASE WHEN len(ssids) > 0 THEN ssids ELSE [bssid] END) AS label, dbm AS average_signal_dbm,
   format('{:.1f} dBm', dbm) AS value_text,
   CAST(trunc(least(greatest((dbm + 100) / 70 * 100, 0), 100)) AS INT) AS progress
 FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY dbm DESC, bssid) AS rank
@@ -497,42 +454,55 @@ SELECT capture_id, rank::INT AS rank, mac, packet_count,
 FROM (SELECT *, row_number() OVER (PARTITION BY capture_id
                                    ORDER BY packet_count DESC, place) AS rank
       FROM macs) WHERE rank <= 10""",
-        "network_table": """
+        "network_table": f"""
 SELECT capture_id, bssid, ssid_text, channel_text, signal_text, client_count
-FROM table_view""",
-        "network_details": """
+FROM {_named('<Gizli SSID>')}""",
+        "summary_network_names": f"""
+SELECT capture_id, bssid, ssid_text, coalesce(channel, 'bilinmiyor') AS channel_text,
+  coalesce(dbm::VARCHAR || ' dBm', 'bilinmiyor') AS signal_text, client_count
+FROM {_named('<SSID belirlenemedi veya gizli>')}""",
+        "network_details": f"""
+SELECT capture_id, v.bssid, ssid_text, channel_text, signal_text, client_count,
+  eapol_packet_count, verdict
+FROM {_named('<Gizli SSID>')} v JOIN verdict_texts USING (capture_id, bssid)
+  JOIN totals USING (capture_id)""",
+        "network_details_selected": f"""
 SELECT capture_id, v.bssid, ssid_text, channel_text, signal_text, client_count,
   eapol_packet_count, verdict
-FROM table_view v JOIN verdict_texts USING (capture_id, bssid) JOIN totals USING (capture_id)""",
+FROM {_named('<Gizli SSID>')} v JOIN verdict_texts USING (capture_id, bssid)
+  JOIN totals USING (capture_id)
+WHERE v.bssid = '3c:a7:ae:00:00:01'""",
         "report_networks": _with_clients(25, _SHOWN_CLIENTS).format(
-            texts=_texts("SSID belirlenemedi", "Bilinmiyor"), more=note
+            texts=_texts("Bilinmiyor"), more=note
         ),
         "report_subtypes": "SELECT capture_id, subtype, packet_count FROM subtypes",
         "summary_networks": _with_clients(10, "mac, packet_count").format(
-            texts=_texts("<SSID belirlenemedi veya gizli>", "bilinmiyor"), more=""
+            texts=_texts("bilinmiyor"), more=""
         ),
-        "networks_csv": """
-SELECT capture_id, array_to_string(ssids, ' | ') AS "SSID", bssid AS "BSSID",
-  channel AS "Kanal", average_signal_dbm AS "Ortalama_Sinyal_dBm",
-  client_count AS "Istemci_Sayisi" FROM networks""",
+        "networks_csv": f"""
+SELECT capture_id, ssid_text AS "SSID", bssid AS "BSSID", channel AS "Kanal",
+  dbm AS "Ortalama_Sinyal_dBm", client_count AS "Istemci_Sayisi" FROM {_named('')}""",
         "clients_csv": """
-SELECT capture_id, bssid AS "BSSID", array_to_string(ssids, ' | ') AS "SSID",
-  mac AS "Istemci_MAC", packet_count AS "Paket_Sayisi", first_order
-FROM clients JOIN networks USING (capture_id, bssid)""",
-        "report_rows": """
-SELECT capture_id, count(*) AS report_rows FROM (
-  SELECT capture_id FROM eapol UNION ALL SELECT capture_id FROM candidates
-  UNION ALL SELECT capture_id FROM subtypes UNION ALL SELECT capture_id FROM clients
-  UNION ALL SELECT capture_id FROM channels UNION ALL SELECT capture_id FROM ssids)
-GROUP BY ALL""",
-        "json_report": (default_findings, _report_json()),
+SELECT capture_id, bssid AS "BSSID", mac AS "Istemci_MAC", packet_count AS "Paket_Sayisi",
+  first_order FROM clients""",
+        "csv_blanks": "SELECT capture_id, bssid, ' ' || ssid || ' ' AS ssid FROM ssids",
+        "captures_by_path": """
+SELECT (frame_number::BIGINT % 3)::INT AS site, count(*) AS packet_count FROM norm GROUP BY ALL""",
+        "client_activity_busy": "SELECT * FROM clients",
+        "json_networks": f"SELECT {network_columns} FROM table_view",
+        "json_clients": "SELECT * FROM clients",
+        "json_subtypes": "SELECT * FROM subtypes",
+        "json_handshakes": "SELECT * FROM candidates",
         "report_envelope": """
 SELECT capture_id, 'airsift' AS product, 'Wi-Fi Forensics' AS module,
-  '2024-01-01T00:00:00' AS generated_at, total_packets, network_count::INT AS networks,
-  eapol_packet_count::INT AS eapol_packets FROM summary""",
+  '2024-01-01T00:00:00' AS generated_at, total_packets, network_count,
+  eapol_packet_count FROM summary""",
     }
     sql = {}
+    told = "CASE WHEN try_cast(frame_number AS BIGINT) % 10 = 0 THEN 1000 ELSE 1 END"
+    repeated = f"SELECT f.* FROM ({frames}) f, unnest(range({told})) u(x)"
     for name, body in bodies.items():
         extra, select = body if isinstance(body, tuple) else ("", body)
-        sql[name] = COMMON.replace(":frames", frames) + (f", {extra}" if extra else "") + select
+        source = repeated if name == "client_activity_busy" else frames
+        sql[name] = COMMON.replace(":frames", source) + (f", {extra}" if extra else "") + select
     return sql

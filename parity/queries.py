@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from airsift.functions import text
 from airsift.operators import clients as C
@@ -79,12 +80,8 @@ def client_endpoints(a: Analysis) -> DataFrame:
     )
 
 
-def flat_networks(networks: DataFrame) -> DataFrame:
-    return networks.withColumn("ssids", F.array_join("ssids", ", ")).drop("ssid_count")
-
-
 def search(a: Analysis, query: str) -> DataFrame:
-    return flat_networks(N.search_networks(a.networks, a.network_ssids, query))
+    return N.search_networks(a.networks, a.network_ssids, query)
 
 
 def link_rollup(a: Analysis) -> DataFrame:
@@ -115,24 +112,58 @@ def frame_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_frame_store(spark, folder)
 
 
-def json_report(a: Analysis) -> DataFrame:
-    documents = J.report_documents(a, max_rows=10**9)
-    options = {"ignoreNullFields": "false"}
-    return documents.select("capture_id", F.to_json("report", options).alias("report_json"))
+def written(write: Callable[[DataFrame, str], None], read: str):
+    """A table written by a sink and read back with its own schema."""
+
+    def run(spark: SparkSession, df: DataFrame) -> DataFrame:
+        folder = new_work_folder(spark)
+        write(df, folder)
+        schema = T_.StructType([f for f in df.schema if f.name != "capture_id"])
+        options = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "\\N"}
+        reader = spark.read.schema(schema.add("capture_id", "string"))
+        reader = reader.options(**options) if read == "csv" else reader
+        return reader.format(read).load(folder).select(*df.columns)
+
+    return run
+
+
+def as_json(fn: Callable[[Analysis], DataFrame]):
+    """A section of the JSON report, written and read back."""
+    return lambda spark, sf_dir: written(W.write_json, "json")(spark, fn(analysis(spark, sf_dir)))
 
 
 def report_envelope(a: Analysis) -> DataFrame:
-    documents = J.report_documents(a, max_rows=10**9)
-    wrapped = J.envelope(documents, "airsift", F.lit("2024-01-01T00:00:00"))
-    return wrapped.select(
-        "capture_id",
-        "product",
-        "module",
-        "generated_at",
-        F.col("report.total_packets").alias("total_packets"),
-        F.size("report.networks").alias("networks"),
-        F.size("report.eapol_packets").alias("eapol_packets"),
-    )
+    wrapped = J.envelope(a, generated_at=F.lit("2024-01-01T00:00:00"))
+    return wrapped.drop("client_count")
+
+
+def csv_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that begin and end with blanks, through CSV files."""
+    named = analysis(spark, sf_dir).network_ssids
+    padded = named.selectExpr("capture_id", "bssid", "concat(' ', ssid, ' ') AS ssid")
+    return written(W.write_csv, "csv")(spark, padded)
+
+
+def captures_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three captures with files of one name, exported and read back."""
+    folder = new_work_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    frames = frames_from_events(spark, sf_dir)
+    options = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
+    for i in range(3):
+        some = frames.where(F.col("frame_number").cast("bigint") % 3 == i)
+        columns = [F.col(name).alias(fields[0]) for name, fields in FIELD_CANDIDATES.items()]
+        some.select(*columns).write.options(**options).csv(f"{folder}/site={i}")
+    read = read_frames(spark, folder, glob="*.csv")
+    site = F.regexp_extract("capture_id", "site(?:=|%3D)([0-9]+)", 1).cast("int")
+    return read.groupBy(site.alias("site")).agg(F.count("*").alias("packet_count"))
+
+
+def busy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of which every tenth is told a thousand times, for the classes of busy clients."""
+    frames = normalized(spark, sf_dir)
+    times = F.when(F.col("seq") % 10 == 0, 1000).otherwise(1)
+    return frames.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -147,7 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # rollups
         "link_rollup": over(link_rollup),
         "radio_rollup": over(radio_rollup),
-        "networks_from_rollups": stored(lambda a: flat_networks(a.networks)),
+        "networks_from_rollups": stored(lambda a: a.networks),
         "clients_from_rollups": stored(lambda a: a.clients),
         "findings_from_rollups": stored(lambda a: a.findings),
         "summary_from_rollups": stored(lambda a: a.summary),
@@ -161,7 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_destinations": over(lambda a: a.top_destinations),
         "top_sources_cli": over(lambda a: T.top_talkers(a.links, "src", 10)),
         # networks
-        "networks": over(lambda a: flat_networks(a.networks)),
+        "networks": over(lambda a: a.networks),
         "network_ssids": over(lambda a: a.network_ssids),
         "network_channel_counts": over(lambda a: N.channel_counts(a.radio)),
         "network_channel_mode": over(lambda a: N.channel_mode(a.radio)),
@@ -169,7 +200,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "network_measures": over(lambda a: a.network_measures),
         "network_search": over(lambda a: search(a, " aP-1 ")),
         "network_search_hidden": over(lambda a: search(a, "gizli")),
-        "network_search_comma": over(lambda a: search(a, "net0, Net1")),
         "network_search_blank": over(lambda a: search(a, "  ")),
         # clients
         "client_endpoints": over(client_endpoints),
@@ -189,6 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "client_search_mac": over(
             lambda a: C.search_clients(a.clients, "02:11:22").select(*CLIENT)
         ),
+        "client_activity_busy": lambda spark, sf_dir: Analysis(busy_frames(spark, sf_dir)).clients,
         "client_details": over(lambda a: V.client_details(a.clients)),
         # EAPOL and handshakes
         "eapol_packets": over(lambda a: a.eapol_packets),
@@ -199,32 +230,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "partial_handshakes": over(lambda a: H.with_status(a.handshake_candidates, "partial")),
         "handshake_details": over(lambda a: H.network_handshakes(a.handshake_candidates)),
-        "network_handshake_verdict": over(
+        "network_handshake_verdict": stored(
             lambda a: H.network_verdicts(a.networks, a.handshake_candidates).select(
                 "capture_id", "bssid", "strong", "partial", "verdict"
             )
         ),
         # findings
-        "findings": over(lambda a: a.findings),
-        "findings_busy": over(lambda a: a.findings, busy_from=BUSY_FROM),
-        "finding_severity_counts": over(
+        "findings": stored(lambda a: a.findings),
+        "findings_busy": stored(lambda a: a.findings, busy_from=BUSY_FROM),
+        "finding_severity_counts": stored(
             lambda a: D.severity_counts(a.packet_totals, a.findings)
         ),
-        "report_findings": over(V.report_findings),
+        "report_findings": stored(V.report_findings),
         # summaries, charts, views
-        "capture_summary": over(lambda a: V.summary_cards(a.summary)),
-        "signal_chart": over(lambda a: N.signal_chart(a.networks)),
+        "capture_summary": stored(lambda a: V.summary_cards(a.summary)),
+        "signal_chart": over(lambda a: N.signal_chart(a.networks, a.network_ssids)),
         "subtype_chart": over(lambda a: T.subtype_chart(a.frame_subtypes)),
         "active_client_chart": over(lambda a: C.active_client_chart(a.client_counts)),
-        "network_table": over(lambda a: V.network_table(a.networks)),
-        "network_details": over(lambda a: V.network_details(a)),
-        "report_networks": over(lambda a: V.report_networks(a.networks, a.clients)),
+        "network_table": stored(lambda a: V.network_table(a.networks, a.network_ssids)),
+        "network_details": stored(lambda a: V.network_details(a)),
+        "report_networks": stored(lambda a: V.report_networks(a.networks, a.clients)),
         "report_subtypes": over(lambda a: V.report_subtypes(a.frame_subtypes)),
-        "summary_networks": over(lambda a: V.text_summary(a)["networks"]),
+        "summary_networks": stored(lambda a: V.text_summary(a)["networks"]),
         # files
-        "networks_csv": over(lambda a: W.networks_csv(a.networks)),
-        "clients_csv": over(lambda a: W.clients_csv(a.clients, a.networks)),
-        "report_rows": over(J.report_rows),
-        "json_report": stored(json_report),
+        "networks_csv": stored(lambda a: W.networks_csv(a.networks, a.network_ssids)),
+        "clients_csv": over(lambda a: W.clients_csv(a.clients)),
+        "csv_blanks": csv_blanks,
+        "captures_by_path": captures_by_path,
+        "json_networks": as_json(lambda a: a.networks),
+        "json_clients": as_json(lambda a: a.clients),
+        "json_subtypes": as_json(lambda a: a.frame_subtypes),
+        "json_handshakes": as_json(lambda a: a.handshake_candidates),
         "report_envelope": stored(report_envelope),
+        "network_details_selected": stored(
+            lambda a: V.network_details(a, bssid="3c:a7:ae:00:00:01")
+        ),
+        "summary_network_names": stored(lambda a: V.text_summary(a)["network_names"]),
     }

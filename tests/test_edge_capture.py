@@ -25,8 +25,9 @@ def test_summary(analysis):
 def test_networks(analysis):
     rows = {r.bssid: r for r in analysis.networks.collect()}
     assert set(rows) == {A, FF}
-    assert tuple(rows[A])[2:] == ("6", -80.0, 1, 1, ["AB"])
-    assert tuple(rows[FF])[2:] == (None, None, 1, 0, [])
+    assert [tuple(r)[1:] for r in analysis.network_ssids.collect()] == [(A, "AB")]
+    assert tuple(rows[A])[2:] == ("6", -80.0, 1, 1)
+    assert tuple(rows[FF])[2:] == (None, None, 1, 0)
 
 
 def test_clients(analysis):
@@ -129,8 +130,9 @@ def test_text_summary(edge):
     from airsift.plans import views as V
 
     tables = V.text_summary(edge, show_clients=0)
-    shown = sorted((r.bssid, r.ssid_text, r.channel_text, r.mac, r.remaining) for r in tables["networks"].collect())
-    missing = "<SSID belirlenemedi veya gizli>"
-    assert shown == [(A, "AB", "6", None, 1), (FF, missing, "bilinmiyor", None, 1)]
+    shown = sorted((r.bssid, r.channel_text, r.mac, r.remaining) for r in tables["networks"].collect())
+    assert shown == [(A, "6", None, 1), (FF, "bilinmiyor", None, 1)]
+    names = sorted((r.bssid, r.ssid_text) for r in tables["network_names"].collect())
+    assert names == [(A, "AB"), (FF, "<SSID belirlenemedi veya gizli>")]
     assert tables["eapol_packets"].count() == 5
     assert tables["top_sources"].count() == 4

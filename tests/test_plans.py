@@ -56,7 +56,7 @@ def test_top_lists_are_limited_before_the_shuffle(stored):
         stored.top_sources,
         C.top_clients(stored.clients, 25),
         T.subtype_chart(stored.frame_subtypes),
-        N.signal_chart(stored.networks),
+        N.signal_chart(stored.networks, stored.network_ssids),
         C.active_client_chart(stored.client_counts),
     ):
         assert re.search(r"WindowGroupLimit .*Partial", plan(df)), plan(df)
@@ -71,7 +71,7 @@ def test_clients_need_one_shuffle_and_no_other_join(stored):
 def test_networks_use_no_outer_join_of_facts(stored):
     text = plan(stored.network_measures)
     assert "Join" not in text
-    assert text.count("Exchange hashpartitioning") == 2
+    assert text.count("Exchange hashpartitioning") == 3  # radio rows, facts, networks
 
 
 def test_no_python_and_no_cross_join(stored):

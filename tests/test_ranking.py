@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from airsift.operators import ranking
 from airsift.operators.clients import ranked_clients, top_clients
+from airsift.schema import SEQ_MISSING
 
 
 @pytest.mark.parametrize("bits", [0, 3, 21])
@@ -26,14 +27,27 @@ def test_exact_rank_equals_one_window(spark, monkeypatch, bits):
     assert {(r.g, r.o): r["rank"] for r in ranked} == expected
 
 
-def test_long_lists_use_the_exact_rank(spark):
+def test_long_lists_have_the_same_plan_and_rank(spark):
     rows = [("c", "b", f"m{i:05d}", i % 7, i) for i in range(1500)]
     columns = "capture_id string, bssid string, mac string, packet_count bigint, first_order bigint"
     clients = spark.createDataFrame(rows, columns)
-    long = {r.mac: r["rank"] for r in top_clients(clients, 1200).collect()}
     full = {r.mac: r["rank"] for r in ranked_clients(clients).collect()}
-    assert len(long) == 1200
-    assert long == {mac: rank for mac, rank in full.items() if rank <= 1200}
-    short = {r.mac: r["rank"] for r in top_clients(clients, 20).collect()}
-    assert short == {mac: rank for mac, rank in full.items() if rank <= 20}
+    for n in (20, 1200):
+        top = top_clients(clients, n)
+        assert top.schema["rank"].dataType.simpleString() == "int"
+        assert {r.mac: r["rank"] for r in top.collect()} == {m: r for m, r in full.items() if r <= n}
+    long = top_clients(clients, 5000)
+    long.collect()
+    assert "WindowGroupLimit" in long._jdf.queryExecution().executedPlan().toString()
     assert top_clients(clients, -3).count() == 0
+
+
+def test_clients_without_frame_numbers_are_sliced(spark):
+    macs = spark.range(20_000).selectExpr("lower(hex(id * 7919 * 1048576 / 64)) AS h", "id")
+    rows = macs.selectExpr(
+        "'c' AS capture_id", "'b' AS bssid", "lpad(h, 12, '0') AS mac", "1L AS packet_count",
+        f"{2 * SEQ_MISSING + 1}L AS first_order",
+    )
+    ranked = ranked_clients(rows)
+    expected = sorted(r.mac for r in rows.collect())
+    assert [r.mac for r in ranked.orderBy("rank").collect()] == expected

@@ -41,6 +41,19 @@ def test_resolution_prefers_the_first_candidate():
     assert list(resolved) == FRAME_COLUMNS
 
 
+def stem(path):
+    return os.path.basename(path).removesuffix(".gz").removesuffix(".tsv")
+
+
+def test_captures_of_equal_names_stay_apart(spark, tmp_path):
+    for folder in "abc":
+        write(tmp_path, f"{folder}/cap-01.tsv", '"1"\t"aa"\n')
+    frames = read_frames(spark, str(tmp_path), fields=["frame.number", "wlan.ta"])
+    assert sorted(r["count"] for r in frames.groupBy("capture_id").count().collect()) == [1, 1, 1]
+    listed = {r.capture_id for r in list_captures(spark, str(tmp_path)).collect()}
+    assert listed == {r.capture_id for r in frames.collect()}
+
+
 def test_field_status(spark):
     rows = field_status(spark, ["wlan.ta"]).orderBy("pos").collect()
     assert [r.logical_name for r in rows] == FRAME_COLUMNS
@@ -50,7 +63,7 @@ def test_field_status(spark):
 def test_scan_reads_quotes_short_and_long_rows(spark, tmp_path):
     write(tmp_path, "one.tsv", HEADER + "".join(ROWS))
     rows = read_frames(spark, str(tmp_path)).orderBy("frame_number").collect()
-    shown = [(r.capture_id, r.frame_number, r.timestamp, r.ssid, r.eapol_type) for r in rows]
+    shown = [(stem(r.capture_id), r.frame_number, r.timestamp, r.ssid, r.eapol_type) for r in rows]
     assert shown == [
         ("one", "1", "1700000000.5", 'a"b', ""),
         ("one", "2", "1700000001", "", ""),
@@ -64,8 +77,8 @@ def test_scan_without_header_and_captures_in_subfolders(spark, tmp_path):
     write(tmp_path, "b/y.tsv", '"1"\t"bb"\n')
     write(tmp_path, "b/notes.md", "no export\n")
     frames = read_frames(spark, str(tmp_path), fields=["frame.number", "wlan.ta"])
-    assert sorted((r.capture_id, r.source) for r in frames.collect()) == [("x.1", "aa"), ("y", "bb")]
-    names = sorted((r.capture_id, r.capture_name) for r in list_captures(spark, str(tmp_path)).collect())
+    assert sorted((stem(r.capture_id), r.source) for r in frames.collect()) == [("x.1", "aa"), ("y", "bb")]
+    names = sorted((stem(r.capture_id), r.capture_name) for r in list_captures(spark, str(tmp_path)).collect())
     assert names == [("x.1", "x.1.tsv"), ("y", "y.tsv")]
 
 
@@ -92,6 +105,7 @@ def test_without_frame_numbers_the_scan_order_counts(spark, tmp_path):
     write(tmp_path, "a.tsv", "wlan.sa\n" + "".join(f"{i}\n" for i in range(50)))
     rows = normalize(read_frames(spark, str(tmp_path))).orderBy("seq").collect()
     assert [r.src for r in rows] == [str(i) for i in range(50)]
+    assert {r.frame_number for r in rows} == {""}
 
 
 def test_unusable_frame_numbers_come_last(spark, make_frames):
@@ -105,19 +119,24 @@ def test_truncated_file_keeps_its_readable_rows(spark, tmp_path):
     (tmp_path / "cut.tsv.gz").write_bytes(gzip.compress(content)[:-300_000])
     (tmp_path / "whole.tsv.gz").write_bytes(gzip.compress((HEADER + ROWS[0]).encode()))
     (tmp_path / "broken.tsv.gz").write_bytes(b"no gzip at all")
-    frames = read_frames(spark, [str(tmp_path / "whole.tsv.gz"), str(tmp_path / "cut.tsv.gz")])
-    counts = {r.capture_id: r["count"] for r in frames.groupBy("capture_id").count().collect()}
+    both = [str(tmp_path / "whole.tsv.gz"), str(tmp_path / "cut.tsv.gz")]
+    with pytest.raises(Exception, match="(?i)end of|corrupt|zlib|failed"):
+        read_frames(spark, both).collect()
+    with pytest.raises(CaptureReadError):
+        read_frames(spark, str(tmp_path / "broken.tsv.gz"), fields=["wlan.sa"], tolerate_truncated=True)
+    frames = read_frames(spark, both, tolerate_truncated=True)
+    counts = {stem(r.capture_id): r["count"] for r in frames.groupBy("capture_id").count().collect()}
     assert counts["whole"] == 1
     assert 0 < counts["cut"] < 50_000
     summary = scan_summary(spark, str(tmp_path), fields=["frame.number", "frame.time_epoch", "wlan.ssid"])
-    status = {r.capture_id: r.status for r in summary.collect()}
-    assert status["broken"] == "failed"
+    status = {stem(r.capture_id): r.status for r in summary.collect()}
+    assert status == {"broken": "failed", "cut": "truncated", "whole": "ok"}
 
 
 def test_scan_summary_counts_odd_rows(spark, tmp_path):
     write(tmp_path, "odd.tsv", HEADER + "".join(ROWS))
     write(tmp_path, "fine.tsv", HEADER + ROWS[0])
-    rows = {r.capture_id: (r.files, r.rows, r.odd_rows, r.status) for r in scan_summary(spark, str(tmp_path)).collect()}
+    rows = {stem(r.capture_id): (r.files, r.rows, r.odd_rows, r.status) for r in scan_summary(spark, str(tmp_path)).collect()}
     assert rows == {"odd": (1, 4, 2, "check"), "fine": (1, 1, 0, "ok")}
 
 

@@ -24,61 +24,32 @@ def lines(folder):
     ]
 
 
-def test_json_report_of_a_small_capture(edge, tmp_path):
+def test_json_report_is_lines_at_every_size(edge, tmp_path):
     W.write_json_report(edge, str(tmp_path))
-    (line,) = lines(f"{tmp_path}/documents/capture_id=edge")
-    report = json.loads(line)
-    assert list(report) == [
-        "total_packets",
-        "network_count",
-        "eapol_packet_count",
-        "networks",
-        "security_findings",
-        "frame_subtypes",
-        "top_sources",
-        "top_destinations",
-        "eapol_packets",
-        "handshake_candidates",
+    (line,) = lines(f"{tmp_path}/envelope/capture_id=edge")
+    assert json.loads(line)["total_packets"] == 11
+    for name, table in edge.tables().items():
+        assert len(lines(f"{tmp_path}/{name}/capture_id=edge")) == table.count(), name
+    found = [json.loads(x) for x in lines(f"{tmp_path}/networks/capture_id=edge")]
+    assert sorted((n["bssid"], n["channel"], n["average_signal_dbm"]) for n in found) == [
+        (A, "6", -80.0),
+        (FF, None, None),
     ]
-    assert list(report["frame_subtypes"]) == ["Subtype 32", "Beacon", "Subtype 0x0008", "Probe Request"]
-    first, second = report["networks"]
-    assert (first["bssid"], first["ssids"], first["channel"]) == (A, ["AB"], "6")
-    assert [c["mac"] for c in first["clients"]] == [C1]
-    assert (second["bssid"], second["channel"], second["average_signal_dbm"]) == (FF, None, None)
-    assert [p["frame_number"] for p in report["eapol_packets"]] == ["5", "6", "7", "8", "9"]
-    assert [h["client"] for h in report["handshake_candidates"]] == [C1, "junk"]
-    assert [f["severity"] for f in report["security_findings"]] == ["success", "info", "info", "warning"]
-    assert not parts(f"{tmp_path}/sections/clients/capture_id=*")
-
-
-def test_large_captures_are_written_flat_and_whole(edge, tmp_path):
-    W.write_json_report(edge, str(tmp_path), max_rows=3)
-    assert not parts(f"{tmp_path}/documents/capture_id=*")
-    for name, table in (edge.tables() | {"network_ssids": edge.network_ssids}).items():
-        assert len(lines(f"{tmp_path}/sections/{name}/capture_id=edge")) == table.count(), name
 
 
-def test_report_with_names_and_envelope(spark, edge):
+def test_envelope_with_names(spark, edge):
     captures = spark.createDataFrame(
         [("edge", "edge.tsv", "file:/x/edge.tsv")],
         "capture_id string, capture_name string, capture_file string",
     )
-    (row,) = R.envelope(R.report_documents(edge, captures)).collect()
+    (row,) = R.envelope(edge, captures).collect()
     assert row.module == "Wi-Fi Forensics"
     assert len(row.generated_at) == len("2024-01-01T00:00:00")
-    assert row.report.capture_name == "edge.tsv"
-
-
-def test_capture_without_networks_has_empty_lists(make_frames):
-    quiet = Analysis(normalize(make_frames([{"capture_id": "quiet", "frame_number": "1"}])))
-    (row,) = R.report_documents(quiet).collect()
-    assert row.report.networks == []
-    assert row.report.frame_subtypes == {}
-    assert row.report.eapol_packets == []
+    assert row.capture_name == "edge.tsv"
 
 
 def test_csv_files(edge, tmp_path):
-    W.write_networks_csv(edge.networks, f"{tmp_path}/n")
+    W.write_networks_csv(edge.networks, edge.network_ssids, f"{tmp_path}/n")
     (path,) = parts(f"{tmp_path}/n/capture_id=edge/*.csv")
     rows = list(csv.reader(open(path, encoding="utf-8")))
     assert rows == [
@@ -86,12 +57,12 @@ def test_csv_files(edge, tmp_path):
         ["AB", A, "6", "-80.0", "1"],
         ["", FF, "", "", "1"],
     ]
-    W.write_clients_csv(edge.clients, edge.networks, f"{tmp_path}/c")
+    W.write_clients_csv(edge.clients, f"{tmp_path}/c")
     found = [
         row for path in parts(f"{tmp_path}/c/capture_id=edge/*.csv") for row in csv.reader(open(path, encoding="utf-8"))
     ]
-    assert found[0] == ["BSSID", "SSID", "Istemci_MAC", "Paket_Sayisi"]
-    assert [r for r in found if r[0] != "BSSID"] == [[A, "AB", C1, "8"], [FF, "", C2, "1"]]
+    assert found[0] == ["BSSID", "Istemci_MAC", "Paket_Sayisi"]
+    assert [r for r in found if r[0] != "BSSID"] == [[A, C1, "8"], [FF, C2, "1"]]
 
 
 def test_html_report(make_frames, tmp_path):
@@ -102,7 +73,7 @@ def test_html_report(make_frames, tmp_path):
     document = "".join(lines(tmp_path / "h" / "capture_id=edge"))
     assert document.startswith("<!DOCTYPE html>") and document.endswith("</html>")
     assert document.count("<table>") == document.count("</table>") == 4
-    assert "&lt;b&gt;&amp;&#x27;x&#x27;, AB" in document
+    assert "&lt;b&gt;&amp;&#x27;x&#x27;</h2>" in document and "<h2>AB</h2>" in document
     assert document.index(A) < document.index(C1) < document.index("Subtype 32")
 
 
@@ -110,7 +81,7 @@ def test_write_all_never_overwrites(edge, tmp_path):
     first = W.write_all(edge, str(tmp_path), "edge")
     assert first == f"{tmp_path}/edge"
     assert next_free_path(edge.frames.sparkSession, first) == f"{first}_1"
-    for kind in ("json/documents", "networks_csv", "clients_csv", "html"):
+    for kind in ("json/envelope", "networks_csv", "clients_csv", "html"):
         assert parts(f"{first}/{kind}/capture_id=edge/part-*"), kind
 
 
@@ -130,24 +101,27 @@ def test_frame_store_prunes_captures_and_pushes_filters(spark, make_frames, tmp_
     assert "PushedFilters: [IsNotNull(eapol), Not(EqualTo(eapol,))]" in plan
 
 
-def test_more_ssids_than_a_row_may_hold(make_frames, monkeypatch, tmp_path):
-    monkeypatch.setattr(N, "MAX_LISTED_SSIDS", 3)
+def test_thousands_of_names_on_one_network(make_frames):
     rows = [
-        {"capture_id": "c", "frame_number": str(i), "bssid": A if i < 5 else FF, "ssid": f"n{i}"}
-        for i in range(1, 8)
+        {"capture_id": "c", "frame_number": str(i), "bssid": A if i < 3000 else FF, "ssid": f"n{i}"}
+        for i in range(1, 3003)
     ]
     analysis = Analysis(normalize(make_frames(rows)))
-    found = {r.bssid: r for r in analysis.networks.collect()}
-    assert (found[A].ssids, found[A].ssid_count) == (None, 4)
-    assert (found[FF].ssids, found[FF].ssid_count) == (["n5", "n6", "n7"], 3)
-    assert analysis.network_ssids.count() == 7
-    assert {r.bssid for r in N.search_networks(analysis.networks, analysis.network_ssids, "N4").collect()} == {A}
+    found = {r.bssid: r.ssid_count for r in analysis.networks.collect()}
+    assert found == {A: 2999, FF: 3}
+    assert analysis.network_ssids.count() == 3002
     ours = lambda q: {r.bssid for r in N.search_networks(analysis.networks, analysis.network_ssids, q).collect()}
-    assert (ours("n6, N7"), ours("ssid"), ours("n1")) == ({FF}, set(), {A})
-    assert {r.SSID for r in W.networks_csv(analysis.networks).collect()} == {"4 SSID", "n5 | n6 | n7"}
-    # The nested report is bounded by its own row check and keeps every name.
-    (row,) = R.report_documents(analysis).collect()
-    assert sorted(len(n.ssids) for n in row.report.networks) == [3, 4]
+    assert (ours("N2999"), ours("n3001"), ours("gizli"), ours("n1")) == ({A}, {FF}, set(), {A})
+    assert W.networks_csv(analysis.networks, analysis.network_ssids).count() == 3002
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    table = spark.createDataFrame([("c", " AB ", "x"), ("c", "", " ")], "capture_id string, name string, more string")
+    W.write_csv(table, f"{tmp_path}/b")
+    found = [
+        r for p in parts(f"{tmp_path}/b/capture_id=c/*.csv") for r in csv.reader(open(p, encoding="utf-8"))
+    ]
+    assert sorted(r for r in found if r[0] != "name") == [["", " "], [" AB ", "x"]]
 
 
 @pytest.mark.parametrize("bad", ["", "x"])
