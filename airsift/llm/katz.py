@@ -50,8 +50,8 @@ class Katz:
 
     low: int = 5
     high_discount: float = 0.5
-    block: int = 1_500_000
-    partition: int = 4_000_000
+    block: int = 1_000_000
+    partition: int = 3_000_000
 
     def discounts(self, spectrum: list[int]) -> np.ndarray:
         """d_1..d_low from the numbers of types seen 1..low + 1 times."""
