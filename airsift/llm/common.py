@@ -73,6 +73,13 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_rows(
     df: DataFrame,
     added: str,
@@ -93,7 +100,7 @@ def map_rows(
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             values = [
                 v if isinstance(v, pa.Array) else pa.array(v, t)

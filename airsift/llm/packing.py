@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airsift.llm.common import column, stored, texts
+from airsift.llm.common import column, sliced, stored, texts
 from airsift.llm.tokens import Encoder, default_tokenizer
 
 MAX_SOURCES = 100_000
@@ -89,7 +89,7 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: st
         part = TaskContext.get().partitionId()
         encoder = Encoder(tokenizer)
         running: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             ids = encoder.encode(texts(batch, text))
             queues = ["n" if s is None else "s" + s for s in column(batch, source).to_pylist()]
             counts = [len(x) // encoder.id_bytes for x in ids]

@@ -17,7 +17,7 @@ import numpy as np
 
 END_ID = 0
 _CACHED_CHARS = 40
-_CACHE_ENTRIES = 1_000_000
+_CACHE_ENTRIES = 700_000
 _JOINED = 200
 _WHITE = re.compile(r"\s").search
 
