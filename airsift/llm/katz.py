@@ -51,7 +51,7 @@ class Katz:
     low: int = 5
     high_discount: float = 0.5
     block: int = 1_000_000
-    partition: int = 3_000_000
+    partition: int = 2_000_000
 
     def discounts(self, spectrum: list[int]) -> np.ndarray:
         """d_1..d_low from the numbers of types seen 1..low + 1 times."""
@@ -313,25 +313,31 @@ def _counted(routed: DataFrame, model: Katz, totals: Callable[[], Totals]) -> Da
     def run(key: tuple, table: pa.Table) -> pa.Table:
         known = totals()
         discounts, unknown = _unigram(model, known)
-        rows = table.to_pylist()
-        words, befores, docs, blocks = [], [], [], []
-        for row in rows:
+        words, befores, docs, blocks, numbers = [], [], [], [], []
+        for row in table.to_pylist():
             times = unpack(row["times"]).astype(np.int64)
             fans = unpack(row["fans"]).astype(np.int64)
             words.append(np.repeat(np.repeat(unpack(row["words"]).astype(np.uint64), fans), times))
             befores.append(np.repeat(unpack(row["befores"]).astype(np.uint64), times))
-            docs.append(unpack(row["docs"]).astype(np.int64))
-            blocks.append(np.full(len(docs[-1]), row["block"]))
-        word, before = np.concatenate(words), np.concatenate(befores)
-        doc, block = np.concatenate(docs), np.concatenate(blocks)
+            docs.append(unpack(row["docs"]).astype(np.int32))
+            blocks.append(np.full(len(docs[-1]), len(numbers), np.int32))
+            numbers.append(row["block"])
+        # Parts are let go as soon as they are joined: a partition is in memory once.
+        del times, fans, row
+        word, words = np.concatenate(words), None
+        before, befores = np.concatenate(befores), None
+        doc, docs = np.concatenate(docs), None
+        block, blocks = np.concatenate(blocks), None
         held, doc = (doc & 1).astype(bool), doc >> 1
 
         keys, first, at = np.unique(pair_key(word, before), return_index=True, return_inverse=True)
+        at = at.astype(np.int32)
         count = np.bincount(at, ~held, minlength=len(keys)).astype(np.int64)
         pair_keys = pair_key(known.pairs[:, 0], known.pairs[:, 1])
         very = _find(pair_keys, keys)
         count = np.where(very >= 0, known.pair_counts[very] if len(pair_keys) else 0, count)
         pair_word, pair_before = word[first], before[first]
+        del word, keys, first, held
         names, name_at = np.unique(pair_word, return_inverse=True)
         total = np.bincount(name_at, count, minlength=len(names)).astype(np.int64)
         hot = _find(known.hot, names)
@@ -375,7 +381,7 @@ def _counted(routed: DataFrame, model: Katz, totals: Callable[[], Totals]) -> Da
             values.append(np.bincount(local, score[some], n))
             values += [np.bincount(local, seen[some] == r, n) for r in range(1, model.low + 1)]
             flat = np.concatenate([v.astype(np.float64) for v in values])
-            number = int(block[some[0]])
+            number = numbers[block[some[0]]]
             out.append(("sums", number, 0, None, None, None, None, pack(who), pack(flat), None))
             miss = some[seen[some] == 0]
             if len(miss):
