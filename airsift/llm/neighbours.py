@@ -8,7 +8,8 @@ from the query to the cell borders that are crossed. Candidates of all tables ar
 ranked by exact inner products in double precision.
 
 Equal vectors are one class, searched once, of which the smallest ids can appear in results.
-A bucket of any size is split over tasks, with its queries sent to every part.
+A bucket with many vectors or many queries is split into parts of both, and every part of
+its vectors meets every part of its queries in some task.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,13 +31,15 @@ from airsift.llm.common import column, mix64, stored
 @dataclass(frozen=True)
 class Tables:
     """`width`: of a cell, in norms of the longest vector. `probes`: buckets per table and
-    query. `part`: vectors of a bucket that one task compares."""
+    query. `part`: vectors of a bucket that one task compares. `asked`: queries of a bucket
+    that it compares them with."""
 
     tables: int = 12
     hashes: int = 8
     width: float = 2.0
     probes: int = 80
     part: int = 4000
+    asked: int = 16_000
     seed: int = 5
 
     def projections(self, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +90,14 @@ def perturbations(place: np.ndarray, probes: int) -> list[list[tuple[int, int]]]
 
 def _matrix(values: pa.Array) -> np.ndarray:
     """Vectors as rows; shorter ones are filled with zeros, which add nothing to a product."""
-    lists = values.to_pylist()
-    out = np.zeros((len(lists), max(map(len, lists), default=0)))
-    for row, v in zip(out, lists, strict=True):
-        row[: len(v)] = v
+    sizes = pc.list_value_length(values).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
 def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    dims = np.array([len(v) for v in column(batch, "vector").to_pylist()], int)
+    dims = pc.list_value_length(column(batch, "vector")).to_numpy(zero_copy_only=False)
     for d in np.unique(dims).tolist():
         yield d, batch.take(pa.array(np.flatnonzero(dims == d)))
 
@@ -275,21 +278,39 @@ def nearest_neighbours(
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     longest = classes.select(F.sqrt(F.max(square)).alias("n")).first()["n"] or 1.0
     members = stored(_members(classes, tables, longest), "near-members")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    total = members.count()
-    tasks = max(8, -(-total // (4 * tables.part)))
-    parts = F.ceil(F.col("n") / tables.part).cast("int")
-    sizes = stored(sizes.select("bucket", parts.alias("parts")), "near-buckets")
     asking = classes.where("asks")
-    probes = _probes(asking, tables, longest).join(sizes, "bucket")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = members.join(sizes, "bucket").withColumn(
-        "part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    probes = stored(_probes(asking, tables, longest), "near-probes")
+    # Buckets that no query visits end here.
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).join(
+        probes.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket"
     )
-    task = F.pmod(F.xxhash64("bucket", "part"), F.lit(tasks)).cast("int").alias("task")
+    sizes = sizes.withColumns(
+        {
+            "parts": F.ceil(F.col("n") / tables.part).cast("int"),
+            "rounds": F.ceil(F.col("asked") / tables.asked).cast("int"),
+        }
+    )
+    sizes = stored(sizes, "near-buckets")
+    load = sizes.agg(
+        F.sum(F.col("n") * F.col("rounds")).alias("n"),
+        F.sum(F.col("asked") * F.col("parts")).alias("asked"),
+    ).first()
+    # A task takes four full parts of either side.
+    tasks = max(
+        8, -(-(load["n"] or 0) // (4 * tables.part)), -(-(load["asked"] or 0) // (4 * tables.asked))
+    )
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    turn = F.pmod(F.xxhash64("class"), F.col("rounds")).cast("int")
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    every_turn = F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))
+    probes = probes.join(sizes, "bucket").withColumn("turn", turn).withColumn("part", every_part)
+    placed = members.join(sizes, "bucket").withColumn("part", part).withColumn("turn", every_turn)
+    task = F.pmod(F.xxhash64("bucket", "part", "turn"), F.lit(tasks)).cast("int").alias("task")
     side = ["class", "bucket"]
     placed = placed.select(task, *side).join(classes.select("class", "vector"), "class")
-    probes = probes.select(task, *side).join(asking.select("class", "vector"), "class")
+    # A column of its own, as both sides read the same table.
+    sources = asking.select("class", F.col("vector").alias("vector"))
+    probes = probes.select(task, *side).join(sources, "class")
     found = _nearest(placed.groupBy("task").cogroup(probes.groupBy("task")), k + 1)
 
     pairs = _merged(found, keep)

@@ -86,3 +86,6 @@ def test_neighbours(spark):
         hit += len({r.vec_id for r in got} & set(want.tolist()))
     assert hit >= 0.9 * 20 * 20
     assert neighbours.nearest_neighbours(frame.limit(0), asks).count() == 0
+    # Buckets cut into small parts of vectors and of queries lose and repeat nothing.
+    cut = neighbours.nearest_neighbours(frame, asks, tables=neighbours.Tables(part=30, asked=5))
+    assert sorted(cut.collect()) == sorted(found)
