@@ -371,6 +371,8 @@ def _counted(routed: DataFrame, model: Katz, totals: Callable[[], Totals]) -> Da
             np.where(seen > 0, 0.0, rest[of]),
         )
         score -= used[of]
+        open_ = seen == 0
+        frequent = (_find(known.hot, before) >= 0) | (before == START)
         # One row per block: sums of its documents.
         order = np.argsort(block, kind="stable")
         begin = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
@@ -383,10 +385,36 @@ def _counted(routed: DataFrame, model: Katz, totals: Callable[[], Totals]) -> Da
             flat = np.concatenate([v.astype(np.float64) for v in values])
             number = numbers[block[some[0]]]
             out.append(("sums", number, 0, None, None, None, None, pack(who), pack(flat), None))
-            miss = some[seen[some] == 0]
+            # Tokens that back off after a frequent history stay with their block.
+            miss = some[open_[some] & frequent[some]]
             if len(miss):
                 sent = pack(before[miss]), pack(doc[miss])
-                out.append(("open", number, 0, None, sent[0], None, None, sent[1], None, None))
+                out.append(("near", number, 0, None, sent[0], None, None, sent[1], None, None))
+        del order, score, of, seen
+        # The others go to the partition of their history, those of all blocks in one row.
+        miss = np.flatnonzero(open_ & ~frequent)
+        side = (mix64(before[miss]) % np.uint64(known.partitions)).astype(np.int32)
+        order = np.lexsort((block[miss], side))
+        miss, side = miss[order], side[order]
+        begin = np.flatnonzero(np.r_[True, side[1:] != side[:-1]]) if len(miss) else []
+        for a, b in zip(begin, [*begin[1:], len(miss)], strict=True):
+            some = miss[a:b]
+            which, n = np.unique(block[some], return_counts=True)
+            sent = pack(np.array([numbers[i] for i in which], np.int64)), pack(n)
+            out.append(
+                (
+                    "far",
+                    0,
+                    int(side[a]),
+                    sent[0],
+                    pack(before[some]),
+                    sent[1],
+                    None,
+                    pack(doc[some]),
+                    None,
+                    None,
+                )
+            )
         return pa.Table.from_batches([_table(out, _PART_NAMES, _PART_KINDS)])
 
     return routed.groupBy("bucket").applyInArrow(run, _PART)
@@ -453,64 +481,60 @@ def _backoff(parts: DataFrame, model: Katz, discounts: np.ndarray) -> DataFrame:
     )
 
 
-def _open_parts(tables: DataFrame, totals: Callable[[], Totals], hot: Callable[[], dict]) -> DataFrame:
-    """Tokens that back off, sent to the partition of their history; frequent histories are
-    known everywhere and answered at once."""
+def _answered_near(near: DataFrame, hot: Callable[[], dict]) -> DataFrame:
+    """Sums per document of tokens that back off after frequent histories, whose answers
+    are known everywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = totals()
         answers = hot()
         names = np.array(sorted(answers), np.uint64)
-        values = np.array([answers[n] for n in names.tolist()])
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
-        fields = ["bucket", "block", "befores", "docs", "values"]
+        # A history that is not known adds nothing: the unigram stands alone.
+        values = np.array([*(answers[n] for n in names.tolist()), 0.0])
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                before = unpack(row["befores"]).astype(np.uint64)
-                docs = unpack(row["docs"]).astype(np.int64)
-                at = _find(names, before)
-                done = at >= 0
-                side = np.where(done, -1, (mix64(before) % np.uint64(known.partitions)).astype(np.int64))
-                for b in np.unique(side).tolist():
-                    use = side == b
-                    found = pack(values[at[use]]) if b < 0 else None
-                    # What is answered goes on by block.
-                    to = row["block"] % known.partitions if b < 0 else b
-                    yield _table(
-                        [(to, row["block"], pack(before[use]), pack(docs[use]), found)], fields, kinds
-                    )
+                value = values[_find(names, unpack(row["befores"]).astype(np.uint64))]
+                who, local = np.unique(unpack(row["docs"]).astype(np.int64), return_inverse=True)
+                out.append((row["block"], pack(who), pack(np.bincount(local, value, len(who)))))
+            yield _table(out, _ANSWER_NAMES, _ANSWER_KINDS)
+
+    return near.select("block", "befores", "docs").mapInArrow(run, _ANSWER)
+
+
+_ANSWER = "block bigint, docs binary, values binary"
+_ANSWER_NAMES = ["block", "docs", "values"]
+_ANSWER_KINDS = [pa.int64(), pa.binary(), pa.binary()]
 
-    wanted = tables.select("block", "befores", "docs")
-    return wanted.mapInArrow(
-        run, "bucket int, block bigint, befores binary, docs binary, values binary"
-    )
 
+def _answered(far: DataFrame, backoff: DataFrame) -> DataFrame:
+    """Sums per document of the tokens that back off, one row per partition and block."""
 
-def _answered(open_parts: DataFrame, backoff: DataFrame) -> DataFrame:
     def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         rows = known.to_pylist()
-        names, answer = np.empty(0, np.uint64), np.empty(0)
+        names, answer = np.empty(0, np.uint64), np.zeros(1)
         if rows:
             names = unpack(rows[0]["names"]).astype(np.uint64)
             counts = unpack(rows[0]["counts"]).astype(np.float64)
-            answer = np.log10(unpack(rows[0]["weights"])) + np.log10(counts)
-        out = []
+            # An unknown history has no bigrams: the unigram stands alone.
+            answer = np.r_[np.log10(unpack(rows[0]["weights"])) + np.log10(counts), 0.0]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for row in asked.to_pylist():
             docs = unpack(row["docs"]).astype(np.int64)
-            if row["values"] is not None:
-                value = unpack(row["values"])
-            else:
-                at = _find(names, unpack(row["befores"]).astype(np.uint64))
-                # An unknown history has no bigrams: the unigram stands alone.
-                value = np.where(at >= 0, answer[at] if len(answer) else 0.0, 0.0)
-            who, local = np.unique(docs, return_inverse=True)
-            out.append((row["block"], pack(who), pack(np.bincount(local, value, len(who)))))
-        return pa.Table.from_batches(
-            [_table(out, ["block", "docs", "values"], [pa.int64(), pa.binary(), pa.binary()])]
-        )
+            value = answer[_find(names, unpack(row["befores"]).astype(np.uint64))]
+            ends = np.cumsum(unpack(row["counts"]).astype(np.int64)).tolist()
+            for block, a, b in zip(unpack(row["words"]).tolist(), [0, *ends[:-1]], ends, strict=True):
+                who, local = np.unique(docs[a:b], return_inverse=True)
+                found.setdefault(block, []).append((who, np.bincount(local, value[a:b])))
+        out = []
+        for block, parts in found.items():
+            who, local = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+            sums = np.bincount(local, np.concatenate([v for _, v in parts]))
+            out.append((block, pack(who), pack(sums)))
+        return pa.Table.from_batches([_table(out, _ANSWER_NAMES, _ANSWER_KINDS)])
 
-    cogrouped = open_parts.groupBy("bucket").cogroup(backoff.groupBy("bucket"))
-    return cogrouped.applyInArrow(run, "block bigint, docs binary, values binary")
+    wanted = far.select("bucket", "words", "counts", "befores", "docs")
+    cogrouped = wanted.groupBy("bucket").cogroup(backoff.groupBy("bucket"))
+    return cogrouped.applyInArrow(run, _ANSWER)
 
 
 def _documents(docs: DataFrame, model: Katz) -> DataFrame:
@@ -601,7 +625,7 @@ def score_texts(
     parts.write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{folder}/tables")
     tables = spark.read.schema(parts.schema).parquet(f"{folder}/tables")
     spectrum = [0] * (model.low + 1)
-    tables_of = {k: tables.where(F.col("kind") == k) for k in ("model", "sums", "open")}
+    tables_of = {k: tables.where(F.col("kind") == k) for k in ("model", "sums", "near", "far")}
     some = tables_of["model"].select(F.posexplode("spectrum").alias("r", "n"))
     for row in some.groupBy("r").agg(F.sum("n").alias("n")).collect():
         spectrum[row["r"]] += row["n"]
@@ -638,8 +662,8 @@ def score_texts(
 
     answers = backoff.mapInArrow(pick, "name bigint, value double").collect()
     known = {int(np.int64(r["name"]).astype(np.uint64)): r["value"] for r in answers}
-    open_parts = _open_parts(tables_of["open"], totals, shipped(spark, known))
-    answered = _answered(open_parts, backoff).withColumn("kind", F.lit("open"))
+    near = _answered_near(tables_of["near"], shipped(spark, known))
+    answered = _answered(tables_of["far"], backoff).union(near).withColumn("kind", F.lit("open"))
     sums = tables_of["sums"].select("kind", "block", "docs", "values")
     start = -math.log10(found.documents) if found.documents else 0.0
     logs = np.log10(discounts * np.arange(1, model.low + 1))
