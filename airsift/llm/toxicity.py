@@ -226,9 +226,10 @@ def fit(
 
     Per class the `max_examples` rows that come first in a hashed order are the sample;
     equal texts count once. Class shares come from all labelled rows. Rows without a label
-    or an id teach nothing; an id with both labels counts as toxic. What reaches the driver
-    is bounded by max_examples and max_terms. Without examples of both classes the model has
-    no terms and gives every text the share of toxic rows (0 without labels).
+    or an id teach nothing; an id with both labels counts as toxic, and of an id with several
+    texts the one of least md5 is used. What reaches the driver is bounded by max_examples
+    and max_terms. Without examples of both classes the model has no terms and gives every
+    text the share of toxic rows (0 without labels).
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -248,10 +249,14 @@ def fit(
     chosen = stored(sample, "toxic-sample")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     examples = rows.join(F.broadcast(chosen), "doc_id")  # 2 * max_examples ids at most
+    # One text per id, then one id per text, so that repeated ids keep the bound as well.
+    same = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     examples = (
-        examples.withColumn("same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        examples.withColumn("same", same)
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("same").alias("same"), F.min_by("text", "same").alias("text"))
         .groupBy("same", "toxic")
-        .agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+        .agg(F.any_value("text").alias("text"), F.min("doc_id").alias("doc_id"))
         .drop("same")
     )
     examples = stored(examples, "toxic-examples")

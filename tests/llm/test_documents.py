@@ -339,6 +339,10 @@ def test_toxicity_learns_and_is_exact(spark, odd_docs, no_docs):
         assert np.allclose(similarity, best)
     scored = toxicity.score_toxicity(odd_docs, model).collect()
     assert len(scored) == odd_docs.count() and all(0 <= r.score <= 1 for r in scored)
+    # An id with many texts is one example.
+    many = [(8, f"snarlword {i}") for i in range(50)]
+    again = toxicity.fit(docs.unionByName(spark.createDataFrame(many, docs.schema)), known)
+    assert len(again.index.ids) == len(set(again.index.ids.tolist())) == len(index.ids)
     bare = toxicity.fit(docs, known.limit(0))
     assert {r.score for r in toxicity.score_toxicity(odd_docs, bare).collect()} == {0.0}
     assert toxicity.score_toxicity(no_docs, model).count() == 0
