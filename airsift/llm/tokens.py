@@ -86,7 +86,9 @@ class Encoder:
         odd = [p for p in parts if _WHITE(p)]
         plain = [p for p in parts if not _WHITE(p)] if odd else parts
         found = dict(zip(plain, self._after_blanks(plain), strict=True))
-        found.update((p, self._whole(" " + p)) for p in odd)
+        if odd:
+            ids = self._ids([" " + p for p in odd])
+            found.update((p, x.tobytes()) for p, x in zip(odd, ids, strict=True))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
