@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,6 +45,26 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
     "form toolbar".split()
 )
+# Elements whose end tags HTML lets out: start tags that end an open one, and elements that
+# shield it from them.
+_P_ENDS = frozenset(
+    "address article aside blockquote body center details dialog dir div dl fieldset figcaption "
+    "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search "
+    "section table ul dd dt td th tr tbody tfoot thead".split()
+)
+_CELL_ENDS = frozenset("td th tr tbody thead tfoot".split())
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "p": (_P_ENDS, frozenset()),
+    "li": (frozenset(["li"]), frozenset("ul ol menu".split())),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (_CELL_ENDS, frozenset(["table"])),
+    "th": (_CELL_ENDS, frozenset(["table"])),
+    "tr": (frozenset("tr tbody thead tfoot".split()), frozenset(["table"])),
+    "thead": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+    "tbody": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+    "tfoot": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+}
 # Words in class or id that name something else than the article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
@@ -52,6 +73,12 @@ NAMES = frozenset(
     "promotion related replies reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+# Words that may stand beside one of NAMES in a class or id without changing what it names.
+BESIDE = frozenset(
+    "area bar block bottom box col column container form global group header inner item items "
+    "left link links list main outer panel primary right secondary section site slot title top "
+    "unit wrap wrapper zone".split()
+)
 
 
 @dataclass(frozen=True)
@@ -80,7 +107,18 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _is_apart(tag: str, attrs: str) -> bool:
+def _names_apart(names: str) -> bool:
+    """Whether a class or id, taken whole, names something else: `cookie-notice` and
+    `sidebar-left` do, `no-sidebar` and `has-comments` do not."""
+    for name in names.lower().split():
+        words = [w for w in _TOKENS.findall(name) if not w.isdigit()]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def _is_apart(tag: str, attrs: str, named: bool = True) -> bool:
+    """`named`: ask class and id too."""
     if tag in APART:
         return True
     if tag in ("html", "body") or tag in ARTICLE or not attrs.strip(" /"):
@@ -91,8 +129,9 @@ def _is_apart(tag: str, attrs: str) -> bool:
     style = found.get("style", "").replace(" ", "").lower()
     if "display:none" in style or "visibility:hidden" in style:
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    return any(x in NAMES for x in _TOKENS.findall(names))
+    if not named or _is_article(tag, attrs):
+        return False
+    return _names_apart(f"{found.get('class', '')} {found.get('id', '')}")
 
 
 def _is_article(tag: str, attrs: str) -> bool:
@@ -104,9 +143,68 @@ def _is_article(tag: str, attrs: str) -> bool:
     return found.get("role", "").lower() == "main" or found.get("itemprop") == "articleBody"
 
 
+def _large(page: str) -> frozenset[int]:
+    """Where elements begin that hold more than half of the page's text."""
+    sizes: list[tuple[int, int]] = []  # begin of an element, length of the text in it
+    stack: list[tuple[str, int, int]] = []  # name, begin, length of the text before it
+    names: Counter[str] = Counter()
+    total = at = 0
+
+    def close() -> None:
+        name, begin, before = stack.pop()
+        names[name] -= 1
+        sizes.append((begin, total - before))
+
+    while at < len(page):
+        start = page.find("<", at)
+        text = page[at : start if start >= 0 else len(page)]
+        total += len("".join(text.split()))
+        if start < 0:
+            break
+        m = _MARKUP.match(page, start)
+        at = m.end() if m else start + 1
+        if not m or not m["tag"]:
+            continue
+        tag = m["tag"].lower()
+        if m["close"]:
+            if names[tag]:
+                while stack[-1][0] != tag:
+                    close()
+                close()
+        elif tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+            if end or tag in ("script", "style", "title", "textarea"):
+                at = end.end() if end else len(page)
+        elif tag not in VOID:
+            while stack and tag in IMPLIED.get(stack[-1][0], ((),))[0]:
+                close()
+            stack.append((tag, start, total))
+            names[tag] += 1
+    while stack:
+        close()
+    return frozenset(begin for begin, size in sizes if 2 * size > total)
+
+
 def lines(page: str) -> list[Line]:
-    """One line per block, an empty one where something was taken out."""
+    """One line per block, an empty one where something was taken out.
+
+    If no article is found, elements that hold most of the page's text are not taken out for
+    their class or id.
+    """
+    found, named = _lines(page, frozenset())
+    if named and not any(x.article and x.text for x in found):
+        large = _large(page)
+        if not large.isdisjoint(named):
+            found, _ = _lines(page, large)
+    return found
+
+
+def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], list[int]]:
+    """Lines, and where elements begin that were taken out for their class or id."""
     out: list[Line] = []
+    named: list[int] = []
+    inside: list[str] = []  # open elements of one left out that has no need of an end tag
+    count: Counter[str] = Counter()
     parts: list[str] = []
     links = 0
     apart = ""  # the element being left out, and how many of its name are open
@@ -160,10 +258,30 @@ def lines(page: str) -> list[Line]:
                 at = end.end() if end else len(page)
             continue
         if apart:
-            if tag in ARTICLE and not closing and apart not in ARTICLE:
+            if not closing and apart not in ARTICLE and _is_article(tag, attrs):
                 apart = ""  # an element left open before the article
             elif tag == "body":
                 apart = ""
+            elif apart in IMPLIED:
+                ends, shields = IMPLIED[apart]
+                if closing and count[tag]:
+                    while inside:
+                        count[name := inside.pop()] -= 1
+                        if name == tag:
+                            break
+                    continue
+                if closing and tag == apart:
+                    apart = ""
+                    continue
+                if closing and tag not in INLINE:
+                    apart = ""  # the end of an element around it
+                elif not closing and tag in ends and not any(count[x] for x in shields):
+                    apart = ""
+                else:
+                    if not closing and tag not in VOID and not attrs.rstrip().endswith("/"):
+                        inside.append(tag)
+                        count[tag] += 1
+                    continue
             elif tag == apart and not (attrs.rstrip().endswith("/") and not closing):
                 depth += -1 if closing else 1
                 if not depth:
@@ -171,7 +289,11 @@ def lines(page: str) -> list[Line]:
                 continue
             else:
                 continue
-        if not closing and tag not in VOID and _is_apart(tag, attrs):
+        if not closing and tag not in VOID and _is_apart(tag, attrs, start not in spared):
+            if not _is_apart(tag, attrs, False):
+                named.append(start)
+            inside.clear()
+            count.clear()
             if tag in INLINE:
                 parts.append(" ")
             else:
@@ -205,7 +327,7 @@ def lines(page: str) -> list[Line]:
         elif article and not closing and tag in ("body", "html"):
             article.clear()
     end_line()
-    return out
+    return out, named
 
 
 def kept_lines(found: list[Line], limits: Limits = Limits()) -> list[str]:

@@ -89,3 +89,33 @@ def test_neighbours(spark):
     # Buckets cut into small parts of vectors and of queries lose and repeat nothing.
     cut = neighbours.nearest_neighbours(frame, asks, tables=neighbours.Tables(part=30, asked=5))
     assert sorted(cut.collect()) == sorted(found)
+
+
+def test_extraction_keeps_whole_articles():
+    said = [f"{'long words of an article ' * 6}{i}" for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    # Words inside a name, wrappers of the whole page, and marked articles of such a class.
+    for attrs in (
+        'class="content no-sidebar"',
+        'class="has-comments"',
+        'class="post-share-enabled"',
+        'class="with-sidebar"',
+        'class="sidebar"',
+        'role=main class="sidebar"',
+        'itemprop=articleBody class="widget"',
+    ):
+        page = f"<body><nav>Menu</nav><div {attrs}>{body}</div></body>"
+        assert extraction.extract(page).split("\n") == said, attrs
+    aside = f'<div class="sidebar-left">Our other papers</div><article>{body}</article>'
+    assert extraction.extract(aside).split("\n") == said
+    many = f'<article>{body}<div class="comment-list">{"<p>A reader said so</p>" * 90}</div></article>'
+    assert extraction.extract(many).split("\n") == said
+    # Elements that end without an end tag.
+    for page, want in {
+        '<article><p class="notice">Note<p>One</p><p>Two</p></article>': "One\nTwo",
+        '<article><ul><li class="ad">Buy<ul><li>x<li>y</ul><li>One<li>Two</ul><p>End</article>': "One\nTwo\nEnd",
+        '<article>Top<ul><li class="ad">Buy</ul><p>End</p></article>': "Top\nEnd",
+        '<article><table><tr><td class="ad">Buy<td>A<tr><td>B</table></article>': "A\nB",
+        '<article><dl><dt class="ad">Buy<dd>D</dl><p>End</p></article>': "D\nEnd",
+    }.items():
+        assert extraction.extract(page) == want, page
