@@ -77,7 +77,9 @@ def quanta(totals: list[int], shares: list[float], window: int) -> list[int]:
     return [max(1, round(window * s / whole)) for s in shares]
 
 
-def _encoded(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
+def _encoded(
+    docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, added_tokens: bool
+) -> DataFrame:
     """Ids of every document with its place: the partition, and the tokens of its queue
     before it in that partition."""
     kind = docs.schema[doc_id].dataType
@@ -87,7 +89,7 @@ def _encoded(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: st
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added_tokens)
         running: dict[str, int] = {}
         for batch in sliced(batches):
             ids = encoder.encode(texts(batch, text))
@@ -131,6 +133,7 @@ def pack(
     window_sequences: int = 16,
     grain: int = 64,
     shares: Mapping[str | None, float] | None = None,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, with its place and checksum.
 
@@ -139,11 +142,12 @@ def pack(
     A queue that ends early leaves its turn to the others. Every id lies in exactly one
     piece. A null text is empty and packs as its end id; a null source is a queue of its
     own, after the others; a null id stays null; repeated rows are packed each. An empty
-    table gives an empty table. Other columns are not read. Ids are written once to the
-    shared folder; per source one total reaches the driver, of at most MAX_SOURCES.
+    table gives an empty table. Other columns are not read. `added_tokens` is that of
+    `Encoder`. Ids are written once to the shared folder; per source one total reaches the driver, of at most MAX_SOURCES.
     """
     encoded = stored(
-        _encoded(docs, doc_id, text, source, tokenizer or default_tokenizer()), "pack-ids"
+        _encoded(docs, doc_id, text, source, tokenizer or default_tokenizer(), added_tokens),
+        "pack-ids",
     )
     parts = stored(encoded.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
     listed = parts.groupBy("queue").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()

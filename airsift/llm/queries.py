@@ -42,7 +42,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "shards")
-    write_shards(table(spark, sf_dir, "documents"), folder)
+    write_shards(table(spark, sf_dir, "documents"), folder, added_tokens=True)
     return read_documents(spark, folder)
 
 

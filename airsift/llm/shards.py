@@ -168,6 +168,7 @@ def write_shards(
     tokenizer: str | None = None,
     shard_bytes: int = 32 << 20,
     segment_ids: int = 1 << 20,
+    added_tokens: bool = False,
 ) -> None:
     """Encode whole texts and write them to shard files in ascending order of integer ids.
 
@@ -175,7 +176,7 @@ def write_shards(
     document that brings it to `segment_ids`. Null keys come first; they are stored but not
     indexed. Rows that repeat a key are kept each, ordered by text; the index leads to the
     first in a segment. A null or empty text is its end id. An empty table writes no
-    segments. Texts are shuffled once, ids never.
+    segments. Texts are shuffled once, ids never. `added_tokens` is that of `Encoder`.
     """
     path = tokenizer or default_tokenizer()
     small = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(text).alias("text"))
@@ -188,7 +189,7 @@ def write_shards(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(path)
+        encoder = Encoder(path, added_tokens)
         limit = segment_ids * encoder.id_bytes
         keys: list[int | None] = []
         blobs: list[bytes] = []

@@ -3,7 +3,8 @@
 A byte-level vocabulary splits text before every single blank that stands between two
 characters that are not white space, whatever else is around. So a text is encoded piece by
 piece and the ids of a piece are looked up if it was seen before; the result is that of
-encoding the whole text. Other vocabularies encode whole texts at once.
+encoding the whole text. Other vocabularies, and texts that hold the literal of an added token
+where such literals count, are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _JOINED = 200
 _WHITE = re.compile(r"\s").search
 
 
-def _process_cache(path: str) -> dict[str, bytes]:
+def _process_cache(path: object) -> dict[str, bytes]:
     """Pieces seen by this Python worker: workers run many tasks, one after another."""
     name = "_airsift_token_pieces"
     holder = sys.modules.setdefault(name, types.ModuleType(name))
@@ -30,16 +31,20 @@ def _process_cache(path: str) -> dict[str, bytes]:
 
 
 class Encoder:
-    """Encodes whole texts. Ids are little-endian, of 2 bytes if the vocabulary allows."""
+    """Encodes whole texts. Ids are little-endian, of 2 bytes if the vocabulary allows.
 
-    def __init__(self, path: str):
+    `added_tokens`: the literal of a special added token is that token, as the library has it
+    by default; else it is text like any other.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # pieces are cached here already
         size = self.tokenizer.get_vocab_size()
@@ -54,10 +59,17 @@ class Encoder:
             and not split.get("add_prefix_space")
             and split.get("use_regex", True)
         )
+        # Special ones are cut out of a text only on demand, others always.
+        literals = [
+            t["content"]
+            for t in spec.get("added_tokens") or ()
+            if t["content"] and (added_tokens or not t.get("special"))
+        ]
+        self.literal = re.compile("|".join(map(re.escape, literals))).search if literals else None
         blank = "Ġ"  # how byte-level vocabularies write a blank
         names = map(self.tokenizer.id_to_token, range(size))
         self.after_blank = np.array([(t or "").startswith(blank) for t in names])
-        self.cache = _process_cache(path)
+        self.cache = _process_cache((path, added_tokens))
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -103,6 +115,9 @@ class Encoder:
         waiting: list[tuple[int, list[str], list[bytes | None]]] = []
         new: set[str] = set()
         for text in texts:
+            if self.literal and self.literal(text):
+                out.append(self._whole(text) + end)
+                continue
             parts = text.split(" ")
             if "" in parts or list(map(str.strip, parts)) != parts:
                 parts = _joined_at_white_space(parts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from airsift.llm import jaccard, katz, mixing, packing, quality, shards, tokens, toxicity
+from airsift.llm import jaccard, katz, mixing, packing, quality, queries, shards, tokens, toxicity
 from airsift.llm.common import crc32_of_id, hashed_words, pack, unpack
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -356,3 +356,20 @@ def test_pipeline_keeps_columns(spark, odd_docs, no_docs):
             if name != "packing":
                 assert docs.columns == names, name
         docs.collect()
+
+
+def test_literals_of_added_tokens_follow_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = lambda t: [*library.encode(t, add_special_tokens=False).ids, 0]
+    said = ["a <|endoftext|> b", "x<|endoftext|>  y z", "<|endoftext|>", "no literal here", "<|endoftext|", ""]
+    encoder = tokens.Encoder(tokens.default_tokenizer(), added_tokens=True)
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(said * 2)]
+    assert got == [wanted(x) for x in said * 2] and got[0] == [64, 220, 50256, 275, 0]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(said)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sums = {i: zlib.crc32(np.array(wanted(t), "<u4").tobytes()) for i, t in enumerate(said)}
+    shards_found = queries.op6_token_shards(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in shards_found} == sums
+    for packed in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, "")):
+        assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == sums
