@@ -1,5 +1,8 @@
 """Quality rules by compression: zstandard ratios of whole documents and fixed chunks.
 
+Chunks cover the whole text: the last one is aligned to its end and counts with the bytes it
+adds. Texts shorter than a chunk are cut into short chunks.
+
 Repetitive text compresses far better than prose, random text hardly at all. A ratio is
 compressed size by size. Every length class has a band of ratios it may have, as short texts
 compress less; whole documents and chunks have bands of their own.
@@ -33,7 +36,10 @@ class Bands:
     """Limits of the rule.
 
     `documents`: bands by length of the whole text. `chunk`: the band of chunks of
-    `chunk_bytes`; a text is rejected if more than `odd_share` of its chunks leave it.
+    `chunk_bytes`; `short`: that of the chunks of `short_bytes` that shorter texts are cut
+    into. Each `high` lies between prose and base64. A text is rejected if more than
+    `odd_share` of its bytes lie in chunks outside the band. Under `short_bytes` a text has
+    no chunks.
     """
 
     documents: tuple[Band, ...] = (
@@ -43,8 +49,10 @@ class Bands:
         Band(2048, 0.25, 0.75),
         Band(8192, 0.20, 0.70),
     )
-    chunk: Band = Band(2048, 0.25, 0.78)
+    chunk: Band = Band(2048, 0.25, 0.66)
     chunk_bytes: int = 2048
+    short: Band = Band(512, 0.28, 0.76)
+    short_bytes: int = 512
     odd_share: float = 0.25
     level: int = 3
 
@@ -53,23 +61,31 @@ class Bands:
 
 
 def compression(data: bytes, bands: Bands, packer) -> tuple[float, int, int, str]:
-    """Ratio, full chunks, chunks outside the band, and the reason to reject ('' for none)."""
+    """Ratio, chunks, chunks outside the band, and the reason to reject ('' for none)."""
+    size = len(data)
     if not data:
         return 0.0, 0, 0, ""
-    ratio = len(packer.compress(data)) / len(data)
-    step = bands.chunk_bytes
-    chunks = len(data) // step
-    odd = 0
-    for i in range(chunks):
-        part = len(packer.compress(data[i * step : (i + 1) * step])) / step
-        odd += not bands.chunk.low <= part <= bands.chunk.high
+    ratio = len(packer.compress(data)) / size
+    short = size < bands.chunk_bytes
+    step = bands.short_bytes if short else bands.chunk_bytes
+    limits = bands.short if short else bands.chunk
+    ends = list(range(step, size + 1, step))
+    if ends and ends[-1] < size:
+        ends.append(size)
+    chunks, odd, odd_bytes, before = len(ends), 0, 0, 0
+    for end in ends:
+        part = len(packer.compress(data[end - step : end])) / step
+        if not limits.low <= part <= limits.high:
+            odd += 1
+            odd_bytes += end - before
+        before = end
     band = bands.of(len(data))
     if ratio < band.low:
         reason = "repetitive"
     elif ratio > band.high:
         reason = "incompressible"
     else:
-        reason = "chunks" if odd > bands.odd_share * chunks else ""
+        reason = "chunks" if odd_bytes > bands.odd_share * size else ""
     return ratio, chunks, odd, reason
 
 

@@ -373,3 +373,26 @@ def test_literals_of_added_tokens_follow_the_library(spark, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in shards_found} == sums
     for packed in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, "")):
         assert {r.doc_id: r.ids_crc32 for r in packed.collect()} == sums
+
+
+def test_quality_judges_every_byte():
+    import base64
+
+    rng = np.random.default_rng(3)
+    words = sorted({*PROSE.split()})
+    prose = " ".join(rng.choice([f"{a}{b}" for a in words for b in ("", "s", "ed", "ing")], 3000)).encode()
+    noise = bytes(rng.integers(33, 127, 9000, np.uint8))
+    coded = base64.b64encode(rng.bytes(9000))
+    again = b"again " * 1500
+    judge = lambda *parts: quality.compression(b"".join(parts), quality.Bands(), zstandard.ZstdCompressor(level=3))
+    for size in (100, 511, 512, 700, 1500, 2047, 2048, 2049, 4095, 6000, 9000):
+        ratio, chunks, odd, reason = judge(prose[:size])
+        assert (odd, reason) == (0, ""), size
+        assert chunks == (-(-size // 2048) if size >= 2048 else -(-size // 512) if size >= 512 else 0)
+    for head, tail in ((2048, 2047), (4096, 4000), (8192, 8192), (700, 700), (400, 400)):
+        for junk in (noise, coded):
+            assert judge(prose[:head], junk[:tail])[3], (head, tail)
+    assert judge(prose[:4096], again[:2047])[3] and judge(prose[:700], again[:700])[3]
+    # A chunk that ends the text counts with the bytes it adds only.
+    assert judge(prose[:8192], noise[:1])[3] == ""
+    assert judge(prose[:6144], noise[:2000])[2:] == (1, "")
