@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsift.llm.common import column, hash64, mix64, sorted_groups, stored, texts
@@ -291,19 +291,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 RESULT = ["class_id", "n_copies", "n_links", "n_linked_docs", "group_id"]
 
 
-def similarity_join(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest = Forest()
-) -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, n_copies, n_links, n_linked_docs, group_id.
-
-    A class holds the texts of equal words (A-Z in lower case, white space aside); its id is
-    its least doc_id. `n_copies` counts the rows of the class, `n_links` the classes of
-    Jaccard similarity of at least the threshold, `n_linked_docs` their rows. A group joins
-    classes by links; its id is its least class_id. Null and empty texts have no n-grams:
-    they are one class without links. A null id keeps its row and a class of null ids only
-    has a null id. Texts of fewer than n words are one n-gram. Repeated rows are copies of
-    each other. An empty table gives an empty table; other columns are not read.
-    """
+def _classes(
+    docs: DataFrame, doc_id: str, text: str, forest: Forest
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of every row, and of every class its key, class_id, copies, sums of links
+    and the key that names its group, null if it is alone."""
     signed = stored(_signed(docs, doc_id, text, forest), "join-signed")
     classes = signed.groupBy("key").agg(
         F.min("doc_id").alias("class_id"),
@@ -360,6 +352,23 @@ def similarity_join(
     groups = groups.withColumnRenamed("node", "key")
     named = classes.select("key", "class_id", "copies").join(sums, "key", "left")
     named = stored(named.join(groups, "key", "left"), "join-named")
+    return signed, named
+
+
+def similarity_join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest = Forest()
+) -> DataFrame:
+    """One row per row of `docs`: doc_id, class_id, n_copies, n_links, n_linked_docs, group_id.
+
+    A class holds the texts of equal words (A-Z in lower case, white space aside); its id is
+    its least doc_id. `n_copies` counts the rows of the class, `n_links` the classes of
+    Jaccard similarity of at least the threshold, `n_linked_docs` their rows. A group joins
+    classes by links; its id is its least class_id. Null and empty texts have no n-grams:
+    they are one class without links. A null id keeps its row and a class of null ids only
+    has a null id. Texts of fewer than n words are one n-gram. Repeated rows are copies of
+    each other. An empty table gives an empty table; other columns are not read.
+    """
+    signed, named = _classes(docs, doc_id, text, forest)
     least = (
         named.where("root IS NOT NULL").groupBy("root").agg(F.min("class_id").alias("group_id"))
     )
@@ -374,27 +383,41 @@ def similarity_join(
     return signed.select("doc_id", "key").join(named, "key").select("doc_id", *RESULT)
 
 
+def _text_key(text: str) -> Column:
+    """The key of a text's class: md5 of its words, A-Z in lower case, joined by blanks."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return F.unhex(F.md5(F.translate(F.trim(words), upper, lower).cast("binary")))
+
+
 def deduplicated(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", forest: Forest = Forest()
 ) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of their group, one row each.
+    """One row of each group of near copies: of its texts that of least doc_id, null ids last.
 
-    Rows that repeat a kept id are told apart by their texts; the one of least hash stays.
-    Rows without an id stay as they are: nothing can name the one to keep. Empty texts are
-    not near copies of anything and stay too.
+    Rows are told apart by id and text: different texts of one id are in groups of their own,
+    as are texts without an id, whose group is named by its texts. Of several texts of the
+    kept id the one of least class key stays, and of rows that repeat it the one of least
+    hash. Empty texts are not near copies of anything and stay.
     """
-    joined = similarity_join(docs, doc_id, text, forest)
-    kept = joined.where("doc_id = group_id").select(F.col("doc_id").alias("_kept")).distinct()
+    _, named = _classes(docs, doc_id, text, forest)
+    order = F.struct(F.col("class_id").isNull(), "class_id", "key")
+    kept = (
+        named.groupBy(F.coalesce("root", "key").alias("group"))
+        .agg(F.min(order).alias("least"))
+        .select(F.col("least.key").alias("_key"), F.col("least.class_id").alias("_kept"))
+    )
     blank = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    free = docs.where(F.col(doc_id).isNull() | blank)
     from pyspark.sql import Window as W
 
-    bound = docs.where(F.col(doc_id).isNotNull() & ~blank)
-    first = W.partitionBy(doc_id).orderBy(F.xxhash64(text), F.col(text))
+    keyed = docs.where(~blank).withColumn("_key", _text_key(text))
+    # Ids differ by row of a class, texts by case and white space only.
+    first = W.partitionBy("_key").orderBy(F.xxhash64(text), F.col(text))
+    same = (keyed["_key"] == kept["_key"]) & keyed[doc_id].eqNullSafe(kept["_kept"])
     once = (
-        bound.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
+        keyed.join(kept, same, "left_semi")
         .withColumn("_nth", F.row_number().over(first))
         .where("_nth = 1")
-        .drop("_nth")
+        .drop("_nth", "_key")
     )
-    return once.unionByName(free)
+    return once.unionByName(docs.where(blank))

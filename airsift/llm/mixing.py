@@ -147,11 +147,13 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = 3,
     seed: int = 17,
+    by_text: bool = False,
 ) -> DataFrame:
     """Add size, source_size, target, copies and taken (copies times size) to every row.
 
     A null text has size 0; a null source is a source of its own, last in order; a null id
-    sorts as empty text. Rows that repeat an id are taken together. A source without words
+    sorts as empty text. Rows that repeat an id are taken together, or with `by_text` those
+    that repeat id and text: then other texts of one id are taken one by one. A source without words
     has target 0. An empty table gives an empty table. An input column with the name of a
     result column is replaced. Order and result follow from ids and `seed` alone, so a rerun
     agrees. Texts are read once for their sizes and never shuffled: the plan is one row per
@@ -159,6 +161,8 @@ def mix_sources(
     """
     result = ["size", "source_size", "target", "copies", "taken"]
     key = seeded_key(doc_id, seed)
+    if by_text:
+        key = F.concat(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     small = docs.select(
         F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")
     )

@@ -45,13 +45,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
+    """One row of each group of near copies: the one of least doc_id."""
     return deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return _rows(mixed_rows(mix_sources(_carried(docs))))
+    return _rows(mixed_rows(mix_sources(_carried(docs), by_text=True)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

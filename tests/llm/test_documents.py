@@ -396,3 +396,40 @@ def test_quality_judges_every_byte():
     # A chunk that ends the text counts with the bytes it adds only.
     assert judge(prose[:8192], noise[:1])[3] == ""
     assert judge(prose[:6144], noise[:2000])[2:] == (1, "")
+
+
+def test_deduplication_tells_texts_of_one_id_apart(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: text(name, 59) + " changed"
+    rows = [
+        *[(7, text(f"hot{k}x")) for k in range(12)],  # one id, unrelated texts
+        (1, text("a")),
+        (2, near("a")),  # a near copy, and another text of its id
+        (2, text("b")),
+        (None, text("c")),
+        (None, text("c").upper()),
+        (None, near("c")),
+        (None, text("d")),
+        (None, text("a")),  # copies of texts with an id
+        (9, text("hot3x")),
+        (1, text("a")),
+        (1, "  " + text("a")),
+        (4, ""),
+        (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = jaccard.deduplicated(docs).collect()
+    first = lambda r: (r.text or "").lower().split()[:1]
+    got = collections.Counter((r.doc_id, *first(r)) for r in found)
+    want = {(7, f"hot{k}x0"): 1 for k in range(12)}
+    want |= {(1, "a0"): 1, (2, "b0"): 1, (None, "c0"): 1, (None, "d0"): 1, (4,): 2}
+    assert got == want
+    # Mixing takes the texts of an id one by one.
+    flat = spark.createDataFrame(
+        [(None, text(f"m{i}x", 10), "s" if i % 4 else "t") for i in range(400)],
+        "doc_id bigint, text string, source string",
+    )
+    mixed = mixing.mix_sources(flat, by_text=True).collect()
+    for name in "st":
+        found = [r for r in mixed if r.source == name]
+        assert abs(sum(r.taken for r in found) - found[0].target) <= 10
