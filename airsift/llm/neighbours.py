@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product: multi-probe p-stable hashing.
 
-Vectors get one more component so that all have the norm of the longest; then the nearest by
+Vectors are hashed by ranges of norms, and a query looks into each range. In a range vectors
+get one more component so that all have the norm of its longest; then the nearest by
 distance to a query of that norm is the largest inner product. A table hashes a vector to the
 cells of `hashes` Gaussian projections cut at a width. A query looks into its own bucket and
 into perturbed ones, in the order of their estimated success: the sum of squared distances
 from the query to the cell borders that are crossed. Candidates of all tables are merged and
 ranked by exact inner products in double precision.
 
+A query that finds fewer neighbours than there are is compared with all vectors, part by part.
+
 Equal vectors are one class, searched once, of which the smallest ids can appear in results.
 A bucket with many vectors or many queries is split into parts of both, and every part of
 its vectors meets every part of its queries in some task.
@@ -15,6 +18,7 @@ its vectors meets every part of its queries in some task.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +34,15 @@ from airsift.llm.common import column, mix64, stored
 
 @dataclass(frozen=True)
 class Tables:
-    """`width`: of a cell, in norms of the longest vector. `probes`: buckets per table and
+    """`width`: of a cell, in norms of the longest vector of a range. `spread`: longest by
+    shortest norm of a range. `probes`: buckets per table and
     query. `part`: vectors of a bucket that one task compares. `asked`: queries of a bucket
     that it compares them with."""
 
     tables: int = 12
     hashes: int = 8
     width: float = 2.0
+    spread: float = 1.25
     probes: int = 80
     part: int = 4000
     asked: int = 16_000
@@ -102,28 +108,38 @@ def _by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield d, batch.take(pa.array(np.flatnonzero(dims == d)))
 
 
-def _members(classes: DataFrame, tables: Tables, longest: float) -> DataFrame:
+def _ranged(keys: np.ndarray, r: int) -> np.ndarray:
+    """Names of the same buckets in a range of norms."""
+    return mix64(keys + mix64(np.array([r], np.int64).view(np.uint64))[0])
+
+
+def _members(classes: DataFrame, tables: Tables, longest: dict[int, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for dims, batch in _by_dims(whole):
-                keys = bucket_keys(tables.cells(_matrix(column(batch, "vector")), longest), dims)
+                vectors = _matrix(column(batch, "vector"))
+                ranges = column(batch, "norms").to_numpy()
+                keys = np.empty((len(vectors), tables.tables), np.uint64)
+                for r in np.unique(ranges).tolist():
+                    at = ranges == r
+                    keys[at] = _ranged(bucket_keys(tables.cells(vectors[at], longest[r]), dims), r)
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "class"), pa.array(keys.view(np.int64).tolist())],
                     names=["class", "buckets"],
                 )
 
-    hashed = classes.select("class", "vector").mapInArrow(run, "class bigint, buckets array<bigint>")
+    hashed = classes.select("class", "vector", "norms").mapInArrow(run, "class bigint, buckets array<bigint>")
     return hashed.select("class", F.explode("buckets").alias("bucket"))
 
 
-def _probes(queries: DataFrame, tables: Tables, longest: float) -> DataFrame:
+def _probes(queries: DataFrame, tables: Tables, longest: dict[int, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for dims, batch in _by_dims(whole):
                 vectors = _matrix(column(batch, "vector"))
                 # A query has the norm of the longest vector, and nothing in the last place.
                 norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-                places = tables.cells(vectors / norms * longest, longest)
+                places = tables.cells(vectors / norms, 1.0)  # the same in every range
                 found = []
                 for place in places:
                     keys = []
@@ -136,6 +152,8 @@ def _probes(queries: DataFrame, tables: Tables, longest: float) -> DataFrame:
                         every = np.zeros((len(moves), tables.tables, tables.hashes))
                         every[:, t] = cells
                         keys.append(bucket_keys(every, dims)[:, t])
+                    plain = np.concatenate(keys)
+                    keys = [_ranged(plain, r) for r in longest]
                     found.append(np.unique(np.concatenate(keys)).view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "class"), pa.array(found, pa.list_(pa.int64()))],
@@ -161,6 +179,7 @@ def _nearest(grouped, k: int) -> DataFrame:
             return schema.empty_table()
         # A class can be here in several buckets, a query too.
         ids, first = np.unique(members.column("class").to_numpy(), return_index=True)
+        least = members.column("least").to_numpy()[first]
         vectors = _matrix(members.column("vector").combine_chunks().take(pa.array(first)))
         at = np.searchsorted(ids, members.column("class").to_numpy())
         buckets = members.column("bucket").to_numpy()
@@ -190,7 +209,8 @@ def _nearest(grouped, k: int) -> DataFrame:
                 floor = np.partition(rough, -k)[-k]
                 near = near[rough >= floor - 1e-9 * (1 + abs(floor))]
             score = (vectors[near] * sources[i]).sum(1)
-            best = np.lexsort((ids[near], -score))[:k]
+            # Of classes that tie with the last those of the least ids, as in the result.
+            best = np.lexsort((least[near], -score))[:k]
             out_names.append(name)
             out_classes.append(ids[near[best]].tolist())
             out_scores.append(score[best].tolist())
@@ -257,11 +277,16 @@ def nearest_neighbours(
     # Classes are named by 64 bits of hash and checked by the vector itself.
     rows = stored(rows.withColumn("hash", F.xxhash64("vector")), "near-rows")
     first = rows.groupBy("hash", "vector").agg(
-        F.min("vec_id").alias("class"), F.max("asks").alias("asks")
+        F.min("vec_id").alias("least"), F.max("asks").alias("asks")
     )
     # An id with several vectors could name two classes; the hash then tells them apart.
-    named = first.withColumn("class", F.xxhash64("class", "hash"))
-    classes = stored(named, "near-classes")
+    named = first.withColumn("class", F.xxhash64("least", "hash"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    named = stored(named.withColumn("norm", F.sqrt(square)), "near-normed")
+    top = named.agg(F.max("norm")).first()[0] or 1.0
+    span = F.floor(F.log(F.lit(top) / F.col("norm")) / math.log(tables.spread) + F.lit(1e-9))
+    classes = stored(named.withColumn("norms", span.cast("bigint")).drop("norm"), "near-classes")
+    size = F.size("vector")
     keep = k + 1
     smallest = W.partitionBy("hash", "vector").orderBy("vec_id")
     few = (
@@ -275,11 +300,43 @@ def nearest_neighbours(
     few = few.join(classes.select("hash", "vector", "class"), ["hash", "vector"])
     few = stored(few.select("class", "ids"), "near-ids")
 
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    longest = classes.select(F.sqrt(F.max(square)).alias("n")).first()["n"] or 1.0
+    ranges = classes.groupBy("norms").agg(F.sqrt(F.max(square)).alias("n")).collect()
+    longest = {r["norms"]: r["n"] for r in ranges}
     members = stored(_members(classes, tables, longest), "near-members")
     asking = classes.where("asks")
     probes = stored(_probes(asking, tables, longest), "near-probes")
+    found = _compared(members, probes, classes, asking, k, tables)
+    pairs = stored(_merged(found, keep), "near-pairs")
+
+    listed = pairs.join(few, "class").select("query", "score", F.explode("ids").alias("vec_id"))
+    counts = listed.groupBy("query").agg(F.count_distinct("vec_id").alias("found"))
+    there = rows.groupBy(size.alias("dims")).agg(F.count_distinct("vec_id").alias("there"))
+    short = (
+        asking.select("class", size.alias("dims"))
+        .join(counts.withColumnRenamed("query", "class"), "class", "left")
+        .join(there, "dims")
+        .where(F.coalesce("found", F.lit(0)) < F.least("there", F.lit(keep)))
+        .select("class", F.col("dims").cast("bigint").alias("bucket"))
+    )
+    short = stored(short, "near-short")
+    if not short.isEmpty():
+        every = classes.select("class", size.cast("bigint").alias("bucket"))
+        more = _merged(_compared(every, short, classes, asking, k, tables), keep)
+        names = short.select(F.col("class").alias("query"))
+        pairs = pairs.join(names, "query", "left_anti").unionByName(more)
+        listed = pairs.join(few, "class").select("query", "score", F.explode("ids").alias("vec_id"))
+    return _ranked(rows, classes, listed, k)
+
+
+def _compared(
+    members: DataFrame,
+    probes: DataFrame,
+    classes: DataFrame,
+    asking: DataFrame,
+    k: int,
+    tables: Tables,
+) -> DataFrame:
+    """Per task and query class the nearest of the classes it shares a bucket with."""
     # Buckets that no query visits end here.
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).join(
         probes.groupBy("bucket").agg(F.count("*").alias("asked")), "bucket"
@@ -307,14 +364,15 @@ def nearest_neighbours(
     placed = members.join(sizes, "bucket").withColumn("part", part).withColumn("turn", every_turn)
     task = F.pmod(F.xxhash64("bucket", "part", "turn"), F.lit(tasks)).cast("int").alias("task")
     side = ["class", "bucket"]
-    placed = placed.select(task, *side).join(classes.select("class", "vector"), "class")
+    placed = placed.select(task, *side).join(classes.select("class", "least", "vector"), "class")
     # A column of its own, as both sides read the same table.
     sources = asking.select("class", F.col("vector").alias("vector"))
     probes = probes.select(task, *side).join(sources, "class")
-    found = _nearest(placed.groupBy("task").cogroup(probes.groupBy("task")), k + 1)
+    return _nearest(placed.groupBy("task").cogroup(probes.groupBy("task")), k + 1)
 
-    pairs = _merged(found, keep)
-    listed = pairs.join(few, "class").select("query", "score", F.explode("ids").alias("vec_id"))
+
+def _ranked(rows: DataFrame, classes: DataFrame, listed: DataFrame, k: int) -> DataFrame:
+    keep = k + 1
     listed = listed.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = listed.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= keep)

@@ -119,3 +119,35 @@ def test_extraction_keeps_whole_articles():
         '<article><dl><dt class="ad">Buy<dd>D</dl><p>End</p></article>': "D\nEnd",
     }.items():
         assert extraction.extract(page) == want, page
+
+
+def test_neighbours_of_small_tables_skewed_norms_and_ties(spark):
+    rng = np.random.default_rng(6)
+    kind = "vec_id bigint, embedding array<double>"
+    rows = []
+    for dims, n in ((8, 5), (9, 12), (10, 21)):  # small tables, one per length
+        rows += [(100 * dims + i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, dims)))]
+    sizes = {800: 5, 900: 12, 1000: 21}
+    # One long vector among many short ones, and ties beyond k.
+    short = rng.standard_normal((600, 64))
+    short /= np.linalg.norm(short, axis=1, keepdims=True)
+    short[0] *= 100
+    rows += [(10_000 + i, v.tolist()) for i, v in enumerate(short)]
+    rows += [(20_000 + i, [1.0, float(i % 60)] + [0.0] * 10) for i in range(60)]
+    rows += [(30_000, [1.0] + [0.0] * 11)]
+    frame = spark.createDataFrame(rows, kind)
+    asks = F.col("vec_id").isin(*sizes, 30_000) | (F.col("vec_id").between(10_000, 10_599) & (F.col("vec_id") % 20 == 0))
+    by = {}
+    for r in neighbours.nearest_neighbours(frame, asks).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    for query, n in sizes.items():
+        assert len(by[query]) == min(20, n - 1), query
+    hit = 0
+    for q in range(0, 600, 20):
+        score = short @ short[q]
+        score[q] = -np.inf
+        hit += len(by[10_000 + q] & {10_000 + int(i) for i in np.argsort(-score)[:20]})
+    assert hit >= 0.9 * 30 * 20
+    every = neighbours.Tables(width=1e9)  # one bucket: all are compared
+    tied = neighbours.nearest_neighbours(frame.where("vec_id >= 20000"), F.col("vec_id") == 30_000, tables=every)
+    assert sorted(r.vec_id for r in tied.collect()) == list(range(20_000, 20_020))
