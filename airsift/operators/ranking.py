@@ -5,73 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airsift.schema import SEQ_MISSING
+from airsift.operators.positions import group_ranks, ranged
+from airsift.plans.workspace import new_work_folder
 
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
-# Width of a slice of sequence numbers in `exact_rank`: 2^20 frames, so that a
-# slice never holds more than 2^21 endpoints.
-SLICE_BITS = 21
-# Orders from here on are those of frames without a usable number; they do not tell rows
-# apart, so those rows are sliced by their address.
-_UNNUMBERED = 2 * SEQ_MISSING
-_ADDRESS_BITS = 20
-
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of every group with their rank (INT, from 1).
 
-    Spark limits each group to k rows in every task before the shuffle, so a hot
-    group sends k rows per task, whatever its size.
+    Up to the length at which Spark limits groups before the shuffle (1,000 unless the
+    session says otherwise), a hot group sends k rows per task, whatever its size. Longer
+    lists are cut from the ranks of all rows, and `order` should tell the rows of a group
+    apart.
     """
-    # Spark limits groups up to a threshold only; longer lists raise it.
-    conf = df.sparkSession.conf
-    if k > int(conf.get(_GROUP_LIMIT, "1000")):
-        conf.set(_GROUP_LIMIT, str(k))
+    if k > int(df.sparkSession.conf.get(_GROUP_LIMIT, "1000")):
+        ranked = ranks(df, group, order)
+        return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("int"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
 
 
-def exact_rank(
-    df: DataFrame, group: list[str], count: str, order: str, tie: str
-) -> DataFrame:
-    """Add `rank` (BIGINT, from 1) by `count` descending, `order`, `tie`, for every row.
+def ranks(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Add `rank` (BIGINT, from 1) by `order` in the group, for every row.
 
-    One window over a group would put a hot group into one task. Here a rank is the
-    sum of three bounded counts: rows of the group with a larger count (one row per
-    distinct count, and k distinct counts need k*k/2 frames), rows of the same count
-    in earlier slices of `order` (one row per slice), and the place in the slice (at
-    most 2^SLICE_BITS rows, as `order` is unique in a group). Rows without a frame number
-    share one order and are settled by `tie`, an address: their slices are ranges of
-    2^_ADDRESS_BITS addresses.
+    `order` must tell the rows of a group apart. The rows are read once and shuffled once,
+    into ranges of (group, order); a group of any size goes on over as many tasks as it fills.
     """
-    address = F.conv(F.translate(F.col(tie), ":-", ""), 16, 10).cast("bigint")
-    ranged = F.shiftright(F.coalesce(address, F.lit(-1).cast("bigint")), _ADDRESS_BITS)
-    part = F.when(F.col(order) >= _UNNUMBERED, ranged).otherwise(F.lit(0).cast("bigint"))
-    slice_no = F.struct(
-        F.shiftright(F.col(order), SLICE_BITS).alias("a"),
-        F.when(F.col(order) >= _UNNUMBERED, F.col(order)).alias("b"),
-        part.alias("c"),
-    )
-    sliced = df.withColumn("_slice", slice_no)
-    cells = sliced.groupBy(*group, count, "_slice").agg(F.count("*").alias("_n"))
+    folder = new_work_folder(df.sparkSession)
+    return group_ranks(ranged(df, [*[F.col(c) for c in group], *order], folder), group)
 
-    by_slice = Window.partitionBy(*group, count).orderBy("_slice")
-    by_count = Window.partitionBy(*group).orderBy(F.desc(count))
-    before_slice = cells.withColumn("_same", F.sum("_n").over(by_slice) - F.col("_n"))
-    before_count = (
-        cells.groupBy(*group, count)
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_larger", F.sum("_m").over(by_count) - F.col("_m"))
-        .drop("_m")
-    )
-    offsets = before_slice.join(before_count, [*group, count]).select(
-        *group, count, "_slice", (F.col("_same") + F.col("_larger")).alias("_offset")
-    )
-    in_slice = Window.partitionBy(*group, count, "_slice").orderBy(order, tie)
-    return (
-        sliced.withColumn("_place", F.row_number().over(in_slice))
-        .join(offsets, [*group, count, "_slice"])
-        .withColumn("rank", F.col("_offset") + F.col("_place"))
-        .drop("_slice", "_place", "_offset")
-    )
+
+def exact_rank(
+    df: DataFrame, group: list[str], count: str, order: str, tie: str
+) -> DataFrame:
+    """Add `rank` (BIGINT, from 1) by `count` descending, `order`, `tie`, for every row."""
+    return ranks(df, group, [F.desc(count), F.asc(order), F.asc(tie)])

@@ -29,6 +29,7 @@ from airsift.sources.frames import read_frame_store, read_frames
 # Low enough for the test tables to have busy clients.
 BUSY_FROM = 8
 
+RANKED = ["capture_id", "bssid", "mac", "packet_count", "first_order"]
 CLIENT = ["capture_id", "bssid", *V.CLIENT_DETAIL]
 
 
@@ -205,9 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "client_endpoints": over(client_endpoints),
         "clients": over(lambda a: a.clients),
         "client_ranks": over(
-            lambda a: C.ranked_clients(a.clients).select(
-                "capture_id", "bssid", "mac", "packet_count", "rank"
-            )
+            lambda a: C.ranked_clients(a.clients.select(*RANKED)).drop("first_order")
         ),
         "clients_top25": over(lambda a: C.top_clients(a.clients, 25)),
         "client_activity_total": over(lambda a: C.client_totals(a.client_counts).drop("place")),
