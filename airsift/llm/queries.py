@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
+from airsift.llm.importance import resample
 from airsift.llm.jaccard import similarity_join
 from airsift.llm.katz import score_texts
 from airsift.llm.mixing import mix_sources
@@ -80,6 +81,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep=["doc_id"])
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neighbours": op1_neighbours,
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op13_resample": op13_resample,
     }
 
 
