@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airsift.llm.centroids import cluster_vectors
 from airsift.llm.common import crc32_of_id, work_folder
 from airsift.llm.extraction import main_text
 from airsift.llm.importance import resample
@@ -81,6 +82,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep=["doc_id"])
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_centroids": op11_centroids,
         "op13_resample": op13_resample,
     }
 
@@ -182,5 +188,51 @@ JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 JOIN order_keys k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key"""
 
 
+_KEPT_VECTORS = """
+WITH kept AS (
+  SELECT row_number() OVER () AS row_id, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY name, v) - 1 AS k, v
+  FROM (SELECT v, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS name FROM kept)
+  ORDER BY name, v LIMIT 40)"""
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    """The rounds one after another, every distance computed anew."""
+    steps = [_KEPT_VECTORS]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(k, (d, k)) AS k,
+    min(d)::BIGINT AS d
+  FROM (SELECT row_id, vec_id, s.v, k, list_inner_product(s.v, s.v)
+          - 2 * list_inner_product(s.v, c.v) + list_inner_product(c.v, c.v) AS d
+        FROM kept s CROSS JOIN c{r} c)
+  GROUP BY row_id)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT k, list(floor(total / n) ORDER BY i) AS v
+  FROM (SELECT k, i, sum(x) AS total, count(*) AS n
+        FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r})
+        GROUP BY k, i)
+  GROUP BY k
+  UNION ALL SELECT k, v FROM c{r} WHERE k NOT IN (SELECT k FROM a{r}))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, a.k::INT AS cluster, d AS distance,
+  (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_sql(), "op8_source_mix": _MIX_SQL}
+    return {
+        "op2_url_filter": _url_sql(),
+        "op8_source_mix": _MIX_SQL,
+        "op11_centroids": _centroid_sql(),
+    }

@@ -7,11 +7,12 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import SF_DIR
 
-from airsift.llm import importance, queries
+from airsift.llm import centroids, importance, queries
 
 DOCS = "doc_id bigint, text string, source string, score string, rank int, _kept int"
 
@@ -99,3 +100,78 @@ def test_op13_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, SF_DIR, "documents").collect()]
     target = [r.text for r in queries.table(spark, SF_DIR, "benchmark").collect()]
     assert result(queries.op13_resample(spark, SF_DIR)) == brute_resample(docs, target)
+
+
+def brute_clusters(vectors, rounds=5, clusters=40):
+    """[(vec_id, cluster, distance, cluster_inertia, inertia, sha256)] with Python integers."""
+    kept = [
+        (i, [math.floor(256 * float(x)) for x in v])
+        for i, v in vectors
+        if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    name = lambda i: hashlib.sha256(f"2:{'' if i is None else i}".encode()).hexdigest()
+    at = [v for _, v in sorted(kept, key=lambda r: (name(r[0]), r[1]))[:clusters]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for turn in range(rounds + 1):
+        near = [min((far(v, c), j) for j, c in enumerate(at)) for _, v in kept]
+        if turn < rounds:
+            for j in {j for _, j in near}:
+                own = [v for (_, v), (_, k) in zip(kept, near) if k == j]
+                at[j] = [sum(x) // len(own) for x in zip(*own)]
+    per = [sum(d for d, k in near if k == j) for j in range(len(at))]
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in at]
+    return [(i, j, d, per[j], sum(per), sha[j]) for (i, _), (d, j) in zip(kept, near)]
+
+
+def same_rows(got, want):
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+VECTORS = "vec_id bigint, embedding array<double>, cluster string, dots int"
+
+
+def test_clusters_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((30, 64))
+    some = centres[rng.integers(0, 30, 260)] / 8 + 0.05 * rng.standard_normal((260, 64))
+    vectors = [(i, v.tolist()) for i, v in enumerate(some)]
+    vectors += [(5, some[5].tolist())] * 90  # copies, of one id and of others
+    vectors += [(1000 + i, some[7].tolist()) for i in range(30)]
+    vectors += [(None, some[9].tolist()), (2000, [0.0] * 64), (2001, [-1e5] * 63 + [1e5])]
+    odd = [None, [], [1.0] * 63, [1.0] * 65, [float("nan")] * 64, [float("inf")] + [0.0] * 63, [None] + [0.0] * 63]
+    vectors += [(3000 + i, v) for i, v in enumerate(odd)]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], VECTORS)
+    got = centroids.cluster_vectors(frame.repartition(5), settings=centroids.Settings(block=50))
+    same_rows(got.collect(), brute_clusters(vectors))
+    few = [v for v in vectors if v[0] in (3, 5, 2000)]
+    same_rows(centroids.cluster_vectors(frame.where("vec_id IN (3, 5, 2000)")).collect(), brute_clusters(few))
+    none = centroids.cluster_vectors(frame.where("vec_id >= 3000"))
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_changes_are_exact_for_large_components():
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-centroids.LARGEST, centroids.LARGEST, (20, 64))
+    old = rng.integers(-centroids.LARGEST, centroids.LARGEST, (3, 64))
+    new = old.copy()
+    new[1, [3, 60]] += 7
+    change = centroids.Change.between(old, new)
+    assert [(j, at.tolist(), by.tolist()) for j, at, by in change.moved] == [(1, [3, 60], [7, 7])]
+    dots = change.apply(vectors, centroids.exact_dots(vectors, old))
+    wide = vectors.astype(object)
+    assert (dots == wide @ new.astype(object).T).all()
+    near, far = centroids.assigned(vectors, dots, new)
+    exact = ((wide[:, None, :] - new.astype(object)[None]) ** 2).sum(axis=2)
+    assert near.tolist() == exact.argmin(axis=1).tolist() and far.tolist() == exact.min(axis=1).tolist()
+
+
+def test_op11_equals_its_sql(spark):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF_DIR}/embeddings.parquet'")
+    cursor = connection.execute(queries.oracle_sql()["op11_centroids"])
+    got = queries.op11_centroids(spark, SF_DIR)
+    assert [d[0] for d in cursor.description] == got.columns
+    want = cursor.fetchall()
+    same_rows(got.collect(), want)
+    vectors = [(r.vec_id, r.embedding) for r in queries.table(spark, SF_DIR, "embeddings").collect()]
+    same_rows(want, brute_clusters(vectors))
