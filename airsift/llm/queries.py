@@ -17,6 +17,8 @@ from airsift.llm.mixing import mix_sources
 from airsift.llm.neighbours import nearest_neighbours
 from airsift.llm.packing import pack
 from airsift.llm.quality import quality_rules
+from airsift.llm.semantic import fit as fit_quality
+from airsift.llm.semantic import score_quality
 from airsift.llm.shards import read_documents, write_shards
 from airsift.llm.toxicity import fit, score_toxicity
 from airsift.llm.urls import Vocabulary, filter_urls
@@ -86,6 +88,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    held_out = docs.withColumn("held_out", crc32_of_id() % 5 == 0)
+    return score_quality(held_out, model, keep=["doc_id", "held_out"])
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -104,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
         "op11_centroids": op11_centroids,
+        "op12_quality": op12_quality,
         "op13_resample": op13_resample,
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import re
@@ -9,10 +10,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR
 
-from airsift.llm import centroids, importance, queries
+from airsift.llm import centroids, importance, queries, semantic
+from airsift.llm.common import hashed_words
 
 DOCS = "doc_id bigint, text string, source string, score string, rank int, _kept int"
 
@@ -175,3 +178,103 @@ def test_op11_equals_its_sql(spark):
     same_rows(got.collect(), want)
     vectors = [(r.vec_id, r.embedding) for r in queries.table(spark, SF_DIR, "embeddings").collect()]
     same_rows(want, brute_clusters(vectors))
+
+
+def brute_terms(text, settings):
+    """Words, class runs and repetitions of one text, from its bytes one by one."""
+    data, found = (text or "").encode(), collections.Counter()
+    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"])
+    words = collections.Counter(hashed_words(batch)[0].tolist())
+    for word, n in words.items():
+        found[word % settings.words] += n
+        found[settings.words + 4096 + math.ceil(math.log2(n))] += n
+    kinds = []
+    for byte in data:
+        kind = next((k for k, some in enumerate(semantic._CLASSES) if chr(byte) in some and byte < 128), 12 + (byte < 128))
+        if not (kinds and kinds[-1] == kind and kind in (0, 1, 2, 3, 4, 12)):
+            kinds.append(kind)
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        found[settings.words + 256 * a + 16 * b + c] += 1
+    return dict(found)
+
+
+def test_terms_equal_brute_force():
+    settings = semantic.Settings()
+    said = ["The cat, the CAT!! 12 été\n\n  x", None, "", " \t", "A", "a  b", "中文 中文 a|b", "z" * 3000]
+    said += [" ".join(f"w{i % 37}," for i in range(2000))]
+    text, term, n = semantic.term_counts(pa.array(said), settings)
+    for i, t in enumerate(said):
+        own = text == i
+        assert dict(zip(term[own].tolist(), n[own].tolist())) == brute_terms(t, settings), i
+    # In pieces: words stay whole and are counted over all pieces of their text.
+    cut = semantic.term_counts(pa.array(said), semantic.Settings(piece=500))
+    for i, t in enumerate(said):
+        if i == 7:
+            continue  # one word longer than a piece
+        for grams in (False, True):
+            got = {a: b for x, a, b in zip(*cut) if x == i and (4096 <= a < 8192) == grams}
+            want = {a: b for a, b in brute_terms(t, settings).items() if (4096 <= a < 8192) == grams}
+            lost = sum(want.values()) - sum(got.values())
+            assert got == want if not grams else 0 <= lost <= 2 * (len(t or "") // 450)
+
+
+def test_votes_equal_brute_force(spark):
+    docs, labels = (queries.table(spark, SF_DIR, t) for t in ("documents", "labels"))
+    model = semantic.fit(docs.select("doc_id", "text"), labels)
+    some = [r.text for r in docs.limit(50).collect()]
+    vectors = model.project(pa.array(some))
+    assert np.allclose((vectors.astype(float) ** 2).sum(axis=1), 1, atol=1e-5)
+    score, nearest = model.vote(vectors)
+    for i, v in enumerate(vectors):
+        cosine = [float(v @ e) for e in model.vectors]
+        best = sorted(range(len(cosine)), key=lambda j: -cosine[j])[: model.settings.neighbours]
+        votes = [(max(cosine[j], 0) ** 4 * model.class_weight[int(model.good[j])], model.good[j]) for j in best]
+        m = model.settings.prior
+        want = (sum(w for w, g in votes if g) + m * model.base) / (sum(w for w, _ in votes) + m)
+        assert abs(score[i] - want) < 1e-3 and abs(nearest[i] - cosine[best[0]]) < 1e-5
+    # The space holds the main directions: no other of its size explains more.
+    few = semantic.Settings(words=64, rank=5)
+    text, term, n = semantic.term_counts(pa.array(some), few)
+    weight = semantic.weighted(text, term, n, np.ones(few.terms), few)
+    dense = np.zeros((50, few.terms))
+    dense[text, term] = weight
+    space = semantic._space(text, term, weight, 50, few)
+    exact = np.linalg.svd(dense)[1][:5]
+    assert np.allclose(np.linalg.norm(dense @ space, axis=0), exact, rtol=1e-3)
+
+
+def test_quality_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = queries.op12_quality(spark, folder).collect()
+    docs = queries.table(spark, folder, "documents")
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    label = {r.doc_id: r.quality for r in queries.table(spark, folder, "labels").collect()}
+    held = [(label[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in label]
+    good, bad = [s for y, s, _ in held if y], [s for y, s, _ in held if not y]
+    pairs = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert pairs >= 0.97 * len(good) * len(bad)
+    assert sum(p == 1 for y, _, p in held if y) >= 0.99 * len(good)
+    assert sum(p == y for y, _, p in held) >= 0.95 * len(held)
+
+
+def test_quality_of_odd_tables(spark, some_docs):
+    frame = spark.createDataFrame([(d, t, "s", "x", 3, 4) for d, t in some_docs], DOCS)
+    label = "doc_id bigint, quality int, toxic int"
+    known = [(i, int(i % 4 > 0), 0) for i in range(0, 600, 2)]
+    known += [(0, 0, 0), (8, None, 0), (9, 7, 0), (None, 1, 0), (703, 1, 1), (9999, 0, 0)]
+    for labels in (known, known[:1], [r for r in known if r[1] == 1], []):
+        model = semantic.fit(frame, spark.createDataFrame(labels, label))
+        got = semantic.score_quality(frame, model)
+        assert got.columns == ["doc_id", "text", "source", "rank", "_kept", "score", "predicted", "similarity"]
+        rows = got.collect()
+        assert len(rows) == len(some_docs) and all(0 <= r.score <= 1 for r in rows)
+        blank = {r.score for r in rows if not (r.text or "").strip()}
+        assert blank == {model.base}
+        assert len({r.score for r in rows if r.doc_id == 5}) == 1 or labels == known
+    many = semantic.Settings(max_examples=10)
+    bounded = semantic.fit(frame, spark.createDataFrame(known, label), settings=many)
+    assert len(bounded.good) <= 20
+    assert semantic.score_quality(frame.limit(0), bounded).count() == 0
+    assert len(semantic.fit(frame.limit(0), spark.createDataFrame(known, label)).good) == 0
