@@ -47,8 +47,11 @@ def normalize(frames: DataFrame) -> DataFrame:
     """
     columns = _projection()
     if "scan_order" in frames.columns:
-        # Without packet numbers the order of the scan counts.
-        columns = [c if not c.endswith(" AS seq") else "scan_order AS seq" for c in columns]
+        # In captures without packet numbers the order of the scan counts.
+        columns = [
+            f"coalesce(scan_order, {c.removesuffix(' AS seq')}) AS seq" if c.endswith(" AS seq") else c
+            for c in columns
+        ]
     return frames.selectExpr(*columns)
 
 

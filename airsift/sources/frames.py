@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airsift.schema import FIELD_CANDIDATES, NORMALIZED_SCHEMA
+from airsift.sources.exports import (
+    CaptureReadError,
+    as_path,
+    export_files,
+    header_census,
+    inspect_files,
+)
 
 EXPORT_GLOB = "*.{tsv,txt,tsv.gz,txt.gz}"
-_CORRUPT = "_corrupt_record"
-
-
-class CaptureReadError(RuntimeError):
-    """An export cannot be read as frames."""
 
 
 def resolve_fields(available: Iterable[str]) -> dict[str, str | None]:
@@ -61,51 +62,41 @@ def capture_id() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _export_reader(spark: SparkSession, glob: str, tolerate_truncated: bool):
-    return (
-        spark.read.option("sep", "\t")
+def _unique(fields: Sequence[str]) -> list[str]:
+    """Field names as column names: of fields that differ in case only or not at all, the
+    first keeps its name."""
+    seen: set[str] = set()
+    names = []
+    for place, name in enumerate(fields):
+        names.append(f"{name}#{place}" if name.lower() in seen else name)
+        seen.add(name.lower())
+    return names
+
+
+def _scan(
+    spark: SparkSession, uris: Sequence[str], fields: Sequence[str], header: bool, tolerant: bool
+) -> DataFrame:
+    """Frames of exports that share their columns."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in _unique(fields)])
+    raw = (
+        spark.read.schema(schema)
+        .option("sep", "\t")
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", tolerate_truncated)
+        .option("header", header)
+        .option("ignoreCorruptFiles", tolerant)
+        .csv([as_path(uri) for uri in uris])
     )
+    frames = select_frames(raw, capture_id().alias("capture_id"))
+    if "frame.number" in raw.columns:
+        return frames
+    return frames.withColumn("scan_order", F.monotonically_increasing_id())
 
 
-def _scan(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    fields: Sequence[str] | None,
-    glob: str,
-    tolerate_truncated: bool,
-    extra_field: str | None = None,
-) -> DataFrame:
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = _export_reader(spark, glob, tolerate_truncated)
-    header = fields is None
-    try:
-        if header:
-            # Reads one line of one file. The scan itself then checks the header of
-            # every file against it and fails on a file with other columns.
-            fields = reader.option("header", True).csv(paths).columns
-            reader = reader.option("enforceSchema", False)
-        names = [*fields, extra_field] if extra_field else list(fields)
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        if not fields:
-            raise CaptureReadError(f"no exports matching {glob} in {paths}")
-        return (
-            reader.option("header", header)
-            .option("columnNameOfCorruptRecord", extra_field or _CORRUPT)
-            # Rows are only checked for their length if all of their fields are parsed.
-            .option("columnPruning", extra_field is None)
-            .schema(schema)
-            .csv(paths)
-        )
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise CaptureReadError(f"no exports matching {glob} in {paths}") from error
-        raise
+def _shown(names: Sequence[str], most: int = 10) -> str:
+    more = f" and {len(names) - most} more" if len(names) > most else ""
+    return ", ".join(names[:most]) + more
 
 
 def read_frames(
@@ -117,21 +108,42 @@ def read_frames(
 ) -> DataFrame:
     """Tab-separated, double-quoted frame exports as the text table `FRAMES_SCHEMA`.
 
-    `fields` names the columns of exports without a header line. Exports of one call
-    must share their columns; read groups with other columns in calls of their own
-    and `unionByName` them. Short rows are filled with '', long rows are cut. A damaged
-    file fails the job. With `tolerate_truncated` its readable part is kept, and
-    `scan_summary` tells which captures that concerns. Fails if there is no row at all.
-
-    An export without packet numbers has '' for them, and the order of the scan in an
-    extra column `scan_order`: rows of one file get increasing ids, as its splits are
-    read by increasing partitions.
+    Every export names its columns in its first line, in any order and with any candidate of
+    a logical column: the first lines are read in parallel, exports of equal columns are one
+    scan, and the scans are united. `fields` names the columns of exports without a header
+    line. Short rows are filled with '', long rows are cut. A capture without any row, or
+    without any known field, fails by name. A damaged file fails the job; with
+    `tolerate_truncated` its readable part is kept, and `scan_summary` tells which captures
+    that concerns.
+
+    Captures without packet numbers have '' for them, and the order of the scan in an extra
+    column `scan_order`: rows of one file get increasing ids, as its splits are read by
+    increasing partitions.
     """
-    raw = _scan(spark, path, fields, glob, tolerate_truncated)
-    frames = select_frames(raw, capture_id().alias("capture_id"))
-    if "frame.number" not in raw.columns:
-        frames = frames.withColumn("scan_order", F.monotonically_increasing_id())
-    return require_rows(frames)
+    uris = export_files(spark, path, glob)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    failed, empty = [], []
+    for row in header_census(spark, uris, header=fields is None).collect():  # one per file
+        if row.error:
+            failed.append(f"{row.capture_id} ({row.error})")
+        elif not row.has_rows:
+            empty.append(row.capture_id)
+        names = tuple(row.fields if fields is None else fields)
+        layouts.setdefault(names, []).append(row.capture_id)
+    if failed:
+        raise CaptureReadError(f"cannot be read: {_shown(sorted(failed))}")
+    if empty:
+        raise CaptureReadError(f"no frame in {_shown(sorted(empty))}")
+    for names, members in layouts.items():
+        if not any(resolve_fields(names).values()):
+            raise CaptureReadError(
+                f"none of the known frame fields is in {_shown(sorted(members))}"
+            )
+    frames = None
+    for names, members in sorted(layouts.items()):
+        scan = _scan(spark, sorted(members), names, fields is None, tolerate_truncated)
+        frames = scan if frames is None else frames.unionByName(scan, allowMissingColumns=True)
+    return frames
 
 
 def list_captures(
@@ -152,83 +164,30 @@ def list_captures(
     )
 
 
-def _broken_files(
-    spark: SparkSession, path: str | Sequence[str], glob: str, chunk: int = 1 << 20
-) -> DataFrame:
-    """Compressed exports that do not decompress to their end: (capture_id, broken).
-
-    A file is unpacked by one task in pieces, as gzip cannot be split, and nothing of it
-    is kept.
-    """
-    import zlib
-
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load([path] if isinstance(path, str) else list(path))
-        .where(F.col("_metadata.file_name").endswith(".gz"))
-        .select(capture_id().alias("capture_id"), "content")
-    )
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = memoryview(batch.column("content")[i].as_buffer())
-                whole, at = bool(len(data)), 0
-                try:
-                    while whole and at < len(data):
-                        unpacker = zlib.decompressobj(31)
-                        while at < len(data) and not unpacker.eof:
-                            piece = data[at : at + chunk]
-                            unpacker.decompress(piece)
-                            at += len(piece) - len(unpacker.unused_data)
-                        whole = unpacker.eof
-                except zlib.error:
-                    whole = False
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("capture_id").slice(i, 1), pa.array([not whole])],
-                    names=["capture_id", "broken"],
-                )
-
-    return files.mapInArrow(run, "capture_id string, broken boolean")
-
-
 def scan_summary(
     spark: SparkSession,
     path: str | Sequence[str],
     fields: Sequence[str] | None = None,
     glob: str = EXPORT_GLOB,
 ) -> DataFrame:
-    """Per capture: files, rows, rows with too few or too many fields, and a status.
+    """Per capture: files, rows, rows with too few or too many fields, a status, and where
+    and why it breaks off.
 
-    `failed` means no row could be read; `truncated` that the file broke off: its last
-    row is short, or a strict read of it fails; `check` that some rows were short or long.
-    Files are read one by one for that, by as many tasks as there are files. Files of no
-    bytes at all are not listed.
+    `failed` means no row could be read; `truncated` that the file broke off: its last row is
+    short or has an open quote, or it does not decompress to its end; `check` that some other
+    rows were short or long. `broken_at` is the place in the bytes of the file. Every file is
+    read piece by piece by one task, so its size does not matter.
     """
-    raw = _scan(spark, path, fields, glob, True, extra_field=_CORRUPT)
-    rows = raw.groupBy(capture_id().alias("capture_id")).agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.col(_CORRUPT).isNotNull() & F.col(f"`{raw.columns[0]}`").isNotNull()).alias(
-            "odd_rows"
-        ),
-    )
-    files = list_captures(spark, path, glob).groupBy("capture_id").agg(F.count("*").alias("files"))
-    broken = _broken_files(spark, path, glob)
-    files = files.join(broken, "capture_id", "left")
-    return files.join(rows, "capture_id", "left").select(
-        "capture_id",
-        "files",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("odd_rows", F.lit(0)).alias("odd_rows"),
-        F.when(F.col("rows").isNull(), "failed")
-        .when(F.col("broken"), "truncated")
+    files = inspect_files(spark, export_files(spark, path, glob), fields)
+    status = (
+        F.when(F.col("rows") == 0, "failed")
+        .when(F.col("reason").isNotNull(), "truncated")
         .when(F.col("odd_rows") > 0, "check")
         .otherwise("ok")
-        .alias("status"),
+    )
+    return files.select(
+        "capture_id", F.lit(1).cast("bigint").alias("files"), "rows", "odd_rows",
+        status.alias("status"), "broken_at", "reason",
     )
 
 

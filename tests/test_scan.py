@@ -82,11 +82,79 @@ def test_scan_without_header_and_captures_in_subfolders(spark, tmp_path):
     assert names == [("x.1", "x.1.tsv"), ("y", "y.tsv")]
 
 
-def test_files_with_other_columns_are_refused(spark, tmp_path):
-    write(tmp_path, "a.tsv", "frame.number\twlan.sa\n1\taa\n")
-    write(tmp_path, "b.tsv", "wlan.sa\tframe.number\naa\t1\n")
-    with pytest.raises(Exception, match="[Hh]eader"):
-        read_frames(spark, str(tmp_path), tolerate_truncated=False).collect()
+def test_every_capture_names_its_own_columns(spark, tmp_path):
+    write(tmp_path, "a.tsv", "frame.number\twlan.sa\twlan_radio.channel\n1\taa\t6\n2\tab\t7\n")
+    write(tmp_path, "b/c d[1].tsv", "wlan_mgt.ssid\twlan.ta\twlan.sa\tframe.number\n\"x\ty\"\tno\tbb\t1\n")
+    write(tmp_path, "100%25.tsv", '\ufeff"wlan.ta"\twlan.ta\tframe.number\r\n"cc"\t"dd"\t"9"\r\n')
+    write(tmp_path, "n.tsv", "other\twlan.ta\nq\tee\nq\tff\n")
+    frames = read_frames(spark, str(tmp_path))
+    assert frames.count() == 6
+    rows = {(r.source, r.frame_number, r.ssid, r.channel) for r in frames.collect()}
+    assert rows == {
+        ("aa", "1", "", "6"), ("ab", "2", "", "7"), ("bb", "1", "x\ty", ""), ("cc", "9", "", ""),
+        ("ee", "", "", ""), ("ff", "", "", ""),
+    }
+    order = {r.src: r.seq for r in normalize(frames).collect()}
+    assert (order["aa"], order["ab"], order["bb"], order["cc"]) == (1, 2, 1, 9)
+    assert order["ee"] < order["ff"] < SEQ_MISSING
+    # Counting, and reading a column that few exports have, take the same rows.
+    assert frames.select("bssid").count() == frames.select("ssid", "signal").count() == 6
+    write(tmp_path, "z.tsv", "ip.src\tip.dst\n1\t2\n")
+    with pytest.raises(CaptureReadError, match="known frame fields.*z.tsv"):
+        read_frames(spark, str(tmp_path))
+
+
+def test_captures_without_a_row_fail_by_name(spark, tmp_path):
+    write(tmp_path, "good.tsv", HEADER + ROWS[0])
+    write(tmp_path, "bare.tsv", HEADER + "\n\n")
+    with pytest.raises(CaptureReadError, match="no frame in .*bare.tsv"):
+        read_frames(spark, str(tmp_path))
+    (tmp_path / "bare.tsv").write_text("")
+    with pytest.raises(CaptureReadError, match="no frame in .*bare.tsv"):
+        read_frames(spark, str(tmp_path), fields=["frame.number"])
+    status = {stem(r.capture_id): (r.rows, r.status) for r in scan_summary(spark, str(tmp_path)).collect()}
+    assert status == {"good": (1, "ok"), "bare": (0, "failed")}
+
+
+def test_broken_exports_say_where(spark, tmp_path):
+    body = HEADER + ROWS[0] + '"2"\t"1"\t"b"\n'
+    for name, end in (("whole", '"3"\t""\t""'), ("short", '"3"\t"17"'), ("quote", '"3"\t"17"\t"ab')):
+        write(tmp_path, f"{name}.tsv", body + end)
+    write(tmp_path, "inside.tsv", HEADER + '"1"\t"a\n' + ROWS[0])
+    content = (HEADER + "".join(f'"{i}"\t"{i}"\t"{os.urandom(8).hex()}"\n' for i in range(9_000))).encode()
+    packed = gzip.compress(content)
+    (tmp_path / "cut.tsv.gz").write_bytes(packed[:-9_000])
+    (tmp_path / "damaged.tsv.gz").write_bytes(packed[:60_000] + b"\xff" * 40 + packed[60_040:])
+    (tmp_path / "members.tsv.gz").write_bytes(gzip.compress((HEADER + ROWS[0]).encode()) + gzip.compress(ROWS[0].encode()))
+    found = {stem(r.capture_id): r for r in scan_summary(spark, str(tmp_path)).collect()}
+    at = len(body.encode())
+    shown = {n: (r.rows, r.odd_rows, r.status, r.broken_at, r.reason) for n, r in found.items()}
+    assert shown["whole"] == (3, 0, "ok", None, None)
+    assert shown["short"] == (3, 1, "truncated", at, "short last row")
+    assert shown["quote"] == (3, 1, "truncated", at, "open quote in the last row")
+    assert shown["inside"] == (2, 1, "check", None, None)
+    assert shown["members"] == (2, 0, "ok", None, None)
+    assert shown["cut"][2:] == ("truncated", len(packed) - 9_000, "compression breaks off")
+    assert 0 < shown["cut"][0] < 9_000
+    assert shown["damaged"][2::2] == ("truncated", "damaged compression")
+    assert shown["damaged"][0] > 2_000 and shown["damaged"][3] >= 60_000
+
+
+def test_files_are_read_in_pieces(tmp_path):
+    import tracemalloc
+
+    from airsift.sources import exports
+
+    line = b'"1"\t"1700000000.5"\t"' + b"a" * 100 + b'"\n'
+    (tmp_path / "big.tsv.gz").write_bytes(gzip.compress(HEADER.encode() + line * 400_000))
+    tracemalloc.start()
+    n = sum(1 for _ in exports.export_lines(f"file://{tmp_path}/big.tsv.gz"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400_001 and most < 12 << 20
+    (tmp_path / "long.tsv").write_bytes(b"a\n" + b"x" * 5000 + b"\nb\n" + b"y" * 5000)
+    found = [(x, e) for x, _, e in exports.export_lines(f"file://{tmp_path}/long.tsv", 700, 1000)]
+    assert found == [(b"a", True), (None, True), (b"b", True), (None, False)]
 
 
 def test_errors(spark, tmp_path):
