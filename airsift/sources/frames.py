@@ -40,6 +40,29 @@ def field_status(spark: SparkSession, available: Iterable[str]) -> DataFrame:
     )
 
 
+def capture_fields(
+    spark: SparkSession, path: str | Sequence[str], glob: str = EXPORT_GLOB
+) -> DataFrame:
+    """The rows of `field_status` for every capture, from the first line of its export."""
+    known = [
+        F.struct(
+            F.lit(pos).alias("pos"),
+            F.lit(name).alias("logical_name"),
+            F.array(*map(F.lit, fields)).alias("candidates"),
+        )
+        for pos, (name, fields) in enumerate(FIELD_CANDIDATES.items(), 1)
+    ]
+    census = header_census(spark, export_files(spark, path, glob))
+    unfolded = census.select("capture_id", "fields", F.inline(F.array(*known)))
+    return unfolded.selectExpr(
+        "capture_id",
+        "pos",
+        "logical_name",
+        "get(array_intersect(candidates, fields), 0) AS physical_name",
+        "arrays_overlap(candidates, fields) AS available",
+    )
+
+
 def select_frames(raw: DataFrame, *extra: Column) -> DataFrame:
     """Project a table of export fields onto the logical frame columns.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from airsift import labels as L
-from airsift.schema import SEQ_MISSING
+from airsift.schema import FIELD_CANDIDATES, SEQ_MISSING
 from airsift.sources.events import FRAMES_FROM_EVENTS
 from parity.queries import BUSY_FROM
 
@@ -300,6 +300,24 @@ def _named(ssid: str) -> str:
     )
 
 
+def _resolved() -> str:
+    """The field that supplies each logical column in the three kinds of exports."""
+    rows = []
+    for pos, (name, fields) in enumerate(FIELD_CANDIDATES.items(), 1):
+        third = "NULL" if name == "frame_type" else f"'{fields[0]}'"
+        for site, field in enumerate((f"'{fields[0]}'", f"'{fields[-1]}'", third)):
+            rows.append(f"({site}, {pos}, '{name}', {field})")
+    return ", ".join(rows)
+
+
+_RAGGED = """
+SELECT * EXCLUDE (capture_id, cut) REPLACE (
+  CASE WHEN cut THEN '' ELSE bssid END AS bssid, CASE WHEN cut THEN false ELSE bssid_ok END AS bssid_ok,
+  CASE WHEN cut THEN '' ELSE ssid END AS ssid, CASE WHEN cut THEN '' ELSE channel END AS channel,
+  CASE WHEN NOT cut THEN sig END AS sig, CASE WHEN cut THEN '' ELSE eapol END AS eapol)
+FROM (SELECT *, frame_number::BIGINT % 5 = 0 AS cut FROM norm)"""
+
+
 def oracle_sql(frames: str = _FRAMES) -> dict[str, str]:
     """SQL per query; `frames` is the SELECT that gives the raw frames."""
     network_columns = (
@@ -488,6 +506,25 @@ SELECT capture_id, bssid AS "BSSID", mac AS "Istemci_MAC", packet_count AS "Pake
         "csv_blanks": "SELECT capture_id, bssid, ' ' || ssid || ' ' AS ssid FROM ssids",
         "captures_by_path": """
 SELECT (frame_number::BIGINT % 3)::INT AS site, count(*) AS packet_count FROM norm GROUP BY ALL""",
+        "mixed_captures": "SELECT * EXCLUDE (capture_id) FROM norm",
+        "mixed_fields": f"""
+SELECT site, pos::INT AS pos, logical_name, physical_name, physical_name IS NOT NULL AS available
+FROM (VALUES {_resolved()}) t(site, pos, logical_name, physical_name)
+WHERE site IN (SELECT frame_number::BIGINT % 3 FROM norm)""",
+        "ragged_exports": _RAGGED,
+        "damaged_exports": """
+SELECT i::INT AS site, count(n) AS rows,
+  count(n) FILTER ((i = 3 AND n % 10 = 1) OR (i IN (1, 2) AND n > total - 4)) AS odd_rows,
+  CASE WHEN count(n) = 0 THEN 'failed' WHEN i IN (1, 2) THEN 'truncated'
+    WHEN i = 3 AND count(n) FILTER (n % 10 = 1 AND n <= total - 4) > 0 THEN 'check'
+    ELSE 'ok' END AS status,
+  CASE i WHEN 1 THEN 'open quote in the last row' WHEN 2 THEN 'short last row' END AS reason
+FROM range(5) r(i) LEFT JOIN (SELECT frame_number::BIGINT AS n FROM norm) ON i = n % 4
+  CROSS JOIN (SELECT count(*) AS total FROM norm)
+GROUP BY i""",
+        "admitted_files": """
+SELECT (frame_number::BIGINT % 3)::INT AS site, count(*) AS packet_count FROM norm
+WHERE frame_number::BIGINT % 3 <> 1 GROUP BY ALL""",
         "client_activity_busy": "SELECT * FROM clients",
         "json_networks": f"SELECT {network_columns} FROM table_view",
         "json_clients": "SELECT * FROM clients",

@@ -24,7 +24,13 @@ from airsift.schema import FIELD_CANDIDATES
 from airsift.sinks import writers as W
 from airsift.sources.dimensions import with_oui_vendor
 from airsift.sources.events import frames_from_events
-from airsift.sources.frames import read_frame_store, read_frames
+from airsift.sources.frames import (
+    capture_fields,
+    list_captures,
+    read_frame_store,
+    read_frames,
+    scan_summary,
+)
 
 # Low enough for the test tables to have busy clients.
 BUSY_FROM = 8
@@ -160,6 +166,111 @@ def captures_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(site.alias("site")).agg(F.count("*").alias("packet_count"))
 
 
+_OPTIONS = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
+# Columns of three kinds of exports: the usual ones; others of the candidates, turned round;
+# two candidates of one column, a column nobody knows, and none that is never read.
+_LAYOUTS = [
+    {fields[0]: name for name, fields in FIELD_CANDIDATES.items()},
+    {fields[-1]: name for name, fields in reversed(FIELD_CANDIDATES.items())},
+    {"wlan.ta": "bssid", "ip.src": "channel"}
+    | {fields[0]: name for name, fields in FIELD_CANDIDATES.items() if name != "frame_type"},
+]
+
+
+def mixed_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Frames exported by three kinds of exporters into one folder; returns the folder."""
+    folder = new_work_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    frames = frames_from_events(spark, sf_dir)
+    for i, layout in enumerate(_LAYOUTS):
+        some = frames.where(F.col("frame_number").cast("bigint") % len(_LAYOUTS) == i)
+        columns = [F.col(name).alias(field) for field, name in layout.items()]
+        some.select(*columns).write.options(**_OPTIONS).csv(f"{folder}/site={i}")
+    return folder
+
+
+def mixed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports with other columns in other orders, read in one call."""
+    frames = read_frames(spark, mixed_exports(spark, sf_dir), glob="*.csv")
+    return normalize(frames).drop("capture_id")
+
+
+def site(c: str = "capture_id"):
+    return F.regexp_extract(c, "site(?:=|%3D)([0-9]+)", 1).cast("int").alias("site")
+
+
+def mixed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which export field supplies each logical column, capture by capture."""
+    status = capture_fields(spark, mixed_exports(spark, sf_dir), glob="*.csv")
+    return status.select(site(), "pos", "logical_name", "physical_name", "available").distinct()
+
+
+def _line_exports(spark: SparkSession, sf_dir: str, line) -> str:
+    """Four exports of lines of text, `line` made of the quoted fields and the number of the
+    frame, and one of a header line only; returns the folder."""
+    folder = new_work_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    fields = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in FIELD_CANDIDATES]
+    number = F.col("frame_number").cast("bigint")
+    rows = frames_from_events(spark, sf_dir).select(
+        (number % 4).alias("site"), number.alias("at"), line(F.array(*fields), number).alias("value")
+    )
+    head = "\t".join(names[0] for names in FIELD_CANDIDATES.values())
+    heads = spark.range(5).selectExpr("id AS site", "0L AS at", f"'{head}' AS value")
+    ordered = rows.unionByName(heads).repartition("site").sortWithinPartitions("site", "at")
+    ordered.select("site", "value").write.partitionBy("site").text(folder)
+    return folder
+
+
+def ragged_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lack their last fields, and rows with too many."""
+
+    def line(fields, number):
+        short = F.when(number % 5 == 0, F.slice(fields, 1, 6)).otherwise(fields)
+        longer = (number % 7 == 0) & (number % 5 != 0)
+        more = F.when(longer, F.concat(short, F.array(*[F.lit('"x"')] * 6))).otherwise(short)
+        return F.array_join(more, "\t")
+
+    folder = _line_exports(spark, sf_dir, line)
+    read = read_frames(spark, [f"{folder}/site={i}" for i in range(4)])
+    return normalize(read).drop("capture_id")
+
+
+def damaged_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `scan_summary` tells of exports with short rows, cut in their last row, and bare."""
+    total = frames_from_events(spark, sf_dir).count()
+
+    def line(fields, number):
+        whole = F.array_join(fields, "\t")
+        last = number > total - 4
+        odd = F.when((number % 4 == 3) & (number % 10 == 1), F.array_join(F.slice(fields, 1, 3), "\t"))
+        quoted = F.regexp_replace(whole, ".$", "")
+        short = F.array_join(F.slice(fields, 1, 2), "\t")
+        return (
+            F.when(last & (number % 4 == 1), quoted)
+            .when(last & (number % 4 == 2), short)
+            .otherwise(F.coalesce(odd, whole))
+        )
+
+    found = scan_summary(spark, _line_exports(spark, sf_dir, line))
+    return found.select(site(), "rows", "odd_rows", "status", "reason")
+
+
+def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of exports with several suffixes those that are exports by their name, also packed."""
+    folder = new_work_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    frames = frames_from_events(spark, sf_dir)
+    number = F.col("frame_number").cast("bigint")
+    lines = frames.select(F.concat(F.lit('"'), "frame_number", F.lit('"')).alias("value"), (number % 3).alias("i"))
+    lines.where("i = 0").select("value").write.text(f"{folder}/site=0")
+    lines.where("i = 1").select("value").write.csv(f"{folder}/site=1")
+    lines.where("i = 2").select("value").write.option("compression", "gzip").text(f"{folder}/site=2")
+    read = read_frames(spark, folder, fields=["frame.number"])
+    listed = list_captures(spark, folder).select(site()).distinct()
+    return read.groupBy(site()).agg(F.count("*").alias("packet_count")).join(listed, "site")
+
+
 def busy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of which every tenth is told a thousand times, for the classes of busy clients."""
     frames = normalized(spark, sf_dir)
@@ -256,6 +367,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clients_csv": over(lambda a: W.clients_csv(a.clients)),
         "csv_blanks": csv_blanks,
         "captures_by_path": captures_by_path,
+        "mixed_captures": mixed_captures,
+        "mixed_fields": mixed_fields,
+        "ragged_exports": ragged_exports,
+        "damaged_exports": damaged_exports,
+        "admitted_files": admitted_files,
         "json_networks": as_json(lambda a: a.networks),
         "json_clients": as_json(lambda a: a.clients),
         "json_subtypes": as_json(lambda a: a.frame_subtypes),

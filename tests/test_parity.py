@@ -89,7 +89,9 @@ def messy_frames(n=3000, seed=7):
     return rows
 
 
-FUZZED = [n for n in sorted(Q.queries()) if n not in ("tsv_scan", "subtype_decimal")]
+# Frames whose numbers are not their own key cannot be cut by number.
+NOT_FUZZED = ("tsv_scan", "subtype_decimal", "damaged_exports")
+FUZZED = [n for n in sorted(Q.queries()) if n not in NOT_FUZZED]
 
 
 @pytest.fixture(scope="module")
