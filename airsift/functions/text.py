@@ -26,6 +26,9 @@ NUMBER_PATTERN = rf"^{_NUMBER}\z"
 # A number as first value: blanks, number, blanks, then a comma or the end.
 FIRST_NUMBER_PATTERN = rf"^{_BLANK}({_NUMBER}){_BLANK}(?:,|\z)"
 HEX_PAIRS_PATTERN = r"^(?:[ \t\n\x0b\f\r]*[0-9a-fA-F]{2})+[ \t\n\x0b\f\r]*\z"
+LOCAL_OCTET_PATTERN = r"^(?:0[xX])?[0-9a-fA-F]*[2367abefABEF]\z"
+# A hexadecimal code of a value that fits 60 bits; a larger one is no code and stays text.
+HEX_CODE_PATTERN = r"^0[xX]0*[0-9a-fA-F]{1,15}\z"
 # One or more printable characters: no control, format, surrogate, private-use or
 # unassigned ones, and no separator other than the plain space.
 PRINTABLE_PATTERN = r"^((?:[^\p{C}\p{Z}]| )+)\z"
@@ -99,8 +102,8 @@ def normalize_oui(c: str) -> str:
 def is_locally_administered(c: str) -> str:
     """Bit 0x02 of the first octet; false if the octet is no hex number."""
     octet = f"substring_index(translate({c}, '-', ':'), ':', 1)"
-    hex_octet = f"CASE WHEN {matches(octet, r'^[0-9a-fA-F]{1,15}\z')} THEN {octet} END"
-    return f"coalesce(CAST(conv({hex_octet}, 16, 10) AS BIGINT) & 2 <> 0, false)"
+    # The last digit has the bit, however long the number is.
+    return f"coalesce({matches(octet, LOCAL_OCTET_PATTERN)}, false)"
 
 
 def vendor_label(mac: str, vendor: str) -> str:
@@ -118,5 +121,5 @@ def subtype_label(code: str, name: str) -> str:
 
 def decimal_subtype(code: str) -> str:
     """Opt-in: `0x000c` to `12`, so that hexadecimal exports meet the subtype names."""
-    is_hex = matches(code, r"^0[xX][0-9a-fA-F]{1,8}\z")
+    is_hex = matches(code, HEX_CODE_PATTERN)
     return f"CASE WHEN {is_hex} THEN conv(substring({code}, 3), 16, 10) ELSE {code} END"

@@ -54,3 +54,10 @@ NORMALIZED_SCHEMA = T.StructType(
 # Order of frames without a usable frame number: after all others. Small enough
 # that 2 * seq + 1, the order of a frame's endpoints, still fits a BIGINT.
 SEQ_MISSING = 2**62 - 1
+
+# Frame store: the frames and the short key of their capture; the folder of its captures,
+# which a scan of the store passes over.
+STORED_SCHEMA = T.StructType(
+    [*NORMALIZED_SCHEMA, T.StructField("capture_key", T.LongType())]
+)
+CAPTURES_FOLDER = "_captures"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from airsift.functions.text import literal
 from airsift.plans import views as V
 from airsift.plans.analysis import Analysis
+from airsift.sinks.paths import by_capture
 
 _HEAD = '<!DOCTYPE html><html lang="tr"><head><meta charset="utf-8"></head><body>'
 _ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
@@ -100,4 +101,4 @@ def write_html_report(
     ordered = html_lines(analysis.materialize(), captures).orderBy(
         "capture_id", "section", "part", "place", "line"
     )
-    ordered.select("capture_id", "line").write.partitionBy("capture_id").text(path)
+    by_capture(ordered.select("capture_id", "line")).write.partitionBy("capture_id").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airsift.schema import FIELD_CANDIDATES, NORMALIZED_SCHEMA
+from airsift.schema import CAPTURES_FOLDER, FIELD_CANDIDATES, NORMALIZED_SCHEMA, STORED_SCHEMA
 from airsift.sources.exports import (
     CaptureReadError,
     as_path,
@@ -221,7 +221,41 @@ def require_rows(frames: DataFrame) -> DataFrame:
     return frames
 
 
-def read_frame_store(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised frames written by `write_frame_store` or the streaming ingest."""
-    stored = spark.read.schema(NORMALIZED_SCHEMA).parquet(path)
-    return stored.select(*NORMALIZED_SCHEMA.names)
+_SHORT = "lower(lpad(hex(capture_key), 16, '0'))"
+
+
+def read_frame_store(
+    spark: SparkSession,
+    path: str,
+    captures: Sequence[str] | None = None,
+    short: bool = False,
+) -> DataFrame:
+    """Normalised frames written by `write_frame_store` or the streaming ingest.
+
+    `captures` names the captures wanted: only their buckets are opened, and in these only the
+    row groups that hold them. With `short` the capture id is the short key of the store, 16
+    hex digits, so that no shuffle carries long paths; `store_captures` has what they stand for.
+    """
+    kinds = T.StructType([*STORED_SCHEMA, T.StructField("buckets", T.IntegerType())])
+    stored = spark.read.schema(kinds.add("bucket", T.IntegerType())).parquet(path)
+    if captures is not None:
+        keys = [F.xxhash64(F.lit(name)) for name in captures]
+        in_bucket = F.lit(False)
+        for key in keys:
+            in_bucket = in_bucket | (F.col("bucket") == F.pmod(key, F.col("buckets")))
+        stored = stored.where(in_bucket & F.col("capture_key").isin(*keys))
+        stored = stored.where(F.col("capture_id").isin(*captures))
+    capture = F.expr(_SHORT).alias("capture_id") if short else F.col("capture_id")
+    return stored.select(capture, *NORMALIZED_SCHEMA.names[1:])
+
+
+def store_captures(spark: SparkSession, path: str) -> DataFrame:
+    """One row per capture of a frame store, with the columns of `list_captures` but the size:
+    its short key as `capture_id`, its name and its path."""
+    kind = T.StructType().add("capture_key", T.LongType()).add("capture_id", T.StringType())
+    listed = spark.read.schema(kind).parquet(f"{path.rstrip('/')}/{CAPTURES_FOLDER}")
+    return listed.select("capture_key", "capture_id").distinct().selectExpr(
+        f"{_SHORT} AS capture_id",
+        "url_decode(replace(substring_index(capture_id, '/', -1), '+', '%2B')) AS capture_name",
+        "capture_id AS capture_file",
+    )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from airsift.operators.normalize import normalize
 from airsift.plans.workspace import shared_folder
+from airsift.sinks.frame_store import write_part
 from airsift.sources.frames import EXPORT_GLOB, CaptureReadError, capture_id, select_frames
 
 
@@ -31,7 +32,9 @@ def ingest_exports(
     """
     if "frame.number" not in fields:
         raise CaptureReadError("a stream has no scan order: the export needs frame.number")
-    checkpoint = checkpoint or f"{shared_folder(spark)}/ingest/{store.strip('/')}"
+    # The store's URI as a name that every file system takes.
+    name = hashlib.md5(store.rstrip("/").encode()).hexdigest()
+    checkpoint = checkpoint or f"{shared_folder(spark)}/ingest/{name}"
     schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
     raw = (
         spark.readStream.schema(schema)
@@ -45,11 +48,10 @@ def ingest_exports(
         .csv(source)
     )
     frames = normalize(select_frames(raw, capture_id().alias("capture_id")))
+
     def write(batch: DataFrame, number: int) -> None:
         # A batch that is tried again overwrites what its first try left.
-        batch.write.mode("overwrite").partitionBy("capture_id").parquet(
-            batch_folder(store, checkpoint, number)
-        )
+        write_part(batch, store, batch_part(checkpoint, number))
 
     return (
         frames.writeStream.foreachBatch(write)
@@ -59,7 +61,7 @@ def ingest_exports(
     )
 
 
-def batch_folder(store: str, checkpoint: str, number: int) -> str:
-    """The folder of one batch, named by its stream and number."""
+def batch_part(checkpoint: str, number: int) -> str:
+    """The part of the store that one batch is, named by its stream and number."""
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    return f"{store.rstrip('/')}/part=ingest-{stream}-{number}"
+    return f"ingest-{stream}-{number}"

@@ -300,6 +300,12 @@ def _named(ssid: str) -> str:
     )
 
 
+_CLIENT_CSV = """
+SELECT capture_id, bssid AS "BSSID", coalesce(ssid, '') AS "SSID", mac AS "Istemci_MAC",
+  packet_count AS "Paket_Sayisi\""""
+_CLIENT_CSV_FROM = "FROM clients LEFT JOIN ssids USING (capture_id, bssid)"
+
+
 def _resolved() -> str:
     """The field that supplies each logical column in the three kinds of exports."""
     rows = []
@@ -497,12 +503,51 @@ WHERE v.bssid = '3c:a7:ae:00:00:01'""",
         "summary_networks": _with_clients(10, "mac, packet_count").format(
             texts=_texts("bilinmiyor"), more=""
         ),
+        "networks_csv_files": f"""
+SELECT capture_id, ssid_text AS "SSID", bssid AS "BSSID", channel AS "Kanal",
+  dbm AS "Ortalama_Sinyal_dBm", client_count AS "Istemci_Sayisi" FROM {_named('')}""",
         "networks_csv": f"""
 SELECT capture_id, ssid_text AS "SSID", bssid AS "BSSID", channel AS "Kanal",
   dbm AS "Ortalama_Sinyal_dBm", client_count AS "Istemci_Sayisi" FROM {_named('')}""",
-        "clients_csv": """
-SELECT capture_id, bssid AS "BSSID", mac AS "Istemci_MAC", packet_count AS "Paket_Sayisi",
-  first_order FROM clients""",
+        "clients_csv": f"{_CLIENT_CSV}, first_order {_CLIENT_CSV_FROM}",
+        "clients_csv_files": f"{_CLIENT_CSV} {_CLIENT_CSV_FROM}",
+        "report_files": (default_findings, """
+SELECT '_1' AS writer, section, rows FROM (
+  SELECT 'json/captures' AS section, count(*) AS rows FROM totals
+  UNION ALL SELECT 'json/envelope', count(*) FROM totals
+  UNION ALL SELECT 'json/capture_summary', count(*) FROM totals
+  UNION ALL SELECT 'json/networks', count(*) FROM networks
+  UNION ALL SELECT 'json/network_ssids', count(*) FROM ssids
+  UNION ALL SELECT 'json/clients', count(*) FROM clients
+  UNION ALL SELECT 'json/frame_subtypes', count(*) FROM subtypes
+  UNION ALL SELECT 'json/top_sources', sum(least(n, 20)) FROM
+    (SELECT count(*) AS n FROM sources GROUP BY capture_id)
+  UNION ALL SELECT 'json/top_destinations', sum(least(n, 20)) FROM
+    (SELECT count(*) AS n FROM destinations GROUP BY capture_id)
+  UNION ALL SELECT 'json/eapol_packets', count(*) FROM eapol
+  UNION ALL SELECT 'json/handshake_candidates', count(*) FROM candidates
+  UNION ALL SELECT 'json/findings', count(*) FROM findings
+  UNION ALL SELECT 'networks_csv', sum(greatest(len(ssids), 1)) FROM networks
+  UNION ALL SELECT 'clients_csv', sum(greatest(len(ssids), 1))
+    FROM clients JOIN networks USING (capture_id, bssid))"""),
+        "store_by_key": """
+SELECT * EXCLUDE (capture_id), capture_id AS capture_name FROM clients
+WHERE capture_id IN ('cap0', 'cap2')""",
+        "handshake_details_selected": """
+SELECT capture_id, bssid, client, eapol_packet_count,
+  CASE status WHEN 'strong_candidate' THEN 'Güçlü Aday' ELSE 'Kısmi' END AS status_text,
+  first_seen, last_seen
+FROM candidates WHERE lower(bssid) = '3c:a7:ae:00:00:01' AND capture_id = 'cap1'""",
+        "client_details_selected": f"""
+SELECT {_CLIENT_COLUMNS} FROM clients
+WHERE bssid = '3c:a7:ae:00:00:01' AND capture_id = 'cap1'""",
+        "findings_default_busy": (default_findings, "SELECT * FROM findings"),
+        "json_ssids": "SELECT * FROM ssids",
+        "json_sources": _top("sources", 20),
+        "json_destinations": _top("destinations", 20),
+        "json_eapol": "SELECT * FROM eapol",
+        "json_findings": (default_findings, "SELECT * FROM findings"),
+        "json_summary": "SELECT * FROM summary",
         "csv_blanks": "SELECT capture_id, bssid, ' ' || ssid || ' ' AS ssid FROM ssids",
         "captures_by_path": """
 SELECT (frame_number::BIGINT % 3)::INT AS site, count(*) AS packet_count FROM norm GROUP BY ALL""",
@@ -533,13 +578,14 @@ WHERE frame_number::BIGINT % 3 <> 1 GROUP BY ALL""",
         "report_envelope": """
 SELECT capture_id, 'airsift' AS product, 'Wi-Fi Forensics' AS module,
   '2024-01-01T00:00:00' AS generated_at, total_packets, network_count,
-  eapol_packet_count FROM summary""",
+  client_count, eapol_packet_count FROM summary""",
     }
     sql = {}
     told = "CASE WHEN try_cast(frame_number AS BIGINT) % 10 = 0 THEN 1000 ELSE 1 END"
     repeated = f"SELECT f.* FROM ({frames}) f, unnest(range({told})) u(x)"
     for name, body in bodies.items():
         extra, select = body if isinstance(body, tuple) else ("", body)
-        source = repeated if name == "client_activity_busy" else frames
+        busy = name in ("client_activity_busy", "findings_default_busy")
+        source = repeated if busy else frames
         sql[name] = COMMON.replace(":frames", source) + (f", {extra}" if extra else "") + select
     return sql

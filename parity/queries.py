@@ -22,6 +22,7 @@ from airsift.plans.analysis import Analysis
 from airsift.plans.workspace import new_work_folder
 from airsift.schema import FIELD_CANDIDATES
 from airsift.sinks import writers as W
+from airsift.sinks.paths import manifest
 from airsift.sources.dimensions import with_oui_vendor
 from airsift.sources.events import frames_from_events
 from airsift.sources.frames import (
@@ -30,6 +31,7 @@ from airsift.sources.frames import (
     read_frame_store,
     read_frames,
     scan_summary,
+    store_captures,
 )
 
 # Low enough for the test tables to have busy clients.
@@ -139,9 +141,60 @@ def as_json(fn: Callable[[Analysis], DataFrame]):
     return lambda spark, sf_dir: written(W.write_json, "json")(spark, fn(analysis(spark, sf_dir)))
 
 
-def report_envelope(a: Analysis) -> DataFrame:
-    wrapped = J.envelope(a, generated_at=F.lit("2024-01-01T00:00:00"))
-    return wrapped.drop("client_count")
+def report_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelope lines of the JSON report, written and read back."""
+    wrapped = J.envelope(
+        analysis(spark, sf_dir).materialize(), generated_at=F.lit("2024-01-01T00:00:00")
+    )
+    return written(W.write_json, "json")(spark, wrapped)
+
+
+def networks_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analysis(spark, sf_dir).materialize()
+    write = lambda df, folder: W.write_networks_csv(a.networks, a.network_ssids, folder)
+    read = written(write, "csv")(spark, W.networks_csv(a.networks, a.network_ssids))
+    # An empty field is a missing channel, and a name that is none.
+    return read.withColumns({"Kanal": F.expr("nullif(Kanal, '')"), "SSID": F.expr("coalesce(SSID, '')")})
+
+
+def clients_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analysis(spark, sf_dir).materialize()
+    write = lambda df, folder: W.write_clients_csv(a.clients, a.network_ssids, folder)
+    table = W.clients_csv(a.clients, a.network_ssids).drop("first_order")
+    read = written(write, "csv")(spark, table)
+    return read.withColumn("SSID", F.expr("coalesce(SSID, '')"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every section of a whole report, of its second writer, read by its manifest."""
+    folder = new_work_folder(spark)
+    a = analysis(spark, sf_dir).materialize()
+    first, second = (W.write_all(a, folder, "report") for _ in range(2))
+    counts = None
+    for section, kind in sorted(manifest(spark, second).items()):
+        if kind == "text":
+            continue
+        read = W.read_section(spark, second, section)
+        read = read.groupBy().agg(F.count("*").alias("rows")).select(
+            F.lit(second.removeprefix(first)).alias("writer"), F.lit(section).alias("section"), "rows"
+        )
+        counts = read if counts is None else counts.unionByName(read)
+    return counts
+
+
+def store_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two captures with ids of a thousand characters, by the short key of the store
+    and named by its captures."""
+    folder = new_work_folder(spark)
+    name = lambda c: f"file:/{'x' * 1000}/{c}.tsv"
+    frames = normalized(spark, sf_dir)
+    long = F.concat(F.lit(name("")[:-4]), "capture_id", F.lit(".tsv"))
+    W.write_frame_store(frames.withColumn("capture_id", long), folder, buckets=8)
+    stored = read_frame_store(spark, folder, captures=[name("cap0"), name("cap2")], short=True)
+    a = Analysis(stored).materialize()
+    captures = store_captures(spark, folder)
+    found = a.clients.join(captures, "capture_id").drop("capture_id", "capture_file")
+    return found.withColumn("capture_name", F.regexp_replace("capture_name", r"\.tsv$", ""))
 
 
 def csv_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,6 +392,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda a: H.with_status(a.handshake_candidates, "strong_candidate")
         ),
         "partial_handshakes": over(lambda a: H.with_status(a.handshake_candidates, "partial")),
+        "handshake_details_selected": over(
+            lambda a: H.network_handshakes(
+                a.handshake_candidates, bssid="3C:A7:AE:00:00:01", capture_id="cap1"
+            )
+        ),
+        "client_details_selected": over(
+            lambda a: V.client_details(a.clients, bssid="3c:a7:ae:00:00:01", capture_id="cap1")
+        ),
         "handshake_details": over(lambda a: H.network_handshakes(a.handshake_candidates)),
         "network_handshake_verdict": stored(
             lambda a: H.network_verdicts(a.networks, a.handshake_candidates).select(
@@ -347,6 +408,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         # findings
         "findings": stored(lambda a: a.findings),
+        "findings_default_busy": lambda spark, sf_dir: (
+            Analysis(busy_frames(spark, sf_dir)).materialize().findings
+        ),
         "findings_busy": stored(lambda a: a.findings, busy_from=BUSY_FROM),
         "finding_severity_counts": stored(
             lambda a: D.severity_counts(a.packet_totals, a.findings)
@@ -364,7 +428,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_networks": stored(lambda a: V.text_summary(a)["networks"]),
         # files
         "networks_csv": stored(lambda a: W.networks_csv(a.networks, a.network_ssids)),
-        "clients_csv": over(lambda a: W.clients_csv(a.clients)),
+        "clients_csv": over(lambda a: W.clients_csv(a.clients, a.network_ssids)),
+        "networks_csv_files": networks_csv_files,
+        "clients_csv_files": clients_csv_files,
+        "report_files": report_files,
+        "store_by_key": store_by_key,
         "csv_blanks": csv_blanks,
         "captures_by_path": captures_by_path,
         "mixed_captures": mixed_captures,
@@ -376,7 +444,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_clients": as_json(lambda a: a.clients),
         "json_subtypes": as_json(lambda a: a.frame_subtypes),
         "json_handshakes": as_json(lambda a: a.handshake_candidates),
-        "report_envelope": stored(report_envelope),
+        "json_ssids": as_json(lambda a: a.network_ssids),
+        "json_sources": as_json(lambda a: a.top_sources),
+        "json_destinations": as_json(lambda a: a.top_destinations),
+        "json_eapol": as_json(lambda a: a.eapol_packets),
+        "json_findings": as_json(lambda a: a.materialize().findings),
+        "json_summary": as_json(lambda a: a.materialize().summary),
+        "report_envelope": report_envelope,
         "network_details_selected": stored(
             lambda a: V.network_details(a, bssid="3c:a7:ae:00:00:01")
         ),
