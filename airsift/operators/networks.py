@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airsift import labels as L
 from airsift.functions import measures, text
 from airsift.operators.clients import endpoints
-from airsift.operators.ranking import top_k
+from airsift.operators.ranking import ranks, top_k
 from airsift.operators.rollups import aggregates
 
 NETWORK_KEYS = ["capture_id", "bssid"]
@@ -133,13 +133,40 @@ def signal_chart(networks: DataFrame, ssids: DataFrame, n: int = L.CHART_ROWS) -
     )
 
 
+# What stands between the names of a network where they are shown.
+_BETWEEN = ", "
+
+
+def _names_in_a_row(ssids: DataFrame, length: int) -> DataFrame:
+    """`ssid`: every name with the `length` - 1 that follow it in its network, as shown.
+
+    Names are numbered by `ranks`, and a name is sent to each of the rows it is in: a network
+    of any number of names fills many tasks.
+    """
+    ranked = ranks(ssids.select(*NETWORK_KEYS, "ssid"), NETWORK_KEYS, [F.asc("ssid")])
+    begins = F.sequence(F.col("rank") - length + 1, F.col("rank"))
+    return (
+        ranked.withColumn("begin", F.explode(begins))
+        .groupBy(*NETWORK_KEYS, "begin")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "ssid"))).alias("names"))
+        .select(*NETWORK_KEYS, F.array_join("names.ssid", _BETWEEN).alias("ssid"))
+    )
+
+
 def search_networks(networks: DataFrame, ssids: DataFrame, query: str) -> DataFrame:
-    """Networks of which the BSSID, one name or the text for a missing name contains the
-    query, in any case."""
+    """Networks of which the BSSID or the text of all names, as shown, contains the query, in
+    any case.
+
+    Names are shown in order with ", " between them. A query with n commas spans n + 1 names
+    at most, so names are searched n + 1 at a time, and the whole text is never built.
+    """
     wanted = query.strip().lower()
     if not wanted:
         return networks
-    names = ssids.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
+    shown = ssids
+    if "," in wanted:
+        shown = _names_in_a_row(ssids, wanted.count(",") + 1)
+    names = shown.where(F.lower("ssid").contains(wanted)).select(*NETWORK_KEYS).distinct()
     named = names.withColumn("_named", F.lit(True))
     found = F.col("_named") | F.lower("bssid").contains(wanted)
     if wanted in L.SSID_FALLBACK["table"].lower():

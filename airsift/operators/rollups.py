@@ -73,12 +73,12 @@ TIME_BOUNDS = [
 ]
 
 
-def rollup_links(frames: DataFrame) -> DataFrame:
+def summed_links(links: DataFrame) -> DataFrame:
     sums = aggregates("sum(n) AS n", "min(first_seq) AS first_seq", *TIME_BOUNDS)
-    return frame_links(frames).groupBy(*LINK_KEYS).agg(*sums)
+    return links.groupBy(*LINK_KEYS).agg(*sums)
 
 
-def rollup_radio(frames: DataFrame) -> DataFrame:
+def summed_radio(radio: DataFrame) -> DataFrame:
     sums = aggregates(
         "sum(n) AS n",
         "min(first_seq) AS first_seq",
@@ -86,4 +86,12 @@ def rollup_radio(frames: DataFrame) -> DataFrame:
         "sum(sig_n) AS sig_n",
         "sum(eapol_n) AS eapol_n",
     )
-    return frame_radio(frames).groupBy(*RADIO_KEYS).agg(*sums)
+    return radio.groupBy(*RADIO_KEYS).agg(*sums)
+
+
+def rollup_links(frames: DataFrame) -> DataFrame:
+    return summed_links(frame_links(frames))
+
+
+def rollup_radio(frames: DataFrame) -> DataFrame:
+    return summed_radio(frame_radio(frames))

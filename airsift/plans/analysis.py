@@ -20,14 +20,15 @@ from airsift.plans.workspace import all_written, new_work_folder, written
 class Analysis:
     """Lazy tables over normalised frames of any number of captures.
 
-    A new `Analysis` works on the frames directly, the best plan for one table.
+    A new `Analysis` works on the frames directly, the best plan for one table. One over
+    rollups that are given needs no frames.
     `materialize` aggregates the frames once into the rollups and returns an
     `Analysis` over those, the best plan for many tables.
     """
 
     def __init__(
         self,
-        frames: DataFrame,
+        frames: DataFrame | None,
         oui: DataFrame | None = None,
         busy_from: int = L.BUSY_CLIENT_FROM,
         links: DataFrame | None = None,

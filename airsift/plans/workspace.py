@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +21,22 @@ def new_work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/airsift-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write a table and return a scan of it. Cuts the lineage: a lost executor costs
     a re-read, not a re-run, and later scans read only the columns they need."""
-    df.write.parquet(path)
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def all_written(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+def all_written(
+    tables: dict[str, DataFrame],
+    folder: str,
+    path: Callable[[str], str] | None = None,
+    mode: str = "error",
+) -> dict[str, DataFrame]:
     """Write independent tables at the same time, so that one's last tasks do not leave
-    the cluster idle."""
+    the cluster idle. `path` gives the place of a table, by default one under `folder`."""
+    place = path or (lambda name: f"{folder}/{name}")
     with ThreadPoolExecutor(len(tables)) as pool:
-        scans = pool.map(lambda item: written(item[1], f"{folder}/{item[0]}"), tables.items())
+        scans = pool.map(lambda item: written(item[1], place(item[0]), mode), tables.items())
         return dict(zip(tables, scans, strict=True))

@@ -34,7 +34,7 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _create(spark: SparkSession, path: str, content: str) -> bool:
+def create_new(spark: SparkSession, path: str, content: str) -> bool:
     """Write a small new file; False if it is there already.
 
     Of several writers one succeeds. Hadoop's local file system looks before it writes, so
@@ -60,6 +60,24 @@ def _create(spark: SparkSession, path: str, content: str) -> bool:
     return True
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file, such as a manifest."""
+    system, target = _file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    system, target = _file_system(spark, folder)
+    if not system.exists(target):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(target)]
+
+
 def next_free_path(spark: SparkSession, path: str) -> str:
     """`path`, or `path_1`, `path_2`, ... if it exists already."""
     base = path.rstrip("/")
@@ -75,13 +93,13 @@ def claim_folder(spark: SparkSession, path: str) -> str:
     """The next free path, claimed: writers at the same time get folders of their own."""
     while True:
         folder = next_free_path(spark, path)
-        if _create(spark, f"{folder}/{CLAIM}", "{}"):
+        if create_new(spark, f"{folder}/{CLAIM}", "{}"):
             return folder
 
 
 def finish(spark: SparkSession, folder: str, sections: dict[str, str]) -> None:
     """Write the manifest: section to format. Its presence says that the folder is complete."""
-    if not _create(spark, f"{folder}/{MANIFEST}", json.dumps(sections, indent=1)):
+    if not create_new(spark, f"{folder}/{MANIFEST}", json.dumps(sections, indent=1)):
         raise FileExistsError(f"{folder} is finished already")
 
 
@@ -90,5 +108,4 @@ def manifest(spark: SparkSession, folder: str) -> dict[str, str]:
     system, target = _file_system(spark, f"{folder}/{MANIFEST}")
     if not system.exists(target):
         raise IncompleteReport(f"{folder} has no manifest: its writer did not finish")
-    lines = spark.read.text(f"{folder}/{MANIFEST}", wholetext=True).collect()
-    return json.loads(lines[0].value)
+    return json.loads(read_small(spark, f"{folder}/{MANIFEST}"))

@@ -99,7 +99,7 @@ def write_all(
     folders, and one that was killed leaves a folder that `read_section` refuses. The rollups
     are materialised first, so the frames are read once for all formats.
     """
-    spark = analysis.frames.sparkSession
+    spark = analysis.links.sparkSession
     folder = claim_folder(spark, f"{path}/{name}")
     analysis = analysis.materialize(f"{folder}/_rollups")
     write_json_report(analysis, f"{folder}/json", captures)

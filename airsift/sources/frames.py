@@ -229,15 +229,20 @@ def read_frame_store(
     path: str,
     captures: Sequence[str] | None = None,
     short: bool = False,
+    parts: Sequence[str] | None = None,
 ) -> DataFrame:
     """Normalised frames written by `write_frame_store` or the streaming ingest.
 
     `captures` names the captures wanted: only their buckets are opened, and in these only the
     row groups that hold them. With `short` the capture id is the short key of the store, 16
     hex digits, so that no shuffle carries long paths; `store_captures` has what they stand for.
+    `parts` names the parts of the store wanted, such as one batch of an ingest.
     """
-    kinds = T.StructType([*STORED_SCHEMA, T.StructField("buckets", T.IntegerType())])
-    stored = spark.read.schema(kinds.add("bucket", T.IntegerType())).parquet(path)
+    folders = {"part": T.StringType(), "buckets": T.IntegerType(), "bucket": T.IntegerType()}
+    kinds = T.StructType([*STORED_SCHEMA, *[T.StructField(n, t) for n, t in folders.items()]])
+    stored = spark.read.schema(kinds).parquet(path)
+    if parts is not None:
+        stored = stored.where(F.col("part").isin(*parts))
     if captures is not None:
         keys = [F.xxhash64(F.lit(name)) for name in captures]
         in_bucket = F.lit(False)

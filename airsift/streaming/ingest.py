@@ -10,9 +10,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from airsift.operators.normalize import normalize
+from airsift.plans.rollup_store import write_batch
 from airsift.plans.workspace import shared_folder
 from airsift.sinks.frame_store import write_part
-from airsift.sources.frames import EXPORT_GLOB, CaptureReadError, capture_id, select_frames
+from airsift.sources.frames import (
+    EXPORT_GLOB,
+    CaptureReadError,
+    capture_id,
+    read_frame_store,
+    select_frames,
+)
 
 
 def ingest_exports(
@@ -23,12 +30,15 @@ def ingest_exports(
     header: bool = False,
     glob: str = EXPORT_GLOB,
     checkpoint: str | None = None,
+    rollups: str | None = None,
 ) -> StreamingQuery:
     """Append exports that are new since the last run to the store, then stop.
 
     Every file is taken once, also across restarts: the checkpoint folder, by default one
     under spark.checkpoint.dir, remembers them. Every batch is a folder of the store, as
-    those of `write_frame_store` are, so both can fill one store. `fields` names the export's columns in order.
+    those of `write_frame_store` are, so both can fill one store. `fields` names the
+    export's columns in order. With `rollups` every batch also adds its part to a rollup store
+    (see `read_rollups`), from its own frames alone.
     """
     if "frame.number" not in fields:
         raise CaptureReadError("a stream has no scan order: the export needs frame.number")
@@ -51,7 +61,10 @@ def ingest_exports(
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that is tried again overwrites what its first try left.
-        write_part(batch, store, batch_part(checkpoint, number))
+        part = batch_part(checkpoint, number)
+        write_part(batch, store, part)
+        if rollups is not None:
+            write_batch(read_frame_store(spark, store, parts=[part]), rollups, part)
 
     return (
         frames.writeStream.foreachBatch(write)

@@ -397,6 +397,23 @@ SELECT capture_id, bssid, channel, average_signal_dbm, client_count,
 SELECT {network_columns} FROM table_view
 WHERE len(list_filter(ssids, lambda x: contains(lower(x), 'ap-1'))) > 0
   OR contains(lower(bssid), 'ap-1')""",
+        "network_search_comma": f"""
+SELECT {network_columns} FROM table_view
+WHERE contains(lower(array_to_string(ssids, ', ')), 'net0, net1, net2')""",
+        "network_search_part": f"""
+SELECT {network_columns} FROM table_view
+WHERE contains(lower(array_to_string(ssids, ', ')), '1, n')""",
+        "clients_in_batches": "SELECT * FROM clients",
+        "networks_in_batches": f"SELECT {network_columns} FROM table_view",
+        "findings_in_batches": (default_findings, "SELECT * FROM findings"),
+        "summary_in_batches": "SELECT * FROM summary",
+        "mac_set_counts": """
+SELECT captures, count(DISTINCT mac) AS client_count,
+  count(DISTINCT mac) FILTER (vendor = 'Private / Randomized MAC') AS randomized,
+  count(DISTINCT mac) FILTER (vendor = 'Bilinmiyor') AS unknown_vendor
+FROM (SELECT mac, vendor, unnest([capture_id, 'all',
+        CASE WHEN capture_id < 'cap2' THEN 'first' ELSE 'last' END]) AS captures FROM clients)
+GROUP BY captures""",
         "network_search_hidden": f"SELECT {network_columns} FROM table_view WHERE len(ssids) = 0",
         "network_search_blank": f"SELECT {network_columns} FROM table_view",
         "client_endpoints": """

@@ -12,6 +12,7 @@ from airsift.functions import text
 from airsift.operators import clients as C
 from airsift.operators import findings as D
 from airsift.operators import handshakes as H
+from airsift.operators import macsets as M
 from airsift.operators import networks as N
 from airsift.operators import rollups as R
 from airsift.operators import traffic as T
@@ -19,6 +20,7 @@ from airsift.operators.normalize import normalize
 from airsift.plans import report as J
 from airsift.plans import views as V
 from airsift.plans.analysis import Analysis
+from airsift.plans.rollup_store import merge_parts, read_mac_sets, read_rollups, write_batch
 from airsift.plans.workspace import new_work_folder
 from airsift.schema import FIELD_CANDIDATES
 from airsift.sinks import writers as W
@@ -324,6 +326,32 @@ def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(site()).agg(F.count("*").alias("packet_count")).join(listed, "site")
 
 
+def in_batches(spark: SparkSession, sf_dir: str, merge: bool = False) -> str:
+    """A rollup store filled in three batches, one of them tried twice and one left undone;
+    with `merge` the first two are merged before the third."""
+    root = new_work_folder(spark)
+    frames = normalized(spark, sf_dir)
+    for i in range(3):
+        write_batch(frames.where(f"seq % 3 = {i}"), root, f"b{i}")
+        if merge and i == 1:
+            merge_parts(spark, root, "b0-b1")
+    assert not write_batch(frames, root, "b1")
+    R.rollup_links(frames).write.parquet(f"{root}/links/part=undone")
+    return root
+
+
+def batches(fn: Callable[[Analysis], DataFrame], merge: bool = False):
+    """A query over rollups of three batches."""
+    return lambda spark, sf_dir: fn(read_rollups(spark, in_batches(spark, sf_dir, merge)))
+
+
+def mac_set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct clients over several sets of captures, from the bitmaps of three batches."""
+    sets = read_mac_sets(spark, in_batches(spark, sf_dir))
+    of = F.expr("explode(array(capture_id, 'all', if(capture_id < 'cap2', 'first', 'last')))")
+    return M.distinct_counts(sets.select(of.alias("captures"), "bucket", "macs"), "captures")
+
+
 def busy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of which every tenth is told a thousand times, for the classes of busy clients."""
     frames = normalized(spark, sf_dir)
@@ -347,6 +375,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clients_from_rollups": stored(lambda a: a.clients),
         "findings_from_rollups": stored(lambda a: a.findings),
         "summary_from_rollups": stored(lambda a: a.summary),
+        "clients_in_batches": batches(lambda a: a.clients),
+        "networks_in_batches": batches(lambda a: a.networks, merge=True),
+        "findings_in_batches": batches(lambda a: a.findings),
+        "summary_in_batches": batches(lambda a: a.summary, merge=True),
+        "mac_set_counts": mac_set_counts,
         # totals and distributions
         "packet_totals": over(lambda a: a.packet_totals),
         "source_counts": over(lambda a: T.talkers(a.links, "src")),
@@ -364,6 +397,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "network_signal": over(lambda a: N.signal_average(a.radio)),
         "network_measures": over(lambda a: a.network_measures),
         "network_search": over(lambda a: search(a, " aP-1 ")),
+        "network_search_comma": over(lambda a: search(a, " net0, NET1, net2")),
+        "network_search_part": over(lambda a: search(a, "1, N")),
         "network_search_hidden": over(lambda a: search(a, "gizli")),
         "network_search_blank": over(lambda a: search(a, "  ")),
         # clients
