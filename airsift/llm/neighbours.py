@@ -53,12 +53,13 @@ class Tables:
         n = self.tables * self.hashes
         return rng.standard_normal((dims + 1, n)), rng.random(n)
 
-    def cells(self, vectors: np.ndarray, longest: float) -> np.ndarray:
-        """Place of each vector on each projection, in cells: vectors x tables x hashes."""
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        """Place of each vector on each projection, in cells: vectors x tables x hashes.
+        Vectors are those of a range, divided by the norm of its longest."""
         a, b = self.projections(vectors.shape[1])
         squares = (vectors * vectors).sum(1)
-        rest = np.sqrt(np.maximum(longest**2 - squares, 0.0))
-        places = np.c_[vectors, rest] @ a / (self.width * longest) + b
+        rest = np.sqrt(np.maximum(1.0 - squares, 0.0))
+        places = np.c_[vectors, rest] @ a / self.width + b
         return places.reshape(len(vectors), self.tables, self.hashes)
 
 
@@ -113,6 +114,18 @@ def _ranged(keys: np.ndarray, r: int) -> np.ndarray:
     return mix64(keys + mix64(np.array([r], np.int64).view(np.uint64))[0])
 
 
+def _unit(vectors: np.ndarray, log_norms: np.ndarray | float) -> np.ndarray:
+    """Vectors divided by norms given as logarithms. Components are scaled by the largest one
+    first, so that no square leaves the range of a double."""
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / most * np.exp(np.log(most) - log_norms)
+
+
+def _log_norms(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return np.log(most) + np.log(((vectors / most) ** 2).sum(axis=1, keepdims=True)) / 2
+
+
 def _members(classes: DataFrame, tables: Tables, longest: dict[int, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,7 +135,8 @@ def _members(classes: DataFrame, tables: Tables, longest: dict[int, float]) -> D
                 keys = np.empty((len(vectors), tables.tables), np.uint64)
                 for r in np.unique(ranges).tolist():
                     at = ranges == r
-                    keys[at] = _ranged(bucket_keys(tables.cells(vectors[at], longest[r]), dims), r)
+                    places = tables.cells(_unit(vectors[at], longest[r]))
+                    keys[at] = _ranged(bucket_keys(places, dims), r)
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "class"), pa.array(keys.view(np.int64).tolist())],
                     names=["class", "buckets"],
@@ -138,8 +152,7 @@ def _probes(queries: DataFrame, tables: Tables, longest: dict[int, float]) -> Da
             for dims, batch in _by_dims(whole):
                 vectors = _matrix(column(batch, "vector"))
                 # A query has the norm of the longest vector, and nothing in the last place.
-                norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-                places = tables.cells(vectors / norms, 1.0)  # the same in every range
+                places = tables.cells(_unit(vectors, _log_norms(vectors)))  # the same in every range
                 found = []
                 for place in places:
                     keys = []
@@ -164,6 +177,11 @@ def _probes(queries: DataFrame, tables: Tables, longest: dict[int, float]) -> Da
     return hashed.select("class", F.explode("buckets").alias("bucket"))
 
 
+def _defined(products: np.ndarray) -> np.ndarray:
+    """Sums of infinities of both signs count as the least product."""
+    return np.where(np.isnan(products), -np.inf, products)
+
+
 def _nearest(grouped, k: int) -> DataFrame:
     """Per task and query class its nearest k classes, as arrays."""
 
@@ -204,11 +222,13 @@ def _nearest(grouped, k: int) -> DataFrame:
             if not len(near):
                 continue
             # The same sum in the same order for equal vectors wherever they are compared.
-            rough = vectors[near] @ sources[i]
-            if len(near) > k:
-                floor = np.partition(rough, -k)[-k]
-                near = near[rough >= floor - 1e-9 * (1 + abs(floor))]
-            score = (vectors[near] * sources[i]).sum(1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = _defined(vectors[near] @ sources[i])
+                if len(near) > k:
+                    floor = np.partition(rough, -k)[-k]
+                    margin = 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else 0.0
+                    near = near[rough >= floor - margin]
+                score = _defined((vectors[near] * sources[i]).sum(1))
             # Of classes that tie with the last those of the least ids, as in the result.
             best = np.lexsort((least[near], -score))[:k]
             out_names.append(name)
@@ -265,7 +285,8 @@ def nearest_neighbours(
     Null, empty, zero and non-finite vectors, and rows with a null id, take no part. Vectors
     are compared with those of equal length. A row is never its own neighbour; other rows of
     equal vectors are. Ties go to the smaller id. Repeated rows are one row; an id with
-    several vectors counts with the nearest. With fewer candidates all found are returned,
+    several vectors counts with the nearest. A product beyond the range of a double is
+    infinite, and one of infinite parts of both signs counts as the least. With fewer candidates all found are returned,
     and an empty table gives an empty table. Other columns are not read.
     """
     rows = vectors.select(
@@ -281,11 +302,17 @@ def nearest_neighbours(
     )
     # An id with several vectors could name two classes; the hash then tells them apart.
     named = first.withColumn("class", F.xxhash64("least", "hash"))
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    named = stored(named.withColumn("norm", F.sqrt(square)), "near-normed")
-    top = named.agg(F.max("norm")).first()[0] or 1.0
-    span = F.floor(F.log(F.lit(top) / F.col("norm")) / math.log(tables.spread) + F.lit(1e-9))
-    classes = stored(named.withColumn("norms", span.cast("bigint")).drop("norm"), "near-classes")
+    # Logarithms of norms: squares of very small or large components leave a double's range.
+    most = F.array_max(F.transform("vector", F.abs))
+    square = F.aggregate(
+        "vector", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most"))
+    )
+    named = named.withColumn("most", most).withColumn("norm", F.log("most") + F.log(square) / 2)
+    named = stored(named.drop("most"), "near-normed")
+    top = named.agg(F.max("norm")).first()[0] or 0.0
+    span = F.floor((F.lit(top) - F.col("norm")) / math.log(tables.spread) + F.lit(1e-9))
+    placed = stored(named.withColumn("norms", span.cast("bigint")), "near-classes")
+    classes = placed.drop("norm")
     size = F.size("vector")
     keep = k + 1
     smallest = W.partitionBy("hash", "vector").orderBy("vec_id")
@@ -300,7 +327,7 @@ def nearest_neighbours(
     few = few.join(classes.select("hash", "vector", "class"), ["hash", "vector"])
     few = stored(few.select("class", "ids"), "near-ids")
 
-    ranges = classes.groupBy("norms").agg(F.sqrt(F.max(square)).alias("n")).collect()
+    ranges = placed.groupBy("norms").agg(F.max("norm").alias("n")).collect()
     longest = {r["norms"]: r["n"] for r in ranges}
     members = stored(_members(classes, tables, longest), "near-members")
     asking = classes.where("asks")

@@ -151,3 +151,28 @@ def test_neighbours_of_small_tables_skewed_norms_and_ties(spark):
     every = neighbours.Tables(width=1e9)  # one bucket: all are compared
     tied = neighbours.nearest_neighbours(frame.where("vec_id >= 20000"), F.col("vec_id") == 30_000, tables=every)
     assert sorted(r.vec_id for r in tied.collect()) == list(range(20_000, 20_020))
+
+
+def test_neighbours_of_very_small_and_large_vectors(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((500, 16))
+    sizes = np.ones(500)
+    sizes[:100], sizes[100:200], sizes[200:210] = 1e-200, 1e150, 1e-320
+    vectors = base * sizes[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(900, [1e-200] * 4), (901, [1e200] * 4), (902, [-1e200, 1e200, 0.0, 1.0]), (903, [5e-324, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asks = F.col("vec_id") % 20 == 0
+    by = {}
+    for r in neighbours.nearest_neighbours(frame, asks | F.col("vec_id").between(900, 903)).collect():
+        by.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert by[900][901] == 4.0 and by[901][902] == -np.inf and len(by[903]) == 3
+    hit = 0
+    for q in range(0, 500, 20):
+        exact = (vectors * vectors[q]).sum(1)
+        exact[q] = -np.inf
+        best = np.lexsort((np.arange(500), -exact))[:20]
+        assert len(by[q]) == 20 and all(by[q][i] == exact[i] or abs(by[q][i] - exact[i]) <= 1e-9 * abs(exact[i]) for i in by[q])
+        # Products that underflow to nothing tie; any of them will do.
+        hit += sum(by[q].get(i) is not None or exact[i] == 0 for i in best.tolist())
+    assert hit >= 0.9 * 25 * 20
