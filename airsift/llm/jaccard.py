@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airsift.llm.common import column, hash64, mix64, sorted_groups, stored, texts
@@ -398,7 +399,8 @@ def deduplicated(
     Rows are told apart by id and text: different texts of one id are in groups of their own,
     as are texts without an id, whose group is named by its texts. Of several texts of the
     kept id the one of least class key stays, and of rows that repeat it the one of least
-    hash. Empty texts are not near copies of anything and stay.
+    hash. Empty texts are not near copies of anything and stay. Other columns stay as they
+    are, whatever their names.
     """
     _, named = _classes(docs, doc_id, text, forest)
     order = F.struct(F.col("class_id").isNull(), "class_id", "key")
@@ -407,17 +409,20 @@ def deduplicated(
         .agg(F.min(order).alias("least"))
         .select(F.col("least.key").alias("_key"), F.col("least.class_id").alias("_kept"))
     )
-    blank = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    from pyspark.sql import Window as W
-
-    keyed = docs.where(~blank).withColumn("_key", _text_key(text))
+    # The row travels whole, so its columns can have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(
+        row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")
+    )
+    blank = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+    keyed = rows.where(~blank).withColumn("_key", _text_key("_text"))
     # Ids differ by row of a class, texts by case and white space only.
-    first = W.partitionBy("_key").orderBy(F.xxhash64(text), F.col(text))
-    same = (keyed["_key"] == kept["_key"]) & keyed[doc_id].eqNullSafe(kept["_kept"])
+    first = W.partitionBy("_key").orderBy(F.xxhash64("_text"), F.col("_text"))
+    kept = kept.withColumnRenamed("_key", "_kept_key")
+    same = (F.col("_key") == F.col("_kept_key")) & F.col("_id").eqNullSafe(F.col("_kept"))
     once = (
         keyed.join(kept, same, "left_semi")
         .withColumn("_nth", F.row_number().over(first))
         .where("_nth = 1")
-        .drop("_nth", "_key")
     )
-    return once.unionByName(docs.where(blank))
+    return once.select("_row.*").unionByName(rows.where(blank).select("_row.*"))

@@ -46,7 +46,7 @@ def odd_docs(spark):
         (7, "a\n\n a  b\t'll  <|endoftext|> 中文 été\n", "fr", "b", 6),
     ]
     docs = spark.createDataFrame(rows, DOCS)
-    extra = {c: "x" for c in ("score", "size", "kept", "target", "word", "block", "path", "rule")}
+    extra = {c: "x" for c in ("_key", "_nth", "_row", "_n", "score", "size", "kept", "target", "word", "block", "path", "rule")}
     return docs.selectExpr("*", *[f"'{v}' AS {k}" for k, v in extra.items()])
 
 
@@ -424,6 +424,12 @@ def test_deduplication_tells_texts_of_one_id_apart(spark):
     want = {(7, f"hot{k}x0"): 1 for k in range(12)}
     want |= {(1, "a0"): 1, (2, "b0"): 1, (None, "c0"): 1, (None, "d0"): 1, (4,): 2}
     assert got == want
+    names = ("_key", "_nth", "_row", "_id", "_kept", "_kept_key", "key", "root", "group", "paths")
+    wide = docs.selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    again = jaccard.deduplicated(wide)
+    assert again.columns == wide.columns
+    assert collections.Counter((r.doc_id, *first(r)) for r in again.collect()) == want
+    assert {tuple(r[n] for n in names) for r in again.collect()} == {names}
     # Mixing takes the texts of an id one by one.
     flat = spark.createDataFrame(
         [(None, text(f"m{i}x", 10), "s" if i % 4 else "t") for i in range(400)],
