@@ -14,6 +14,7 @@ left.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -77,6 +78,28 @@ def quanta(totals: list[int], shares: list[float], window: int) -> list[int]:
     return [max(1, round(window * s / whole)) for s in shares]
 
 
+def mixture(
+    totals: Mapping[str | None, int], shares: Mapping[str | None, float] | None
+) -> list[float]:
+    """The share of every source, in order of `totals`. Sources without a share have in common
+    what the others leave, by their tokens."""
+    if not shares:
+        return [float(n) for n in totals.values()]
+    named = dict(shares)
+    bad = [s for s, x in named.items() if not (math.isfinite(x) and x >= 0)]
+    if bad:
+        raise ValueError(f"shares of {bad} are negative or not finite")
+    there = sum(named.get(s, 0.0) for s in totals)
+    rest = sum(n for s, n in totals.items() if s not in named)
+    if rest and there >= 1:
+        raise ValueError("the shares of the named sources leave nothing for the others")
+    if totals and not rest and not there:
+        raise ValueError("the shares of all sources are 0")
+    return [
+        float(named[s]) if s in named else (1 - there) * n / rest for s, n in totals.items()
+    ]
+
+
 def _encoded(
     docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, added_tokens: bool
 ) -> DataFrame:
@@ -137,9 +160,10 @@ def pack(
 ) -> DataFrame:
     """One row per piece of a document in a sequence, with its place and checksum.
 
-    `shares` are the target proportions of tokens by source (default: what the sources
-    hold, so that all queues end together); a source without a share gets its own tokens'.
-    A queue that ends early leaves its turn to the others. Every id lies in exactly one
+    `shares` are the target proportions of tokens by source, between 0 and 1; sources without
+    one share what is left by their tokens (by default all do, so that all queues end
+    together). Of sources that all have one, only the relations count. A share of 0 is served
+    a token a round. A queue that ends early leaves its turn to the others. Every id lies in exactly one
     piece. A null text is empty and packs as its end id; a null source is a queue of its
     own, after the others; a null id stays null; repeated rows are packed each. An empty
     table gives an empty table. Other columns are not read. `added_tokens` is that of
@@ -156,7 +180,7 @@ def pack(
     # Sources in code point order, null last.
     totals = {q: n for q, n in sorted(listed, key=lambda r: (r[0] == "n", r[0]))}
     names = {q: None if q == "n" else q[1:] for q in totals}
-    weights = [float((shares or {}).get(names[q], n)) for q, n in totals.items()]
+    weights = mixture({names[q]: n for q, n in totals.items()}, shares) if totals else []
     order = {q: i for i, q in enumerate(totals)}
     gains = quanta(list(totals.values()), weights, sequence * window_sequences)
     amounts = list(totals.values())

@@ -146,6 +146,36 @@ def test_deficits_follow_the_round_robin():
         assert schedule.served(np.array([r]))[0].tolist() == served
 
 
+def test_windows_hold_the_target_mixture(spark):
+    # Sources of very unequal size; a third of all rows is one source.
+    rows = [(i, PROSE, {0: "a", 1: "b", 2: "b"}.get(i % 6, "c" if i % 6 < 5 else None)) for i in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    n = {s: sum(len(ids_of(PROSE)) for r in rows if r[2] == s) for s in ("a", "b", "c", None)}
+    rest = n["b"] + n["c"] + n[None]
+    window = 16 * 64
+    for shares, want in (
+        ({"a": 0.5}, {"a": 0.5, "b": 0.5 * n["b"] / rest, "c": 0.5 * n["c"] / rest, None: 0.5 * n[None] / rest}),
+        ({"a": 0.1, "b": 0.6}, {"a": 0.1, "b": 0.6, "c": 0.3 * n["c"] / (n["c"] + n[None]), None: 0.3 * n[None] / (n["c"] + n[None])}),
+        ({"a": 2.0, "b": 1.0, "c": 4.0, None: 1.0, "absent": 9.0}, {"a": 0.25, "b": 0.125, "c": 0.5, None: 0.125}),
+        (None, {s: x / sum(n.values()) for s, x in n.items()}),
+    ):
+        found = packing.pack(docs, sequence=64, window_sequences=16, grain=8, shares=shares).collect()
+        held = collections.defaultdict(collections.Counter)
+        for r in found:
+            held[r.sequence_id // 16][r.source] += r.length
+        whole = min(int(n[s] / (window * x)) for s, x in want.items())  # until the first queue ends
+        assert whole >= 4
+        for w in range(whole - 1):
+            for s, x in want.items():
+                # A grain of the deficit carried in, one carried out, and rounding.
+                assert abs(held[w][s] - window * x) <= 2 * 8 + whole, (shares, w, s)
+        assert sum(r.length for r in found) == sum(n.values())
+    for bad in ({"a": -0.1}, {"a": float("nan")}, {"a": 1.0}, dict.fromkeys(["a", "b", "c", None], 0.0)):
+        with pytest.raises(ValueError):
+            packing.pack(docs, shares=bad)
+    assert packing.pack(docs.limit(0), shares={"a": 1.0}).count() == 0
+
+
 def test_quality_measures_and_bands(odd_docs, no_docs):
     def brute(text):
         words = (text or "").encode().split()
