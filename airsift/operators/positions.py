@@ -59,10 +59,10 @@ def group_ranks(rows: DataFrame, group: list[str], into: str = "rank") -> DataFr
     starts = _before(met, group, "_n", "_offset").select(
         F.col("_part").alias("_at"),
         F.expr("_offset - _first + 1").alias("_shift"),
-        *[F.col(c).alias(f"_{c}") for c in group],
+        *[F.col(c).alias(f"_group_{i}") for i, c in enumerate(group)],
     )
     same = F.col("_part") == F.col("_at")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_group_{i}"))
     placed = rows.join(starts, same).withColumn(into, F.col("_row") + F.col("_shift"))
-    return placed.drop("_part", "_row", "_at", "_shift", *[f"_{c}" for c in group])
+    return placed.drop("_part", "_row", "_at", "_shift", *[f"_group_{i}" for i in range(len(group))])
