@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airsift.llm.common import WORD_PATTERN, stored, without
+from airsift.llm.common import WORD_PATTERN, stored, work_folder
+from airsift.operators.positions import group_ranks, ranged
 
 WEIGHTS = (1, 2, 3)
 
@@ -22,10 +23,14 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
 
 
-def seeded_key(doc_id: str, seed: int) -> Column:
-    """Where a document stands in the seeded order: 32 hexadecimal digits."""
-    name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+def seeded_key(doc_id: str, text: str, seed: int) -> Column:
+    """Where a document stands in the seeded order: 64 hexadecimal digits, first of its id,
+    then of its text. Rows of one key are equal in both."""
+    name = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.concat(
+        F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), F.md5(said.cast("binary"))
+    )
 
 
 def source_targets(
@@ -73,12 +78,14 @@ def source_plan(
     seed: int = 17,
     digits: int = 3,
 ) -> DataFrame:
-    """One row per source: size, target, whole repetitions and the last key of the extra one.
+    """One row per source: size, target, whole repetitions and how far the extra one goes: to
+    `last_key`, and of the rows of `edge_key` to `edge_rows`.
 
     `docs` has (source, size, key). The running sum in key order is taken in two steps, so
     that a source of any size is spread over 16**digits ranges of keys: sums per range, and
-    a running sum inside the one range where the target falls. Documents of one key go
-    together. The last one is taken if more than half of it fits.
+    a running sum inside the one range where the target falls. Of the rows of the key where
+    it falls, all of one size, as many are taken as come nearest to it. Where that is all or
+    none of them, `edge_key` is null.
     """
     rank = F.substring("key", 1, digits)
     ranges = (
@@ -110,24 +117,25 @@ def source_plan(
             F.col("source").eqNullSafe(F.col("_source")) & (rank == F.col("range")),
         )
         .groupBy("source", "range", "begun", "need", "key")
-        .agg(F.sum("size").alias("key_size"))
+        .agg(F.sum("size").alias("key_size"), F.count("*").alias("n"))
     )
-    so_far = W.partitionBy("source", "range").orderBy("key")
-    middle = (
-        F.col("begun") + F.sum("key_size").over(so_far) - F.col("key_size") / 2.0
+    so_far = W.partitionBy("source", "range").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("begun") + F.coalesce(F.sum("key_size").over(so_far), F.lit(0))
+    rows = F.try_divide(F.col("need") - F.col("before"), F.col("key_size") / F.col("n"))
+    fitting = F.ceil(rows - 0.5)
+    taken = F.when(F.col("before") + F.col("key_size") <= F.col("need"), F.col("n")).when(
+        F.col("before") <= F.col("need"), F.least(fitting.cast("bigint"), F.col("n"))
     )
-    last = (
-        inside.withColumn("middle", middle)
-        .where((F.col("middle") < F.col("need")))
-        .groupBy("source")
-        .agg(F.max("key").alias("last_key"))
-        .withColumnRenamed("source", "_taken")
+    cut = inside.withColumn("before", before).withColumn("taken", taken).groupBy("source").agg(
+        F.max(F.when(F.col("taken") == F.col("n"), F.col("key"))).alias("last_key"),
+        F.max(F.when(F.col("taken").between(1, F.col("n") - 1), F.struct("key", "taken"))).alias("edge"),
     )
-    # Without a document inside the open range, the extra repetition ends before that range.
+    cut = cut.withColumnRenamed("source", "_taken")
+    # Without a key that fits whole inside the open range, the extra repetition ends before it.
     first = open_range.select(F.col("_source").alias("_open"), F.col("range").alias("open_range"))
     return (
         plan.join(first, F.col("source").eqNullSafe(F.col("_open")), "left")
-        .join(last, F.col("source").eqNullSafe(F.col("_taken")), "left")
+        .join(cut, F.col("source").eqNullSafe(F.col("_taken")), "left")
         .select(
             "source",
             "source_size",
@@ -135,6 +143,8 @@ def source_plan(
             "target",
             "whole",
             F.coalesce("last_key", "open_range", F.lit("")).alias("last_key"),
+            F.col("edge.key").alias("edge_key"),
+            F.col("edge.taken").alias("edge_rows"),
         )
     )
 
@@ -147,41 +157,47 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = 3,
     seed: int = 17,
-    by_text: bool = False,
 ) -> DataFrame:
     """Add size, source_size, target, copies and taken (copies times size) to every row.
 
     A null text has size 0; a null source is a source of its own, last in order; a null id
-    sorts as empty text. Rows that repeat an id are taken together, or with `by_text` those
-    that repeat id and text: then other texts of one id are taken one by one. A source without words
-    has target 0. An empty table gives an empty table. An input column with the name of a
-    result column is replaced. Order and result follow from ids and `seed` alone, so a rerun
-    agrees. Texts are read once for their sizes and never shuffled: the plan is one row per
-    source, stored before it is joined, so Spark broadcasts it where its size allows.
+    sorts as empty text. Other texts of one id, and rows that repeat id and text, are taken
+    one by one; which of equal rows are does not show in id, text and source. A source without
+    words has target 0. An empty table gives an empty table. An input column with the name of
+    a result column is replaced. Order and result follow from ids, texts and `seed` alone, so a
+    rerun agrees. Texts are read once for their sizes and never shuffled, but for the rows of a
+    key that the target divides: those are numbered in a table of their own. The plan is one
+    row per source, stored before it is joined, so Spark broadcasts it where its size allows.
     """
     result = ["size", "source_size", "target", "copies", "taken"]
-    key = seeded_key(doc_id, seed)
-    if by_text:
-        key = F.concat(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    key = seeded_key(doc_id, text, seed)
     small = docs.select(
-        F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")
+        F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), key.alias("key")
     )
     small = stored(small, "mix-sizes")
-    plan = stored(source_plan(small, weights, max_epochs, seed), "mix-sources").select(
-        F.col("source").alias("_mix_source"),
-        "source_size",
-        "target",
-        F.col("whole").alias("_mix_whole"),
-        F.col("last_key").alias("_mix_last"),
-    )
-    wide = without(docs, result).withColumns(
-        {"size": word_count(text), "_mix_key": key}
-    )
-    copies = F.col("_mix_whole") + (F.col("_mix_key") <= F.col("_mix_last")).cast("bigint")
-    joined = wide.join(plan, F.col(source).eqNullSafe(F.col("_mix_source")), "inner")
+    plan = stored(source_plan(small, weights, max_epochs, seed), "mix-sources")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in result]
-    return joined.select(
-        *kept,
+    wide = docs.select(
+        F.struct(*kept, F.lit(True).alias("_")).alias("row"),
+        F.col(f"`{source}`").alias("_source"),
+        word_count(text).alias("size"),
+        key.alias("key"),
+    )
+    planned = wide.join(plan, F.col("_source").eqNullSafe(F.col("source")), "inner")
+    extra = (F.col("key") <= F.col("last_key")).cast("bigint")
+    divided = F.coalesce(F.col("key") == F.col("edge_key"), F.lit(False))
+    mixed = planned.withColumn("extra", extra)
+    if not plan.where("edge_key IS NOT NULL").isEmpty():
+        place = F.monotonically_increasing_id()
+        edges = stored(planned.where(divided).withColumn("place", place), "mix-edges")
+        order = [F.col("source"), F.col("place")]
+        numbered = ranged(edges, order, work_folder(docs.sparkSession, "mix-numbered"))
+        taken = group_ranks(numbered, ["source"], "turn")
+        taken = taken.withColumn("extra", (F.col("turn") <= F.col("edge_rows")).cast("bigint"))
+        mixed = mixed.where(~divided).unionByName(taken.drop("place", "turn"))
+    copies = F.col("whole") + F.col("extra")
+    return mixed.select(
+        *[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in result],
         "size",
         "source_size",
         "target",

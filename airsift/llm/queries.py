@@ -164,7 +164,7 @@ _MIX_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key
+    md5('17:' || coalesce(doc_id::VARCHAR, '')) || md5(coalesce(text, '')) AS key
   FROM documents),
 sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -185,15 +185,17 @@ plan AS (
   SELECT source, source_size, target, greatest(target - whole * source_size, 0.0) AS need, whole
   FROM (SELECT *, CASE WHEN source_size > 0
       THEN floor((target + 0.5) / source_size)::BIGINT ELSE 0 END AS whole FROM targets)),
-keys AS (
-  SELECT source, key, sum(size) AS key_size FROM docs GROUP BY source, key),
 order_keys AS (
-  SELECT source, key,
-    sum(key_size) OVER (PARTITION BY source ORDER BY key) - key_size / 2.0 AS middle
-  FROM keys)
+  SELECT source, key, size, n, sum(size * n) OVER (PARTITION BY source ORDER BY key) - size * n AS before
+  FROM (SELECT source, key, any_value(size) AS size, count(*) AS n FROM docs GROUP BY source, key)),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY source, key) AS turn FROM docs)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-  (d.size * (p.whole + CASE WHEN k.middle < p.need THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM docs d
+  (d.size * (p.whole + CASE
+    WHEN k.before + k.size * k.n <= p.need THEN 1
+    WHEN k.before <= p.need AND d.turn <= ceil((p.need - k.before) / k.size - 0.5) THEN 1
+    ELSE 0 END))::BIGINT AS taken
+FROM turns d
 JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 JOIN order_keys k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key"""
 

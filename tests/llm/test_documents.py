@@ -235,6 +235,44 @@ def test_mixing_reaches_targets(spark, odd_docs, no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_mixing_divides_repeated_rows_and_ids(spark):
+    rows = [(None, f"{'word ' * 9}{i}", "nulls") for i in range(700)]
+    rows += [(5, "copy " * 10, "copies")] * 500 + [(6, "copy " * 10, "copies")] * 3
+    rows += [(7, f"{'w ' * 4}{i}", "one id") for i in range(300)] + [(8, "", "copies"), (9, None, None)]
+    rows += [(1000 + i, "word " * 10, None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs = docs.selectExpr("*", "'x' AS place", "'y' AS row", "source AS turn", "1 AS edge_rows")
+    mixed = mixing.mix_sources(docs.repartition(9))
+    assert mixed.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    found = mixed.collect()
+    assert len(found) == len(rows) and {(r.place, r.row, r.edge_rows) for r in found} == {("x", "y", 1)}
+    for name in ("nulls", "copies", "one id", None):
+        own = [r for r in found if r.source == name]
+        largest = max(r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= largest / 2 + 1, name
+        assert all(r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0 for r in own)
+        assert max(r.copies for r in own if r.size) - min(r.copies for r in own if r.size) <= 1
+    again = collections.Counter((r.doc_id, r.text, r.source, r.taken) for r in mixing.mix_sources(docs).collect())
+    assert again == collections.Counter((r.doc_id, r.text, r.source, r.taken) for r in found)
+
+
+def test_op8_equals_its_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(i % 40 if i % 3 else None, f"{'w ' * (i % 11)}{i % 90}", ["a", "a", "b", None][i % 4], "en", i) for i in range(900)]
+    rows += [(3, "same words here", "a", "en", 0)] * 300 + [(4, None, "b", "en", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = connection.execute(queries.oracle_sql()["op8_source_mix"])
+    names = [d[0] for d in cursor.description]
+    got = queries.op8_source_mix(spark, str(tmp_path))
+    assert got.columns == names
+    shown = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert collections.Counter(map(shown, got.collect())) == collections.Counter(map(shown, cursor.fetchall()))
+
+
 def brute_join(rows, threshold=0.8):
     sets = {}
     for r in rows:
@@ -465,7 +503,7 @@ def test_deduplication_tells_texts_of_one_id_apart(spark):
         [(None, text(f"m{i}x", 10), "s" if i % 4 else "t") for i in range(400)],
         "doc_id bigint, text string, source string",
     )
-    mixed = mixing.mix_sources(flat, by_text=True).collect()
+    mixed = mixing.mix_sources(flat).collect()
     for name in "st":
         found = [r for r in mixed if r.source == name]
         assert abs(sum(r.taken for r in found) - found[0].target) <= 10
