@@ -59,6 +59,16 @@ def term_counts(words: Counter[str], starts: tuple[int, ...]) -> dict[str, int]:
     return found
 
 
+# Blocks scored before the others are held against the k-th best similarity.
+_FIRST = 4
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges of `count` from `begin`, and the range each is of."""
+    of = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(of)) + (begin - np.cumsum(count) + count)[of], of
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors of examples."""
@@ -76,6 +86,13 @@ class Index:
     entry_block: np.ndarray
     entry_max: np.ndarray
 
+    def __post_init__(self) -> None:
+        # Word beginnings that are terms, by their length.
+        self.stars = {
+            k: {t[:-1]: i for t, i in self.terms.items() if t.endswith("*") and len(t) == k + 1}
+            for k in self.starts
+        }
+
     @staticmethod
     def build(
         terms: list[str],
@@ -119,11 +136,11 @@ class Index:
         for word in words.keys() & known.keys():
             found[known[word]] = words[word]
         for k in self.starts:
+            stars = self.stars[k]
             for word, n in words.items():
-                if len(word) > k:
-                    t = known.get(word[:k] + "*")
-                    if t is not None:
-                        found[t] = found.get(t, 0) + n
+                t = stars.get(word[:k])
+                if t is not None and len(word) > k:
+                    found[t] = found.get(t, 0) + n
         if not found:
             return np.empty(0, int), np.empty(0)
         order = sorted(found)
@@ -132,34 +149,40 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine over 0, ties to the earlier example."""
+        # The block entries of all terms, one after another.
+        begin = self.entry_begin[term]
+        entry, of = _spread(begin, self.entry_begin[term + 1] - begin)
+        by = weight[of]
+        block = self.entry_block[entry]
         n_blocks = len(self.toxic) // self.block + 1
-        bound = np.zeros(n_blocks)
-        spans = [slice(self.entry_begin[t], self.entry_begin[t + 1]) for t in term]
-        for span, w in zip(spans, weight, strict=True):
-            bound[self.entry_block[span]] += w * self.entry_max[span]
+        bound = np.bincount(block, by * self.entry_max[entry], n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_at, best = np.empty(0, int), np.empty(0)
-        step, done = 4, 0
-        while done < len(order):
-            # A block whose bound is under the k-th best similarity holds no neighbour.
-            if len(best) == k and bound[order[done]] < best[-1] - 1e-12:
-                break
-            some = order[done : done + step]
-            done += step
-            step *= 2
-            active = np.zeros(n_blocks, bool)
-            active[some] = True
-            score = np.zeros(len(self.toxic) + 1)
-            for span, w in zip(spans, weight, strict=True):
-                entries = np.flatnonzero(active[self.entry_block[span]]) + span.start
-                for e in entries:
-                    part = slice(self.post_begin[e], self.post_begin[e + 1])
-                    score[self.post_example[part]] += w * self.post_weight[part]
+
+        def scores(blocks: np.ndarray) -> np.ndarray:
+            chosen = np.zeros(n_blocks, bool)
+            chosen[blocks] = True
+            at = np.flatnonzero(chosen[block])
+            first = self.post_begin[entry[at]]
+            post, of = _spread(first, self.post_begin[entry[at] + 1] - first)
+            part = by[at][of] * self.post_weight[post]
+            return np.bincount(self.post_example[post], part, len(self.toxic))
+
+        def best_of(at: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = np.lexsort((at, -score))[:k]
+            return at[top], score[top]
+
+        # The most promising blocks give a k-th best similarity; of the others only those
+        # whose bound reaches it can hold a neighbour.
+        score = scores(order[:_FIRST])
+        best_at, best = best_of(np.flatnonzero(score > 0), score[score > 0])
+        rest = order[_FIRST:]
+        if len(best) == k:
+            rest = rest[bound[rest] >= best[-1] - 1e-12]
+        if len(rest):
+            score = scores(rest)
             at = np.flatnonzero(score > 0)
-            best_at, best = np.r_[best_at, at], np.r_[best, score[at]]
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
+            best_at, best = best_of(np.r_[best_at, at], np.r_[best, score[at]])
         return best_at, best
 
 
@@ -293,7 +316,8 @@ def fit(
     kept = vocabulary.orderBy("term").toPandas()
     terms = kept["term"].tolist()
     df = (kept["with_1"] + kept["with_0"]).astype(int).tolist()
-    postings = found.join(F.broadcast(vocabulary.select("term")), "term").toPandas()
+    postings = found.join(F.broadcast(vocabulary.select("term")), "term")
+    postings = postings.select("doc_id", "toxic", "term", "n").toPandas()
     of = {(i, t): k for k, (i, t) in enumerate(zip(ids.tolist(), toxic.astype(int).tolist(), strict=True))}
     number = {t: i for i, t in enumerate(terms)}
     example = np.array(
