@@ -29,7 +29,8 @@ _WORDS = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     """`max_examples`: labelled rows used per class. `max_terms`: size of the vocabulary.
-    `least_chi2`: how surely a term must tell the classes apart. `starts`: lengths of word
+    `least_chi2`: how surely a term must tell the classes apart; of fewer than four times as
+    many examples a quarter of their number, as chi2 is at most that. `starts`: lengths of word
     beginnings that are terms too. `neighbours`: how many vote. `prior`: the weight of the
     share of toxic rows in the vote."""
 
@@ -308,7 +309,7 @@ def fit(
         )
         .where((a + b >= settings.least_examples) & (c + d > 0))
         .withColumn("chi2", chi2)
-        .where(F.col("chi2") >= settings.least_chi2)
+        .where(F.col("chi2") >= min(settings.least_chi2, (s0 + s1) / 4))
         .orderBy(F.desc("chi2"), "term")
         .limit(settings.max_terms)
     )

@@ -407,6 +407,14 @@ def test_toxicity_learns_and_is_exact(spark, odd_docs, no_docs):
         assert np.allclose(similarity, best)
     scored = toxicity.score_toxicity(odd_docs, model).collect()
     assert len(scored) == odd_docs.count() and all(0 <= r.score <= 1 for r in scored)
+    # Two plain classes of a dozen examples each, and one of one.
+    plain = [(i, f"{'snarl' if i % 2 else 'calm'}word {'grub' if i % 2 else 'soft'}thing word{i}") for i in range(40)]
+    tiny = spark.createDataFrame(plain, docs.schema)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(32)], known.schema)
+    told = {r.doc_id: r.predicted for r in toxicity.score_toxicity(tiny, toxicity.fit(tiny, marks)).collect()}
+    assert told == {i: i % 2 for i in range(40)}
+    one = toxicity.fit(tiny, marks.where("doc_id < 4"))
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(tiny, one).collect())
     # An id with many texts is one example.
     many = [(8, f"snarlword {i}") for i in range(50)]
     again = toxicity.fit(docs.unionByName(spark.createDataFrame(many, docs.schema)), known)
