@@ -95,6 +95,29 @@ class Totals:
         return np.where(self.common[at] == hashes, at.astype(np.uint64), hashes | _HIGH)
 
 
+# Logarithms travel as whole numbers of this many parts of one: half the bytes of a double,
+# and off by less than 1e-8 a document and partition.
+_PARTS_OF_ONE = float(1 << 26)
+
+
+def _packed_sums(docs: np.ndarray, counts: list[np.ndarray], logs: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Documents in ascending order, as their distances, and their counts and logarithms."""
+    whole = [np.rint(x * _PARTS_OF_ONE).astype(np.int64) for x in logs]
+    whole = [(x << 1) ^ (x >> 63) for x in whole]  # the sign last, so that small ones stay short
+    flat = np.concatenate([*[np.rint(c).astype(np.int64) for c in counts], *whole])
+    return pack(np.diff(docs, prepend=0)), pack(flat.view(np.uint64))
+
+
+def _unpacked_sums(docs: bytes, values: bytes, n_logs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, and one row per count and logarithm."""
+    who = np.cumsum(unpack(docs).astype(np.int64))
+    flat = unpack(values).astype(np.uint64).reshape(-1, len(who))
+    out = flat.astype(np.float64)
+    z = flat[len(flat) - n_logs :].view(np.int64)
+    out[len(flat) - n_logs :] = ((z >> 1) ^ -(z & 1)) / _PARTS_OF_ONE
+    return who, out
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in a sorted array, -1 if it is not there."""
     if not len(sorted_keys):
@@ -379,12 +402,12 @@ def _counted(routed: DataFrame, model: Katz, totals: Callable[[], Totals]) -> Da
         for some in np.split(order, begin[1:]):
             who, local = np.unique(doc[some], return_inverse=True)
             n = len(who)
-            values = [np.bincount(local, total[of[some]] > 0, n), np.bincount(local, base[of[some]], n)]
-            values.append(np.bincount(local, score[some], n))
-            values += [np.bincount(local, seen[some] == r, n) for r in range(1, model.low + 1)]
-            flat = np.concatenate([v.astype(np.float64) for v in values])
+            counts = [np.bincount(local, total[of[some]] > 0, n)]
+            counts += [np.bincount(local, seen[some] == r, n) for r in range(1, model.low + 1)]
+            logs = [np.bincount(local, x, n) for x in (base[of[some]], score[some])]
             number = numbers[block[some[0]]]
-            out.append(("sums", number, 0, None, None, None, None, pack(who), pack(flat), None))
+            sums = _packed_sums(who, counts, logs)
+            out.append(("sums", number, 0, None, None, None, None, *sums, None))
             # Tokens that back off after a frequent history stay with their block.
             miss = some[open_[some] & frequent[some]]
             if len(miss):
@@ -495,7 +518,8 @@ def _answered_near(near: DataFrame, hot: Callable[[], dict]) -> DataFrame:
             for row in batch.to_pylist():
                 value = values[_find(names, unpack(row["befores"]).astype(np.uint64))]
                 who, local = np.unique(unpack(row["docs"]).astype(np.int64), return_inverse=True)
-                out.append((row["block"], pack(who), pack(np.bincount(local, value, len(who)))))
+                sums = np.bincount(local, value, len(who))
+                out.append((row["block"], *_packed_sums(who, [], [sums])))
             yield _table(out, _ANSWER_NAMES, _ANSWER_KINDS)
 
     return near.select("block", "befores", "docs").mapInArrow(run, _ANSWER)
@@ -529,7 +553,7 @@ def _answered(far: DataFrame, backoff: DataFrame) -> DataFrame:
         for block, parts in found.items():
             who, local = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
             sums = np.bincount(local, np.concatenate([v for _, v in parts]))
-            out.append((block, pack(who), pack(sums)))
+            out.append((block, *_packed_sums(who, [], [sums])))
         return pa.Table.from_batches([_table(out, _ANSWER_NAMES, _ANSWER_KINDS)])
 
     wanted = far.select("bucket", "words", "counts", "befores", "docs")
@@ -565,15 +589,14 @@ def _summed(documents: DataFrame, sums: DataFrame, model: Katz, logs: np.ndarray
         n = len(block["ids"])
         known, base, score = np.zeros(n), np.zeros(n), np.full(n, start)
         for row in parts.to_pylist():
-            who = unpack(row["docs"]).astype(np.int64)
-            values = unpack(row["values"])
-            if len(values) == len(who) and row["kind"] != "sums":
-                score[who] += values
+            if row["kind"] != "sums":
+                who, (more,) = _unpacked_sums(row["docs"], row["values"], 1)
+                score[who] += more
                 continue
-            values = values.reshape(low + 3, -1)
+            who, values = _unpacked_sums(row["docs"], row["values"], 2)
             known[who] += values[0]
-            base[who] += values[1]
-            score[who] += values[2] + logs @ values[3:]
+            base[who] += values[low + 1]
+            score[who] += values[low + 2] + logs @ values[1 : low + 1]
         arrays = [
             pa.array(block["ids"], blocks.schema.field("ids").type.value_type),
             pa.array(block["held"], pa.bool_()),
