@@ -19,15 +19,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor reaches.
-
-    Only a local session without the setting may fall back to the warehouse folder.
-    """
+    """A new folder under spark.checkpoint.dir, which every executor reaches."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir")
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

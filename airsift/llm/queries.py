@@ -120,9 +120,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _url_sql() -> str:
     words = Vocabulary()
-
-    def hit(term: str) -> str:
-        return f"regexp_matches(low, '(^|[^a-z0-9]){term}($|[^a-z0-9])')::INT"
+    terms = ", ".join(
+        f"('{form}', '{term}', {weight}, {strict})"
+        for form, (term, weight, strict) in words.listed().items()
+    )
 
     def fits(rule: str) -> str:
         host, _, path = rule.partition("/")
@@ -134,9 +135,6 @@ def _url_sql() -> str:
     ordered = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered)
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in ordered)
-    strict = " + ".join(hit(t) for t in words.strict)
-    soft = " + ".join(hit(t) for t in words.soft if t not in words.strict)
-    weight = " + ".join(f"{hit(t)} * {w}" for t, w in words.soft.items() if t not in words.strict)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH cut AS (
@@ -149,10 +147,19 @@ parts AS (
     translate(regexp_extract(rest, '^[^/]*'), '{upper}', '{lower}') AS host,
     CASE WHEN strpos(rest, '/') = 0 THEN '' ELSE substr(rest, strpos(rest, '/')) END AS path
   FROM cut),
+terms AS (SELECT * FROM (VALUES {terms}) t(form, term, weight, strict)),
+hits AS (
+  SELECT DISTINCT low, term, weight, strict
+  FROM (SELECT low, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS form FROM parts)
+  JOIN terms USING (form)),
+sums AS (
+  SELECT low, count(*) FILTER (strict) AS n_strict, count(*) FILTER (NOT strict) AS n_soft,
+    sum(weight) FILTER (NOT strict) AS soft_weight
+  FROM hits GROUP BY low),
 found AS (
-  SELECT page_id, host, path, CASE {rule} END AS rule,
-    ({strict})::INT AS n_strict, ({soft})::INT AS n_soft, ({weight})::DOUBLE AS soft_weight
-  FROM parts)
+  SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(n_strict, 0)::INT AS n_strict,
+    coalesce(n_soft, 0)::INT AS n_soft, coalesce(soft_weight, 0)::DOUBLE AS soft_weight
+  FROM parts LEFT JOIN sums USING (low))
 SELECT page_id, host, path, rule,
   CASE {verdict}
     WHEN n_strict > 0 OR soft_weight >= {words.limit} THEN 'block' ELSE 'allow' END AS verdict,

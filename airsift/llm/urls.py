@@ -1,8 +1,8 @@
 """URL filter: domain rules, then a weighted vocabulary found by Aho-Corasick.
 
-One automaton finds all terms in one pass over a URL. A term counts only as a whole word: no
-ASCII letter or digit before or after it. One strict term rejects; soft terms reject when
-the weights of the distinct ones found reach a limit.
+One automaton finds all terms, in the singular and plural, in one pass over a URL. A term
+counts only as a whole word: no ASCII letter or digit before or after it. One strict term
+rejects; soft terms reject when the weights of the distinct ones found reach a limit.
 """
 
 from __future__ import annotations
@@ -20,42 +20,84 @@ _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+# Words by what they sell, in the singular. Fixed values.
+STRICT_WORDS = """
+porn porno pornstar xxx hentai camgirl sexcam milf blowjob bukkake gangbang creampie upskirt
+warez keygen nulled scat cumshot fisting shemale bestiality incest
+"""
+SOFT_WORDS = {
+    "gambling": """
+    bet betting bookie bookmaker casino jackpot roulette blackjack baccarat poker slot wager
+    sportsbook gamble gambling lottery lotto bingo freespin croupier punter handicapper
+    """,
+    "adult": """
+    adult nude naked sex sexy erotic erotica escort fetish bdsm lingerie swinger hookup webcam
+    striptease stripper topless uncensored horny kinky amateur babe
+    """,
+    "pharmacy": """
+    pill viagra cialis levitra xanax valium tramadol ambien phentermine oxycontin hydrocodone
+    steroid kamagra sildenafil tadalafil pharmacy prescriptionless enlargement slimming detox
+    """,
+    "money": """
+    loan payday lender cash cashback profit earning millionaire forex crypto bitcoin airdrop
+    giveaway bonus investor refinance debt mortgage moneymaker pyramid
+    """,
+    "fakes": """
+    replica counterfeit knockoff fake rolex vuitton diploma degree passport essay termpaper
+    coursework ghostwriter
+    """,
+    "downloads": """
+    crack cracked torrent serial codec cheat hack generator unlocker pirated leaked ripped
+    bootleg activator
+    """,
+    "traffic": """
+    spam farm ads adserver clickbait backlink doorway popup popunder redirect affiliate
+    autosurf traffic track tracker linkbuilding
+    """,
+    "bait": """
+    free cheap cheapest hot win winner winning prize discount unlimited miracle secret
+    guaranteed instant exclusive dating singles
+    """,
+}
+_WEIGHTS = {"bait": 1.0, "traffic": 1.0}
+
+
+def forms(word: str) -> list[str]:
+    """A word and its plural."""
+    if word.endswith(("s", "x", "ch", "sh")):
+        return [word, word + "es"]
+    if word.endswith("y") and word[-2:-1] not in "aeiou":
+        return [word, word[:-1] + "ies"]
+    return [word, word + "s"]
+
+
+def _soft() -> dict[str, float]:
+    return {w: _WEIGHTS.get(kind, 1.5) for kind, some in SOFT_WORDS.items() for w in some.split()}
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Terms in lower case. `limit`: total weight of distinct soft terms that rejects."""
-
-    strict: tuple[str, ...] = (
-        "porn",
-        "porno",
-        "xxx",
-        "hentai",
-        "camgirls",
-        "sexcam",
-        "escorts",
-        "warez",
-    )
-    soft: Mapping[str, float] = field(
-        default_factory=lambda: {
-            "adult": 1.0,
-            "bet": 1.0,
-            "casino": 1.5,
-            "crack": 1.0,
-            "dating": 1.0,
-            "free": 0.5,
-            "hot": 0.5,
-            "jackpot": 1.5,
-            "nude": 1.5,
-            "pills": 1.0,
-            "poker": 1.0,
-            "sex": 1.5,
-            "slots": 1.0,
-            "torrent": 1.0,
-            "viagra": 1.5,
-            "webcam": 1.0,
-        }
-    )
+    """Terms in lower case, each with the forms of `forms`, which are one term. `limit`: total
+    weight of distinct soft terms that rejects; no term of the default reaches it alone, and
+    any two do."""
+
+    strict: tuple[str, ...] = tuple(STRICT_WORDS.split())
+    soft: Mapping[str, float] = field(default_factory=_soft)
     limit: float = 2.0
 
+    def listed(self) -> dict[str, tuple[str, float, bool]]:
+        """Term, weight and strictness of every form; a form of two terms is that of the strict
+        one, or of the first, and a term that is listed is its own."""
+        found: dict[str, tuple[str, float, bool]] = {}
+        terms = [(t, self.limit, True) for t in self.strict]
+        terms += [(t, w, False) for t, w in self.soft.items() if t not in self.strict]
+        for term, weight, strict in terms:
+            found[term] = term, weight, strict
+        for term, weight, strict in terms:
+            for form in forms(term):
+                found.setdefault(form, (term, weight, strict))
+        return found
+
 
 def lowered(text: str) -> str:
     """A-Z in lower case, everything else as it is."""
@@ -115,19 +157,17 @@ class Terms:
 
         self.limit = vocabulary.limit
         self.automaton = ahocorasick.Automaton()
-        terms = {t: (0.0, False) for t in ()}
-        terms |= {t: (w, False) for t, w in vocabulary.soft.items()}
-        terms |= {t: (vocabulary.limit, True) for t in vocabulary.strict}
-        for term, (weight, strict) in terms.items():
-            self.automaton.add_word(term, (term, weight, strict))
-        self.automaton.make_automaton()
+        for form, found in vocabulary.listed().items():
+            self.automaton.add_word(form, (len(form), *found))
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
     def judge(self, url: str) -> tuple[int, int, float, bool]:
         """Distinct strict terms, distinct soft terms, soft weight, rejected."""
         low = lowered(url)
         found = {}
-        for end, (term, weight, strict) in self.automaton.iter(low):
-            start = end + 1 - len(term)
+        for end, (size, term, weight, strict) in self.automaton.iter(low) if len(self.automaton) else ():
+            start = end + 1 - size
             if (start and low[start - 1] in _WORD) or (end + 1 < len(low) and low[end + 1] in _WORD):
                 continue
             found[term] = weight, strict
@@ -161,8 +201,12 @@ def filter_urls(
     listed = list(rules)
     Rules(listed)  # fails on the driver if there are too many
 
+    built: list[tuple[Rules, Terms]] = []  # once per task
+
     def judge(batch: pa.RecordBatch) -> list:
-        known, terms = Rules(listed), Terms(vocabulary)
+        if not built:
+            built.append((Rules(listed), Terms(vocabulary)))
+        known, terms = built[0]
         rows = []
         for value in column(batch, url).to_pylist():
             host, path = host_and_path(value)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from airsift.llm import extraction, neighbours, urls
+from airsift.llm import extraction, neighbours, queries, urls
 from airsift.llm.queries import URL_RULES
 
 
@@ -176,3 +176,60 @@ def test_neighbours_of_very_small_and_large_vectors(spark):
         # Products that underflow to nothing tie; any of them will do.
         hit += sum(by[q].get(i) is not None or exact[i] == 0 for i in best.tolist())
     assert hit >= 0.9 * 25 * 20
+
+
+# Written without a look at the vocabulary.
+SPAM_URLS = """
+http://www.bestcasino.example/online-casino-bonus
+http://win-big.example/jackpots/slots
+https://loans4u.example/payday-loans/instant-cash
+http://rx.example/buy/cheap-viagra-online
+http://shop.example/replica-rolex-watches
+http://hot.example/nude-webcams/
+http://dl.example/photoshop-crack-serial
+http://seo.example/cheap-backlinks
+http://free-bets.example/
+http://cheap-pills.example/x
+http://m.casino-win.example/en/4033.html
+http://q.example/free-xxx-videos
+http://poker.example/roulette
+https://meet.example/sexy-singles
+http://essay.example/cheap-essays
+""".split()
+CLEAN_URLS = """
+https://www.example.org/news/2024/05/city-council-votes-on-budget
+https://university.example/courses/statistics/lecture-12.html
+https://docs.example.net/spark/latest/sql-ref-functions.html
+https://en.example.org/wiki/History_of_mathematics
+https://health.example/articles/how-vaccines-work
+https://shop.example/garden/hoses?color=green&size=20m
+https://travel.example/italy/rome/where-to-stay
+https://code.example/project/issues/4127#comment-3
+https://recipes.example/hot-chocolate-with-cream
+https://library.example/books/free-lending-program
+https://sussex.example/essex/middlesex-county-map
+https://weather.example/forecast/tomorrow.html
+https://press.example/scunthorpe-united-win-again
+""".split()
+
+
+def test_vocabulary_on_written_urls(spark):
+    words = urls.Vocabulary()
+    assert all(words.limit / 2 <= w < words.limit for w in words.soft.values()) and len(words.soft) > 140
+    listed = spark.createDataFrame([(u,) for u in SPAM_URLS + CLEAN_URLS], "url string")
+    found = {r.url: r.verdict for r in urls.filter_urls(listed).collect()}
+    assert [u for u in SPAM_URLS if found[u] != "block"] == []
+    assert [u for u in CLEAN_URLS if found[u] != "allow"] == []
+    # Forms of one term are one hit, and a term inside a word is none.
+    terms = urls.Terms(words)
+    assert terms.judge("http://a.b/casino/casinos")[:2] == (0, 1) and not terms.judge("http://a.b/casino/casinos")[3]
+    assert terms.judge("http://a.b/Free/lotteries")[1:] == (2, 2.5, True)
+    assert terms.judge("http://freecasino.b/xbet")[:2] == (0, 0)
+    assert urls.Terms(urls.Vocabulary((), {})).judge("http://casino.b/xxx") == (0, 0, 0.0, False)
+
+
+def test_vocabulary_rejects_given_pages(spark):
+    pages = queries.table(spark, "/root/testdata/sf0.1", "pages").select("url")
+    found = urls.filter_urls(pages).where("verdict = 'block'").select("url").collect()
+    hosts = {r.url.split("/")[2] for r in found}
+    assert found and all(any(w in h for w in ("casino", "bets", "pills", "adult", "ads", "spam", "farm")) for h in hosts)
