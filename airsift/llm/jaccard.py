@@ -384,10 +384,10 @@ def similarity_join(
     return signed.select("doc_id", "key").join(named, "key").select("doc_id", *RESULT)
 
 
-def _text_key(text: str) -> Column:
+def _text_key(text: Column) -> Column:
     """The key of a text's class: md5 of its words, A-Z in lower case, joined by blanks."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    words = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
     return F.unhex(F.md5(F.translate(F.trim(words), upper, lower).cast("binary")))
 
 
@@ -409,17 +409,16 @@ def deduplicated(
         .agg(F.min(order).alias("least"))
         .select(F.col("least.key").alias("_key"), F.col("least.class_id").alias("_kept"))
     )
-    # The row travels whole, so its columns can have any names.
+    # The row travels whole and once, so its columns can have any names.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(
-        row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")
-    )
-    blank = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    keyed = rows.where(~blank).withColumn("_key", _text_key("_text"))
+    rows = docs.select(row.alias("_row"))
+    said, name = F.col("_row").getField(text), F.col("_row").getField(doc_id)
+    blank = F.length(F.regexp_replace(F.coalesce(said, F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+    keyed = rows.where(~blank).withColumn("_key", _text_key(said))
     # Ids differ by row of a class, texts by case and white space only.
-    first = W.partitionBy("_key").orderBy(F.xxhash64("_text"), F.col("_text"))
+    first = W.partitionBy("_key").orderBy(F.xxhash64(said), said)
     kept = kept.withColumnRenamed("_key", "_kept_key")
-    same = (F.col("_key") == F.col("_kept_key")) & F.col("_id").eqNullSafe(F.col("_kept"))
+    same = (F.col("_key") == F.col("_kept_key")) & name.eqNullSafe(F.col("_kept"))
     once = (
         keyed.join(kept, same, "left_semi")
         .withColumn("_nth", F.row_number().over(first))
