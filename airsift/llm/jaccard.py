@@ -1,14 +1,20 @@
 """Similarity join on word n-grams: MinHash LSH forest, then exact verification.
 
-Every text has `trees` signatures of min-hashes, each a path in a sorted prefix trie. Texts
-that share a prefix in one of the tries are candidates. The prefix starts at full depth and
-is shortened until a pair just at the threshold meets in some trie with the target recall.
-Candidates are verified on their sets of n-grams, exactly.
-
-Equal word sequences are one class and are joined once. Inside a shared prefix, texts are
-dealt to blocks and pairs of blocks to tasks, so a prefix of any number of texts spreads
-out; a pair is verified only in the first trie where it meets. Tasks emit sums and
-spanning edges, never pairs, so a group of n near copies gives rows in proportion to n.
+Every text has `trees` signatures of `depth` min-hashes, each a path in a prefix trie. A path
+is one integer whose leading bits are its first levels, so that sorted paths are the trie and a
+shift shortens a prefix. All tries are searched from full depth; their matched prefixes are
+shortened in turn, a level at a time, until a pair just at the threshold meets in some trie
+with the target recall. A join owes every link over the threshold, so texts that have found
+close partners are not let off sooner. Candidates are verified on their sets of n-grams, exactly.
+
+Equal word sequences are one class and are joined once. Prefixes of more texts than a block are
+split by their deeper levels: the texts of a full path are compared with one representative, and
+those half the threshold's distance from it, or nearer, form a ball. Jaccard distance obeys the
+triangle inequality, so all texts of a ball are linked to each other, and their links follow
+from its size. Other pairs of such a prefix are dealt by pairs of blocks to tasks; a pair is
+verified only in the first trie where it meets. Tasks emit sums and spanning edges, never
+pairs. A large group costs rows in proportion to its size if its texts share a ball; texts
+outside any ball meet every block of their prefix.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from pyspark.sql import functions as F
 
 from airsift.llm.common import column, hash64, mix64, sorted_groups, stored, texts
 
-_PRIME_BITS = np.uint64(32)
+_HALF = np.uint64(32)
+# Bits of a path for each level below the shortest prefix searched.
+_LEVEL_BITS = 4
 
 
 @dataclass(frozen=True)
 class Forest:
-    """`depth`: min-hashes of a full signature. `block`: texts of one prefix per block."""
+    """`depth`: min-hashes of a full path. `block`: texts of one prefix per block."""
 
     n: int = 5
     threshold: float = 0.8
@@ -39,12 +47,30 @@ class Forest:
     block: int = 384
     seed: int = 11
 
-    def prefix(self) -> int:
-        """The longest prefix with the target recall for a pair at the threshold."""
-        length = self.depth
-        while length > 1 and 1 - (1 - self.threshold**length) ** self.trees < self.recall:
-            length -= 1
-        return length
+    def levels(self) -> list[int]:
+        """The prefix searched in every trie: shortened in turn from full depth, until a pair
+        at the threshold meets with the target recall."""
+        levels = [self.depth] * self.trees
+        tree = 0
+        while max(levels) > 1 and self.met(levels) < self.recall:
+            levels[tree] -= 1
+            tree = (tree + 1) % self.trees
+        return levels
+
+    def met(self, levels: list[int]) -> float:
+        """The probability that a pair at the threshold shares one of these prefixes."""
+        missed = 1.0
+        for level in levels:
+            missed *= 1 - self.threshold**level
+        return 1 - missed
+
+    def shifts(self) -> list[int]:
+        """Bits that shorten a path to the prefix searched, of every trie."""
+        return [_LEVEL_BITS * (self.depth - level) for level in self.levels()]
+
+    def ball(self) -> float:
+        """Texts this similar to one text are within the threshold of each other."""
+        return (1 + self.threshold) / 2 + 1e-9
 
 
 def grams(words: list[bytes], n: int) -> np.ndarray:
@@ -68,10 +94,16 @@ def normal_words(text: str) -> list[bytes]:
 
 
 def signatures(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
-    """Per set and tree a 64-bit hash of the signature's prefix; sets are not empty."""
-    depth = forest.prefix()
+    """Per set and tree its path; sets are not empty.
+
+    The shortest prefix searched fills the leading bits, every deeper level the next four.
+    A 64-bit hash of an n-gram serves two levels, one with each half.
+    """
+    floor = min(forest.levels())
+    deeper = forest.depth - floor
+    pairs = (forest.depth + 1) // 2
     rng = np.random.default_rng(forest.seed)
-    size = forest.trees * forest.depth
+    size = forest.trees * pairs
     a = rng.integers(1, 1 << 63, size, np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, size, np.uint64)
     out = np.empty((len(sets), forest.trees), np.uint64)
@@ -85,13 +117,19 @@ def signatures(sets: list[np.ndarray], forest: Forest) -> np.ndarray:
         starts = np.cumsum([0, *map(len, sets[begin : end - 1])])
         with np.errstate(over="ignore"):
             for tree in range(forest.trees):
-                path = np.full(end - begin, tree, np.uint64)
-                for level in range(depth):
-                    i = tree * forest.depth + level
+                least = []
+                for i in range(tree * pairs, (tree + 1) * pairs):
                     hashed = flat * a[i] + b[i]
-                    hashed ^= hashed >> _PRIME_BITS
-                    least = np.minimum.reduceat(hashed, starts)
-                    path = mix64(path * np.uint64(0x9E3779B97F4A7C15) + least)
+                    hashed ^= hashed >> _HALF
+                    halves = hashed.view(np.uint32)
+                    least += [np.minimum.reduceat(halves[half::2], starts) for half in (0, 1)]
+                path = np.full(end - begin, tree, np.uint64)
+                for level in range(floor):
+                    path = mix64(path * np.uint64(0x9E3779B97F4A7C15) + least[level])
+                path <<= np.uint64(_LEVEL_BITS * deeper)
+                for level in range(floor, forest.depth):
+                    part = mix64(least[level]) & np.uint64((1 << _LEVEL_BITS) - 1)
+                    path |= part << np.uint64(_LEVEL_BITS * (forest.depth - 1 - level))
                 out[begin:end, tree] = path
         begin = end
     return out
@@ -172,11 +210,12 @@ def linked(
     right: list[np.ndarray],
     left_paths: np.ndarray,
     right_paths: np.ndarray,
+    same_ball: np.ndarray,
     tree: int,
     threshold: float,
 ) -> np.ndarray:
-    """Which pairs reach the threshold and meet in no trie before this one."""
-    met = np.zeros((len(left), len(right)), bool)
+    """Which pairs of no common ball reach the threshold and meet in no trie before this one."""
+    met = same_ball.copy()
     for t in range(tree):
         met |= left_paths[:, t][:, None] == right_paths[:, t][None, :]
     sizes = np.array([*map(len, left)])[:, None], np.array([*map(len, right)])[None, :]
@@ -213,11 +252,14 @@ def _verified(tasks: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (tree, _, low, high), group in sorted_groups(batches, _TASK):
-            keys = group.column("key").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
             paths = np.array(group.column("paths").to_pylist(), np.int64)
             side = np.array(group.column("side").to_pylist())
             copies = np.array(group.column("copies").to_pylist(), np.int64)
+            # Texts without a ball have numbers of their own.
+            alone = {None: -1}
+            ball = np.array([alone.setdefault(x, len(alone)) for x in group.column("ball").to_pylist()])
+            ball = np.where(ball < 0, -1 - np.arange(len(ball)), ball)
             left = np.flatnonzero(side == low)
             right = left if low == high else np.flatnonzero(side == high)
             if not len(left) or not len(right):
@@ -227,6 +269,7 @@ def _verified(tasks: DataFrame, forest: Forest) -> DataFrame:
                 [sets[i] for i in right],
                 paths[left],
                 paths[right],
+                ball[left][:, None] == ball[right][None, :],
                 tree,
                 forest.threshold,
             )
@@ -236,22 +279,44 @@ def _verified(tasks: DataFrame, forest: Forest) -> DataFrame:
             if not len(x):
                 continue
             a, b = left[x], right[y]
-            n = len(keys)
+            n = len(sets)
             links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             others = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
             root = _roots(n, a, b)
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([keys[i] for i in some], pa.binary()),
-                    pa.array([keys[root[i]] for i in some], pa.binary()),
-                    pa.array(links[some], pa.int64()),
-                    pa.array(others[some].astype(np.int64)),
-                ],
-                names=["key", "root", "links", "copies"],
-            )
+            columns = [
+                group.column(name).take(pa.array(rows))
+                for rows in (some, root[some])
+                for name in ("key", "class_id")
+            ]
+            columns += [pa.array(links[some], pa.int64()), pa.array(others[some].astype(np.int64))]
+            names = ["key", "class_id", "root", "root_id", "links", "copies"]
+            yield from pa.table(columns, names=names).combine_chunks().to_batches()
+
+    return tasks.mapInArrow(run, _link_schema(tasks))
+
+
+def _link_schema(of: DataFrame) -> str:
+    kind = of.schema["class_id"].dataType.simpleString()
+    return (
+        f"key binary, class_id {kind}, root binary, root_id {kind}, links bigint, copies bigint"
+    )
 
-    return tasks.mapInArrow(run, "key binary, root binary, links bigint, copies bigint")
+
+def _near(pairs: DataFrame, least: float) -> DataFrame:
+    """The rows whose sets `grams` and `other` are at least that similar, without the sets."""
+    kept = [c for c in pairs.columns if c not in ("grams", "other")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(column(batch, "grams"), column(batch, "other"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(shared >= least * (len(a) + len(b) - shared))
+            yield batch.select(kept).filter(pa.array(near, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.select(*kept).schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -292,11 +357,87 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 RESULT = ["class_id", "n_copies", "n_links", "n_linked_docs", "group_id"]
 
 
+def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, forest: Forest) -> DataFrame:
+    """The classes `wanted` with their sets of n-grams, of one text found by its least doc_id."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ids = wanted.select(F.col("class_id").alias("_id")).distinct()
+    found = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = _with_grams(found.select("text"), forest)
+    return sets.groupBy("key").agg(F.first("grams").alias("grams")).join(wanted, "key")
+
+
+def _balls(
+    docs: DataFrame, doc_id: str, text: str, hot: DataFrame, classes: DataFrame, forest: Forest
+) -> DataFrame:
+    """Texts of crowded prefixes that are near one representative: key, class_id, copies, ball,
+    ball_id (the key and class_id of the representative), size and all (copies) of the ball.
+
+    The representative of a full path is the text of its least key, and a text asks the least
+    of those of its paths, so that the paths of one group agree on one.
+    """
+    full = hot.groupBy("tree", "full").agg(F.min("key").alias("ball"), F.count("*").alias("texts"))
+    asked = (
+        hot.join(full.where("texts > 1"), ["tree", "full"])
+        .groupBy("key")
+        .agg(F.min("ball").alias("ball"))
+    )
+    asked = stored(asked, "join-asked")
+    keys = asked.select("key").union(asked.select(F.col("ball").alias("key"))).distinct()
+    wanted = classes.select("key", "class_id", "copies").join(keys, "key")
+    sets = stored(_sets(docs, doc_id, text, wanted, forest), "join-ball-sets")
+    heads = sets.select(
+        F.col("key").alias("ball"), F.col("class_id").alias("ball_id"), F.col("grams").alias("other")
+    )
+    heads = heads.join(asked.select("ball").distinct(), "ball", "left_semi")
+    pairs = asked.join(sets, "key").join(heads, "ball")
+    near = stored(_near(pairs, forest.ball()), "join-near")
+    sizes = (
+        near.groupBy("ball")
+        .agg(F.count("*").alias("size"), F.sum("copies").alias("all"))
+        .where("size > 1")
+    )
+    return stored(near.join(sizes, "ball"), "join-balls")
+
+
+def _dealt(hot: DataFrame, balls: DataFrame, forest: Forest) -> DataFrame:
+    """Texts of crowded prefixes by task. A ball of many texts has blocks of its own, which do
+    not meet each other."""
+    node = ["tree", "path"]
+    none = F.lit(b"")
+    hot = hot.join(balls.select("key", "ball"), "key", "left")
+    hot = hot.withColumn("own", F.coalesce("ball", none))
+    counts = hot.groupBy(*node, "own").agg(F.count("*").alias("n"))
+    large = (F.col("own") != none) & (F.col("n") >= forest.block // 2)
+    counts = counts.withColumn("part", F.when(large, F.col("own")).otherwise(none))
+    parts = counts.groupBy(*node, "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("sides", F.ceil(F.col("n") / forest.block).cast("int"))
+    before = W.partitionBy(*node).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        parts.withColumn("first", F.coalesce(F.sum("sides").over(before), F.lit(0)).cast("int"))
+        .withColumn("total", F.sum("sides").over(W.partitionBy(*node)).cast("int"))
+        .drop("n")
+    )
+    where = counts.drop("n").join(parts, [*node, "part"])
+    side = F.col("first") + F.pmod(F.xxhash64("key", "tree"), F.col("sides")).cast("int")
+    others = F.sequence(F.lit(0), F.col("total") - 1)
+    foreign = F.filter(
+        others, lambda o: (o < F.col("first")) | (o >= F.col("first") + F.col("sides"))
+    )
+    return (
+        hot.join(where, [*node, "own"])
+        .withColumn("side", side)
+        .withColumn("other", F.explode(F.when(F.col("part") == none, others).otherwise(foreign)))
+        .withColumn("low", F.least("side", "other"))
+        .withColumn("high", F.greatest("side", "other"))
+        .select("key", *_TASK, "side")
+    )
+
+
 def _classes(
     docs: DataFrame, doc_id: str, text: str, forest: Forest
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and of every class its key, class_id, copies, sums of links
-    and the key that names its group, null if it is alone."""
+    and the class that names its group (a struct of none, id, key), null if it is alone."""
     signed = stored(_signed(docs, doc_id, text, forest), "join-signed")
     classes = signed.groupBy("key").agg(
         F.min("doc_id").alias("class_id"),
@@ -304,9 +445,13 @@ def _classes(
         F.any_value("paths").alias("paths"),
     )
     classes = stored(classes, "join-classes")
-    trees = classes.where("paths IS NOT NULL").select(
-        "key", F.posexplode("paths").alias("tree", "path")
-    )
+    shifts = F.array(*map(F.lit, forest.shifts()))
+    short = F.expr("transform(paths, (p, i) -> shiftrightunsigned(p, shifts[i]))")
+    prefixes = classes.where("paths IS NOT NULL").withColumn("shifts", shifts)
+    prefixes = prefixes.withColumn("short", short)
+    trees = prefixes.select(
+        "key", "paths", F.posexplode("short").alias("tree", "path")
+    ).select("key", "tree", "path", F.expr("paths[tree]").alias("full"))
     shared = (
         trees.groupBy("tree", "path")
         .agg(
@@ -320,37 +465,46 @@ def _classes(
         .agg(F.min(F.struct("tree", "path")).alias("first"))
         .select("first.tree", "first.path", "texts")
     )
-    blocks = F.ceil(F.col("texts") / forest.block).cast("int")
-    side = F.pmod(F.xxhash64("key", "tree"), F.col("blocks")).cast("int")
-    members = (
-        trees.join(shared.withColumn("blocks", blocks), ["tree", "path"])
-        .withColumn("side", side)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("side", "other"))
-        .withColumn("high", F.greatest("side", "other"))
-        .select("key", *_TASK, "side")
+    met = stored(trees.join(shared, ["tree", "path"]), "join-met")
+    hot = met.where(F.col("texts") > forest.block)
+    balls = _balls(docs, doc_id, text, hot, classes, forest)
+    zero = F.lit(0)
+    cold = met.where(F.col("texts") <= forest.block).select(
+        "key", "tree", "path", zero.alias("low"), zero.alias("high"), zero.alias("side")
     )
-    members = stored(members, "join-members")
-    # One text of every class that has a candidate, found by its least doc_id.
-    wanted = members.select("key").distinct().join(classes, "key")
-    wanted = wanted.select("key", "class_id", "paths", "copies")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = wanted.select(F.col("class_id").alias("_id")).distinct()
-    found = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = _with_grams(found.select("text"), forest)
-    sets = sets.groupBy("key").agg(F.first("grams").alias("grams")).join(wanted, "key")
+    members = stored(cold.union(_dealt(hot, balls, forest)), "join-members")
+    wanted = members.select("key").distinct().join(prefixes, "key")
+    wanted = wanted.select("key", "class_id", F.col("short").alias("paths"), "copies")
+    wanted = wanted.join(balls.select("key", "ball"), "key", "left")
     tasks = (
-        members.join(sets, "key")
+        members.join(_sets(docs, doc_id, text, wanted, forest), "key")
         .repartition(*_TASK)
         .sortWithinPartitions(*_TASK)
-        .select(*_TASK, "key", "side", "grams", "paths", "copies")
+        .select(*_TASK, "key", "class_id", "side", "grams", "paths", "copies", "ball")
     )
-    links = stored(_verified(tasks, forest), "join-links")
+    inside = balls.select(
+        "key",
+        "class_id",
+        F.col("ball").alias("root"),
+        F.col("ball_id").alias("root_id"),
+        (F.col("size") - 1).alias("links"),
+        (F.col("all") - F.col("copies")).alias("copies"),
+    )
+    links = stored(_verified(tasks, forest).union(inside), "join-links")
     sums = links.groupBy("key").agg(
         F.sum("links").alias("n_links"), F.sum("copies").alias("n_linked_docs")
     )
-    groups = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    groups = groups.withColumnRenamed("node", "key")
+
+    # A node sorts by its class_id, null last, so the root of a group has its name.
+    def node(class_id: str, key: str) -> Column:
+        return F.struct(
+            F.col(class_id).isNull().alias("none"),
+            F.col(class_id).alias("id"),
+            F.col(key).alias("key"),
+        )
+
+    edges = links.select(node("class_id", "key").alias("a"), node("root_id", "root").alias("b"))
+    groups = components(edges).select(F.col("node.key").alias("key"), "root")
     named = classes.select("key", "class_id", "copies").join(sums, "key", "left")
     named = stored(named.join(groups, "key", "left"), "join-named")
     return signed, named
@@ -370,16 +524,14 @@ def similarity_join(
     each other. An empty table gives an empty table; other columns are not read.
     """
     signed, named = _classes(docs, doc_id, text, forest)
-    least = (
-        named.where("root IS NOT NULL").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    )
-    named = named.join(least, "root", "left").select(
+    group = F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("root.id"))
+    named = named.select(
         "key",
         "class_id",
         F.col("copies").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"),
-        F.coalesce("group_id", "class_id").alias("group_id"),
+        group.alias("group_id"),
     )
     return signed.select("doc_id", "key").join(named, "key").select("doc_id", *RESULT)
 
@@ -403,11 +555,8 @@ def deduplicated(
     are, whatever their names.
     """
     _, named = _classes(docs, doc_id, text, forest)
-    order = F.struct(F.col("class_id").isNull(), "class_id", "key")
-    kept = (
-        named.groupBy(F.coalesce("root", "key").alias("group"))
-        .agg(F.min(order).alias("least"))
-        .select(F.col("least.key").alias("_key"), F.col("least.class_id").alias("_kept"))
+    kept = named.where("root IS NULL OR root.key = key").select(
+        F.col("key").alias("_key"), F.col("class_id").alias("_kept")
     )
     # The row travels whole and once, so its columns can have any names.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import zlib
 
@@ -299,7 +300,8 @@ def test_join_equals_brute_force(spark, odd_docs, no_docs):
         rows.append((i, " ".join(changed)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     forest = jaccard.Forest(block=4)
-    assert 1 - (1 - 0.8 ** forest.prefix()) ** forest.trees >= forest.recall
+    levels = forest.levels()
+    assert forest.met(levels) >= forest.recall > forest.met([n + 1 for n in levels])
     for frame in (docs, odd_docs):
         want = brute_join(frame.collect())
         found = jaccard.similarity_join(frame, forest=forest).collect()
@@ -311,6 +313,107 @@ def test_join_equals_brute_force(spark, odd_docs, no_docs):
     assert jaccard.similarity_join(no_docs).count() == jaccard.deduplicated(no_docs).count() == 0
 
 
+def brute_groups(rows, threshold=0.8):
+    """Per row: doc_id, copies, links, linked rows and least id of the group, by all pairs."""
+    sets, copies, least = {}, collections.Counter(), {}
+    for r in rows:
+        words = (r.text or "").encode().lower().split()
+        key = b" ".join(words)
+        k = min(5, len(words))
+        sets[key] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+        copies[key] += 1
+        least[key] = min(least.get(key, r.doc_id), r.doc_id)
+    near = {key: [] for key in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+            near[a].append(b)
+            near[b].append(a)
+    group = {}
+    for key in sorted(sets, key=least.get):
+        open_ = [key] if key not in group else []
+        while open_:
+            now = open_.pop()
+            if now not in group:
+                group[now] = least[key]
+                open_ += near[now]
+    out = collections.Counter()
+    for r in rows:
+        key = b" ".join((r.text or "").encode().lower().split())
+        linked = sum(copies[x] for x in near[key])
+        out[r.doc_id, least[key], copies[key], len(near[key]), linked, group[key]] += 1
+    return out
+
+
+def near_copies(name, n, changes, words=200):
+    """Texts of one group: each differs from the first in some words of its own."""
+    rng = np.random.default_rng(len(name) + n)
+    base = [f"{name}{i}" for i in range(words)]
+    for i in range(n):
+        text = list(base)
+        for at in rng.choice(words, changes(i), replace=False):
+            text[at] = f"{name}x{i}y{at}"
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("block", [8, 384])
+def test_join_groups_equal_brute_force(spark, block):
+    texts = [
+        *near_copies("close", 60, lambda i: 1),  # all within a ball
+        *near_copies("wide", 40, lambda i: 2 + i % 3),  # some pairs reach the threshold
+        *near_copies("far", 20, lambda i: 30),
+        *near_copies("two", 2, lambda i: i),
+    ]
+    texts += texts[:5] + texts[70:75] + ["", "one word", "One  WORD"]
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = jaccard.similarity_join(docs, forest=jaccard.Forest(block=block)).collect()
+    got = collections.Counter(
+        (r.doc_id, r.class_id, r.n_copies, r.n_links, r.n_linked_docs, r.group_id) for r in found
+    )
+    assert got == brute_groups(docs.collect())
+
+
+def test_paths_are_sorted_tries():
+    forest = jaccard.Forest()
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, 400, np.uint64)) for i in range(3)]
+    near = [np.unique(np.r_[s[:-20], s[-20:] + np.uint64(1)]) for s in sets]
+    paths = jaccard.signatures(sets + near, forest)
+    assert paths.shape == (6, forest.trees) and len(np.unique(paths[:3])) == 3 * forest.trees
+    # A prefix that two paths share contains all longer ones they share.
+    shifts = [np.uint64(4 * k) for k in range(forest.depth - min(forest.levels()) + 1)]
+    shared = [(paths[:3] >> k == paths[3:] >> k).sum() for k in shifts]
+    assert shared == sorted(shared) and shared[0] < shared[-1]
+
+
+def test_join_recall_at_the_threshold():
+    """Pairs of similarity just over 0.8 meet in some trie, nearly always."""
+    forest = jaccard.Forest()
+    rng = np.random.default_rng(5)
+    pairs = 2000
+    left, right = [], []
+    for _ in range(pairs):
+        values = rng.integers(0, 1 << 63, 450, np.uint64)
+        left.append(np.unique(values[:400]))
+        right.append(np.unique(values[45:445]))
+    a, b = (jaccard.signatures(x, forest) for x in (left, right))
+    shifts = np.array(forest.shifts(), np.uint64)
+    met = ((a >> shifts) == (b >> shifts)).any(1)
+    assert met.mean() >= 0.999
+
+
+def test_join_rows_grow_with_a_group(spark):
+    """Texts of a ball meet no blocks of their own ball, so tasks get each text a few times."""
+    forest = jaccard.Forest(block=16)
+    sent = []
+    for n in (100, 400):
+        hot = [(f"{i:04}".encode(), t, 7, 11) for i in range(n) for t in range(forest.trees)]
+        hot = spark.createDataFrame(hot, "key binary, tree int, path bigint, full bigint")
+        ball = [(f"{i:04}".encode(), b"0000") for i in range(n - 10)]
+        ball = spark.createDataFrame(ball, "key binary, ball binary")
+        sent.append(jaccard._dealt(hot, ball, forest).count() / (n * forest.trees))
+    assert sent[0] < 4 and sent[1] < 4
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     found = jaccard.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
