@@ -103,6 +103,16 @@ def radio_rollup(a: Analysis) -> DataFrame:
     return R.rollup_radio(a.frames)
 
 
+_OPTIONS = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
+
+
+def _export(rows: DataFrame, folder: str, number: int, kind: str, **options) -> None:
+    """Write the exports of one site. Every file has rows: of a table with partition columns a
+    task without rows writes none, of others Spark leaves the first task's file bare."""
+    sited = rows.withColumn("site", F.lit(number))
+    sited.write.mode("append").partitionBy("site").options(**options).format(kind).save(folder)
+
+
 def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames exported as tab-separated text and read back."""
     folder = new_work_folder(spark)
@@ -221,7 +231,6 @@ def captures_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(site.alias("site")).agg(F.count("*").alias("packet_count"))
 
 
-_OPTIONS = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
 # Columns of three kinds of exports: the usual ones; others of the candidates, turned round;
 # two candidates of one column, a column nobody knows, and none that is never read.
 _LAYOUTS = [
@@ -318,9 +327,9 @@ def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames_from_events(spark, sf_dir)
     number = F.col("frame_number").cast("bigint")
     lines = frames.select(F.concat(F.lit('"'), "frame_number", F.lit('"')).alias("value"), (number % 3).alias("i"))
-    lines.where("i = 0").select("value").write.text(f"{folder}/site=0")
-    lines.where("i = 1").select("value").write.csv(f"{folder}/site=1")
-    lines.where("i = 2").select("value").write.option("compression", "gzip").text(f"{folder}/site=2")
+    _export(lines.where("i = 0").select("value"), folder, 0, "text")
+    _export(lines.where("i = 1").select("value"), folder, 1, "csv")
+    _export(lines.where("i = 2").select("value"), folder, 2, "text", compression="gzip")
     read = read_frames(spark, folder, fields=["frame.number"])
     listed = list_captures(spark, folder).select(site()).distinct()
     return read.groupBy(site()).agg(F.count("*").alias("packet_count")).join(listed, "site")

@@ -108,3 +108,32 @@ def test_messy_frames(spark, messy, monkeypatch, name):
     frames, connection = messy
     monkeypatch.setattr(Q, "frames_from_events", lambda spark, sf_dir: frames)
     compare(Q.queries()[name](spark, ""), connection, oracle.oracle_sql("SELECT * FROM raw_frames")[name])
+
+
+SPLIT = ["admitted_files"]
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_exports_of_splits_without_rows(spark, tmp_path, name):
+    """Of the splits of one row group only that of its middle has rows: the first has none."""
+    n = 3000
+    events = pd.DataFrame(
+        {
+            "event_id": range(n),
+            "ts": pd.date_range("2024-01-01", periods=n, freq="s").astype("datetime64[us]"),
+            "user_id": [i * 7 % 50 for i in range(n)],
+            "event_type": [["view", "click", "signup", "error", "purchase"][i % 5] for i in range(n)],
+        }
+    )
+    path = f"{tmp_path}/events.parquet"
+    events.to_parquet(path, row_group_size=n)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    kept = {f"spark.sql.files.{k}": spark.conf.get(f"spark.sql.files.{k}") for k in ("maxPartitionBytes", "openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", os.path.getsize(path) // 5)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        compare(entry.queries()[name](spark, str(tmp_path)), connection, entry.oracle_sql()[name])
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
