@@ -221,11 +221,10 @@ def captures_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_work_folder(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frames = frames_from_events(spark, sf_dir)
-    options = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
     for i in range(3):
         some = frames.where(F.col("frame_number").cast("bigint") % 3 == i)
         columns = [F.col(name).alias(fields[0]) for name, fields in FIELD_CANDIDATES.items()]
-        some.select(*columns).write.options(**options).csv(f"{folder}/site={i}")
+        _export(some.select(*columns), folder, i, "csv", **_OPTIONS)
     read = read_frames(spark, folder, glob="*.csv")
     site = F.regexp_extract("capture_id", "site(?:=|%3D)([0-9]+)", 1).cast("int")
     return read.groupBy(site.alias("site")).agg(F.count("*").alias("packet_count"))
