@@ -121,8 +121,7 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     exported = frames.select(
         *[F.col(name).alias(fields[0]) for name, fields in FIELD_CANDIDATES.items()]
     )
-    options = {"sep": "\t", "quoteAll": True, "escape": '"', "header": True}
-    exported.write.options(**options).csv(folder)
+    _export(exported, folder, 0, "csv", **_OPTIONS)
     return normalize(read_frames(spark, folder, glob="*.csv")).drop("capture_id")
 
 

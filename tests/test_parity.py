@@ -110,7 +110,7 @@ def test_messy_frames(spark, messy, monkeypatch, name):
     compare(Q.queries()[name](spark, ""), connection, oracle.oracle_sql("SELECT * FROM raw_frames")[name])
 
 
-SPLIT = ["admitted_files", "captures_by_path", "mixed_captures"]
+SPLIT = ["admitted_files", "captures_by_path", "mixed_captures", "tsv_scan"]
 
 
 @pytest.mark.parametrize("name", SPLIT)
