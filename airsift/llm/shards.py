@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airsift.llm.common import arrow_type, column, mix64, texts, u32_crc
-from airsift.llm.tokens import Encoder, default_tokenizer
+from airsift.llm.tokens import default_tokenizer, worker_encoder
 
 _NULL = -(1 << 63)
 _GAMMA = 2
@@ -189,7 +189,7 @@ def write_shards(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(path, added_tokens)
+        encoder = worker_encoder(path, added_tokens)
         limit = segment_ids * encoder.id_bytes
         keys: list[int | None] = []
         blobs: list[bytes] = []

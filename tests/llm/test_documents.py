@@ -75,6 +75,38 @@ def test_encoder_equals_the_library():
     assert got == [ids_of(x).tolist() for x in odd * 2]
 
 
+def test_pieces_of_common_and_other_characters():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    signs = "aZé_'.,“”—0½²\t\r\n\x1c\x85\xa0 жα中😀ªµ"
+    rng = np.random.default_rng(1)
+    said = ["".join(rng.choice([*signs, *"  'stre"], n)) for n in rng.integers(0, 30, 3000)]
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(said)]
+    assert got == [ids_of(x).tolist() for x in said]
+
+
+def test_a_word_is_learned_once_whatever_follows_it(monkeypatch):
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    words = [f"{a}{b}ing" for a in ("wor", "sta", "lea") for b in ("k", "rn", "nd")]
+    said = [f"x {' '.join(w + end for w in words)}\n{words[0]}" for end in ("", ",", ".", "!!", "'s")]
+    expected = [ids_of(x).tolist() for x in said]
+    encoder.encode([said[0] + " x'sx , . !! ,\n."])
+    asked = []
+    learn = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: (asked.extend(texts), learn(texts))[1])
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(said)]
+    assert got == expected and not any("work" in x for x in asked)
+
+
+def test_pieces_in_use_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(tokens, "_GENERATION", 20)
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    for i in range(9):
+        said = [" ".join(f"word{k}" for k in range(i * 7, i * 7 + 12)) + " always"]
+        got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(said)]
+        assert got == [ids_of(x).tolist() for x in said]
+        assert len(encoder.cache) + len(encoder.cache.older) < 80
+
+
 def test_shards_round_trip_and_lookup(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path / "s")
     shards.write_shards(odd_docs, folder, shard_bytes=4000, segment_ids=700)
