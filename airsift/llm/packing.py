@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airsift.llm.common import column, sliced, stored, texts
-from airsift.llm.tokens import Encoder, default_tokenizer
+from airsift.llm.tokens import default_tokenizer, worker_encoder
 
 MAX_SOURCES = 100_000
 _IDS = "queue string, part int, before bigint, n bigint, ids binary"
@@ -112,7 +112,7 @@ def _encoded(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer, added_tokens)
+        encoder = worker_encoder(tokenizer, added_tokens)
         running: dict[str, int] = {}
         for batch in sliced(batches):
             ids = encoder.encode(texts(batch, text))
