@@ -107,6 +107,13 @@ def test_pieces_in_use_outlive_a_generation(monkeypatch):
         assert len(encoder.cache) + len(encoder.cache.older) < 80
 
 
+def test_pipeline_sends_no_text_twice(spark, odd_docs):
+    carried = corpus_pipeline._carried(odd_docs.withColumn("Extra.", F.lit(1)))
+    assert carried.columns == ["doc_id", "text", "source", "_row"]
+    others = [c for c in odd_docs.columns if c not in ("doc_id", "text", "source")]
+    assert carried.schema["_row"].dataType.names == ["_", *others, "Extra."]
+
+
 def test_shards_round_trip_and_lookup(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path / "s")
     shards.write_shards(odd_docs, folder, shard_bytes=4000, segment_ids=700)
