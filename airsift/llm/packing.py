@@ -101,7 +101,13 @@ def mixture(
 
 
 def _encoded(
-    docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, added_tokens: bool
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    source: str,
+    tokenizer: str,
+    added_tokens: bool,
+    cached_pieces: int | None,
 ) -> DataFrame:
     """Ids of every document with its place: the partition, and the tokens of its queue
     before it in that partition."""
@@ -112,7 +118,7 @@ def _encoded(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = worker_encoder(tokenizer, added_tokens)
+        encoder = worker_encoder(tokenizer, added_tokens, cached_pieces)
         running: dict[str, int] = {}
         for batch in sliced(batches):
             ids = encoder.encode(texts(batch, text))
@@ -157,6 +163,7 @@ def pack(
     grain: int = 64,
     shares: Mapping[str | None, float] | None = None,
     added_tokens: bool = False,
+    cached_pieces: int | None = None,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, with its place and checksum.
 
@@ -167,10 +174,12 @@ def pack(
     piece. A null text is empty and packs as its end id; a null source is a queue of its
     own, after the others; a null id stays null; repeated rows are packed each. An empty
     table gives an empty table. Other columns are not read. `added_tokens` is that of
-    `Encoder`. Ids are written once to the shared folder; per source one total reaches the driver, of at most MAX_SOURCES.
+    `Encoder`, `cached_pieces` its `pieces`. Ids are written once to the shared folder; per source one total reaches the driver, of at most MAX_SOURCES.
     """
     encoded = stored(
-        _encoded(docs, doc_id, text, source, tokenizer or default_tokenizer(), added_tokens),
+        _encoded(
+            docs, doc_id, text, source, tokenizer or default_tokenizer(), added_tokens, cached_pieces
+        ),
         "pack-ids",
     )
     parts = stored(encoded.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")

@@ -37,10 +37,11 @@ _SPLIT = re.compile(
 
 class _Pieces(dict):
     """Ids by piece. A piece that is not there reads as no ids and is noted in `new`. When a
-    generation is full, only the pieces that are used again outlive the next."""
+    generation of `size` is full, only the pieces that are used again outlive the next."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
+        self.size = size
         self.older: dict[str, bytes] = {}
         self.new: set[str] = set()
 
@@ -52,19 +53,19 @@ class _Pieces(dict):
         return b""
 
     def age(self) -> None:
-        if len(self) > _GENERATION:
+        if len(self) > self.size:
             self.older = dict(self)
             self.clear()
 
 
-def worker_encoder(path: str, added_tokens: bool = False) -> Encoder:
+def worker_encoder(path: str, added_tokens: bool = False, pieces: int | None = None) -> Encoder:
     """The encoder of this Python worker with the pieces it has seen: workers run many tasks,
     one after another."""
     name = "_airsift_token_encoders"
     held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    key = (path, added_tokens)
+    key = (path, added_tokens, pieces)
     if key not in held:
-        held[key] = Encoder(path, added_tokens)
+        held[key] = Encoder(path, added_tokens, pieces)
     return held[key]
 
 
@@ -72,10 +73,11 @@ class Encoder:
     """Encodes whole texts. Ids are little-endian, of 2 bytes if the vocabulary allows.
 
     `added_tokens`: the literal of a special added token is that token, as the library has it
-    by default; else it is text like any other.
+    by default; else it is text like any other. `pieces`: the size of a generation of pieces
+    seen, of which two are held, of some 100 to 200 bytes a piece; fewer cost time, no result.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, pieces: int | None = None):
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,7 +110,7 @@ class Encoder:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.after_blank = np.array([t.startswith(blank) for t in names])
         self.line_end = np.array([t == "Ċ" for t in names])
-        self.cache = _Pieces()
+        self.cache = _Pieces(pieces or _GENERATION)
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:

@@ -114,6 +114,41 @@ def test_pipeline_sends_no_text_twice(spark, odd_docs):
     assert carried.schema["_row"].dataType.names == ["_", *others, "Extra."]
 
 
+def test_pipeline_holds_small_batches_and_few_pieces(spark, odd_docs, monkeypatch, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, 10_000)
+            stage(spark, odd_docs, SF_DIR)
+            found = spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n bigint").collect()
+            assert sum(r.n for r in found) == 3000 and max(r.n for r in found) <= 256, name
+        spark.conf.set(key, 100)
+        corpus_pipeline.quality(spark, odd_docs, SF_DIR)
+        assert spark.conf.get(key) == "100"
+        spark.conf.set(key, 7000)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("quality_rules", corpus_pipeline.quality)])
+        corpus_pipeline.run(spark, SF_DIR)
+        assert spark.conf.get(key) == "7000"
+    finally:
+        spark.conf.set(key, before)
+    given = {}
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, **options: given.update(options))
+    corpus_pipeline.packing(spark, odd_docs, SF_DIR)
+    assert given["cached_pieces"] <= 200_000
+    encoder = tokens.Encoder(tokens.default_tokenizer(), pieces=20)
+    for i in range(9):
+        said = [" ".join(f"word{k}" for k in range(i * 7, i * 7 + 12)) + " always"]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(said)] == [ids_of(said[0]).tolist()]
+        assert len(encoder.cache) + len(encoder.cache.older) < 80
+
+
 def test_shards_round_trip_and_lookup(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path / "s")
     shards.write_shards(odd_docs, folder, shard_bytes=4000, segment_ids=700)
